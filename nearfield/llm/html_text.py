@@ -162,7 +162,12 @@ LABELLED = [
     (3, 0.0, 60, 0.0, 80, 0.0, 1, 0, 1), (1, 0.0, 0, 0.0, 5, 0.0, 1, 0, 1), (4, 0.0, 3, 0.0, 6, 0.2, 1, 0, 1), (2, 0.0, 4, 1.0, 9, 0.1, 1, 1, 1),
     (9, 0.3, 40, 0.0, 20, 0.0, 1, 0, 1), (6, 0.5, 30, 0.0, 30, 0.0, 1, 0, 1), (30, 0.4, 30, 0.1, 40, 0.0, 1, 0, 1), (5, 0.0, 12, 0.9, 14, 0.8, 1, 0, 1),
     (8, 1.0, 60, 0.0, 7, 1.0, 1, 0, 0), (7, 1.0, 8, 1.0, 6, 1.0, 1, 0, 0), (3, 1.0, 2, 1.0, 10, 0.0, 1, 0, 0), (12, 0.9, 60, 0.0, 9, 0.9, 1, 0, 0),
-    (100, 0.0, 5, 0.0, 80, 0.0, 0, 0, 1), (80, 0.1, 100, 0.0, 60, 0.0, 0, 0, 1), (35, 0.0, 4, 1.0, 50, 0.0, 0, 0, 1), (25, 0.0, 50, 0.0, 30, 0.2, 0, 0, 1),
+    (400, 0.0, 300, 0.0, 11, 0.0, 1, 0, 1), (143, 0.0, 49, 0.0, 11, 0.0, 1, 0, 1), (14, 0.0, 8, 0.0, 35, 0.0, 1, 1, 1), (1, 0.0, 200, 0.0, 0, 0.0, 1, 0, 1),
+    (800, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (5, 0.4, 8, 0.0, 12, 0.0, 1, 0, 1), (2, 0.5, 300, 0.0, 2, 0.5, 1, 0, 1), (60, 0.55, 80, 0.2, 50, 0.3, 1, 0, 1),
+    (300, 0.0, 8, 0.0, 5, 0.1, -1, 0, 0), (500, 0.0, 400, 0.0, 600, 0.0, -1, 0, 0), (8, 0.0, 1, 1.0, 14, 0.0, -1, 0, 0), (11, 0.0, 143, 0.0, 0, 0.0, -1, 0, 0),
+    (30, 0.0, 5, 0.0, 200, 0.0, -1, 1, 0), (1, 0.0, 400, 0.0, 300, 0.0, -1, 0, 0), (18, 0.0, 8, 0.0, 9, 0.0, -1, 0, 0), (45, 0.5, 14, 0.0, 35, 0.0, -1, 0, 0),
+    (100, 0.0, 5, 0.0, 80, 0.0, 0, 0, 1), (300, 0.0, 2, 1.0, 6, 0.0, 0, 0, 1), (500, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (150, 0.1, 4, 1.0, 4, 1.0, 0, 0, 1),
+    (80, 0.1, 100, 0.0, 60, 0.0, 0, 0, 1), (35, 0.0, 4, 1.0, 50, 0.0, 0, 0, 1), (25, 0.0, 50, 0.0, 30, 0.2, 0, 0, 1),
     (60, 0.2, 0, 0.0, 2, 1.0, 0, 0, 1), (20, 0.0, 70, 0.0, 3, 1.0, 0, 0, 1), (12, 0.0, 60, 0.0, 45, 0.0, 0, 0, 1), (8, 0.0, 70, 0.0, 90, 0.0, 0, 0, 1),
     (6, 0.0, 3, 1.0, 70, 0.0, 0, 1, 1), (9, 0.0, 80, 0.0, 50, 0.0, 0, 1, 1), (4, 0.0, 60, 0.0, 30, 0.0, 0, 1, 1), (11, 0.0, 0, 0.0, 120, 0.0, 0, 1, 1),
     (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 0.9, 0, 0, 0), (30, 0.8, 20, 0.9, 25, 0.9, 0, 0, 0),
@@ -173,7 +178,8 @@ LABELLED = [
 
 
 def grow(rows: np.ndarray, depth: int = 8) -> tuple | float:
-    """A decision tree by Gini impurity: (feature, threshold, low, high), or the share of main text at a leaf."""
+    """A decision tree by Gini impurity: (feature, threshold, low, high), or the share of main text at a leaf.
+    Of equal splits the first feature's wins, and no split leaves a side with a single row."""
     labels = rows[:, -1]
     share = labels.mean()
     if depth == 0 or share in (0.0, 1.0):
@@ -184,6 +190,8 @@ def grow(rows: np.ndarray, depth: int = 8) -> tuple | float:
         for cut in (values[:-1] + values[1:]) / 2:
             low = rows[:, feature] <= cut
             a, b = labels[low], labels[~low]
+            if min(len(a), len(b)) < 2:
+                continue
             gini = len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())
             if best is None or gini < best[0] - 1e-12:
                 best = (gini, feature, float(cut))
@@ -200,7 +208,8 @@ _tree: tuple | float | None = None
 def tree() -> tuple | float:
     global _tree
     if _tree is None:
-        _tree = grow(np.array(LABELLED, float))
+        rows = np.array(LABELLED, float)
+        _tree = grow(rows[:, [6, 1, 0, 2, 3, 4, 5, 7, 8]])
     return _tree
 
 
@@ -209,7 +218,7 @@ def features(found: list[Block], i: int) -> tuple:
     before = found[i - 1] if i else None
     behind = found[i + 1] if i + 1 < len(found) else None
     near = [x for b in (before, behind) for x in ((b.words, b.density) if b else (0, 0.0))]
-    return own.words, own.density, *near, own.hint, own.heading
+    return own.hint, own.density, own.words, *near, own.heading
 
 
 def is_main(values: tuple) -> bool:
