@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, embedding_dedup, html_text, langid, minhash, topk
-from nearfield.runtime import table
+from nearfield.llm import bpe, embedding_dedup, html_text, langid, minhash, mixing, topk, warc
+from nearfield.runtime import table, work_path
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +35,20 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], percent=150)
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
@@ -51,9 +61,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_source_mixing": op2_source_mixing,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_warc": op6_warc,
     "op9_topk_search": op9_topk_search,
     "op10_html_extraction": op10_html_extraction,
 }
