@@ -1,11 +1,11 @@
 """MinHash near-dedup: universal hash minima, banding, verification, connected components.
 
-1. Each text becomes its set of word shingles (64-bit hashes), 125 minima of
-   universal hashes, 25 band keys of five minima, and a fingerprint of the set.
+1. Each text becomes its set of word shingles (64-bit hashes), about 125 minima of
+   universal hashes, keys of bands of some minima, and a fingerprint of the set.
 2. Documents with equal sets are one class; only its smallest id goes on.
 3. Band keys with more than one class are buckets; of buckets with the same
-   members one is kept. A link of similarity 0.85 shares no bucket with a
-   probability of 4e-7.
+   members one is kept. layout() makes bands so narrow that a link at the
+   threshold shares no bucket with a probability of at most 1e-6.
 4. Buckets are compared in blocks of bounded size: first sizes and signatures,
    then the full sets. A pair is looked at only in the first bucket that it
    shares, and not when confirmed links of the block already join it, so no
@@ -33,8 +33,8 @@ from nearfield.llm.components import connected_components
 from nearfield.llm.grouping import contiguous
 from nearfield.runtime import materialize, prepare
 
-BANDS, ROWS = 25, 5
-HASHES = BANDS * ROWS
+HASHES = 125
+MISSED = 1e-6
 #: Pairs whose signatures agree less than this much below the threshold are not compared further (5.3 standard deviations).
 SLACK = 0.17
 BLOCK = 300
@@ -89,17 +89,27 @@ def minima(found: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + least.reshape(BANDS, ROWS)[:, i])
+def layout(percent: int) -> tuple[int, int]:
+    """The number of bands and the minima of each: as many as leave enough bands for the threshold."""
+    for rows in range(16, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (HASHES // rows) <= MISSED:
+            return HASHES // rows, rows
+    return HASHES, 1
+
+
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for i in range(rows):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[: bands * rows].reshape(bands, rows)[:, i])
     return keys.view(np.int64)
 
 
 SIGNED = "doc_id long, n_shingles long, fingerprint binary, bands array<long>, signature binary, packed binary"
 
 
-def sign(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+def sign(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    shape = layout(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
@@ -113,7 +123,7 @@ def sign(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                         continue
                     least = minima(found)
                     low = (mix(least) & np.uint64(0xFFFF)).astype("<u2").tobytes()
-                    out.append((key, len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(least), low, pack(raw)))
+                    out.append((key, len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(least, *shape), low, pack(raw)))
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_shingles", "fingerprint", "bands", "signature", "packed"])
 
@@ -143,7 +153,7 @@ def compare(group: pa.Table, width: int, percent: int) -> list[tuple[int, int]]:
     ids, sizes = group["doc_id"].to_numpy(), group["n_shingles"].to_numpy()
     part, i, j, band = group["part"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py(), group["band"][0].as_py()
     signatures = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(len(ids), HASHES)
-    bands = np.array(group["bands"].combine_chunks().flatten()).reshape(len(ids), BANDS)
+    bands = np.array(group["bands"].combine_chunks().flatten()).reshape(len(ids), -1)
     packed = group["packed"]
     left = np.flatnonzero(part == i)
     right = np.flatnonzero(part == j)
@@ -212,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     least percent/100; a component's smallest id is kept.
     """
     prepare(docs.sparkSession)
-    signed = materialize(sign(docs, doc_id, text, width), "signed")
+    signed = materialize(sign(docs, doc_id, text, width, percent), "signed")
     classes = signed.where("n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("class"))
     first = signed.join(classes.select(F.col("fingerprint").alias("f"), "class"), (F.col("fingerprint") == F.col("f")) & (F.col("doc_id") == F.col("class"))).drop("f", "class")
     edges = links(first, width, percent)

@@ -35,6 +35,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.runtime import discard, materialize, prepare, work_path
 
@@ -127,35 +128,42 @@ class Batch:
         return np.cumsum(change[:n]) > 0
 
 
-BATCHES = "batch long, ids binary, sizes binary, packed binary, n_bytes long"
+BATCHES = "batch long, ids binary, sizes binary, packed binary, extra binary, n_bytes long"
 
 
-def pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> DataFrame:
+    """Rows of BATCHES: documents in a row, and the columns of carry as an Arrow stream."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, count = [], [], 0, 0
+        ids, texts, others, size, count = [], [], [], 0, 0
         first = TaskContext.get().partitionId() << 32
         compress = zstandard.ZstdCompressor(level=2).compress
 
         def out() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], "<i8")
-            row = (first + count, np.array(ids, "<i8").tobytes(), sizes.tobytes(), compress(b"".join(texts)), int(sizes.sum()))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["batch", "ids", "sizes", "packed", "n_bytes"])
+            extra = pa.BufferOutputStream()
+            if carry:
+                table = pa.Table.from_batches(others)
+                with pa.ipc.new_stream(extra, table.schema) as stream:
+                    stream.write_table(table)
+            row = (first + count, np.array(ids, "<i8").tobytes(), sizes.tobytes(), compress(b"".join(texts)), compress(extra.getvalue().to_pybytes()), int(sizes.sum()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["batch", "ids", "sizes", "packed", "extra", "n_bytes"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                for key, value in zip(batch.column(0).slice(i, 256).to_pylist(), batch.column(1).slice(i, 256).to_pylist()):
-                    raw = (value or "").encode()
-                    if texts and size + len(raw) > BATCH_BYTES:
-                        yield out()
-                        ids, texts, size, count = [], [], 0, count + 1
-                    ids.append(key)
-                    texts.append(raw)
-                    size += len(raw)
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                if texts and size > BATCH_BYTES:
+                    yield out()
+                    ids, texts, others, size, count = [], [], [], 0, count + 1
+                ids += part.column(0).to_pylist()
+                texts += [(t or "").encode() for t in part.column(1).to_pylist()]
+                size = sum(map(len, texts))
+                others.append(part.select(range(2, 2 + len(carry))))
         if texts:
             yield out()
 
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), F.col(text))
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), *carry)
     return rows.mapInArrow(run, BATCHES)
 
 
@@ -382,13 +390,12 @@ def _removed(batch: Batch, record: bytes | None, answers: list) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept): kept has the remaining bytes, one row for each row of docs with an id."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept) and the columns of carry, one for each row of
+    docs with an id. kept has the remaining bytes."""
     spark = prepare(docs.sparkSession)
-    packed = materialize(pack(docs, doc_id, text), "batches")
+    carry = carry or []
+    packed = materialize(pack(docs, doc_id, text, carry), "batches")
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(3, (total // RANGE_BYTES).bit_length())
     repeated = materialize(sent_anchors(packed, bits).groupBy("part").applyInArrow(_repeated, "batch long, hashes binary"), "anchors")
@@ -407,22 +414,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for row in _rows(batches):
             batch = Batch(row["ids"], row["sizes"], row["packed"])
             gone = _removed(batch, row["record"], row["answers"] or [])
-            out = []
-            for key, a, b in zip(batch.ids.tolist(), batch.starts.tolist(), batch.ends.tolist()):
-                cut = gone[a:b]
-                removed = int(cut.sum())
-                spans = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()) if removed else 0
-                out.append((key, b - a, removed, spans, batch.raw[a:b][~cut].tobytes() if removed else batch.text[a:b]))
-                if len(out) == 512:
-                    yield _result(out)
-                    out = []
-            if out:
-                yield _result(out)
-
-    joined = packed.select("batch", "ids", "sizes", "packed").join(own, "batch", "left").join(lists, "batch", "left")
-    return joined.mapInArrow(run, RESULT)
-
-
-def _result(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            extra = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["extra"])).read_all() if carry else None
+            for first in range(0, len(batch.ids), 512):
+                out = []
+                for k in range(first, min(first + 512, len(batch.ids))):
+                    a, b = int(batch.starts[k]), int(batch.ends[k])
+                    cut = gone[a:b]
+                    removed = int(cut.sum())
+                    spans = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()) if removed else 0
+                    out.append((int(batch.ids[k]), b - a, removed, spans, batch.raw[a:b][~cut].tobytes() if removed else batch.text[a:b]))
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*out), result)]
+                more = [extra[c].slice(first, len(out)).combine_chunks() for c in carry]
+                more = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in more]
+                yield pa.RecordBatch.from_arrays(columns + more, result.names + carry)
+
+    result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    fields = [T.StructField(f.name, T.BinaryType() if f.name == "kept" else T.LongType()) for f in result]
+    joined = packed.select("batch", "ids", "sizes", "packed", "extra").join(own, "batch", "left").join(lists, "batch", "left")
+    return joined.mapInArrow(run, T.StructType(fields + [docs.schema[c] for c in carry]))
