@@ -43,8 +43,8 @@ WINDOW = 50
 GRAM = 20
 BATCH_BYTES = 3 << 20
 CHUNK = 1 << 19  # windows hashed together
-RANGE_BYTES = 48 << 20  # text bytes for each range of anchor hashes
-SHARD_BYTES = 3 << 20  # context bytes for each shard
+RANGE_BYTES = 24 << 20  # text bytes for each range of anchor hashes
+SHARD_BYTES = 3 << 19  # context bytes for each shard
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_HASH = np.random.Generator(np.random.PCG64(20240613)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -272,19 +272,43 @@ def sent_contexts(packed: DataFrame, repeated: DataFrame, shards: int) -> DataFr
     return packed.select("batch", "ids", "sizes", "packed").join(lists, "batch").mapInArrow(run, "own int, shard int, batch long, blob binary")
 
 
+PLACE_BITS = 21  # a place in a shard's text, where three of them fit into one sort key
+
+
+def _ranked(high: np.ndarray, low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of (high, low, place), and whether each key differs from the one before.
+    high and low are below 2**40 without low, else below 2**PLACE_BITS."""
+    n = len(high)
+    places = np.arange(n, dtype=np.uint64)
+    shift = np.uint64(PLACE_BITS)
+    if n <= 1 << PLACE_BITS:  # sorting whole keys is several times faster than sorting places by keys
+        key = (high if low is None else high << shift | low) << shift | places
+        key.sort()
+        order = (key & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        key >>= shift
+    else:
+        key = high if low is None else high << np.uint64(32) | low
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    return order, new
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array of text, by the first 64 bytes of each suffix and then by place."""
-    n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    key = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
-    for width in (8, 16, 32):
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.zeros(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1]))).astype(np.uint64) + np.uint64(1)
-        key = rank << np.uint64(32)
-        key[: n - width] |= rank[width:]
-    return np.argsort(key, kind="stable")
+    """The suffix array of text, by the first 80 bytes of each suffix and then by place."""
+    n, width = len(text), 5
+    padded = np.concatenate((text, np.zeros(width, np.uint8))).astype(np.uint64)
+    first = np.zeros(n, np.uint64)
+    for i in range(width):
+        first = first << np.uint64(8) | padded[i : n + i]
+    order, new = _ranked(first, None)
+    while width < WINDOW:
+        rank = np.zeros(n + width, np.uint64)
+        rank[order] = np.cumsum(new).astype(np.uint64) - np.uint64(1)
+        order, new = _ranked(rank[:n], rank[width:])
+        width *= 2
+    return order
 
 
 def expand(bwt: np.ndarray, least: int) -> np.ndarray:
@@ -294,32 +318,29 @@ def expand(bwt: np.ndarray, least: int) -> np.ndarray:
     bytes in the interval start where the last-to-first mapping leads from their first occurrences.
     """
     n = len(bwt)
-    first = np.argsort(bwt, kind="stable")  # the last-to-first mapping, inverted
+    first = np.argsort(bwt, kind="stable").astype(np.int32)  # the last-to-first mapping, inverted
     to_first = np.zeros(n, np.int32)
     to_first[first] = np.arange(n, dtype=np.int32)
     ranked = bwt[first]
-    start = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    placed = np.ones(n, bool)
+    placed[1:] = ranked[1:] != ranked[:-1]
     before = np.full(n, -1, np.int32)  # the same byte's place before
-    before[first[1:]] = np.where(start[1:], -1, first[:-1])
-    placed = start.copy()
-    new = np.flatnonzero(start)
+    before[first[1:]] = np.where(placed[1:], -1, first[:-1])
+    fresh = placed.copy()
     for _ in range(1, least):
-        bounds = np.append(np.flatnonzero(placed), n)
-        end = bounds[np.searchsorted(bounds, new) + 1]
-        grown = []
-        # Blocks bound the memory; places set in this level are read from the next level on.
-        size = np.cumsum(end - new)
-        for a in range(0, len(new), 1 << 18):
-            b = min(len(new), a + (1 << 18))
-            length = (end - new)[a:b]
-            origin = np.repeat(new[a:b], length)
-            j = np.arange(len(origin)) + np.repeat(new[a:b] - (np.cumsum(length) - length), length)
-            k = to_first[j[before[j] < origin]]
-            grown.append(k[~placed[k]])
-        new = np.unique(np.concatenate(grown)) if grown and len(size) else np.zeros(0, np.int64)
-        if not len(new):
+        bounds = np.append(np.flatnonzero(placed), n).astype(np.int32)
+        which = np.flatnonzero(fresh[bounds[:-1]])
+        if not len(which):
             break
-        placed[new] = True
+        fresh[:] = False
+        for i in range(0, len(which), 1 << 18):  # blocks bound the memory
+            begin, end = bounds[which[i : i + (1 << 18)]], bounds[which[i : i + (1 << 18)] + 1]
+            length = end - begin
+            origin = np.repeat(begin, length)
+            j = np.arange(len(origin), dtype=np.int32) + np.repeat(begin - (np.cumsum(length, dtype=np.int32) - length), length)
+            fresh[to_first[j[before[j] < origin]]] = True
+        fresh &= ~placed
+        placed |= fresh
     return placed
 
 
