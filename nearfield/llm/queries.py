@@ -81,4 +81,76 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.oracle_sql()}
+WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP1_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM n UNION SELECT reach.id, b FROM reach JOIN both_ways ON r = a)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) ON id = doc_id
+"""
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(doc_id::VARCHAR) AS h FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, 2 * source_size AS most FROM t),
+w AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1] AS weight FROM p),
+f AS (SELECT *, sum(most) OVER o AS filled, sum(weight) OVER o AS weights, (SELECT sum(weight) FROM w) AS total, 1.5 * (SELECT sum(source_size) FROM t) AS budget FROM w WINDOW o AS (ORDER BY most::DOUBLE / weight, place)),
+u AS (SELECT (budget - (filled - most)) / (total - (weights - weight)) AS until FROM f WHERE filled + most::DOUBLE / weight * (total - weights) >= budget ORDER BY most::DOUBLE / weight, place LIMIT 1),
+q AS (SELECT d.*, w.source_size, w.weight, w.place, sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id) AS upto FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
+c AS (SELECT *, (upto + copy * source_size)::DOUBLE / weight AS finish FROM q, (VALUES (0), (1)) v(copy) WHERE size > 0),
+r AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, place, h, doc_id, copy) AS total FROM c),
+k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM r WHERE total <= (SELECT budget FROM f LIMIT 1) GROUP BY doc_id)
+SELECT q.doc_id, size, source_size, least(2 * source_size, until * weight)::DOUBLE AS target, coalesce(taken, 0)::BIGINT AS taken FROM q, u LEFT JOIN k ON k.doc_id = q.doc_id
+"""
+
+_COSINE = "list_sum(list_transform(list_zip(x.v, y.v), lambda p: p[1] * p[2])) / (x.n * y.n)"
+OP3_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings),
+u AS (SELECT *, sqrt(list_sum(list_transform(v, lambda c: c * c))) AS n FROM v WHERE label IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id AND x.n > 0 AND y.n > 0 AND len(x.v) = len(y.v) WHERE {_COSINE} >= 0.98),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM v UNION SELECT reach.id, b FROM reach JOIN links ON r = a)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) ON id = vec_id LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) ON a = vec_id
+"""
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, sha1(html) AS hex FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', substr(hex, i, 1)) - 1), 4, '0')), '') AS bits FROM h),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, 5 * i + j + 1, 1)::INT * (1 << (4 - j))))::INT, 1)), '') AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM d
+"""
+
+OP8_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM t WHERE len(h) >= 100)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+m AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS fresh FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m) GROUP BY doc_id, run),
+k AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, -1, 0 FROM t)),
+j AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, coalesce(2 * (b - a), len(h))), '' ORDER BY a) AS kept FROM k JOIN t USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT t.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t JOIN j USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+#: Language ID, tokens and HTML blocks have no SQL: tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": OP1_SQL,
+    "op2_source_mixing": OP2_SQL,
+    "op3_embedding_dedup": OP3_SQL,
+    "op6_warc": OP6_SQL,
+    "op7_license_scan": licenses.oracle_sql(),
+    "op8_suffix_dedup": OP8_SQL,
+    "op9_topk_search": OP9_SQL,
+}
