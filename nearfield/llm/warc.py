@@ -142,14 +142,16 @@ def unframed(archive: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def plan(pages: DataFrame, page_id: str, url: str, html: str, least: int) -> DataFrame:
-    """Rows (page_id, url, payload, refers_to)."""
+def plan(pages: DataFrame, page_id: str, url: str, html: str, least: int, files: int) -> DataFrame:
+    """Rows (page_id, url, payload, refers_to), dealt into files by page. Only hashes are grouped: a
+    payload is moved once, however many pages share it."""
     rows = pages.where(F.col(page_id).isNotNull()).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    key = F.sha2("payload", 256)
-    groups = rows.groupBy(key.alias("key")).agg(F.max("page_id").alias("response"))
-    joined = rows.withColumn("key", key).join(groups, "key")
-    refers = F.when((F.octet_length("payload") >= least) & (F.col("page_id") != F.col("response")), F.col("response"))
-    return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
+    rows = rows.withColumn("key", F.sha2("payload", 256))
+    keys = rows.select("page_id", "key", F.octet_length("payload").alias("size"))
+    groups = keys.groupBy("key").agg(F.max("page_id").alias("refers_to"))
+    again = keys.join(groups, "key").where((F.col("size") >= least) & (F.col("page_id") != F.col("refers_to"))).select("page_id", "key", "refers_to").distinct()
+    dealt = rows.repartition(files, "page_id", "key").join(again.repartition(files, "page_id", "key").hint("merge"), ["page_id", "key"], "left")
+    return dealt.select("page_id", "url", "payload", "refers_to")
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
@@ -171,8 +173,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
 
-    rows = plan(pages, page_id, url, html, least).repartition(files, "page_id")
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").text(path)
+    plan(pages, page_id, url, html, least, files).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
