@@ -36,6 +36,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 AWAY_TAGS = frozenset("nav aside footer form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
 AWAY_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside side widget widgets cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist disqus respond reply replies discussion reviews share sharing social related recommended recommendations more-from trending tags toolbar pagination pager skip copyright contentinfo complementary".split())
+# Of the words above, those that take away even an article element.
+NO_ARTICLE_WORDS = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies discussion reviews related recommended".split())
 MAIN_WORDS = frozenset("article content post entry story main maincontent article-body post-content entry-content articlebody".split())
 
 TOKEN = re.compile(
@@ -76,7 +78,7 @@ def _hint(tag: str, attrs: str, inside: int) -> int:
             if name in ("class", "id", "role"):
                 words = set(value.split())
                 words |= {w for x in words for w in re.split(r"[-_]", x)}
-                if words & AWAY_WORDS:
+                if words & (NO_ARTICLE_WORDS if tag in MAIN_TAGS else AWAY_WORDS):
                     return -1
                 if words & MAIN_WORDS and tag not in AWAY_TAGS:
                     found = found or 1
@@ -173,7 +175,7 @@ LABELLED = [
     (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 0.9, 0, 0, 0), (30, 0.8, 20, 0.9, 25, 0.9, 0, 0, 0),
     (4, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0), (6, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0), (8, 0.0, 3, 1.0, 5, 0.6, 0, 0, 0), (7, 0.2, 40, 0.0, 0, 0.0, 0, 0, 0),
     (3, 0.0, 4, 0.5, 2, 1.0, 0, 1, 0), (12, 0.5, 8, 0.7, 10, 0.6, 0, 0, 0), (5, 0.0, 30, 0.9, 6, 0.0, 0, 0, 0), (40, 0.6, 6, 0.0, 30, 0.7, 0, 0, 0),
-    (14, 0.0, 6, 0.0, 4, 0.0, 0, 0, 0), (10, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0), (3, 0.0, 60, 0.0, 5, 0.0, 0, 0, 0), (5, 0.4, 3, 0.0, 90, 0.0, 0, 0, 0),
+    (14, 0.0, 6, 0.0, 4, 0.0, 0, 0, 1), (16, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (12, 0.1, 1, 1.0, 2, 1.0, 0, 0, 1), (13, 0.0, 40, 0.0, 3, 0.0, 0, 0, 1), (10, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0), (3, 0.0, 60, 0.0, 5, 0.0, 0, 0, 0), (5, 0.4, 3, 0.0, 90, 0.0, 0, 0, 0),
 ]
 
 
