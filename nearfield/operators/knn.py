@@ -83,7 +83,8 @@ def pairwise(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
 
 
 def exact_distances(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of one query, summed in the same order for every row, so equal rows tie."""
+    """Distances row by row, of one query or of as many as there are rows; summed in the same order
+    for every row, so equal rows tie."""
     if metric == "l2":
         return ((rows - query) ** 2).sum(1)
     if metric == "hamming":
@@ -91,7 +92,7 @@ def exact_distances(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndar
     products = (rows * query).sum(1)
     if metric == "inner_product":
         return -products
-    size = np.sqrt((query**2).sum()) * np.sqrt((rows**2).sum(1))
+    size = np.sqrt((query**2).sum(-1)) * np.sqrt((rows**2).sum(1))
     return np.where(size < TINY, 1.0, np.maximum(0.0, 1.0 - products / np.maximum(size, TINY)))
 
 
@@ -99,16 +100,21 @@ def block_best(queries: np.ndarray, rows: np.ndarray, ids: pa.Array, k: int, met
     """For each query its k best rows of a block: (query place, row place, distance). A matrix
     product bounds the candidates, which are then computed again one by one."""
     found = pairwise(queries, rows, metric)
+    if not found.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if len(rows) <= k:
+        place, row = (x.ravel() for x in np.indices(found.shape))
+    else:
+        worst = np.partition(found, k - 1, axis=1)[:, k - 1]
+        place, row = np.nonzero(found <= (worst + 1e-9 * (1.0 + np.abs(found).max()))[:, None])
+    exact = np.concatenate([exact_distances(queries[place[i : i + 65536]], rows[row[i : i + 65536]], metric) for i in range(0, len(place), 65536)])
     key = ids.to_numpy(zero_copy_only=False)
-    scale = 1e-9 * (1.0 + np.abs(found).max(initial=0.0))
-    out: list[tuple] = []
-    for q in range(len(queries)):
-        d = found[q]
-        near = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1] + scale)
-        exact = exact_distances(queries[q], rows[near], metric)
-        order = np.lexsort((key[near], exact))[:k] if key.dtype != object else np.array(sorted(range(len(near)), key=lambda i: (exact[i], key[near[i]]))[:k], np.int64)
-        out.append((np.full(len(order), q), near[order], exact[order]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    if key.dtype == object:  # names: their order serves as number
+        key = np.argsort(np.argsort(key, kind="stable"), kind="stable")
+    order = np.lexsort((key[row], exact, place))
+    place = place[order]
+    first = np.arange(len(place)) - np.searchsorted(place, place) < k
+    return place[first], row[order[first]], exact[order[first]]
 
 
 def _pairs_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
