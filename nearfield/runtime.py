@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _local_dir: str | None = None
+#: Python workers live long and share an executor's memory, so they give back what large arrays used.
+MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -18,8 +20,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    for name, value in MALLOC.items():
+        env.setdefault(name, value)
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") in ("67108864b", "64m"):  # its default
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize", "4096") == "4096":
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")
     return spark
 
 
@@ -41,8 +47,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def made_paths() -> list[str]:
+    """The work paths given out since the last call, for whoever knows when nothing reads them any more."""
+    out = _made[:]
+    _made.clear()
+    return out
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Small row groups, looked at often: rows of intermediate tables may be long, and readers and
+#: writers hold a row group in memory.
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4"}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +80,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lineage and survives lost executors, for the files belong to no executor."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**ROW_GROUPS).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._nearfield_path = path
     return out
@@ -60,9 +90,7 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a materialize() result that nothing reads any more."""
     path = getattr(df, "_nearfield_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        remove(df.sparkSession, [path])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
