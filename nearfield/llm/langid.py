@@ -66,8 +66,7 @@ def grams(points: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def blocks(text: str) -> Iterator[np.ndarray]:
-    """Folded pieces of a text; neighbours share max(ORDERS) - 1 characters of overlap
-    less the ones already counted, so that every n-gram is counted once or, at a seam, in part twice."""
+    """The text in folded pieces of bounded length. A seam counts like a blank."""
     for i in range(0, len(text), BLOCK):
         yield folded(text[i : i + BLOCK])
 

@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.runtime import discard, materialize, prepare, work_path
+from nearfield.runtime import ROW_GROUPS, discard, materialize, prepare, work_path
 
 WINDOW = 50
 GRAM = 20
-BATCH_BYTES = 3 << 20
-CHUNK = 1 << 19  # windows hashed together
-RANGE_BYTES = 24 << 20  # text bytes for each range of anchor hashes
-SHARD_BYTES = 3 << 19  # context bytes for each shard
+BATCH_BYTES = 1 << 20
+CHUNK = 1 << 17  # windows hashed together
+RANGE_BYTES = 16 << 20  # text bytes for each range of anchor hashes
+SHARD_BYTES = 1 << 20  # context bytes for each shard
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_HASH = np.random.Generator(np.random.PCG64(20240613)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -418,12 +418,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     carry = carry or []
     packed = materialize(pack(docs, doc_id, text, carry), "batches")
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(3, (total // RANGE_BYTES).bit_length())
+    bits = max(5, (total // RANGE_BYTES).bit_length())
     repeated = materialize(sent_anchors(packed, bits).groupBy("part").applyInArrow(_repeated, "batch long, hashes binary"), "anchors")
     count = repeated.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
     shards = max(8, int(count // 8 * (WINDOW + 16) // SHARD_BYTES))
     path = work_path(spark, "contexts")
-    sent_contexts(packed, repeated, shards).write.partitionBy("own").parquet(path)
+    sent_contexts(packed, repeated, shards).write.options(**ROW_GROUPS).partitionBy("own").parquet(path)
     sent = spark.read.schema("shard int, batch long, blob binary, own int").parquet(path)
     answers = sent.where("own = 0").groupBy("shard").applyInArrow(_answer, "shard int, batch long, answer binary")
     answers = materialize(answers, "answers")
