@@ -26,9 +26,10 @@ from pyspark.sql import types as T
 
 from nearfield.runtime import prepare
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 50_000
 LONG = 40  # bytes of a piece that is encoded together with others
 BLOCK = 1 << 20  # characters encoded together
+PAIR_BITS = 21  # the table of pairs already judged is emptied when half of its 2**PAIR_BITS slots are in use
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,7 +62,7 @@ class Vocabulary:
         self.pairs: dict[int, bool] = {}
 
     def may_follow(self, before: int, token: int) -> bool:
-        if len(self.pairs) > 8 * CACHE_ENTRIES:
+        if len(self.pairs) > CACHE_ENTRIES:
             self.pairs.clear()
         both = self.bytes_of[before] + self.bytes_of[token]
         ok = self.pairs[before << 32 | token] = merge_encode(both, self.ranks) == [before, token]
@@ -242,7 +243,7 @@ class Encoder:
             self.size[rank] = len(token)
         self.own, self.all = self._table(voc.own), self._table(ranks)
         self.longest = min(voc.longest, LONG)
-        self.pairs = HashTable(21)
+        self.pairs = HashTable(PAIR_BITS)
         self.long: dict[bytes, bytes] = {}
 
     def _table(self, tokens: dict[bytes, int]) -> HashTable:
@@ -263,7 +264,7 @@ class Encoder:
         found = self.pairs.get(keys)
         if len(new := np.unique(keys[found < 0])):
             if self.pairs.used + len(new) > (self.pairs.mask >> 1):
-                self.pairs = HashTable(max(21, (4 * len(new)).bit_length()))
+                self.pairs = HashTable(max(PAIR_BITS, (4 * len(new)).bit_length()))
                 new = np.unique(keys)
             ok = [self.vocabulary.may_follow(int(k >> 32) & 0x7FFFFFFF, int(k) & 0xFFFFFFFF) for k in new.tolist()]
             self.pairs.put(new, np.array(ok, np.int32))
@@ -301,8 +302,8 @@ class Encoder:
         begin, size = begin[order], size[order]
         counts = np.zeros(len(begin), np.int64)
         ids = np.zeros((len(begin), int(size[0])), np.int32)
-        for i in range(0, len(begin), 20_000):  # bounds the memory of the tables
-            some = slice(i, i + 20_000)
+        for i in range(0, len(begin), 10_000):  # bounds the memory of the tables
+            some = slice(i, i + 10_000)
             last, left, rows = self._tables(raw, begin[some], size[some]), size[some].copy(), np.arange(len(begin[some]))
             while len(rows):  # the tokens from the last to the first
                 token = last[left[rows] - 1, rows]
