@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import bpe, langid, minhash, mixing, suffix_dedup
-from nearfield.runtime import materialize, table
+from nearfield.runtime import discard, made_paths, materialize, remove, table
 
 LEAST_SCORE = 0.5
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -55,12 +56,30 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", exact.alias("exact"))
 
 
+_left: list[str] = []
+
+
+def _tidied(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the work files of the stage before it: that stage's result has
+    been written and read again by then, so nothing reads them any more."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left)
+        made_paths()
+        out = stage(spark, docs, sf_dir)
+        _left[:] = made_paths()
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language),
-    ("near_dedup", near_dedup),
-    ("repeated_passages", repeated_passages),
-    ("source_mix", source_mix),
-    ("tokens", tokens),
+    ("language", _tidied(language)),
+    ("near_dedup", _tidied(near_dedup)),
+    ("repeated_passages", _tidied(repeated_passages)),
+    ("source_mix", _tidied(source_mix)),
+    ("tokens", _tidied(tokens)),
 ]
 
 #: The stages hash, iterate and tokenize in ways that SQL has no words for; tests hold run() against a plain version.
@@ -70,5 +89,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
