@@ -98,22 +98,23 @@ def _single(metric: str, rows: str = "true", k: int = 10) -> str:
 def _register_searches() -> None:
     for metric, short in (("cosine", "cosine"), ("l2", "l2"), ("inner_product", "ip"), ("hamming", "hamming")):
         register(f"knn_{short}", _single(metric))(lambda s, d, m=metric: _rounded(knn.top_k(corpus(s, d), _query(s, d), 10, m)))
-        sql = f"WITH {V} {_ranked(_pairs(metric), 10)}"
+        for suffix, asked in (("", "id < 20"), ("_whole", EVERY)):
+            sql = f"WITH {V} {_ranked(_pairs(metric, asked), 10)}"
 
-        def join(s, d, m=metric, form="expression"):
-            rows = corpus(s, d)
-            return _rounded(knn.knn_join(rows.where("id < 20"), rows, 10, m, form))
+            def join(s, d, m=metric, form="expression", asked=asked):
+                rows = corpus(s, d)
+                return _rounded(knn.knn_join(rows.where(asked), rows, 10, m, form))
 
-        register(f"knn_join_{short}", sql)(join)
-        register(f"knn_join_kernel_{short}", sql)(lambda s, d, f=join, m=metric: f(s, d, m, "kernel"))
-        register(f"knn_join_blocks_{short}", sql)(lambda s, d, f=join, m=metric: f(s, d, m, "blocks"))
-        if metric != "hamming":
+            register(f"knn_join_{short}{suffix}", sql)(join)
+            register(f"knn_join_kernel_{short}{suffix}", sql)(lambda s, d, f=join, m=metric: f(s, d, m, "kernel"))
+            register(f"knn_join_blocks_{short}{suffix}", sql)(lambda s, d, f=join, m=metric: f(s, d, m, "blocks"))
+            if metric != "hamming":
 
-            def prefiltered(s, d, m=metric):
-                rows = corpus(s, d)
-                return _rounded(bounded.knn_join_bounded(rows.where("id < 20"), rows, 10, m))
+                def prefiltered(s, d, m=metric, asked=asked):
+                    rows = corpus(s, d)
+                    return _rounded(bounded.knn_join_bounded(rows.where(asked), rows, 10, m))
 
-            register(f"knn_join_bounded_{short}", sql)(prefiltered)
+                register(f"knn_join_bounded_{short}{suffix}", sql)(prefiltered)
 
         near = {"cosine": 0.8, "l2": 30.0, "inner_product": -1.0, "hamming": 28.0}[metric]
         within = f"WITH {V}, d AS (SELECT c.id, {_sql_distance('c.vector', 'q.vector', metric)} AS d FROM v c, (SELECT vector FROM v WHERE id = 0) q) SELECT id, round(d, 6) AS distance FROM d WHERE d <= {near} ORDER BY d, id"
@@ -122,6 +123,8 @@ def _register_searches() -> None:
 
     joined = f"WITH {V} {_ranked(_pairs('l2', 'id < 10'), 15, ' AND d <= 60.0')}"
     register("range_join", joined)(lambda s, d: _rounded(knn.range_join(corpus(s, d).where("id < 10"), corpus(s, d), 60.0, "l2", 15)))
+    every = f"WITH {V} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank, id, round(d, 6) AS distance FROM ({_pairs('l2', EVERY)}) WHERE d <= 60.0"
+    register("range_join_whole", every)(lambda s, d: _rounded(knn.range_join(corpus(s, d).where(EVERY), corpus(s, d), 60.0, "l2", None)))
 
     register("deleted_knn", _single("cosine", "NOT c.dead"))(lambda s, d: _rounded(knn.top_k(knn.live(corpus(s, d), corpus(s, d).where("id % 10 = 3")), _query(s, d), 10)))
 
@@ -133,10 +136,12 @@ def _register_searches() -> None:
         out = knn.post_process(found, 12, rows.where("id % 10 = 3"), F.col("label") < 5, 80.0, names)
         return _rounded(out.select("name", "distance"))
 
-    @register("search_beyond_256", f"WITH {V} {_ranked(_pairs('l2', 'id < 3', 'NOT dead'), 300)}")
-    def beyond(s, d):
-        rows = corpus(s, d)
-        return _rounded(knn.knn_join(rows.where("id < 3"), knn.live(rows, rows.where("id % 10 = 3")), 300, "l2", "kernel"))
+    for suffix, asked in (("", "id < 3"), ("_whole", EVERY)):
+
+        @register(f"search_beyond_256{suffix}", f"WITH {V} {_ranked(_pairs('l2', asked, 'NOT dead'), 300)}")
+        def beyond(s, d, asked=asked):
+            rows = corpus(s, d)
+            return _rounded(knn.knn_join(rows.where(asked), knn.live(rows, rows.where("id % 10 = 3")), 300, "l2", "kernel"))
 
     @register("sql_vec_distance", f"WITH {V} SELECT a.id, round({_sql_distance('a.vector', 'b.vector', 'l2')}, 6) AS l2, round({_sql_distance('a.vector', 'b.vector', 'cosine')}, 6) AS cosine, round({_sql_distance('a.vector', 'b.vector', 'inner_product')}, 6) AS ip, {_sql_distance('a.vector', 'b.vector', 'hamming')} AS hamming FROM v a JOIN v b ON b.id = a.id + 1")
     def sql_distance(s, d):
@@ -166,11 +171,13 @@ def _register_filters() -> None:
         register(f"filtered_{name}", query)(lambda s, d, p=predicate: _rounded(knn.top_k(_metadata(corpus(s, d)).where(p.column()), _query(s, d), 10)))
 
     keep = "coalesce(cat = 'c1', false) OR coalesce(ts < 9000000000000000300, false)"
-    @register("filtered_knn_join", f"WITH {V}, {META}, w AS (SELECT * FROM m WHERE {keep}), pairs AS (SELECT q.id AS query_id, c.id, {_sql_distance('c.vector', 'q.vector', 'l2')} AS d FROM (SELECT * FROM v WHERE id < 20) q, w c) {_ranked('SELECT * FROM pairs', 5)}")
-    def filtered_join(s, d):
-        rows = _metadata(corpus(s, d))
-        predicate = Equals("cat", "c1") | LessThanInt("ts", base + 300)
-        return _rounded(knn.knn_join(rows.where("id < 20"), rows.where(predicate.column()).select("id", "vector"), 5, "l2", "expression"))
+    for suffix, asked in (("", "id < 20"), ("_whole", EVERY)):
+
+        @register(f"filtered_knn_join{suffix}", f"WITH {V}, {META}, w AS (SELECT * FROM m WHERE {keep}), pairs AS (SELECT q.id AS query_id, c.id, {_sql_distance('c.vector', 'q.vector', 'l2')} AS d FROM (SELECT * FROM v WHERE {asked}) q, w c) {_ranked('SELECT * FROM pairs', 5)}")
+        def filtered_join(s, d, asked=asked):
+            rows = _metadata(corpus(s, d))
+            predicate = Equals("cat", "c1") | LessThanInt("ts", base + 300)
+            return _rounded(knn.knn_join(rows.where(asked), rows.where(predicate.column()).select("id", "vector"), 5, "l2", "expression"))
 
     @register("metadata_upsert", "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'c' || label END AS cat, CASE WHEN vec_id % 2 = 0 THEN 'x' END AS extra FROM embeddings WHERE embedding IS NOT NULL")
     def metadata_upsert(s, d):
@@ -241,16 +248,19 @@ def _register_lists() -> None:
         return kmeans.list_sizes(kmeans.assign(corpus(s, d).select("id", "vector"), centers(s, d)))
 
     probe = f"p AS (SELECT query_id, list_id FROM (SELECT v.id AS query_id, list_id, row_number() OVER (PARTITION BY v.id ORDER BY {_sql_distance('center', 'vector', 'l2')}, list_id) AS r FROM v, c WHERE v.id < 20) WHERE r <= 3)"
+    probe_every = probe.replace("v.id < 20", f"v.{EVERY}")
     pairs = f"SELECT p.query_id, v.id, {_sql_distance('v.vector', 'q.vector', 'l2')} AS d FROM p JOIN n USING (list_id) JOIN v ON v.id = n.id JOIN v q ON q.id = p.query_id"
 
-    @register("ivf_probe_l2", f"WITH {V}, {mean}, {near}, {probe} {_ranked(pairs, 10)}")
-    def probe_l2(s, d):
-        rows, c = corpus(s, d).select("id", "vector"), centers(s, d)
-        return _rounded(ivf.IVFFlat(kmeans.assign(rows, c), c, "l2").search(rows.where("id < 20"), 10, 3))
+    for suffix, asked, of in (("", "id < 20", probe), ("_whole", EVERY, probe_every)):
 
-    @register("shard_route", f"WITH {V}, {mean}, {probe} SELECT query_id, list_id FROM p")
-    def route(s, d):
-        return ivf.probes(corpus(s, d).where("id < 20"), centers(s, d), 3, "l2").select("query_id", "list_id")
+        @register(f"ivf_probe_l2{suffix}", f"WITH {V}, {mean}, {near}, {of} {_ranked(pairs, 10)}")
+        def probe_l2(s, d, asked=asked):
+            rows, c = corpus(s, d).select("id", "vector"), centers(s, d)
+            return _rounded(ivf.IVFFlat(kmeans.assign(rows, c), c, "l2").search(rows.where(asked), 10, 3))
+
+        @register(f"shard_route{suffix}", f"WITH {V}, {mean}, {of} SELECT query_id, list_id FROM p")
+        def route(s, d, asked=asked):
+            return ivf.probes(corpus(s, d).where(asked), centers(s, d), 3, "l2").select("query_id", "list_id")
 
     @register("residuals", f"WITH {V}, {mean} SELECT id, round(list_sum(list_transform(list_zip(vector, center), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS size FROM v JOIN c ON v.label = c.list_id")
     def residuals(s, d):
@@ -258,26 +268,28 @@ def _register_lists() -> None:
         c = kmeans.centroid_means(rows.where("label is not null"), "label").withColumnRenamed("vector", "center")
         return rows.join(c, "label").select("id", F.round(D.norm_sq(D.residual("vector", "center")), 6).alias("size"))
 
-    @register("ivf_exact_when_all_probed", f"WITH {V} {_ranked(_pairs('cosine'), 10)}")
-    def all_probed(s, d):
-        rows = corpus(s, d).select("id", "vector")
-        index = ivf.IVFFlat.build(rows, "cosine", 8)
-        return _rounded(index.search(rows.where("id < 20"), 10, 8))
+    for suffix, asked in (("", "id < 20"), ("_whole", EVERY)):
+
+        @register(f"ivf_exact_when_all_probed{suffix}", f"WITH {V} {_ranked(_pairs('cosine', asked), 10)}")
+        def all_probed(s, d, asked=asked):
+            rows = corpus(s, d).select("id", "vector")
+            index = ivf.IVFFlat.build(rows, "cosine", 8)
+            return _rounded(index.search(rows.where(asked), 10, 8))
 
     @register("ivf_flat")
     def ivf_flat(s, d):
         rows = corpus(s, d).select("id", "vector")
-        return ivf.IVFFlat.build(rows, "cosine").search(rows.where("id < 20"), 10, 4)
+        return ivf.IVFFlat.build(rows, "cosine").search(rows.where(EVERY), 10, 4)
 
     @register("sharded_knn")
     def sharded(s, d):
         rows = corpus(s, d).select("id", "vector")
-        return ivf.Sharded.build(rows, "l2", ShardConfig(8, 4)).search(rows.where("id < 20"), 10, 4)
+        return ivf.Sharded.build(rows, "l2", ShardConfig(8, 4)).search(rows.where(EVERY), 10, 4)
 
     @register("ivfpq_knn")
     def ivfpq(s, d):
         rows = corpus(s, d).select("id", "vector")
-        return pq.IVFPQ.train(rows, IVFPQConfig(lists=16, nprobe=8, iterations=8)).add(rows).search(rows.where("id < 20"), 10)
+        return pq.IVFPQ.train(rows, IVFPQConfig(lists=16, nprobe=8, iterations=8)).add(rows).search(rows.where(EVERY), 10)
 
     @register("pq_codes")
     def codes(s, d):
@@ -337,17 +349,17 @@ def _register_graphs() -> None:
 
 
 def _register_sets() -> None:
-    part = lambda name, where: f"{name} AS (SELECT query_id, id, d FROM ({_ranked_raw(where)}))"
+    def ranked_part(name: str, where: str, asked: str) -> str:
+        return f"{name} AS (SELECT query_id, id, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FROM ({_pairs('cosine', asked, where)}) QUALIFY r <= 10))"
 
-    def _ranked_raw(where: str) -> str:
-        return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FROM ({_pairs('cosine', 'id < 10', where)}) QUALIFY r <= 10"
+    for suffix, asked in (("", "id < 10"), ("_whole", EVERY)):
 
-    @register("base_delta_search", f"WITH {V}, {part('b', 'id % 3 < 2 AND NOT dead')}, {part('x', 'id % 3 > 0 AND NOT dead')} {_ranked('SELECT query_id, id, min(d) AS d FROM (SELECT * FROM b UNION ALL SELECT * FROM x) GROUP BY query_id, id', 10)}")
-    def base_delta(s, d):
-        rows = corpus(s, d).select("id", "vector")
-        live, q = knn.live(rows, rows.where("id % 10 = 3")), rows.where("id < 10")
-        found = [knn.knn_join(q, live.where(w), 10, "cosine", "expression").select("query_id", "id", "distance") for w in ("id % 3 < 2", "id % 3 > 0")]
-        return _rounded(knn.merge_results(*found, k=10))
+        @register(f"base_delta_search{suffix}", f"WITH {V}, {ranked_part('b', 'id % 3 < 2 AND NOT dead', asked)}, {ranked_part('x', 'id % 3 > 0 AND NOT dead', asked)} {_ranked('SELECT query_id, id, min(d) AS d FROM (SELECT * FROM b UNION ALL SELECT * FROM x) GROUP BY query_id, id', 10)}")
+        def base_delta(s, d, asked=asked):
+            rows = corpus(s, d).select("id", "vector")
+            live, q = knn.live(rows, rows.where("id % 10 = 3")), rows.where(asked)
+            found = [knn.knn_join(q, live.where(w), 10, "cosine", "expression").select("query_id", "id", "distance") for w in ("id % 3 < 2", "id % 3 > 0")]
+            return _rounded(knn.merge_results(*found, k=10))
 
     @register("streaming_merge_dedupe", "WITH n AS (SELECT count(*) AS n FROM embeddings), a AS (SELECT event_id % n AS id, min(event_id) AS first FROM events, n GROUP BY 1) SELECT id, first, first % 7 AS batch FROM a WHERE id % 10 <> 3")
     def merge_dedupe(s, d):
@@ -362,22 +374,24 @@ def _register_sets() -> None:
         live = knn.live(rows, rows.where("id % 10 = 3")).groupBy("label").agg(F.count("*").alias("live"))
         return rows.groupBy("label").agg(F.count("*").alias("n")).join(live.withColumnRenamed("label", "l"), F.expr("label <=> l"), "left").select("label", "n", F.coalesce("live", F.lit(0)).alias("live"))
 
-    @register("index_lifecycle", f"WITH {V}, w AS (SELECT id, vector FROM v WHERE id % 10 <> 3) SELECT query_id, rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (SELECT q.id AS query_id, w.id, {_sql_distance('w.vector', 'q.vector', 'l2')} AS d FROM (SELECT * FROM v WHERE id < 5) q, w)) WHERE rank <= 5")
-    def lifecycle(s, d):
-        rows = corpus(s, d).select("id", F.col("vector").cast("array<float>").alias("vector"))
-        index = UnbuiltIndex(IndexConfig(metric="l2")).build(rows.where("id % 4 <> 0")).batch_insert(rows.where("id % 4 = 0"))
-        index = index.delete(rows.where("id % 10 = 3").select("id")).compact()
-        return _rounded(index.batch_search(rows.where("id < 5"), 5)).withColumn("distance", F.round("distance", 3))
+    for suffix, asked in (("", "id < 5"), ("_whole", EVERY)):
 
-    ORACLE_SQL["index_lifecycle"] = ORACLE_SQL["index_lifecycle"].replace("round(d, 6)", "round(d, 3)")
+        @register(f"index_lifecycle{suffix}", f"WITH {V}, w AS (SELECT id, vector FROM v WHERE id % 10 <> 3) SELECT query_id, rank, id, round(d, 3) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (SELECT q.id AS query_id, w.id, {_sql_distance('w.vector', 'q.vector', 'l2')} AS d FROM (SELECT * FROM v WHERE {asked}) q, w)) WHERE rank <= 5")
+        def lifecycle(s, d, asked=asked):
+            rows = corpus(s, d).select("id", F.col("vector").cast("array<float>").alias("vector"))
+            index = UnbuiltIndex(IndexConfig(metric="l2")).build(rows.where("id % 4 <> 0")).batch_insert(rows.where("id % 4 = 0"))
+            index = index.delete(rows.where("id % 10 = 3").select("id")).compact()
+            return _rounded(index.batch_search(rows.where(asked), 5)).withColumn("distance", F.round("distance", 3))
 
 
 def _register_evaluation() -> None:
-    @register("recall_at_10", f"WITH {V}, t AS ({_ranked(_pairs('l2'), 10)}), f AS ({_ranked(_pairs('cosine'), 10)}) SELECT round(avg(r), 6) AS recall FROM (SELECT t.query_id, count(f.id) / count(*) AS r FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.id = t.id GROUP BY t.query_id)")
-    def recall(s, d):
-        rows = corpus(s, d).select("id", "vector")
-        q = rows.where("id < 20")
-        return evaluate.recall(knn.knn_join(q, rows, 10, "cosine", "expression"), knn.knn_join(q, rows, 10, "l2", "expression"), 10).withColumn("recall", F.round("recall", 6))
+    for suffix, asked in (("", "id < 20"), ("_whole", EVERY)):
+
+        @register(f"recall_at_10{suffix}", f"WITH {V}, t AS ({_ranked(_pairs('l2', asked), 10)}), f AS ({_ranked(_pairs('cosine', asked), 10)}) SELECT round(avg(r), 6) AS recall FROM (SELECT t.query_id, count(f.id) / count(*) AS r FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.id = t.id GROUP BY t.query_id)")
+        def recall(s, d, asked=asked):
+            rows = corpus(s, d).select("id", "vector")
+            q = rows.where(asked)
+            return evaluate.recall(knn.knn_join(q, rows, 10, "cosine", "expression"), knn.knn_join(q, rows, 10, "l2", "expression"), 10).withColumn("recall", F.round("recall", 6))
 
     @register("latency_percentiles", "SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, quantile_disc(value, 0.999) AS p999 FROM events")
     def latency(s, d):
@@ -387,13 +401,14 @@ def _register_evaluation() -> None:
     def histogram(s, d):
         return evaluate.histogram(table(s, d, "events"), 0.0, 100.0, 10).withColumn("cdf", F.round("cdf", 9))
 
-    points = "SELECT p_partkey AS k, (p_partkey * 7919 % 1000) / 1000.0 AS recall, (p_partkey * 104729 % 977)::DOUBLE AS qps FROM part WHERE p_partkey <= 500"
+    for suffix, of in (("", "p_partkey <= 500"), ("_whole", "true")):
+        points = f"SELECT p_partkey AS k, (p_partkey * 7919 % 1000) / 1000.0 AS recall, (p_partkey * 104729 % 977)::DOUBLE AS qps FROM part WHERE {of}"
 
-    @register("pareto_frontier", f"WITH p AS ({points}) SELECT k, recall::DOUBLE AS recall, qps FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.recall >= p.recall AND o.qps >= p.qps AND (o.recall > p.recall OR o.qps > p.qps))")
-    def pareto(s, d):
-        k = F.col("p_partkey")
-        p = table(s, d, "part").where("p_partkey <= 500").select(k.alias("k"), (k * 7919 % 1000 / 1000.0).alias("recall"), (k * 104729 % 977).cast("double").alias("qps"))
-        return evaluate.pareto(p)
+        @register(f"pareto_frontier{suffix}", f"WITH p AS ({points}) SELECT k, recall::DOUBLE AS recall, qps FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.recall >= p.recall AND o.qps >= p.qps AND (o.recall > p.recall OR o.qps > p.qps))")
+        def pareto(s, d, of=of):
+            k = F.col("p_partkey")
+            p = table(s, d, "part").where(of).select(k.alias("k"), (k * 7919 % 1000 / 1000.0).alias("recall"), (k * 104729 % 977).cast("double").alias("qps"))
+            return evaluate.pareto(p)
 
 
 for _f in (_register_searches, _register_filters, _register_expressions, _register_lists, _register_graphs, _register_sets, _register_evaluation):

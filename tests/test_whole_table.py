@@ -77,3 +77,15 @@ def test_walks_over_all_rows(spark, table):
     asked = [i for i, x in enumerate(ids) if x % 50 == 0]
     assert found.keys() == {ids[i] for i in asked}
     assert np.mean([len({ids[j] for j in brute(rows[i], rows, 5, "l2")[0]} & found[ids[i]]) / 5 for i in asked]) >= 0.9
+
+
+@pytest.mark.parametrize("name", ["ivf_flat", "sharded_knn", "ivfpq_knn", "knn_join_blocks_l2_whole", "knn_join_kernel_cosine_whole", "search_beyond_256_whole", "index_lifecycle_whole"])
+def test_every_fiftieth_row_asks(spark, table, name):
+    assert {r["query_id"] for r in run(spark, name)} == {x for x in table[0] if x % 50 == 0}
+
+
+def test_range_join_has_every_link(spark, table):
+    ids, rows = table
+    expected = {(ids[i], ids[j]) for i in range(len(ids)) if ids[i] % 50 == 0 for j in np.flatnonzero(((rows - rows[i]) ** 2).sum(1) <= 60.0)}
+    found = run(spark, "range_join_whole")
+    assert {(r["query_id"], r["id"]) for r in found} == expected and len(found) == len(expected) and max(r["rank"] for r in found) > 15
