@@ -3,16 +3,34 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import distance
 from nearfield.operators import kmeans
-from nearfield.operators.knn import best_per_query, matrix, pairwise
+from nearfield.operators.knn import best_per_query, knn_join, matrix, pairwise
 from nearfield.plans.config import ShardConfig
 from nearfield.plans.planner import list_count
 
 
+def distances(queries: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
+    """Rows (query_id, list_id, away): every query's distance to every list."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    shared = queries.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                away = pairwise(matrix(batch.column(1)), shared.value, metric)
+                place = pa.array(np.repeat(np.arange(batch.num_rows), away.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(place), pa.array(np.tile(np.arange(away.shape[1], dtype=np.int32), batch.num_rows)), pa.array(away.ravel())], ["query_id", "list_id", "away"])
+
+    schema = T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("list_id", T.IntegerType()), T.StructField("away", T.DoubleType())])
+    return queries.select("id", "vector").mapInArrow(run, schema)
+
+
 def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int, metric: str) -> DataFrame:
     """Rows (query_id, query, list_id): the nprobe nearest lists of each query."""
     import pyarrow as pa
@@ -32,6 +50,37 @@ def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int, metric: str)
     return queries.select("id", "vector").mapInArrow(run, schema)
 
 
+#: Rows that stand for the queries when the number of probes is measured, and the share of true
+#: neighbours they must find: above the recall asked for, for other queries may find fewer.
+TRIALS, MARGIN = 256, 0.03
+
+
+def trials(corpus: DataFrame, rows: int = TRIALS) -> DataFrame:
+    """About rows rows of the corpus, by a hash of the id."""
+    share = rows / max(corpus.count(), 1)
+    return corpus.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < F.lit(share * (1 << 30))).select("id", "vector").orderBy("id").limit(2 * rows)
+
+
+def least(places: DataFrame, share: float) -> int:
+    """The least n such that at least the given share of the places (1, 2, ...; null: nowhere) are n or less."""
+    counts = sorted((r["place"], r["count"]) for r in places.groupBy("place").count().collect() if r["place"] is not None)  # at most one row a list or rank
+    total = places.count()
+    so_far = 0
+    for place, count in counts:
+        so_far += count
+        if so_far >= share * total:
+            return int(place)
+    return int(counts[-1][0]) if counts else 1
+
+
+def probes_for(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, truth: DataFrame, metric: str, share: float) -> int:
+    """How many lists a query must probe so that they hold the share of the true neighbours (query_id, id)."""
+    near = F.row_number().over(Window.partitionBy("query_id").orderBy("away", "list_id"))
+    ranked = distances(queries, centroids, metric).withColumn("place", near)
+    held = truth.select("query_id", "id").join(lists.select("id", "list_id"), "id")
+    return least(held.join(ranked, ["query_id", "list_id"]).select("place"), share)
+
+
 def probe_join(asked: DataFrame, lists: DataFrame, k: int, metric: str) -> DataFrame:
     """Distances within the probed lists only: an equi-join on the list, then the k best a query."""
     pairs = lists.select("list_id", "id", "vector").join(asked, "list_id")
@@ -58,6 +107,13 @@ class IVFFlat:
     def search(self, queries: DataFrame, k: int, nprobe: int = 4) -> DataFrame:
         return probe_join(probes(queries, self.centroids, nprobe, self.metric), self.lists, k, self.metric)
 
+    def probes_for(self, k: int, recall: float = 0.9) -> int:
+        """How many probes find the given share of the k nearest, measured on rows of this index against an exact search."""
+        rows = self.lists.select("id", "vector")
+        asked = trials(rows)
+        truth = knn_join(asked, rows, k, self.metric, "kernel")
+        return probes_for(self.lists, self.centroids, asked, truth, self.metric, min(1.0, recall + MARGIN))
+
     def search_one(self, query, k: int, nprobe: int = 4) -> DataFrame:
         """One query: the list numbers are known before the scan, so directories of others are pruned."""
         from nearfield.operators.knn import top_k

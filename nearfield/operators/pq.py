@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.operators import kmeans
-from nearfield.operators.ivf import probes
-from nearfield.operators.knn import best_per_query, matrix, pairwise
+from nearfield.functions.distance import distance
+from nearfield.operators.ivf import MARGIN, least, probes, probes_for, trials
+from nearfield.operators.knn import best_per_query, knn_join, matrix, pairwise
 from nearfield.plans.config import ConstructionFailed, DimensionMismatch, IdAlreadyExists, IndexEmpty, IVFPQConfig
-from nearfield.runtime import prepare
+from nearfield.runtime import materialize, prepare
 
 CODES = 256
 
@@ -142,6 +143,26 @@ class IVFPQ:
         schema = T.StructType([T.StructField("query_id", joined.schema["query_id"].dataType), T.StructField("id", joined.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
         return best_per_query(joined.mapInArrow(run, schema), k)
 
+    def settings_for(self, corpus: DataFrame, k: int, recall: float = 0.9) -> tuple[int, int]:
+        """(nprobe, shortlist) by which search_rescored() finds the given share of the k nearest, measured on rows of the corpus
+        against an exact search. Half of what may be lost goes to the lists, half to the codes."""
+        if self.rows is None:
+            raise IndexEmpty("nothing has been added")
+        metric = self.config.metric
+        corpus = corpus.select("id", "vector")
+        asked = trials(corpus)
+        truth = materialize(knn_join(asked, corpus, k, metric, "kernel"), "truth")
+        share = min(1.0, recall + MARGIN)
+        lists = max(self.config.nprobe, probes_for(self.rows, self.centroids, normalize(asked) if metric == "cosine" else asked, truth, "inner_product" if metric == "inner_product" else "l2", (1 + share) / 2))
+        found = self.search(asked, corpus.count(), lists).select("query_id", "id", F.col("rank").alias("place"))
+        return lists, max(k, least(truth.select("query_id", "id").join(found, ["query_id", "id"], "left").select("place"), share))
+
+    def search_rescored(self, queries: DataFrame, corpus: DataFrame, k: int, nprobe: int, shortlist: int) -> DataFrame:
+        """Exact distances of the shortlist nearest by their codes, and of these the k best."""
+        q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+        pairs = self.search(queries, shortlist, nprobe).select("query_id", "id").join(corpus.select("id", "vector"), "id").join(q, "query_id")
+        return best_per_query(pairs.select("query_id", "id", distance("vector", "query", self.config.metric).alias("distance")), k)
+
     def count(self) -> int:
         return 0 if self.rows is None else self.rows.count()
 

@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 EVERY = "id % 50 = 0"
+RECALL = 0.9  # of the ten nearest, that approximate searches find at least
 VECTOR = "list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7))"
 V = f"v AS (SELECT vec_id AS id, {VECTOR} AS vector, label, vec_id % 10 = 3 AS dead FROM embeddings WHERE embedding IS NOT NULL)"
 
@@ -279,17 +280,21 @@ def _register_lists() -> None:
     @register("ivf_flat")
     def ivf_flat(s, d):
         rows = corpus(s, d).select("id", "vector")
-        return ivf.IVFFlat.build(rows, "cosine").search(rows.where(EVERY), 10, 4)
+        index = ivf.IVFFlat.build(rows, "cosine")
+        return index.search(rows.where(EVERY), 10, max(4, index.probes_for(10, RECALL)))
 
     @register("sharded_knn")
     def sharded(s, d):
         rows = corpus(s, d).select("id", "vector")
-        return ivf.Sharded.build(rows, "l2", ShardConfig(8, 4)).search(rows.where(EVERY), 10, 4)
+        index = ivf.Sharded.build(rows, "l2", ShardConfig(8, 4))
+        return index.search(rows.where(EVERY), 10, max(4, index.probes_for(10, RECALL)))
 
     @register("ivfpq_knn")
     def ivfpq(s, d):
         rows = corpus(s, d).select("id", "vector")
-        return pq.IVFPQ.train(rows, IVFPQConfig(lists=16, nprobe=8, iterations=8)).add(rows).search(rows.where(EVERY), 10)
+        index = pq.IVFPQ.train(rows, IVFPQConfig(lists=16, nprobe=8, iterations=8)).add(rows)
+        nprobe, shortlist = index.settings_for(rows, 10, RECALL)
+        return index.search_rescored(rows.where(EVERY), rows, 10, nprobe, shortlist)
 
     @register("pq_codes")
     def codes(s, d):

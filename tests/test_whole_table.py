@@ -89,3 +89,16 @@ def test_range_join_has_every_link(spark, table):
     expected = {(ids[i], ids[j]) for i in range(len(ids)) if ids[i] % 50 == 0 for j in np.flatnonzero(((rows - rows[i]) ** 2).sum(1) <= 60.0)}
     found = run(spark, "range_join_whole")
     assert {(r["query_id"], r["id"]) for r in found} == expected and len(found) == len(expected) and max(r["rank"] for r in found) > 15
+
+
+@pytest.mark.parametrize("name,metric", [("ivf_flat", "cosine"), ("sharded_knn", "l2"), ("ivfpq_knn", "l2")])
+def test_recall_on_the_table(spark, name, metric):
+    """On 2,000 vectors that do not cluster."""
+    at = "/root/testdata/sf0.1"
+    rows = queries.corpus(spark, at).orderBy("id").collect()
+    ids, vectors = [r["id"] for r in rows], np.array([r["vector"] for r in rows])
+    found = {}
+    for r in queries.QUERIES[name](spark, at).collect():
+        found.setdefault(r["query_id"], set()).add(r["id"])
+    recall = np.mean([len({ids[j] for j in brute(vectors[i], vectors, 10, metric)[0]} & found[x]) / 10 for i, x in enumerate(ids) if x % 50 == 0])
+    assert recall >= 0.9
