@@ -7,6 +7,9 @@ around it that has one: 1 inside an article, -1 inside a menu, footer, form,
 advert, notice or comment. The tree is grown from LABELLED, which a person
 labelled; nothing else decides.
 
+The content of scripts, styles, buttons, drawings and the like is no text; one that is not
+closed hides nothing, unless HTML itself reads it to the end of the page.
+
 Edge cases: null and empty pages have an empty text; unclosed, nested wrongly or
 broken tags never fail; pages of any length are read whole; repeated rows give
 equal results; extra columns are carried along.
@@ -28,9 +31,10 @@ from nearfield.runtime import prepare
 
 # Elements that end a text block.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-# Elements without text of their own, and elements that are never closed.
-HIDDEN_TAGS = frozenset("script style noscript template svg iframe textarea select option button title head object canvas audio video math".split())
-RAW_TAGS = frozenset("script style textarea title noscript iframe template svg select button object canvas audio video math".split())
+# Elements whose content is no markup and goes on to the end of the page where they are not closed, other
+# elements whose content is no text of the page, and elements that are never closed.
+RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
+HIDDEN_TAGS = frozenset("template svg select button object canvas audio video".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements and words of class, id or role that hint at what an element holds.
 AWAY_TAGS = frozenset("nav aside footer form menu dialog".split())
@@ -46,6 +50,7 @@ TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)(?:>|\Z)",
     re.S,
 )
+HIDDEN_OPEN = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN_TAGS))})\b", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -85,7 +90,43 @@ def _hint(tag: str, attrs: str, inside: int) -> int:
     return found
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def hidden_ends(page: str) -> dict[int, int]:
+    """Where the content of each hidden element starts -> where its own closing tag ends. An element
+    that is not closed before the one around it is closed is not there, so it hides nothing."""
+    out: dict[int, int] = {}
+    if not HIDDEN_OPEN.search(page):
+        return out
+    stack: list[tuple[str, int]] = []
+    inside: dict[str, int] = {}  # how often a tag is on the stack
+    at = 0
+    while found := TOKEN.search(page, at):
+        at = found.end()
+        tag = (found["tag"] or found["tag2"] or "").lower()
+        attrs = found["attrs"] or found["attrs2"] or ""
+        if found["close"] or found["close2"]:
+            if inside.get(tag):
+                while True:
+                    name, start = stack.pop()
+                    inside[name] -= 1
+                    if name == tag:
+                        break
+                if tag in HIDDEN_TAGS:
+                    out[start] = at
+        elif tag in RAW_TAGS:
+            at = at if attrs.rstrip().endswith("/") else _raw_end(page, tag, at)
+        elif tag in HIDDEN_TAGS and not attrs.rstrip().endswith("/") or tag in BLOCK_TAGS and tag not in VOID_TAGS:
+            stack.append((tag, at))
+            inside[tag] = inside.get(tag, 0) + 1
+    return out
+
+
 def blocks(page: str) -> list[Block]:
+    hidden = hidden_ends(page)
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # open elements, and the hint inside each
     parts: list[str] = []
@@ -130,10 +171,11 @@ def blocks(page: str) -> list[Block]:
             elif tag == "head":
                 flush()
             continue
-        if tag in RAW_TAGS:
-            if not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if tag in RAW_TAGS or tag in HIDDEN_TAGS:
+            if tag in HIDDEN_TAGS:
+                at = hidden.get(at, at)
+            elif not attrs.rstrip().endswith("/"):
+                at = _raw_end(page, tag, at)
             parts.append(" ")
             continue
         if tag in BLOCK_TAGS:
