@@ -8,7 +8,7 @@ MAX_LANGUAGES; it is broadcast, and batches of texts are scored by sparse sums.
 Edge cases: a null text or one without a letter is `und` with score 0; texts of
 any length are scored whole, in blocks; without training rows every text is
 `und`; equal scores go to the language that sorts first; a null language is
-never learned; extra columns are carried along.
+never learned; all other rows are, repeated ones each time; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from nearfield.runtime import prepare
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: About so many training texts a language, picked by a hash of their text.
-SAMPLE_PER_LANGUAGE = 4000
 MAX_LANGUAGES = 512
 SMOOTHING = 0.5
 BLOCK = 1 << 19  # characters scored at once
@@ -97,22 +95,14 @@ def count(df: DataFrame, text: str, lang: str) -> DataFrame:
     return found.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def sample(df: DataFrame, text: str, lang: str, per_language: int) -> DataFrame:
-    """About per_language rows of each language, by a hash of the text, so reruns agree."""
-    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(per_language / r["rows"])).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
-
-
-def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the matrix of log-probabilities, buckets x languages."""
+def train(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages in order, and the matrix of log-probabilities, buckets x languages. Every row with
+    a text and a language counts, and each copy of a text."""
     prepare(df.sparkSession)
-    found = count(sample(df, text, lang, per_language), "text", "lang").toPandas()
+    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    if len(rows.select(lang).distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = count(rows, text, lang).toPandas()
     names = sorted(found["lang"].unique())
     total = np.zeros((BUCKETS, len(names)))
     if names:
