@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import bpe, langid, minhash, mixing, suffix_dedup
@@ -30,14 +30,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
+def _whole_characters(text: Column) -> Column:
+    """Without the parts of characters left at a cut. U+FFFD that stood in the text is escaped meanwhile, for it
+    is what make_valid_utf8 puts in their place; replace() works on bytes, so it takes no part for one."""
+    escape, own, lost = F.lit("\x01"), F.lit("\x01b"), F.lit("\ufffd")
+    text = F.replace(F.replace(text, escape, F.lit("\x01a")), lost, own)
+    text = F.replace(F.make_valid_utf8(text), lost, F.lit(""))
+    return F.replace(F.replace(text, own, lost), F.lit("\x01a"), escape)
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts bytes that repeat from a document with a smaller id; parts of characters left at a cut go
-    too. Documents of which no word is left go; rows without id are left out."""
+    too. Documents of which no word is left go; rows without id stay as they are."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     found = suffix_dedup.remove_repeats(docs, carry=others)
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+    kept = F.col("kept").cast("string")
+    text = F.when(F.col("n_removed") == 0, kept).otherwise(_whole_characters(kept))
     found = found.withColumn("text", text).withColumn("n_chars", F.char_length("text"))
-    return found.where("n_removed = 0 or trim(text) <> ''").select([F.col(f.name).cast(f.dataType) for f in docs.schema.fields])
+    found = found.where("n_removed = 0 or trim(text) <> ''").select([F.col(f.name).cast(f.dataType) for f in docs.schema.fields])
+    return found.unionByName(docs.where("doc_id is null"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
