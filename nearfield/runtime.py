@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,20 +48,47 @@ def shared_dir(spark: SparkSession) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="nearfield-")
+        folder = tempfile.mkdtemp(prefix="nearfield-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_dir = "file://" + folder
     return _local_dir
 
 
 _made: list[str] = []
+_scopes = threading.local()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder; the innermost scratch() of this thread deletes it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append(path)
+    if getattr(_scopes, "stack", None):
+        _scopes.stack[-1].append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes on leaving all work files that this thread made inside, but for those of the
+    materialize() results given to the function it yields; they are the scope's around it, or the caller's."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    paths: list[str] = []
+    kept: list[str] = []
+    stack.append(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._nearfield_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        stack.pop()
+        if stack:
+            stack[-1].extend(kept)
+        remove(spark, [p for p in paths if p not in kept])
+
+
 def made_paths() -> list[str]:
     """The work paths given out since the last call, for whoever knows when nothing reads them any more."""
     out = _made[:]
