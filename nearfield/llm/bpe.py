@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
 from nearfield.runtime import prepare
 
 CACHE_ENTRIES = 50_000
@@ -211,18 +212,6 @@ def split_points(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE_HASH = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0xD1342543DE82EF95
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 class Encoder:
     """Encodes many texts at once.
 
@@ -241,7 +230,7 @@ class Encoder:
         self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for token, rank in ranks.items():
             self.size[rank] = len(token)
-        self.own, self.all = self._table(voc.own), self._table(ranks)
+        self.own = self._table(voc.own)
         self.longest = min(voc.longest, LONG)
         self.pairs = HashTable(PAIR_BITS)
         self.long: dict[bytes, bytes] = {}

@@ -2,17 +2,19 @@
 
 A page becomes a row of text blocks. A block knows its number of words, its
 link density (words inside links / words), both of them for the blocks before
-and behind it, whether it is a heading, and the hint of the innermost element
-around it that has one: 1 inside an article, -1 inside a menu, footer, form,
-advert, notice or comment. The tree is grown from LABELLED, which a person
-labelled; nothing else decides.
+and behind it, whether it is a heading or an item of a list or table, and a hint of where it stands: 1 inside an
+article, -1 inside what may hold an article or not (forms, headers, widgets, ...), -2 inside a menu, footer,
+sidebar, advert, notice or comment, 0 elsewhere. Hints come from elements and from whole names of classes, ids and
+roles; parts of names give none. The tree is grown from LABELLED, which a person labelled; its first
+splits are of words and link densities alone, so no hint decides by itself.
 
 The content of scripts, styles, buttons, drawings and the like is no text; one that is not
 closed hides nothing, unless HTML itself reads it to the end of the page.
 
 Edge cases: null and empty pages have an empty text; unclosed, nested wrongly or
-broken tags never fail; pages of any length are read whole; repeated rows give
-equal results; extra columns are carried along.
+broken tags never fail; pages of any length are read whole, in time proportional to it; repeated rows give
+equal results; an empty table gives no rows; extra columns are carried along, but for those with the names of the two new
+ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -36,13 +38,18 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 HIDDEN_TAGS = frozenset("template svg select button object canvas audio video".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements and words of class, id or role that hint at what an element holds.
-AWAY_TAGS = frozenset("nav aside footer form menu dialog".split())
+ITEM_TAGS = frozenset("li dt dd td th".split())
+# Elements that hint at what they hold.
+AWAY_TAGS = frozenset("nav aside footer menu dialog".split())
+WEAK_TAGS = frozenset("form header".split())
 MAIN_TAGS = frozenset("article main".split())
-AWAY_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside side widget widgets cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist disqus respond reply replies discussion reviews share sharing social related recommended recommendations more-from trending tags toolbar pagination pager skip copyright contentinfo complementary".split())
-# Of the words above, those that take away even an article element.
-NO_ARTICLE_WORDS = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies discussion reviews related recommended".split())
-MAIN_WORDS = frozenset("article content post entry story main maincontent article-body post-content entry-content articlebody".split())
+# Names of classes, ids and roles that hint at it: alone, with a word for a place before, or with a word for a holder behind.
+AWAY_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs footer sidebar cookie cookies consent gdpr notice newsletter subscribe subscription comment comments disqus replies share sharing social related recommended recommendations trending pagination pager toolbar contentinfo complementary".split())
+WEAK_NAMES = frozenset("aside banner header masthead topbar bottom widget widgets notices alert notification popup modal overlay signup login search form more tags discussion reviews response responses skip".split())
+MAIN_NAMES = frozenset("article content post entry story main maincontent articlebody main-content page-content article-body article-content post-body post-content entry-content story-body".split())
+PLACES = tuple("site page main left right top bottom post entry article global primary secondary user reader".split())
+HOLDERS = tuple("area bar block box buttons container content form holder inner items left links list menu module notice nav panel posts right section stories widget wrap wrapper unit banner slot footer header".split())
+AWAY = AWAY_NAMES | {f"{p}{d}{n}" for n in AWAY_NAMES for p in PLACES for d in "-_"} | {f"{n}{d}{h}" for n in AWAY_NAMES for h in HOLDERS for d in "-_"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -62,6 +69,7 @@ class Block:
     link_words: int
     hint: int
     heading: bool
+    item: bool
 
     @property
     def density(self) -> float:
@@ -69,24 +77,23 @@ class Block:
 
 
 def _hint(tag: str, attrs: str, inside: int) -> int:
-    if tag in MAIN_TAGS:
-        found = 1
-    elif tag in AWAY_TAGS or tag == "header" and inside <= 0:
-        found = -1
-    else:
-        found = 0
+    """The hint inside an element; inside: that around it."""
+    if inside == -2:
+        return -2
+    found = 1 if tag in MAIN_TAGS else -2 if tag in AWAY_TAGS else -1 if tag in WEAK_TAGS and inside <= 0 else inside
     if attrs and tag not in ("html", "body"):
         for name, *values in ATTRIBUTE.findall(attrs):
             name, value = name.lower(), "".join(values).lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDING.search(value):
-                return -1
+                return -2
             if name in ("class", "id", "role"):
                 words = set(value.split())
-                words |= {w for x in words for w in re.split(r"[-_]", x)}
-                if words & (NO_ARTICLE_WORDS if tag in MAIN_TAGS else AWAY_WORDS):
-                    return -1
-                if words & MAIN_WORDS and tag not in AWAY_TAGS:
-                    found = found or 1
+                if words & AWAY:
+                    return -2
+                if words & MAIN_NAMES:
+                    found = 1 if found > -2 else found
+                elif words & WEAK_NAMES and tag not in MAIN_TAGS and inside <= 0:
+                    found = min(found, -1)
     return found
 
 
@@ -129,22 +136,29 @@ def blocks(page: str) -> list[Block]:
     hidden = hidden_ends(page)
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # open elements, and the hint inside each
+    inside: dict[str, int] = {}  # how often a tag is on the stack
     parts: list[str] = []
     linked: list[str] = []
-    links, heading = 0, False
+    links, heading, item = 0, False, False
+
+    def close(tag: str) -> None:
+        while inside.get(tag):
+            name, _ = stack.pop()
+            inside[name] -= 1
+            if name == tag:
+                return
 
     def flush() -> None:
         nonlocal parts, linked
         words = html.unescape("".join(parts)).split()
         if words:
             hint = stack[-1][1] if stack else 0
-            out.append(Block(" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), hint, heading))
+            out.append(Block(" ".join(words), len(words), min(len(words), len(html.unescape("".join(linked)).split())), hint, heading, item))
         parts, linked = [], []
 
     def add(text: str) -> None:
         parts.append(text)
-        if links:
-            linked.append(text)
+        linked.append(text if links else " ")
 
     at = 0
     while found := TOKEN.search(page, at):
@@ -161,11 +175,9 @@ def blocks(page: str) -> list[Block]:
         if found["close"] or found["close2"]:
             if tag in BLOCK_TAGS:
                 flush()
-                if any(name == tag for name, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                close(tag)
                 links = 0 if tag != "li" else links
-                heading = False
+                heading = item = False
             elif tag == "a":
                 links = max(0, links - 1)
             elif tag == "head":
@@ -177,59 +189,73 @@ def blocks(page: str) -> list[Block]:
             elif not attrs.rstrip().endswith("/"):
                 at = _raw_end(page, tag, at)
             parts.append(" ")
+            linked.append(" ")
             continue
         if tag in BLOCK_TAGS:
             flush()
-            inside = stack[-1][1] if stack else 0
-            if tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-                inside = stack[-1][1] if stack else 0
+            if stack and stack[-1][0] == tag and tag in ("p", "li", "dt", "dd", "td", "th", "tr"):
+                close(tag)  # it ends where the next one starts
+            around = stack[-1][1] if stack else 0
             heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+            item = tag in ITEM_TAGS
             if tag not in VOID_TAGS:
-                stack.append((tag, _hint(tag, attrs, inside) or inside))
+                stack.append((tag, _hint(tag, attrs, around)))
+                inside[tag] = inside.get(tag, 0) + 1
         elif tag == "a":
             links += 1
         elif tag in VOID_TAGS:
             parts.append(" ")
+            linked.append(" ")
     add(page[at:])
     flush()
     return out
 
 
 # Fixed values, labelled by hand. One row a block: words, link density, then both for the block
-# before and the block behind, hint, heading, and whether the block belongs to the main text.
+# before and the block behind, hint, heading, item, and whether the block belongs to the main text.
 LABELLED = [
-    (1, 1.0, 0, 0.0, 1, 1.0, -1, 0, 0), (3, 1.0, 1, 1.0, 2, 1.0, -1, 0, 0), (40, 0.0, 3, 1.0, 80, 0.0, -1, 0, 0), (12, 0.0, 1, 1.0, 10, 0.0, -1, 0, 0),
-    (9, 0.1, 60, 0.0, 0, 0.0, -1, 0, 0), (120, 0.0, 90, 0.0, 70, 0.0, -1, 0, 0), (25, 0.2, 30, 0.0, 30, 0.0, -1, 0, 0), (5, 0.0, 90, 0.0, 40, 0.0, -1, 1, 0),
-    (200, 0.0, 10, 0.0, 9, 0.0, -1, 0, 0), (2, 0.0, 0, 0.0, 0, 0.0, -1, 0, 0), (15, 0.9, 14, 0.8, 20, 0.7, -1, 0, 0), (7, 0.0, 8, 0.0, 120, 0.0, -1, 1, 0),
-    (10, 0.0, 12, 0.0, 150, 0.0, 1, 1, 1), (150, 0.0, 10, 0.0, 90, 0.0, 1, 0, 1), (90, 0.0, 150, 0.0, 60, 0.1, 1, 0, 1), (60, 0.1, 90, 0.0, 8, 0.0, 1, 0, 1),
-    (3, 0.0, 60, 0.0, 80, 0.0, 1, 0, 1), (1, 0.0, 0, 0.0, 5, 0.0, 1, 0, 1), (4, 0.0, 3, 0.0, 6, 0.2, 1, 0, 1), (2, 0.0, 4, 1.0, 9, 0.1, 1, 1, 1),
-    (9, 0.3, 40, 0.0, 20, 0.0, 1, 0, 1), (6, 0.5, 30, 0.0, 30, 0.0, 1, 0, 1), (30, 0.4, 30, 0.1, 40, 0.0, 1, 0, 1), (5, 0.0, 12, 0.9, 14, 0.8, 1, 0, 1),
-    (8, 1.0, 60, 0.0, 7, 1.0, 1, 0, 0), (7, 1.0, 8, 1.0, 6, 1.0, 1, 0, 0), (3, 1.0, 2, 1.0, 10, 0.0, 1, 0, 0), (12, 0.9, 60, 0.0, 9, 0.9, 1, 0, 0),
-    (400, 0.0, 300, 0.0, 11, 0.0, 1, 0, 1), (143, 0.0, 49, 0.0, 11, 0.0, 1, 0, 1), (14, 0.0, 8, 0.0, 35, 0.0, 1, 1, 1), (1, 0.0, 200, 0.0, 0, 0.0, 1, 0, 1),
-    (800, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (5, 0.4, 8, 0.0, 12, 0.0, 1, 0, 1), (2, 0.5, 300, 0.0, 2, 0.5, 1, 0, 1), (60, 0.55, 80, 0.2, 50, 0.3, 1, 0, 1),
-    (300, 0.0, 8, 0.0, 5, 0.1, -1, 0, 0), (500, 0.0, 400, 0.0, 600, 0.0, -1, 0, 0), (8, 0.0, 1, 1.0, 14, 0.0, -1, 0, 0), (11, 0.0, 143, 0.0, 0, 0.0, -1, 0, 0),
-    (30, 0.0, 5, 0.0, 200, 0.0, -1, 1, 0), (1, 0.0, 400, 0.0, 300, 0.0, -1, 0, 0), (18, 0.0, 8, 0.0, 9, 0.0, -1, 0, 0), (45, 0.5, 14, 0.0, 35, 0.0, -1, 0, 0),
-    (100, 0.0, 5, 0.0, 80, 0.0, 0, 0, 1), (300, 0.0, 2, 1.0, 6, 0.0, 0, 0, 1), (500, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (150, 0.1, 4, 1.0, 4, 1.0, 0, 0, 1),
-    (80, 0.1, 100, 0.0, 60, 0.0, 0, 0, 1), (35, 0.0, 4, 1.0, 50, 0.0, 0, 0, 1), (25, 0.0, 50, 0.0, 30, 0.2, 0, 0, 1),
-    (60, 0.2, 0, 0.0, 2, 1.0, 0, 0, 1), (20, 0.0, 70, 0.0, 3, 1.0, 0, 0, 1), (12, 0.0, 60, 0.0, 45, 0.0, 0, 0, 1), (8, 0.0, 70, 0.0, 90, 0.0, 0, 0, 1),
-    (6, 0.0, 3, 1.0, 70, 0.0, 0, 1, 1), (9, 0.0, 80, 0.0, 50, 0.0, 0, 1, 1), (4, 0.0, 60, 0.0, 30, 0.0, 0, 1, 1), (11, 0.0, 0, 0.0, 120, 0.0, 0, 1, 1),
-    (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 0.9, 0, 0, 0), (30, 0.8, 20, 0.9, 25, 0.9, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0), (6, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0), (8, 0.0, 3, 1.0, 5, 0.6, 0, 0, 0), (7, 0.2, 40, 0.0, 0, 0.0, 0, 0, 0),
-    (3, 0.0, 4, 0.5, 2, 1.0, 0, 1, 0), (12, 0.5, 8, 0.7, 10, 0.6, 0, 0, 0), (5, 0.0, 30, 0.9, 6, 0.0, 0, 0, 0), (40, 0.6, 6, 0.0, 30, 0.7, 0, 0, 0),
-    (14, 0.0, 6, 0.0, 4, 0.0, 0, 0, 1), (16, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (12, 0.1, 1, 1.0, 2, 1.0, 0, 0, 1), (13, 0.0, 40, 0.0, 3, 0.0, 0, 0, 1), (10, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0), (3, 0.0, 60, 0.0, 5, 0.0, 0, 0, 0), (5, 0.4, 3, 0.0, 90, 0.0, 0, 0, 0),
+    # Menus, footers, sidebars, adverts, notices and comments, short and long.
+    (1, 1.0, 0, 0.0, 1, 1.0, -2, 0, 1, 0), (3, 1.0, 1, 1.0, 2, 1.0, -2, 0, 1, 0), (2, 1.0, 1, 1.0, 12, 0.0, -2, 0, 1, 0), (12, 0.0, 1, 1.0, 10, 0.0, -2, 0, 0, 0),
+    (4, 0.0, 1, 1.0, 9, 0.0, -2, 0, 0, 0), (9, 0.1, 60, 0.0, 0, 0.0, -2, 0, 0, 0), (14, 0.0, 200, 0.0, 0, 0.0, -2, 0, 0, 0), (25, 0.0, 3, 0.0, 0, 0.0, -2, 0, 0, 0),
+    (120, 0.0, 90, 0.0, 70, 0.0, -2, 0, 0, 0), (60, 0.0, 40, 0.0, 50, 0.0, -2, 0, 0, 0), (200, 0.0, 10, 0.0, 9, 0.0, -2, 0, 0, 0), (40, 0.0, 3, 1.0, 80, 0.0, -2, 0, 0, 0),
+    (25, 0.2, 30, 0.0, 30, 0.0, -2, 0, 0, 0), (7, 0.0, 8, 0.0, 120, 0.0, -2, 1, 0, 0), (5, 0.0, 90, 0.0, 40, 0.0, -2, 1, 0, 0), (15, 0.9, 14, 0.8, 20, 0.7, -2, 0, 0, 0),
+    (35, 0.0, 60, 0.0, 0, 0.0, -2, 0, 0, 0), (500, 0.0, 400, 0.0, 600, 0.0, -2, 0, 0, 0), (30, 0.0, 5, 0.0, 30, 0.0, -2, 0, 1, 0), (18, 0.0, 0, 0.0, 8, 0.0, -2, 0, 0, 0),
+    (4, 1.0, 60, 0.0, 70, 0.0, -2, 0, 0, 0), (6, 1.0, 80, 0.0, 4, 0.0, -2, 0, 0, 0), (2, 1.0, 9, 0.0, 50, 0.0, -2, 0, 1, 0), (3, 1.0, 40, 0.0, 0, 0.0, -2, 0, 0, 0),
+    # The article itself: headings, long and short paragraphs, lists, captions.
+    (10, 0.0, 12, 0.0, 150, 0.0, 1, 1, 0, 1), (2, 0.0, 1, 1.0, 90, 0.0, 1, 1, 0, 1), (3, 0.0, 60, 0.0, 80, 0.0, 1, 1, 0, 1), (150, 0.0, 10, 0.0, 90, 0.0, 1, 0, 0, 1),
+    (90, 0.0, 150, 0.0, 60, 0.1, 1, 0, 0, 1), (60, 0.1, 90, 0.0, 8, 0.0, 1, 0, 0, 1), (400, 0.0, 300, 0.0, 11, 0.0, 1, 0, 0, 1), (35, 0.0, 10, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (45, 0.0, 4, 0.0, 14, 0.0, 1, 0, 0, 1), (200, 0.0, 3, 1.0, 5, 0.0, 1, 0, 0, 1), (1, 0.0, 60, 0.0, 5, 0.0, 1, 0, 0, 1), (3, 0.0, 150, 0.0, 12, 0.0, 1, 0, 0, 1),
+    (2, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 1), (4, 0.0, 3, 0.0, 6, 0.2, 1, 0, 1, 1), (9, 0.3, 40, 0.0, 20, 0.0, 1, 0, 0, 1), (7, 0.0, 8, 0.0, 9, 0.0, 1, 0, 1, 1),
+    (6, 0.4, 30, 0.0, 30, 0.0, 1, 0, 1, 1), (30, 0.4, 30, 0.1, 40, 0.0, 1, 0, 0, 1), (5, 0.0, 12, 0.9, 14, 0.8, 1, 0, 0, 1), (12, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 1),
+    # Paragraphs of an article that are links, and lists of links in it.
+    (4, 1.0, 60, 0.0, 12, 0.0, 1, 0, 0, 1), (6, 1.0, 90, 0.0, 70, 0.0, 1, 0, 0, 1), (3, 1.0, 40, 0.0, 0, 0.0, 1, 0, 0, 1), (12, 0.8, 35, 0.0, 50, 0.0, 1, 0, 0, 1), (5, 1.0, 2, 0.0, 45, 0.0, 1, 1, 0, 1), (8, 0.6, 80, 0.0, 2, 1.0, 1, 0, 0, 1),
+    (8, 1.0, 60, 0.0, 7, 1.0, 1, 0, 1, 0), (7, 1.0, 8, 1.0, 6, 1.0, 1, 0, 1, 0), (3, 1.0, 2, 1.0, 10, 0.0, 1, 0, 1, 0), (2, 1.0, 3, 1.0, 0, 0.0, 1, 0, 1, 0), (5, 1.0, 4, 1.0, 6, 1.0, 1, 0, 1, 0), (9, 0.9, 9, 1.0, 8, 0.9, 1, 0, 1, 0),
+    # Forms, headers and widgets: labels and names go, whole texts stay.
+    (2, 0.0, 0, 0.0, 1, 1.0, -1, 1, 0, 0), (3, 0.0, 60, 0.0, 2, 0.0, -1, 0, 0, 0), (1, 0.0, 4, 0.0, 0, 0.0, -1, 0, 0, 0), (8, 0.0, 2, 0.0, 1, 1.0, -1, 0, 0, 0), (4, 0.0, 0, 0.0, 3, 1.0, -1, 0, 0, 0), (6, 0.0, 5, 0.0, 4, 0.0, -1, 0, 0, 0),
+    (15, 0.0, 3, 0.0, 2, 0.0, -1, 0, 0, 0), (20, 0.0, 4, 0.0, 3, 0.0, -1, 0, 0, 0), (5, 0.0, 0, 0.0, 12, 0.0, -1, 0, 0, 0), (2, 1.0, 3, 1.0, 60, 0.0, -1, 0, 0, 0), (6, 1.0, 50, 0.0, 3, 0.0, -1, 0, 0, 0), (10, 0.0, 60, 0.0, 0, 0.0, -1, 0, 0, 0),
+    (90, 0.0, 60, 0.0, 70, 0.0, -1, 0, 0, 1), (60, 0.0, 8, 0.0, 80, 0.1, -1, 0, 0, 1), (45, 0.0, 50, 0.0, 0, 0.0, -1, 0, 0, 1), (120, 0.1, 9, 0.0, 3, 0.0, -1, 0, 0, 1), (38, 0.0, 60, 0.0, 45, 0.0, -1, 0, 0, 1), (250, 0.0, 2, 1.0, 4, 1.0, -1, 0, 0, 1),
+    (8, 0.0, 2, 1.0, 90, 0.0, -1, 1, 0, 1), (6, 0.0, 1, 1.0, 60, 0.0, -1, 1, 0, 1), (9, 0.0, 3, 0.0, 45, 0.0, -1, 1, 0, 1),
+    # Pages without hints.
+    (100, 0.0, 5, 0.0, 80, 0.0, 0, 0, 0, 1), (300, 0.0, 2, 1.0, 6, 0.0, 0, 0, 0, 1), (500, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (150, 0.1, 4, 1.0, 4, 1.0, 0, 0, 0, 1), (80, 0.1, 100, 0.0, 60, 0.0, 0, 0, 0, 1), (35, 0.0, 4, 1.0, 50, 0.0, 0, 0, 0, 1),
+    (60, 0.2, 0, 0.0, 2, 1.0, 0, 0, 0, 1), (20, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0, 1), (12, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1), (8, 0.0, 70, 0.0, 90, 0.0, 0, 0, 0, 1), (16, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (14, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1),
+    (6, 0.0, 3, 1.0, 70, 0.0, 0, 1, 0, 1), (9, 0.0, 80, 0.0, 50, 0.0, 0, 1, 0, 1), (4, 0.0, 60, 0.0, 30, 0.0, 0, 1, 0, 1), (11, 0.0, 0, 0.0, 120, 0.0, 0, 1, 0, 1), (5, 0.0, 2, 1.0, 45, 0.0, 0, 1, 0, 1), (7, 0.0, 30, 0.0, 20, 0.0, 0, 0, 1, 1), (5, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1),
+    (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 1, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 0.9, 0, 0, 1, 0), (30, 0.8, 20, 0.9, 25, 0.9, 0, 0, 0, 0), (4, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (6, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 0), (8, 0.0, 3, 1.0, 5, 0.6, 0, 0, 0, 0),
+    (7, 0.2, 40, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.5, 2, 1.0, 0, 1, 0, 0), (12, 0.5, 8, 0.7, 10, 0.6, 0, 0, 0, 0), (5, 0.0, 30, 0.9, 6, 0.0, 0, 0, 0, 0), (40, 0.6, 6, 0.0, 30, 0.7, 0, 0, 0, 0), (4, 1.0, 3, 1.0, 60, 0.0, 0, 0, 1, 0), (1, 1.0, 0, 0.0, 2, 1.0, 0, 0, 1, 0), (5, 0.4, 3, 0.0, 90, 0.0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 3, 1.0, 0, 0, 0, 0),
 ]
 
 
-def grow(rows: np.ndarray, depth: int = 8) -> tuple | float:
+TEXT_FEATURES, TEXT_LEVELS = 6, 2  # words and densities; the splits that use nothing else
+
+
+def grow(rows: np.ndarray, level: int = 0, depth: int = 12) -> tuple | float:
     """A decision tree by Gini impurity: (feature, threshold, low, high), or the share of main text at a leaf.
     Of equal splits the first feature's wins, and no split leaves a side with a single row."""
     labels = rows[:, -1]
     share = labels.mean()
-    if depth == 0 or share in (0.0, 1.0):
+    if level == depth or share in (0.0, 1.0):
         return float(share)
     best = None
-    for feature in range(rows.shape[1] - 1):
+    for feature in range(TEXT_FEATURES if level < TEXT_LEVELS else rows.shape[1] - 1):
         values = np.unique(rows[:, feature])
         for cut in (values[:-1] + values[1:]) / 2:
             low = rows[:, feature] <= cut
@@ -243,7 +269,7 @@ def grow(rows: np.ndarray, depth: int = 8) -> tuple | float:
         return float(share)
     _, feature, cut = best
     low = rows[:, feature] <= cut
-    return feature, cut, grow(rows[low], depth - 1), grow(rows[~low], depth - 1)
+    return feature, cut, grow(rows[low], level + 1, depth), grow(rows[~low], level + 1, depth)
 
 
 _tree: tuple | float | None = None
@@ -252,8 +278,7 @@ _tree: tuple | float | None = None
 def tree() -> tuple | float:
     global _tree
     if _tree is None:
-        rows = np.array(LABELLED, float)
-        _tree = grow(rows[:, [6, 1, 0, 2, 3, 4, 5, 7, 8]])
+        _tree = grow(np.array(LABELLED, float))
     return _tree
 
 
@@ -262,7 +287,7 @@ def features(found: list[Block], i: int) -> tuple:
     before = found[i - 1] if i else None
     behind = found[i + 1] if i + 1 < len(found) else None
     near = [x for b in (before, behind) for x in ((b.words, b.density) if b else (0, 0.0))]
-    return own.hint, own.density, own.words, *near, own.heading
+    return own.words, own.density, *near, own.hint, own.heading, own.item
 
 
 def is_main(values: tuple) -> bool:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.components import connected_components
 from nearfield.llm.grouping import contiguous
+from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
 from nearfield.runtime import materialize, prepare
 
 HASHES = 125
@@ -41,11 +42,8 @@ BLOCK = 300
 CHUNK = 1 << 20  # bytes of text hashed together
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
-BYTE_HASH = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-BASE = 0xD1342543DE82EF95
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,12 +52,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def word_hashes(raw: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words of some bytes, in order."""
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))

@@ -11,7 +11,8 @@ Edge cases: a null text has no words; a null source is a source of its own,
 last in order; documents without words are taken with 0 words; ties
 are ordered by source, hash, id and row; rows that share an id count one by one;
 an empty table gives no rows. A document is taken whole or not at all, so a source
-ends within one document of its target, and the mix within one of its budget.
+ends within one document of its target, and the mix within one of its budget. Other
+columns come along only in the struct `carried`, so their names never clash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.ordered import running_sums
-from nearfield.runtime import materialize, prepare
+from nearfield.runtime import materialize, prepare, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 PASSES = 2
@@ -47,12 +48,17 @@ def targets(sizes: DataFrame, weights: list[int], percent: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: list[int], percent: int, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken) for each row of docs, and
-    the columns named in carry. weights repeat over the sources in code point order; the mix
+    """Rows (doc_id, size, source_size, target, taken) for each row of docs, and, if columns are named in carry,
+    the struct `carried` of them. weights repeat over the sources in code point order; the mix
     has percent/100 of all words. taken: the document's words that the mix takes, repeats counted."""
     spark = prepare(docs.sparkSession)
-    carry = carry or []
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    with scratch(spark) as keep:
+        return keep(materialize(_mixed(docs, weights, percent, doc_id, text, source, carry or []), "mixed"))
+
+
+def _mixed(docs: DataFrame, weights: list[int], percent: int, doc_id: str, text: str, source: str, carry: list[str]) -> DataFrame:
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), *carried)
     base = materialize(base.withColumns({"row": F.monotonically_increasing_id(), "hash": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}), "sizes")
     sizes = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent)
     sizes = materialize(sizes, "targets")
@@ -73,6 +79,5 @@ def mix(docs: DataFrame, weights: list[int], percent: int, doc_id: str = "doc_id
         taken = sum((F.when(key(F.lit(i), finish(F.lit(i))) <= end, F.col("size")).otherwise(0) for i in range(PASSES)), F.lit(0)).cast("long")
     out = queued.select("row", "doc_id", "size", "source_size", "target", taken.alias("taken"))
     if carry:
-        kept = base.select("row", *[F.col(f"_carry_{c}") for c in carry])
-        out = out.join(kept, "row").select("doc_id", "size", "source_size", "target", "taken", *[F.col(f"_carry_{c}").alias(c) for c in carry])
+        out = out.join(base.select("row", "carried"), "row")
     return out.drop("row")

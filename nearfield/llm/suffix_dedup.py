@@ -16,13 +16,19 @@ where equal strings cannot be parted:
    between the places set is one string. The smallest document of each string goes back.
 4. Batches mark the windows whose string starts in a smaller document.
 
-Hot passages cost one context a batch, however many documents share them. All
-that is not a blob of a batch and a range is bounded by these two.
+An anchor of more than HOT places (a common phrase, a run of blanks) would gather in one shard whatever
+stands around it. Its windows are dealt by SIDE more bytes, those before the anchor where
+the window has so many, else those behind it: equal windows have equal ones, and so still meet.
+
+Hot passages cost one context a batch, however many documents share them. Blobs hold one anchor or context at
+least, so there are never more of them than anchors; the numbers of ranges, shards and tasks grow with the text, and each
+range, shard and task is of bounded size. One string that is in all batches sends one context from each to its shard.
 
 Edge cases: null and empty texts have no bytes and keep none; texts shorter than
 WINDOW are kept whole; texts of any length are read whole, in chunks; rows without id
 are left out; rows that share an id are one document, so they
-do not remove each other's bytes; an empty table gives no rows.
+do not remove each other's bytes; an empty table gives no rows; other columns
+come along only in the struct `carried`, so their names never clash.
 """
 
 from __future__ import annotations
@@ -31,13 +37,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.runtime import ROW_GROUPS, discard, materialize, prepare, work_path
+from nearfield.llm.grouping import contiguous
+from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
+from nearfield.runtime import ROW_GROUPS, discard, materialize, prepare, scratch, work_path
 
 WINDOW = 50
 GRAM = 20
@@ -45,29 +54,26 @@ BATCH_BYTES = 1 << 20
 CHUNK = 1 << 17  # windows hashed together
 RANGE_BYTES = 16 << 20  # text bytes for each range of anchor hashes
 SHARD_BYTES = 1 << 20  # context bytes for each shard
-BASE = 0xD1342543DE82EF95
-INVERSE = pow(BASE, -1, 1 << 64)
-BYTE_HASH = np.random.Generator(np.random.PCG64(20240613)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+HOT = 8192  # places of an anchor from which on its windows are dealt by more bytes
+SIDE = (WINDOW - GRAM) // 2
+TASK_BYTES = 16 << 20  # context bytes, or a quarter of the text bytes, for each task
+
+SPREAD = np.uint64(0xFF51AFD7ED558CCD)
 
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def powers() -> tuple[np.ndarray, np.ndarray]:
+def chunk_powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse, enough for a chunk."""
     global _powers
     if _powers is None:
-        both = []
-        for base in (BASE, INVERSE):
-            p = np.full(CHUNK + WINDOW, base, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        _powers = both[0], both[1]
+        _powers = powers(BASE, CHUNK + WINDOW), powers(INVERSE, CHUNK + WINDOW)
     return _powers
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
     """Mixed hashes of the grams of at most a chunk of bytes."""
-    up, down = powers()
+    up, down = chunk_powers()
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTE_HASH[raw] * up[: len(raw)], dtype=np.uint64, out=sums[1:])
     found = (sums[GRAM:] - sums[:-GRAM]) * down[: len(raw) - GRAM + 1]
@@ -101,7 +107,8 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes.append(found[own])
     at, hashes = np.concatenate(at), np.concatenate(hashes)
     new = np.concatenate(([True], at[1:] != at[:-1]))
-    return place, at[new].astype(np.uint32), hashes[new]
+    # Anchors are least hashes, so they crowd at the low end; spread anew, equal ranges hold equally many.
+    return place, at[new].astype(np.uint32), hashes[new] * SPREAD
 
 
 class Batch:
@@ -131,8 +138,9 @@ class Batch:
 BATCHES = "batch long, ids binary, sizes binary, packed binary, extra binary, n_bytes long"
 
 
-def pack(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> DataFrame:
-    """Rows of BATCHES: documents in a row, and the columns of carry as an Arrow stream."""
+def pack(docs: DataFrame, doc_id: str, text: str, carried: list[Column]) -> DataFrame:
+    """Rows of BATCHES: documents in a row, and the carried columns as an Arrow stream."""
+    more = len(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, others, size, count = [], [], [], 0, 0
@@ -142,7 +150,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> DataFrame
         def out() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], "<i8")
             extra = pa.BufferOutputStream()
-            if carry:
+            if more:
                 table = pa.Table.from_batches(others)
                 with pa.ipc.new_stream(extra, table.schema) as stream:
                     stream.write_table(table)
@@ -159,11 +167,11 @@ def pack(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> DataFrame
                 ids += part.column(0).to_pylist()
                 texts += [(t or "").encode() for t in part.column(1).to_pylist()]
                 size = sum(map(len, texts))
-                others.append(part.select(range(2, 2 + len(carry))))
+                others.append(part.select(range(2, 2 + more)))
         if texts:
             yield out()
 
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), *carry)
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), *carried)
     return rows.mapInArrow(run, BATCHES)
 
 
@@ -173,11 +181,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
 
 
-def sent_anchors(packed: DataFrame, bits: int) -> DataFrame:
-    """Rows (part, batch, hashes, several): a batch's distinct anchor hashes in one of 2**bits
-    ranges, and whether several of its documents have them."""
+def limits(ranges: int) -> np.ndarray:
+    """Where each of so many equal ranges of hashes starts."""
+    return np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+
+
+def sent_anchors(packed: DataFrame, ranges: int) -> DataFrame:
+    """Rows (part, batch, hashes, places, several): a batch's distinct anchor hashes in one of the
+    ranges, at how many places each stands, and whether several of its documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = limits(ranges)
         for row in _rows(batches):
             batch = Batch(row["ids"], row["sizes"], row["packed"])
             place, _, _ = found = anchors(batch.raw)
@@ -192,37 +206,50 @@ def sent_anchors(packed: DataFrame, bits: int) -> DataFrame:
             hashes, ids = hashes[order], ids[order]
             start = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
             several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
+            places = np.minimum(np.diff(np.append(start, len(hashes))), HOT + 1).astype("<u2")
             hashes = hashes[start]
-            cut = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
-            cut = np.append(cut, len(hashes))
+            cut = np.append(np.searchsorted(hashes, starts), len(hashes))
             parts = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.int32()), pa.array([row["batch"]] * len(parts), pa.int64()), pa.array([hashes[cut[p] : cut[p + 1]].tobytes() for p in parts], pa.binary()), pa.array([several[cut[p] : cut[p + 1]].tobytes() for p in parts], pa.binary())],
-                ["part", "batch", "hashes", "several"],
-            )
+            blobs = [pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in parts], pa.binary()) for x in (hashes, places, several)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([row["batch"]] * len(parts), pa.int64()), *blobs], ["part", "batch", "hashes", "places", "several"])
 
-    return packed.select("batch", "ids", "sizes", "packed").mapInArrow(run, "part int, batch long, hashes binary, several binary")
+    return packed.select("batch", "ids", "sizes", "packed").mapInArrow(run, "part int, batch long, hashes binary, places binary, several binary")
 
 
 def _repeated(group: pa.Table) -> pa.Table:
-    """Of one range of hashes: for each batch those that several documents have."""
+    """Of one range of hashes: for each batch those that several documents have, and those of them that are hot."""
     blobs = group["hashes"].to_pylist()
     counts = np.array([len(b) // 8 for b in blobs])
     hashes = np.frombuffer(b"".join(blobs), "<u8")
     del blobs
     several = np.frombuffer(b"".join(group["several"].to_pylist()), bool)
+    places = np.frombuffer(b"".join(group["places"].to_pylist()), "<u2")
     order = np.argsort(hashes)
     ranked = hashes[order]
     start = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     size = np.diff(np.append(start, len(ranked)))
     again = np.zeros(len(hashes), bool)
     again[order] = np.repeat((size > 1) | np.logical_or.reduceat(several[order], start), size)
+    hot = np.zeros(len(hashes), bool)
+    hot[order] = np.repeat(np.add.reduceat(places[order].astype(np.int64), start) > HOT, size)
+    hot &= again
     end = np.cumsum(counts)
-    out = [hashes[a:b][again[a:b]].tobytes() for a, b in zip(end - counts, end)]
-    return pa.table({"batch": group["batch"], "hashes": pa.array(out, pa.binary())}).filter(pa.array([len(o) > 0 for o in out]))
+    spans = list(zip(end - counts, end))
+    out, hottest = ([hashes[a:b][which[a:b]].tobytes() for a, b in spans] for which in (again, hot))
+    return pa.table({"batch": group["batch"], "hashes": pa.array(out, pa.binary()), "hot": pa.array(hottest, pa.binary())}).filter(pa.array([len(o) > 0 for o in out]))
+
+
+def repeated_anchors(sent: DataFrame, ranges: int) -> DataFrame:
+    """Rows (batch, hashes, hot) of sent_anchors(). One task a range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in contiguous(batches, ["part"]):
+            yield from _repeated(group).combine_chunks().to_batches()
 
+    return sent.repartitionById(ranges, F.col("part")).sortWithinPartitions("part").mapInArrow(run, "batch long, hashes binary, hot binary")
 
-def contexts(batch: Batch, hashes: np.ndarray, shards: int) -> tuple[list[tuple[int, bytes]], bytes]:
+
+def contexts(batch: Batch, hashes: np.ndarray, hot: np.ndarray, shards: int) -> tuple[list[tuple[int, bytes]], bytes]:
     """A blob of distinct contexts for each shard, and the batch's own record of where they occur."""
     place, at, found = anchors(batch.raw)
     where = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
@@ -231,8 +258,14 @@ def contexts(batch: Batch, hashes: np.ndarray, shards: int) -> tuple[list[tuple[
     take = np.flatnonzero(good[place] & batch.inside())
     if not len(take):
         return [], b""
-    new = np.concatenate(([True], (take[1:] != take[:-1] + 1) | (place[take[1:]] != place[take[:-1]])))
+    anchor = place[take].astype(np.int64)
+    new = np.concatenate(([True], (take[1:] != take[:-1] + 1) | (anchor[1:] != anchor[:-1])))
     new[1:] |= batch.document(take[1:]) != batch.document(take[:-1])
+    if len(hot):  # windows with SIDE bytes before a hot anchor part from those with as many behind it
+        near = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+        is_hot = np.zeros(len(batch.raw) + 1, bool)
+        is_hot[at[hot[near] == found]] = True
+        new[1:] |= is_hot[anchor[1:]] & ((anchor[1:] - take[1:] >= SIDE) != (anchor[:-1] - take[:-1] >= SIDE))
     first = np.flatnonzero(new)
     low, count = take[first], np.diff(np.append(first, len(take)))
     text, seen = batch.text, {}
@@ -240,8 +273,14 @@ def contexts(batch: Batch, hashes: np.ndarray, shards: int) -> tuple[list[tuple[
     ids = np.full(len(seen), np.iinfo(np.int64).max)
     np.minimum.at(ids, number, batch.ids[batch.document(low)])
     _, once = np.unique(number, return_index=True)
-    hash_at = found[np.searchsorted(at, place[low[once]])]
-    shard = ((hash_at >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
+    anchor = anchor[first][once]
+    key = found[np.searchsorted(at, anchor)] >> np.uint64(8)
+    if len(hot):
+        for i in np.flatnonzero(is_hot[anchor]):
+            p = int(anchor[i])
+            begin = p - SIDE if p - low[once[i]] >= SIDE else p
+            key[i] = xxhash.xxh3_64_intdigest(text[begin : begin + GRAM + SIDE])
+    shard = (key % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     strings = list(seen)
     sizes = np.array([len(s) for s in strings], np.uint8)
@@ -256,20 +295,20 @@ def contexts(batch: Batch, hashes: np.ndarray, shards: int) -> tuple[list[tuple[
     return blobs, record
 
 
-def sent_contexts(packed: DataFrame, repeated: DataFrame, shards: int) -> DataFrame:
+def sent_contexts(packed: DataFrame, repeated: DataFrame, shards: int, tasks: int) -> DataFrame:
     """Rows (own, shard, batch, blob): contexts for the shards (own = 0) and the batches' own records (own = 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=1).compress
         for row in _rows(batches):
-            hashes = np.sort(np.frombuffer(b"".join(row["repeated"]), "<u8"))
-            blobs, record = contexts(Batch(row["ids"], row["sizes"], row["packed"]), hashes, shards)
+            hashes, hot = (np.sort(np.frombuffer(b"".join(row[n]), "<u8")) for n in ("repeated", "hot"))
+            blobs, record = contexts(Batch(row["ids"], row["sizes"], row["packed"]), hashes, hot, shards)
             if blobs:
                 rows = [(0, s, row["batch"], compress(b)) for s, b in blobs] + [(1, -1, row["batch"], compress(record))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["own", "shard", "batch", "blob"])
 
-    lists = repeated.groupBy("batch").agg(F.collect_list("hashes").alias("repeated"))  # at most one blob a range
-    return packed.select("batch", "ids", "sizes", "packed").join(lists, "batch").mapInArrow(run, "own int, shard int, batch long, blob binary")
+    lists = repeated.repartition(tasks, "batch").groupBy("batch").agg(F.collect_list("hashes").alias("repeated"), F.collect_list("hot").alias("hot"))  # at most a batch's anchors
+    return packed.select("batch", "ids", "sizes", "packed").repartition(tasks, "batch").join(lists, "batch").mapInArrow(run, "own int, shard int, batch long, blob binary")
 
 
 PLACE_BITS = 21  # a place in a shard's text, where three of them fit into one sort key
@@ -411,25 +450,42 @@ def _removed(batch: Batch, record: bytes | None, answers: list) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
+def answered(sent: DataFrame, tasks: int) -> DataFrame:
+    """Rows (shard, batch, answer). Shards are dealt to the tasks in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in contiguous(batches, ["shard"]):
+            yield from _answer(group).combine_chunks().to_batches(max_chunksize=64)
+
+    dealt = sent.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "shard int, batch long, answer binary")
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept) and the columns of carry, one for each row of
-    docs with an id. kept has the remaining bytes."""
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept), one for each row of docs with an id, and, if columns are named in
+    carry, the struct `carried` of them. kept has the remaining bytes."""
     spark = prepare(docs.sparkSession)
-    carry = carry or []
-    packed = materialize(pack(docs, doc_id, text, carry), "batches")
+    with scratch(spark) as keep:
+        return keep(materialize(_removed_repeats(docs, doc_id, text, carry or []), "passages"))
+
+
+def _removed_repeats(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> DataFrame:
+    spark = docs.sparkSession
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    packed = materialize(pack(docs, doc_id, text, carried), "batches")
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(5, (total // RANGE_BYTES).bit_length())
-    repeated = materialize(sent_anchors(packed, bits).groupBy("part").applyInArrow(_repeated, "batch long, hashes binary"), "anchors")
+    ranges = max(8, total // RANGE_BYTES)
+    tasks = max(8, total // (4 * TASK_BYTES), spark.sparkContext.defaultParallelism)
+    repeated = materialize(repeated_anchors(sent_anchors(packed, ranges), ranges), "anchors")
     count = repeated.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
     shards = max(8, int(count // 8 * (WINDOW + 16) // SHARD_BYTES))
     path = work_path(spark, "contexts")
-    sent_contexts(packed, repeated, shards).write.options(**ROW_GROUPS).partitionBy("own").parquet(path)
+    sent_contexts(packed, repeated, shards, tasks).write.options(**ROW_GROUPS).partitionBy("own").parquet(path)
     sent = spark.read.schema("shard int, batch long, blob binary, own int").parquet(path)
-    answers = sent.where("own = 0").groupBy("shard").applyInArrow(_answer, "shard int, batch long, answer binary")
-    answers = materialize(answers, "answers")
+    answers = materialize(answered(sent.where("own = 0").select("shard", "batch", "blob"), max(8, shards * SHARD_BYTES // TASK_BYTES)), "answers")
     discard(repeated)
-    lists = answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))  # at most one a shard
-    own = sent.where("own = 1").select("batch", F.col("blob").alias("record"))
+    lists = answers.repartition(tasks, "batch").groupBy("batch").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))  # at most a batch's contexts
+    own = sent.where("own = 1").select("batch", F.col("blob").alias("record")).repartition(tasks, "batch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -445,11 +501,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     spans = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()) if removed else 0
                     out.append((int(batch.ids[k]), b - a, removed, spans, batch.raw[a:b][~cut].tobytes() if removed else batch.text[a:b]))
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out), result)]
-                more = [extra[c].slice(first, len(out)).combine_chunks() for c in carry]
-                more = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in more]
-                yield pa.RecordBatch.from_arrays(columns + more, result.names + carry)
+                if carry:
+                    more = extra["carried"].slice(first, len(out)).combine_chunks()
+                    columns.append(more.chunk(0) if isinstance(more, pa.ChunkedArray) else more)
+                yield pa.RecordBatch.from_arrays(columns, result.names + (["carried"] if carry else []))
 
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
     fields = [T.StructField(f.name, T.BinaryType() if f.name == "kept" else T.LongType()) for f in result]
-    joined = packed.select("batch", "ids", "sizes", "packed", "extra").join(own, "batch", "left").join(lists, "batch", "left")
-    return joined.mapInArrow(run, T.StructType(fields + [docs.schema[c] for c in carry]))
+    joined = packed.select("batch", "ids", "sizes", "packed", "extra").repartition(tasks, "batch").join(own, "batch", "left").join(lists, "batch", "left")
+    return joined.mapInArrow(run, T.StructType(fields + [T.StructField("carried", docs.select(*carried).schema["carried"].dataType)] if carry else fields))

@@ -1,18 +1,24 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
-The index is cut into blocks of about BLOCK vectors. In a block every dimension
-has its vectors in posting segments, one for each of LEVELS quantised impacts. A query
-takes the segments of all dimensions by descending contribution (its own
-component times the segment's impact) and adds to each posting's accumulator
-what the segment contributes at least. Upper bounds follow from what any
+The index is built once and written to the shared folder, in blocks of about BLOCK vectors. In a
+block every dimension has its vectors in posting segments, one for each of LEVELS
+quantised impacts. A query takes the segments of all dimensions by descending
+contribution (its own component times the segment's impact) and adds to each posting's
+accumulator what the segment contributes at least. Upper bounds follow from what any
 segment not yet read could add and from the width of the levels. The scan stops
 only when these bounds prove that no more than a few vectors can still be among
-the k best; all of those are then scored exactly from their components.
+the k best; all of those are then scored exactly from their components. A task reads
+the blocks that a block of queries meets one after the other, and each query's k-th
+score so far is where the next scan starts.
 
 Edge cases: vectors that are null or hold null or non-finite components take no
 part; vectors of different length never meet; ties go to the smaller id; with
-fewer than k candidates all are returned; rows that share an id are candidates
-of their own; an empty table gives no rows. Components are expected below 2**20.
+fewer than k candidates all are returned; rows that share an id are candidates of
+their own, but none of them answers a query of that id; query rows that share id and
+vector ask once, those that share only the id ask each for themselves; an empty table gives
+no rows; columns other than the two named are not read, so their names never clash.
+Components so large that sums may leave 2**53 are scored in whole numbers of any size, and a score among the
+k best that no long holds is an error, not a wrong number.
 """
 
 from __future__ import annotations
@@ -22,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.runtime import prepare
+from nearfield.runtime import materialize, prepare
 
 BLOCK = 4096
-QUERY_BLOCK = 512
+QUERY_BLOCK = 1024
 LEVELS = 32
-STEP = 64  # segments read between two looks at the bounds
+STEP = 256  # segments read between two looks at the bounds
+EXACT = 1 << 53  # whole numbers below it are exact as doubles
 
 
 def usable(vector: str) -> Column:
@@ -36,33 +43,35 @@ def usable(vector: str) -> Column:
 
 
 class ImpactIndex:
-    """One block: integer vectors, and their postings by dimension and quantised impact."""
+    """One block: vectors of whole numbers, and their postings by dimension and quantised impact."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, values: np.ndarray, postings: np.ndarray | None = None):
         self.ids, self.values = ids, values
         n, dims = values.shape
         self.low = values.min(0) if n and dims else np.zeros(dims, np.int64)
         top = values.max(0) if n and dims else np.zeros(dims, np.int64)
+        self.most = int(max(np.abs(self.low).max(initial=0), np.abs(top).max(initial=0)))
         self.width = (top - self.low) // LEVELS + 1
-        level = (values - self.low) // self.width
-        segment = (np.arange(dims) * LEVELS + level).T.ravel()
-        order = np.argsort(segment, kind="stable")
-        self.postings = (order % max(n, 1)).astype(np.int32)
-        self.bounds = np.searchsorted(segment[order], np.arange(dims * LEVELS + 1))
-
-    def search(self, query: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places in this block and exact scores of its k best vectors, best first."""
+        segment = (np.arange(dims) * LEVELS + (values - self.low) // self.width).T.ravel()
+        if postings is None:
+            postings = (np.argsort(segment, kind="stable") % max(n, 1)).astype(np.int32)
+        self.postings = postings
+        self.bounds = np.concatenate(([0], np.cumsum(np.bincount(segment, minlength=dims * LEVELS))))
+
+    def search(self, query: np.ndarray, k: int, skip: int | None, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places in this block and exact scores of its k best vectors, best first; vectors
+        that score less than floor may be left out."""
         n, dims = self.values.shape
         own = self.ids == skip if skip is not None else np.zeros(n, bool)
-        if dims == 0 or n - own.sum() <= k:
+        if dims == 0 or n - own.sum() <= k and floor is None:
             possible = np.flatnonzero(~own)
         else:
-            possible = self._possible(query, k, own)
+            possible = self._possible(query, k, own, floor)
         scores = self.values[possible] @ query
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return possible[best], scores[best]
 
-    def _possible(self, query: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
+    def _possible(self, query: np.ndarray, k: int, own: np.ndarray, floor: int | None = None) -> np.ndarray:
         n, dims = self.values.shape
         dim = np.repeat(np.arange(dims), LEVELS)
         level = np.tile(np.arange(LEVELS), dims)
@@ -71,6 +80,7 @@ class ImpactIndex:
         rank = np.where(query[dim] >= 0, level, LEVELS - 1 - level)
         least = slope[dim] * self.width[dim] * rank
         most = least + slope[dim] * (self.width[dim] - 1)
+        base = int((query * np.where(query >= 0, self.low, self.low + LEVELS * self.width - 1)).sum())
         order = np.lexsort((dim, -most))
         order = order[self.bounds[order + 1] > self.bounds[order]]
         # By dimension, the most that the segments from a place in the order on can add.
@@ -78,7 +88,11 @@ class ImpactIndex:
         error = int((slope * (self.width - 1)).sum())
         enough = max(4 * k, n // 32)
         remaining = np.zeros(dims, np.int64)
-        last_least = None
+
+        def bound() -> int:
+            local = np.partition(np.where(own, -1, sums), n - k)[n - k] if n > k else -1
+            return int(local) if floor is None else max(int(local), floor - base)
+
         for i in range(0, len(order), STEP):
             step = order[i : i + STEP]
             spans = [self.postings[self.bounds[s] : self.bounds[s + 1]] for s in step]
@@ -88,58 +102,102 @@ class ImpactIndex:
             rest = order[i + STEP :]
             if not len(rest):
                 break
-            if i % (4 * STEP) == 0:
+            if i % (2 * STEP) == 0:
                 remaining[:] = 0
                 np.maximum.at(remaining, dim[rest], most[rest])
-                threshold = np.partition(np.where(own, -1, sums), n - k)[n - k]
-                possible = np.flatnonzero(~own & (sums + error + int(remaining.sum()) >= threshold))
+                possible = np.flatnonzero(~own & (sums + error + int(remaining.sum()) >= bound()))
                 if len(possible) <= enough:
                     return possible
-        threshold = np.partition(np.where(own, -1, sums), n - k)[n - k]
-        return np.flatnonzero(~own & (sums + error >= threshold))
+        return np.flatnonzero(~own & (sums + error >= bound()))
+
 
+def _scored_wide(ids: np.ndarray, values: np.ndarray, query: np.ndarray, k: int, skip: int) -> list[tuple[int, int]]:
+    """(score, id) of the k best, in whole numbers of any size."""
+    whole = [int(x) for x in query]
+    found = [(sum(int(x) * y for x, y in zip(row, whole)), int(i)) for i, row in zip(ids, values) if i != skip]
+    return sorted(found, key=lambda f: (-f[0], f[1]))[:k]
 
-def _build(group: pa.Table) -> pa.Table:
+
+def _indexed(group: pa.Table) -> pa.Table:
     ids = group["id"].to_numpy().astype(np.int64)
     dims = group["dims"][0].as_py()
-    values = group["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(ids), dims)
-    return pa.table({"dims": pa.array([dims], pa.int32()), "block": group["block"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([values.tobytes()], pa.binary())})
+    values = group["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dims)
+    postings = b""
+    if np.abs(values).max(initial=0) < EXACT:
+        postings = ImpactIndex(ids, values.astype(np.int64)).postings.tobytes()
+    return pa.table({"dims": pa.array([dims], pa.int32()), "block": group["block"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([values.astype("<f8").tobytes()], pa.binary()), "postings": pa.array([postings], pa.binary())})
+
 
+def _packed(group: pa.Table) -> pa.Table:
+    ids = group["id"].to_numpy().astype(np.int64)
+    values = group["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return pa.table({"dims": group["dims"][:1], "query_block": group["block"][:1], "query_ids": pa.array([ids.tobytes()], pa.binary()), "query_matrix": pa.array([values.astype("<f8").tobytes()], pa.binary())})
 
-def blocks(df: DataFrame, vec_id: str, vector: str, scale: int, size: int) -> DataFrame:
-    """Rows (dims, block, ids, matrix): integer vectors packed in blocks of about size rows."""
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+
+def _whole(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
+    """(id, values, dims): whole numbers as doubles, which hold any floor(scale * component) exactly."""
+    # floor() of a double saturates as a long; from 2**52 on a double is whole anyway.
+    whole = F.transform(vector, lambda x: F.when(F.abs(x.cast("double") * scale) < float(1 << 52), F.floor(x.cast("double") * scale).cast("double")).otherwise(x.cast("double") * scale))
     rows = df.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), whole.alias("values"))
-    count = max(1, -(-rows.count() // size))
-    rows = rows.withColumns({"dims": F.size("values"), "block": F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")})
-    return rows.groupBy("dims", "block").applyInArrow(_build, "dims int, block int, ids binary, matrix binary")
+    return rows.withColumn("dims", F.size("values"))
+
+
+def _blocked(rows: DataFrame, count: int) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, scale: int = 1024, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each query row the k rows of corpus with the largest inner product of
     floor(scale * component), other than the query's own id: (query_id, rank, vec_id, score).
 
-    The queries, in blocks, meet every block of the index; the k best of each
-    meeting are merged by a ranking window.
+    Every block of queries meets every block of the index; the meetings are dealt to tasks in order, so
+    that a task sees few blocks of queries, and its k best a query are merged by a ranking window.
     """
     spark = prepare(corpus.sparkSession)
-    index = blocks(corpus, vec_id, vector, scale, BLOCK)
-    count = F.lit(max(1, -(-corpus.where(usable(vector) & F.col(vec_id).isNotNull()).count() // BLOCK)))
-    asked = blocks(queries, vec_id, vector, scale, QUERY_BLOCK).select("dims", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"), F.explode(F.sequence(F.lit(0), count - 1)).alias("block"))
+    rows, asked = _whole(corpus, vec_id, vector, scale), _whole(queries, vec_id, vector, scale).distinct()
+    blocks, query_blocks = (max(1, -(-n // size)) for n, size in ((rows.count(), BLOCK), (asked.count(), QUERY_BLOCK)))
+    index = materialize(_blocked(rows, blocks).groupBy("dims", "block").applyInArrow(_indexed, "dims int, block int, ids binary, matrix binary, postings binary"), "index")
+    packed = _blocked(asked, query_blocks).groupBy("dims", "block").applyInArrow(_packed, "dims int, query_block int, query_ids binary, query_matrix binary")
+    tasks = min(blocks * query_blocks, max(4 * spark.sparkContext.defaultParallelism, query_blocks))
+    meeting = F.col("query_block").cast("long") * blocks + F.col("block")
+    met = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index.hint("merge"), ["dims", "block"])
+    met = met.repartitionById(tasks, F.floor(meeting * tasks / (blocks * query_blocks)).cast("int")).sortWithinPartitions("dims", "query_block", "block")
+    names = ["dims", "query_block", "query_ids", "query_matrix", "ids", "matrix", "postings"]
 
     def run(batches):
+        last, asked_ids, best = None, None, []
+
+        def out() -> pa.RecordBatch:
+            found = [(int(q), i, score, str(at)) for at, (q, b) in enumerate(zip(asked_ids, best)) for score, i in b]
+            if any(abs(f[2]) >= 1 << 63 for f in found):
+                raise OverflowError("a score among the k best does not fit into a long")
+            place = [f"{last}-{f[3]}" for f in found]  # rows that share an id are told apart
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (zip(*(f[:3] for f in found)) if found else ([], [], []))), pa.array(place, pa.string())], ["query_id", "vec_id", "score", "place"])
+
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {n: batch.column(i)[r].as_py() for i, n in enumerate(batch.schema.names)}
-                matrix = lambda ids, values: np.frombuffer(row[values], "<i8").reshape(len(np.frombuffer(row[ids], "<i8")), row["dims"])
-                block = ImpactIndex(np.frombuffer(row["ids"], "<i8"), matrix("ids", "matrix"))
-                out = []
-                for q, vector_of in zip(np.frombuffer(row["query_ids"], "<i8"), matrix("query_ids", "query_matrix")):
-                    place, score = block.search(vector_of, k, int(q))
-                    out.append((np.full(len(place), q), block.ids[place], score))
-                ids, found, scores = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found), pa.array(scores)], ["query_id", "vec_id", "score"])
-
-    met = asked.join(index.hint("merge"), ["dims", "block"]).mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                row = {n: batch.column(batch.schema.names.index(n))[r].as_py() for n in names}
+                if last != (row["dims"], row["query_block"]):
+                    if last is not None:
+                        yield out()
+                    last, asked_ids = (row["dims"], row["query_block"]), np.frombuffer(row["query_ids"], "<i8")
+                    best = [[] for _ in asked_ids]
+                    wide = np.frombuffer(row["query_matrix"], "<f8").reshape(len(asked_ids), row["dims"])
+                ids = np.frombuffer(row["ids"], "<i8")
+                values = np.frombuffer(row["matrix"], "<f8").reshape(len(ids), row["dims"])
+                block = ImpactIndex(ids, values.astype(np.int64), np.frombuffer(row["postings"], "<i4")) if row["postings"] or not values.size else None
+                for at, q in enumerate(asked_ids):
+                    size = float(np.abs(wide[at]).sum())
+                    # Sums of bounds and of products both stay below 2**53.
+                    if block is not None and 4.0 * size * (block.most + LEVELS) < EXACT:
+                        place, score = block.search(wide[at].astype(np.int64), k, int(q), best[at][-1][0] if len(best[at]) == k else None)
+                        new = list(zip(score.tolist(), ids[place].tolist()))
+                    else:
+                        new = _scored_wide(ids, values, wide[at], k, int(q))
+                    best[at] = sorted(best[at] + new, key=lambda f: (-f[0], f[1]))[:k]
+        if last is not None:
+            yield out()
+
+    found = met.select(names).mapInArrow(run, "query_id long, vec_id long, score long, place string")
+    rank = F.row_number().over(Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,7 +9,8 @@ def test_languages_of_copies_stay(spark):
     texts = {"aa": "kalo miloka kami", "bb": "éure quaré requa", "cc": "ßtung ichung", "dd": "zyx wvu zyxw", "ee": "bobo gogo bogo", "ff": "njet pjat hjet"}
     pairs = spark.createDataFrame(list(texts.items()), "lang string, text string")
     docs = spark.range(0, 9000, 1, 4).crossJoin(pairs)
-    names, matrix = model = langid.train(docs)
+    model = langid.train(docs)
+    names, matrix = model.names, model.matrix
     assert names == sorted(texts)
     assert {r["lang"]: r["lang_pred"] for r in langid.predict(pairs, model).collect()} == {x: x for x in texts}
     # Every row counts: the same as the counts of one copy, 9,000 times.
