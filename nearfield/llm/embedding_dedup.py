@@ -1,21 +1,31 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one row kept a group.
 
-Equal vectors of a label are one row with a count first. Unit vectors go to the
-cell of their nearest centroid and, so that no pair is lost at a border, also to
-each cell in which a vector within the threshold could live: two unit vectors
+Equal vectors of a label are one row with a count first. Unit vectors go to the cell of their nearest
+centroid and, so that pairs are not lost at a border, to a bounded number of other cells in which a
+vector within the threshold could live, the nearest first: two unit vectors
 with cosine >= t are at most d = sqrt(2 - 2t) apart, so a partner can be nearer to
-centroid b than to its own a only if x.a - x.b <= d * |a - b|. Only rows at home in a
-cell count their links there, so each link is counted once from each end. Cells
-of a label are compared in blocks of bounded size; a block returns counts
-and, for each row, one edge to the smallest id of its group in the block.
+centroid b than to its own a only if x.a - x.b <= d * |a - b|. With replicas=None a row goes to all
+such cells and no pair is lost, at the price of as many copies of a row as it has such cells;
+the README has the measured recall of the bounded form. No two centroids are closer than the
+threshold, so a dense group is not scattered over many cells.
+
+A pair is judged where one of its rows is at home; where both homes could judge it, the smaller cell does, so each link
+counts once at both ends. The rows of a label in a cell are compared in blocks of bounded size; a block returns counts
+and, for each row, one edge to the smallest id of its group in the block. There are about rows / CELL_ROWS
+cells, and from a million rows of a label on their square root, so cells always grow with the rows and the broadcast of
+centroids only as that root: 50 MB at 64 dimensions and 10,000 million rows.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and rows without a
-label, link with nothing and stay; vectors of different length never link; rows
-that share an id are one node of the link graph; an empty table gives no rows.
+label, link with nothing and stay; vectors of different length never link; components of any finite size are
+scaled by powers of two first, so that no norm over- or underflows; rows
+that share an id are one node of the link graph; an empty table gives no rows; columns other than the three named are
+not read, so their names never clash.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,19 +34,40 @@ from pyspark.sql import types as T
 
 from nearfield.llm.components import connected_components
 from nearfield.llm.topk import usable
-from nearfield.runtime import materialize, prepare
+from nearfield.runtime import materialize, prepare, scratch
 
 #: The k-means is fitted on at most about so many rows; all rows are assigned.
 FIT_ROWS = 16_384
 CELL_ROWS = 1024  # rows of one label in a cell, about
-MAX_CELLS = 1024
 BLOCK = 1024
+REPLICAS = 4  # cells besides its own that a row goes to at most
+
+
+def cell_count(rows: int) -> int:
+    """Cells for a label of so many rows."""
+    return max(1, min(-(-rows // CELL_ROWS), math.isqrt(max(rows - 1, 0)) + 1))
+
+
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest component is about 1."""
+    _, exponent = np.frexp(np.abs(matrix).max(1, initial=0.0, keepdims=True))
+    return np.ldexp(matrix, -exponent)
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
+    matrix = scaled(matrix)
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
+def apart(centroids: np.ndarray, threshold: float) -> np.ndarray:
+    """The centroids but for those that are within the threshold of one before them."""
+    kept: list[int] = []
+    for i in range(len(centroids)):
+        if not kept or (centroids[kept] @ centroids[i]).max() < threshold:
+            kept.append(i)
+    return centroids[kept]
+
+
 def spherical_kmeans(points: np.ndarray, cells: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
     """Unit centroids. Starts from distinct points; a cell that loses all points keeps its centroid."""
     rng = np.random.default_rng(seed)
@@ -58,6 +89,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 def _links(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """Whether each left row and each right row have a cosine of at least threshold.
     Products close to it are computed again one by one, alike in every block."""
+    left, right = scaled(left), scaled(right)
     a, b = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
     cosine = (left / a[:, None]) @ (right / b[:, None]).T
     found = cosine >= threshold
@@ -66,13 +98,36 @@ def _links(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     return found
 
 
+def _goes_to(cells: pa.ChunkedArray, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether the rows at some places go to the given cells."""
+    cells = cells.combine_chunks()
+    size = cells.value_lengths().to_numpy()
+    owner = np.repeat(np.arange(len(size)), size)
+    key = (owner.astype(np.int64) << 32) | cells.flatten().to_numpy()
+    return np.isin((row.astype(np.int64) << 32) | cell, key)
+
+
 def _compare(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
         vectors = _matrix(group["vector"], group["dims"][0].as_py())
-        left, right = np.flatnonzero(group["is_left"].to_numpy()), np.flatnonzero(group["is_right"].to_numpy())
+        cell, part, home = group["cell"][0].as_py(), group["part"].to_numpy(), group["home"].to_numpy()
+        left, right = np.flatnonzero(part == group["l"][0].as_py()), np.flatnonzero(part == group["r"][0].as_py())
         found = _links(vectors[left], vectors[right], threshold) & (ids[left][:, None] != ids[right])
-        links = found @ copies[right]
+        found &= (home[left] == cell)[:, None] | (home[right] == cell)
+        if len(left) and len(right) and left[0] == right[0]:
+            found = np.triu(found)  # a part against itself: each pair once
+        # Of a pair with two homes, the larger one passes over what the smaller one judges.
+        x, y = np.nonzero(found)
+        mine, other = left[x], right[y]
+        swap = home[mine] != cell
+        mine, other = np.where(swap, other, mine), np.where(swap, mine, other)
+        again = (home[other] < cell) & (home[other] != cell)
+        again[again] = _goes_to(group["cells"], mine[again], home[other][again])
+        found[x[again], y[again]] = False
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, left, found @ copies[right])
+        np.add.at(links, right, found.T @ copies[left])
         # The smallest id that links lead to within the block.
         root = ids.copy()
         rows = np.flatnonzero(found.any(1))
@@ -86,32 +141,35 @@ def _compare(threshold: float):
             root[b] = np.minimum(root[b], np.where(inner, root[a][:, None], largest).min(0))
             if (before == root).all():
                 break
-        links_of = np.zeros(len(ids), np.int64)
-        links_of[left] = links
         keep = np.union1d(a, b)
-        return pa.table({"id": ids[keep], "links": links_of[keep], "root": root[keep]})
+        return pa.table({"id": ids[keep], "links": links[keep], "root": root[keep]})
 
     return run
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """Rows (vec_id, n_links, component_id, kept), one for each row of df."""
+def near_duplicates(df: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", replicas: int | None = REPLICAS) -> DataFrame:
+    """Rows (vec_id, n_links, component_id, kept), one for each row of df. replicas=None loses no link."""
     spark = prepare(df.sparkSession)
-    norm = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    with scratch(spark) as keep:
+        return keep(materialize(_grouped(df, threshold, vec_id, vector, label, replicas), "near"))
+
+
+def _grouped(df: DataFrame, threshold: float, vec_id: str, vector: str, label: str, replicas: int | None) -> DataFrame:
+    spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     fit = F.col("label").isNotNull() & F.col("id").isNotNull() & usable("vector")
-    live = rows.where(fit).where(F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))) > 0)
+    live = rows.where(fit).where(F.exists("vector", lambda x: x != 0))
     classes = materialize(live.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("dims", F.size("vector")), "classes")
     sizes = classes.groupBy("label", "dims").agg(F.count("*").alias("n"))
     most, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    cells = min(MAX_CELLS, max(1, -(-(most or 0) // CELL_ROWS)))
+    cells = cell_count(most or 0)
     centroids: dict[int, np.ndarray] = {}
     if cells > 1:
-        share = min(1.0, FIT_ROWS / total)
-        picked = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("dims", "vector").limit(2 * FIT_ROWS).toPandas()
-        for dims, part in picked.groupby("dims"):
-            centroids[int(dims)] = spherical_kmeans(unit(np.array(part["vector"].tolist(), np.float64)), cells)
-    shared = spark.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors a length
+        share = min(1.0, max(FIT_ROWS, 4 * cells) / total)
+        picked = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("dims", "vector").limit(2 * max(FIT_ROWS, 4 * cells)).toPandas()
+        for dims, some in picked.groupby("dims"):
+            centroids[int(dims)] = apart(spherical_kmeans(unit(np.array(some["vector"].tolist(), np.float64)), cells), threshold)
+    shared = spark.sparkContext.broadcast(centroids)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def assign(batches):
@@ -119,35 +177,29 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, vec_id: str = "vec_i
             table = pa.Table.from_batches([batch])
             dims_of = table["dims"].to_numpy()
             for dims in np.unique(dims_of):
-                part = table.take(pa.array(np.flatnonzero(dims_of == dims)))
+                some = table.take(pa.array(np.flatnonzero(dims_of == dims)))
                 centers = shared.value.get(int(dims))
                 if centers is None:
-                    row, cell, home = np.arange(len(part)), np.zeros(len(part), np.int32), np.ones(len(part), bool)
+                    home, offsets, goes = np.zeros(len(some), np.int32), np.arange(len(some) + 1), np.zeros(len(some), np.int32)
                 else:
-                    near = unit(_matrix(part["vector"], int(dims))) @ centers.T
-                    own = near.argmax(1)
-                    apart = np.sqrt(np.maximum(0.0, 2 - 2 * centers @ centers.T))
-                    gap = near[np.arange(len(own)), own][:, None] - near
-                    row, cell = np.nonzero(gap <= reach * apart[own] + 1e-9)
-                    home = cell == own[row]
-                out = part.take(pa.array(row)).append_column("cell", pa.array(cell, pa.int32())).append_column("home", pa.array(home))
-                yield from out.combine_chunks().to_batches(max_chunksize=4096)
-
-    schema = T.StructType(classes.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType())])
-    placed = classes.mapInArrow(assign, schema)
+                    near = unit(_matrix(some["vector"], int(dims))) @ centers.T
+                    home = near.argmax(1)
+                    gap = near[np.arange(len(home)), home][:, None] - near
+                    possible = gap <= reach * np.sqrt(np.maximum(0.0, 2 - 2 * centers @ centers.T))[home] + 1e-9
+                    if replicas is not None and replicas + 1 < len(centers):
+                        possible &= gap <= np.partition(gap, replicas, axis=1)[:, replicas, None]
+                    row, goes = np.nonzero(possible)
+                    offsets = np.searchsorted(row, np.arange(len(some) + 1))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(goes, pa.int32()))
+                yield from some.append_column("home", pa.array(home, pa.int32())).append_column("cells", lists).combine_chunks().to_batches()
+
+    schema = T.StructType(classes.schema.fields + [T.StructField("home", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    placed = classes.mapInArrow(assign, schema).withColumn("cell", F.explode("cells"))
     keys = ["label", "dims", "cell"]
     count = placed.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     placed = placed.join(count, keys).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    meet = F.flatten(
-        F.transform(
-            other,
-            lambda j: F.when(j == F.col("part"), F.array(F.struct(j.alias("l"), j.alias("r"), F.col("home").alias("is_left"), F.lit(True).alias("is_right"))))
-            .when(F.col("home"), F.array(F.struct(F.col("part").alias("l"), j.alias("r"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right")), F.struct(j.alias("l"), F.col("part").alias("r"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))))
-            .otherwise(F.array(F.struct(j.alias("l"), F.col("part").alias("r"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right")))),
-        )
-    )
-    dealt = placed.select(*keys, "id", "copies", "vector", F.explode(meet).alias("meet")).select(*keys, "id", "copies", "vector", "meet.*")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = placed.withColumn("other", other).select(*keys, "id", "copies", "vector", "home", "cells", "part", F.least("part", "other").alias("l"), F.greatest("part", "other").alias("r"))
     found = materialize(dealt.groupBy(*keys, "l", "r").applyInArrow(_compare(threshold), "id long, links long, root long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.where("id <> root").select("id", "root"), "id", "root")

@@ -5,17 +5,19 @@
 2. Documents with equal sets are one class; only its smallest id goes on.
 3. Band keys with more than one class are buckets; of buckets with the same
    members one is kept. layout() makes bands so narrow that a link at the
-   threshold shares no bucket with a probability of at most 1e-6.
-4. Buckets are compared in blocks of bounded size: first sizes and signatures,
-   then the full sets. A pair is looked at only in the first bucket that it
-   shares, and not when confirmed links of the block already join it, so no
-   block returns more edges than it has rows, however many pairs are alike.
-5. Connected components of the confirmed edges.
+   threshold shares no bucket with a probability of at most 1e-6. A pair is looked at only in the first bucket that it shares.
+4. A bucket of n members is dealt to n / BLOCK parts, and to each part go REPS members of the whole
+   bucket besides. In a part first sizes and signatures are compared, then the full sets, and not where confirmed links join
+   a pair already: the work is in proportion to n, and no part returns more edges than it has rows.
+5. Connected components of these edges. In buckets of several parts only members of different components are left to
+   compare. Those outside the bucket's largest component, mostly none or few, meet all others in
+   blocks: by signatures alone, and texts are fetched only for rows with a pair that is left then.
+6. Connected components of all edges.
 
 Edge cases: null texts and texts without words have an empty set and link with
 nothing; fewer words than a shingle has are one shingle; texts of any length
 are used whole; rows without id are left out; rows that share an id are one node
-of the link graph; an empty table gives no rows.
+of the link graph; an empty table gives no rows; columns other than the two named are not read, so their names never clash.
 """
 
 from __future__ import annotations
@@ -32,13 +34,14 @@ from pyspark.sql import functions as F
 from nearfield.llm.components import connected_components
 from nearfield.llm.grouping import contiguous
 from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
-from nearfield.runtime import materialize, prepare
+from nearfield.runtime import materialize, prepare, scratch
 
 HASHES = 125
 MISSED = 1e-6
 #: Pairs whose signatures agree less than this much below the threshold are not compared further (5.3 standard deviations).
 SLACK = 0.17
 BLOCK = 300
+REPS = 4
 CHUNK = 1 << 20  # bytes of text hashed together
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
@@ -140,20 +143,19 @@ class Forest(dict):
         return True
 
 
-def compare(group: pa.Table, width: int, percent: int) -> list[tuple[int, int]]:
-    """Confirmed edges of one block of a bucket, a forest."""
-    ids, sizes = group["doc_id"].to_numpy(), group["n_shingles"].to_numpy()
-    part, i, j, band = group["part"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py(), group["band"][0].as_py()
+def candidates(group: pa.Table, percent: int) -> list[tuple[int, int, int]]:
+    """(-agreement, left place, right place) of the pairs of a block that sizes, signatures and components leave."""
+    ids, sizes, component = (group[n].to_numpy() for n in ("doc_id", "n_shingles", "component"))
+    band = group["band"][0].as_py()
     signatures = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(len(ids), HASHES)
     bands = np.array(group["bands"].combine_chunks().flatten()).reshape(len(ids), -1)
-    packed = group["packed"]
-    left = np.flatnonzero(part == i)
-    right = np.flatnonzero(part == j)
+    left, right = np.flatnonzero(group["is_left"].to_numpy()), np.flatnonzero(group["is_right"].to_numpy())
+    both = np.intersect1d(left, right)
     pairs = []
     for a in left:
-        others = right[right > a] if i == j else right
+        others = right[right > a] if len(both) == len(left) == len(right) else right
         small, large = np.minimum(sizes[a], sizes[others]), np.maximum(sizes[a], sizes[others])
-        others = others[(100 * small >= percent * large) & (ids[others] != ids[a])]
+        others = others[(100 * small >= percent * large) & (component[others] != component[a])]
         alike = (signatures[others] == signatures[a]).sum(1)
         near = alike >= HASHES * (percent / 100 - SLACK)
         others, alike = others[near], alike[near]
@@ -161,6 +163,12 @@ def compare(group: pa.Table, width: int, percent: int) -> list[tuple[int, int]]:
             new = ~(bands[others, :band] == bands[a, :band]).any(1)
             others, alike = others[new], alike[new]
         pairs += [(-int(s), int(a), int(b)) for s, b in zip(alike, others)]
+    return pairs
+
+
+def compare(group: pa.Table, width: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed edges of one block, a forest over the components so far."""
+    ids, component, packed = group["doc_id"].to_numpy(), group["component"].to_numpy(), group["packed"]
     sets: dict[int, frozenset] = {}
     unpack = zstandard.ZstdDecompressor().decompress
 
@@ -170,32 +178,26 @@ def compare(group: pa.Table, width: int, percent: int) -> list[tuple[int, int]]:
         return sets[k]
 
     forest, edges = Forest(), []
-    for _, a, b in sorted(pairs):
-        if forest.find(int(ids[a])) == forest.find(int(ids[b])):
+    for _, a, b in sorted(candidates(group, percent)):
+        if forest.find(int(component[a])) == forest.find(int(component[b])):
             continue
         common = len(full(a) & full(b))
         if 100 * common >= percent * (len(full(a)) + len(full(b)) - common):
-            forest.join(int(ids[a]), int(ids[b]))
+            forest.join(int(component[a]), int(component[b]))
             edges.append((int(ids[a]), int(ids[b])))
     return edges
 
 
-def links(signed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (src, dst) between classes, enough to join all that links join. signed: one row for each class."""
-    banded = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
-    kept = buckets.where("size > 1").groupBy("size", "least", "members").agg(F.min(F.struct("band", "key")).alias("bucket")).select("bucket.*", "size")
-    members = materialize(banded.join(kept, ["band", "key"]), "buckets")
-    parts = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), parts).cast("int")
-    rows = members.withColumns({"part": own, "other": F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))})
-    rows = rows.select("doc_id", "band", "key", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rows = rows.join(signed.select("doc_id", "n_shingles", "bands", "signature", "packed"), "doc_id")
-    keys = ["band", "key", "i", "j"]
+BLOCKS = ["band", "key", "kind", "i", "j"]
+SIDES = "band int, key long, kind int, i int, j int, doc_id long, component long, is_left boolean, is_right boolean"
+
+
+def _edges(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """rows: SIDES with the columns of signed. Confirmed edges (src, dst) within the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for group in contiguous(batches, keys):
+        for group in contiguous(batches, BLOCKS):
             if len(group) > 1:
                 found += compare(group, width, percent)
             if len(found) > 10_000:
@@ -204,7 +206,61 @@ def links(signed: DataFrame, width: int, percent: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["src", "dst"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
+    return rows.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(run, "src long, dst long")
+
+
+def _left_over(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: SIDES with the columns of signed but the texts. The rows of SIDES that have a pair left to confirm."""
+    names = [f.split()[0] for f in SIDES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in contiguous(batches, BLOCKS):
+            places = {x for _, a, b in candidates(group, percent) for x in (a, b)} if len(group) > 1 else ()
+            if places:
+                yield from group.select(names).take(pa.array(sorted(places))).combine_chunks().to_batches()
+
+    return rows.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(run, SIDES)
+
+
+def _across(members: DataFrame, edges: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Edges between members of buckets of several parts that edges do not join yet; None if all are joined."""
+    component = connected_components(edges).select(F.col("node").alias("doc_id"), "component")
+    large = members.where(F.col("size") > BLOCK).join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    counts = large.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    split = counts.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("components"), (F.sum("n") - F.max("n")).alias("minor"), F.max("n").alias("major"))
+    large = materialize(large.join(split.where("components > 1"), ["band", "key"]), "large")
+    if not large.limit(1).count():
+        return None
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK).cast("int"))
+    is_minor = F.col("component") != F.col("most")
+    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(is_minor, parts("minor")).otherwise(parts("major")).cast("long")).cast("int")
+    each = lambda n: F.sequence(F.lit(0), parts(n) - 1)
+    block = lambda kind, i, j, left, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("is_left"), right.alias("is_right"))
+    yes, no, p = F.lit(True), F.lit(False), F.col("own")
+    to_major = F.transform(each("major"), lambda j: block(1, p, j, yes, no))
+    to_minor = F.transform(each("minor"), lambda q: block(2, F.least(p, q), F.greatest(p, q), p <= q, p >= q))
+    from_major = F.transform(each("minor"), lambda i: block(1, i, p, no, yes))
+    rows = large.withColumn("own", own).select("band", "key", "doc_id", "component", F.explode(F.when(is_minor, F.concat(to_major, to_minor)).otherwise(from_major)).alias("at"))
+    rows = rows.select("band", "key", "at.kind", "at.i", "at.j", "doc_id", "component", "at.is_left", "at.is_right")
+    left = materialize(_left_over(rows.join(signed.select("doc_id", "n_shingles", "bands", "signature"), "doc_id"), percent), "left")
+    return _edges(left.join(signed.select("doc_id", "n_shingles", "bands", "signature", "packed"), "doc_id"), width, percent)
+
+
+def links(signed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges between classes, enough to join all that links join. signed: one row for each class."""
+    banded = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
+    kept = buckets.where("size > 1").groupBy("size", "least", "members").agg(F.min(F.struct("band", "key")).alias("bucket")).select("bucket.*", "size")
+    members = materialize(banded.join(kept, ["band", "key"]), "buckets")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = members.select("band", "key", F.pmod(F.xxhash64("doc_id", F.lit(7)), parts.cast("long")).cast("int").alias("i"), "doc_id")
+    picked = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(100 + n))) for n in range(REPS)]
+    reps = members.where(F.col("size") > BLOCK).groupBy("band", "key", "size").agg(F.array_distinct(F.array(*picked)).alias("reps"))
+    reps = reps.select("band", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), "reps").select("band", "key", "i", F.explode("reps").alias("doc_id"))
+    rows = own.unionByName(reps).withColumns({"kind": F.lit(0), "j": F.col("i"), "component": F.col("doc_id"), "is_left": F.lit(True), "is_right": F.lit(True)})
+    edges = materialize(_edges(rows.join(signed.select("doc_id", "n_shingles", "bands", "signature", "packed"), "doc_id"), width, percent), "links")
+    more = _across(members, edges, signed, width, percent)
+    return edges if more is None else edges.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,7 +269,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     Documents are linked whose shingle sets have a Jaccard similarity of at
     least percent/100; a component's smallest id is kept.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    with scratch(spark) as keep:
+        return keep(materialize(_grouped(docs, width, percent, doc_id, text), "near"))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     signed = materialize(sign(docs, doc_id, text, width, percent), "signed")
     classes = signed.where("n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("class"))
     first = signed.join(classes.select(F.col("fingerprint").alias("f"), "class"), (F.col("fingerprint") == F.col("f")) & (F.col("doc_id") == F.col("class"))).drop("f", "class")

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -65,7 +66,7 @@ def near_texts():
 
 
 @pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-@pytest.mark.parametrize("block", [300, 4])
+@pytest.mark.parametrize("block", [300, 9, 3])
 def test_minhash(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     texts = near_texts()
@@ -76,7 +77,20 @@ def test_minhash(spark, monkeypatch, width, percent, block):
     assert [tuple(r) for r in found] == [(i, len(s), c, i == c) for i, (s, c) in enumerate(zip(sets, root))]
 
 
+def test_minhash_of_a_hot_bucket(spark):
+    """20,000 distinct near copies in one bucket: work in proportion to them, and one group."""
+    rng = random.Random(17)
+    base = prose(rng, 110, 3000).split()
+    one = lambda k: " ".join([*base[:k % 80], f"x{k}", *base[k % 80 + 1 :]])
+    df = spark.createDataFrame([(k, one(k)) for k in range(20_000)] + [(50_000 + k, prose(rng, 100, 3000)) for k in range(50)], "doc_id long, text string").repartition(8)
+    began = time.perf_counter()
+    found = minhash.near_duplicates(df, 3, 85).groupBy("component_id").count().orderBy(F.desc("count")).collect()
+    assert [r["count"] for r in found] == [20_000] + [1] * 50 and time.perf_counter() - began < 240
+
+
 def test_minhash_edges(spark):
+    more = docs(spark, ["a b c d", "a b c d"]).withColumns({c: F.lit(9) for c in ("kept", "component_id", "n_shingles", "band", "key", "component")})
+    assert sorted(tuple(r) for r in minhash.near_duplicates(more, 3, 85).collect()) == [(0, 2, 0, True), (1, 2, 0, False)]
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c")], "doc_id long, text string")
     assert sorted(tuple(r) for r in minhash.near_duplicates(rows).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
@@ -168,11 +182,37 @@ def test_embedding_dedup(spark, monkeypatch, cell, block):
     root = union_find(len(rows), pairs)
     n = collections.Counter(x for p in pairs for x in p)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
-    found = embedding_dedup.near_duplicates(df).orderBy("vec_id").collect()
+    found = embedding_dedup.near_duplicates(df, replicas=None).orderBy("vec_id").collect()
     assert [tuple(r) for r in found] == [(rows[i][0], n[i], rows[root[i]][0], root[i] == i) for i in range(len(rows))]
+    clashing = df.withColumns({c: F.lit(9) for c in ("id", "vector", "copies", "dims", "cell", "home", "kept", "n_links")})
+    near = embedding_dedup.near_duplicates(clashing).orderBy("vec_id").collect()
+    assert all(a["n_links"] <= b["n_links"] for a, b in zip(near, found)) and sum(r["n_links"] for r in near) >= 0.9 * sum(n.values())
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("replicas", [None, 4])
+def test_embedding_recall(spark, monkeypatch, replicas):
+    """Many cells, links within and across them: counts from brute force; the bounded form finds 0.9 of them at least."""
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 20)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 16))
+    x[300:] = x[rng.integers(0, 300, 300)] + rng.normal(size=(300, 16)) * 0.1
+    x = np.float32(x).astype(float)
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (y @ y.T >= 0.98) & ~np.eye(600, dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    found = np.array([r["n_links"] for r in embedding_dedup.near_duplicates(df, replicas=replicas).orderBy("vec_id").collect()])
+    assert (found <= links.sum(1)).all() and found.sum() >= (1 if replicas is None else 0.9) * links.sum() and links.sum() > 300
+
+
+def test_embedding_sizes(spark):
+    """Components whose squares no double holds."""
+    rows = [(1, [1e-300, 2e-300]), (2, [2e300, 4e300]), (3, [1e-200, -1e-200])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    assert [embedding_dedup.cell_count(n) for n in (0, 1, 1024, 1025, 10**6, 10**10)] == [1, 1, 1, 2, 977, 100_000]
+
+
 @pytest.mark.parametrize("block,step", [(4096, 64), (16, 2)])
 def test_top_k(spark, monkeypatch, block, step):
     monkeypatch.setattr(topk, "BLOCK", block)
