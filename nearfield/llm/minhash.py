@@ -40,7 +40,8 @@ HASHES = 125
 MISSED = 1e-6
 #: Pairs whose signatures agree less than this much below the threshold are not compared further (5.3 standard deviations).
 SLACK = 0.17
-BLOCK = 300
+BLOCK = 300  # rows with texts compared in one go
+SIGNATURE_BLOCK = 4096  # the same without texts
 REPS = 4
 CHUNK = 1 << 20  # bytes of text hashed together
 
@@ -222,6 +223,23 @@ def _left_over(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(run, SIDES)
 
 
+def _smaller(left: DataFrame) -> DataFrame:
+    """The blocks of signatures as blocks of at most about BLOCK rows a side."""
+    at = ["band", "key", "kind", "i", "j"]
+    sides = left.groupBy(*at).agg(*[F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col(c), 1)) / BLOCK)).cast("int").alias(n) for c, n in (("is_left", "lefts"), ("is_right", "rights"))])
+    same = (F.col("kind") == 2) & (F.col("i") == F.col("j"))
+    hash_ = F.xxhash64("doc_id", F.lit(11))
+    p, q = F.pmod(hash_, F.col("lefts").cast("long")).cast("int"), F.pmod(hash_, F.col("rights").cast("long")).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda a, b, x, y: F.struct(a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y"))
+    within = F.transform(each("lefts"), lambda o: place(F.least(p, o), F.greatest(p, o), p <= o, p >= o))
+    as_left = F.transform(each("rights"), lambda o: place(p, o, F.lit(True), F.lit(False)))
+    as_right = F.transform(each("lefts"), lambda o: place(o, q, F.lit(False), F.lit(True)))
+    rows = left.join(sides, at).withColumn("at", F.explode(F.when(same, within).when(F.col("is_left"), as_left).otherwise(as_right)))
+    # The parts' numbers go into i and j, which stay apart from those of other blocks.
+    return rows.select("band", "key", "kind", (F.col("i") * 4096 + F.col("at.a")).alias("i"), (F.col("j") * 4096 + F.col("at.b")).alias("j"), "doc_id", "component", F.col("at.x").alias("is_left"), F.col("at.y").alias("is_right"))
+
+
 def _across(members: DataFrame, edges: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame | None:
     """Edges between members of buckets of several parts that edges do not join yet; None if all are joined."""
     component = connected_components(edges).select(F.col("node").alias("doc_id"), "component")
@@ -231,7 +249,7 @@ def _across(members: DataFrame, edges: DataFrame, signed: DataFrame, width: int,
     large = materialize(large.join(split.where("components > 1"), ["band", "key"]), "large")
     if not large.limit(1).count():
         return None
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK).cast("int"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / SIGNATURE_BLOCK).cast("int"))
     is_minor = F.col("component") != F.col("most")
     own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(is_minor, parts("minor")).otherwise(parts("major")).cast("long")).cast("int")
     each = lambda n: F.sequence(F.lit(0), parts(n) - 1)
@@ -243,12 +261,12 @@ def _across(members: DataFrame, edges: DataFrame, signed: DataFrame, width: int,
     rows = large.withColumn("own", own).select("band", "key", "doc_id", "component", F.explode(F.when(is_minor, F.concat(to_major, to_minor)).otherwise(from_major)).alias("at"))
     rows = rows.select("band", "key", "at.kind", "at.i", "at.j", "doc_id", "component", "at.is_left", "at.is_right")
     left = materialize(_left_over(rows.join(signed.select("doc_id", "n_shingles", "bands", "signature"), "doc_id"), percent), "left")
-    return _edges(left.join(signed.select("doc_id", "n_shingles", "bands", "signature", "packed"), "doc_id"), width, percent)
+    return _edges(_smaller(left).join(signed.select("doc_id", "n_shingles", "bands", "signature", "packed"), "doc_id"), width, percent)
 
 
-def links(signed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges between classes, enough to join all that links join. signed: one row for each class."""
-    banded = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
+def links(classes: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges between classes (doc_id, bands), enough to join all that links join."""
+    banded = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
     kept = buckets.where("size > 1").groupBy("size", "least", "members").agg(F.min(F.struct("band", "key")).alias("bucket")).select("bucket.*", "size")
     members = materialize(banded.join(kept, ["band", "key"]), "buckets")
@@ -277,8 +295,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 def _grouped(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     signed = materialize(sign(docs, doc_id, text, width, percent), "signed")
     classes = signed.where("n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("class"))
-    first = signed.join(classes.select(F.col("fingerprint").alias("f"), "class"), (F.col("fingerprint") == F.col("f")) & (F.col("doc_id") == F.col("class"))).drop("f", "class")
-    edges = links(first, width, percent)
+    keys = signed.select("doc_id", "fingerprint", "bands")  # the wide columns are joined only where they are compared
+    first = keys.join(classes, "fingerprint").where("doc_id = class").select("doc_id", "bands")
+    edges = links(first, signed, width, percent)
     component = connected_components(edges).select(F.col("node").alias("class"), "component")
     whole = classes.join(component, "class", "left").select("fingerprint", F.coalesce("component", "class").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "fingerprint").join(whole, "fingerprint", "left")

@@ -66,9 +66,10 @@ def near_texts():
 
 
 @pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-@pytest.mark.parametrize("block", [300, 9, 3])
-def test_minhash(spark, monkeypatch, width, percent, block):
+@pytest.mark.parametrize("block,large", [(300, 4096), (9, 4096), (3, 10)])
+def test_minhash(spark, monkeypatch, width, percent, block, large):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SIGNATURE_BLOCK", large)
     texts = near_texts()
     sets = [shingle_set(t, width) for t in texts]
     links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
