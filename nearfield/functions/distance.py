@@ -96,12 +96,6 @@ def int8_codes(a: Column | str) -> Column:
     return F.transform(_col(a), lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") / step).cast("int"))))
 
 
-def int8_error(codes: Column | str, step: Column | str, dims: int) -> Column:
-    """An upper bound of the dot product's error against another vector with step 1: step * (sum |code| / 2 + dims / 4), with a margin."""
-    total = F.aggregate(_col(codes), F.lit(0), lambda s, x: s + F.abs(x))
-    return _col(step) * ((total / 2 + dims / 4.0) * (1 + 1e-6) + 16.0)
-
-
 def pq_reconstruct(codes: Column | str, codebooks: Column | str) -> Column:
     """The vector that codes stand for; codebooks: subspace -> code -> part."""
     return F.flatten(F.transform(_col(codes), lambda c, m: F.element_at(F.element_at(_col(codebooks), m + 1), c.cast("int") + 1)))

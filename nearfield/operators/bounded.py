@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nearfield.operators.knn import _pairs_schema, best_per_query, exact_distances, matrix
+from nearfield.operators.knn import _pairs_schema, best_per_query, exact_distances, matrix, sent_queries
 from nearfield.plans.config import SearchFailed
 from nearfield.runtime import prepare
 
@@ -54,12 +54,12 @@ def bounded_best(query: np.ndarray, rows: np.ndarray, codes: np.ndarray, step: n
 
 
 def knn_join_bounded(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """The k-NN join with the prefilter; the result is that of the other forms."""
+    """The k-NN join with the prefilter; the result is that of the other forms.
+    The queries are broadcast, and too many of them are an error."""
     if metric == "hamming":
         raise SearchFailed("bits have no 8-bit codes")
     spark = prepare(corpus.sparkSession)
-    table = queries.select("id", "vector").toArrow()
-    shared = spark.sparkContext.broadcast((table["id"].combine_chunks(), matrix(table["vector"])))
+    shared = spark.sparkContext.broadcast(sent_queries(queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value

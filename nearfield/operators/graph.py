@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,10 +107,10 @@ def prune(edges: DataFrame, corpus: DataFrame, degree: int, metric: str = "cosin
     return joined.groupBy("src").applyInArrow(run, schema)
 
 
-def hnsw_level(key: Column | str, levels: int = 6) -> Column:
-    """floor(-ln(u) / ln 2), at most levels; u comes from a hash of the id, so reruns agree."""
-    u = (F.pmod(F.xxhash64(key), F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
-    return F.least(F.lit(levels), F.floor(-F.log(u) / math.log(2))).cast("int")
+def hnsw_level(key: str, levels: int = 6) -> Column:
+    """floor(-log2(u)), at most levels; u comes from the md5 of the id, so reruns agree. Counted in whole numbers: u <= 2 ** -l."""
+    u = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 13), 16, 10).cast("long") + 1  # of 2 ** 52
+    return sum((F.when(u <= 1 << (52 - level), 1).otherwise(0) for level in range(1, levels + 1)), F.lit(0)).cast("int")
 
 
 def hnsw_layers(corpus: DataFrame, m: int = 8, levels: int = 6, metric: str = "cosine") -> DataFrame:
@@ -155,8 +155,9 @@ def walk(vectors: np.ndarray, neighbours: list[np.ndarray], entry: int, query: n
 
 
 def beam_search(queries: DataFrame, corpus: DataFrame, edges: DataFrame, k: int, ef: int = 64, metric: str = "cosine", layers: DataFrame | None = None) -> DataFrame:
-    """Walks over the graph, from its entry point or down through the skip layers. The
-    graph is broadcast, so its size is checked; larger ones are searched by joins."""
+    """Walks over the graph, from its entry point or down through the skip layers. Each task walks for
+    its queries over the whole graph, which is broadcast: its size is checked before anything is collected, and for larger
+    ones there are IVFFlat and the k-NN joins."""
     if ef < k:
         raise SearchFailed("ef must be at least k")
     spark = prepare(corpus.sparkSession)
@@ -165,16 +166,16 @@ def beam_search(queries: DataFrame, corpus: DataFrame, edges: DataFrame, k: int,
     nodes = corpus.select("id", "vector").orderBy("id").toArrow()
     ids = nodes["id"].to_pylist()
     place = {x: i for i, x in enumerate(ids)}
-    adjacent: list[list[int]] = [[] for _ in ids]
-    for r in edges.select("src", "dst").collect():
-        adjacent[place[r["src"]]].append(place[r["dst"]])
-        adjacent[place[r["dst"]]].append(place[r["src"]])
+    links = edges.select("src", "dst").toArrow()  # degree rows a node
+    ends = [pc.index_in(links[n], value_set=nodes["id"]).to_numpy().astype(np.int64) for n in ("src", "dst")]
+    both = np.unique(np.stack((np.concatenate(ends), np.concatenate(ends[::-1])), 1), axis=0)
+    adjacent = np.split(both[:, 1], np.searchsorted(both[:, 0], np.arange(1, len(ids))))
     degree = max(1, edges.agg(F.max("slot")).first()[0] + 1)
     entry = place[entry_point(edges, degree).first()["src"]]
     skips: dict[int, dict[int, list[int]]] = {}
     for r in layers.collect() if layers is not None else []:
         skips.setdefault(r["layer"], {}).setdefault(place[r["src"]], []).append(place[r["dst"]])
-    shared = spark.sparkContext.broadcast((nodes["id"].combine_chunks(), matrix(nodes["vector"]), [np.unique(np.array(a, np.int64)) for a in adjacent], entry, skips))
+    shared = spark.sparkContext.broadcast((nodes["id"].combine_chunks(), matrix(nodes["vector"]), adjacent, entry, skips))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, vectors, neighbours, first, down = shared.value

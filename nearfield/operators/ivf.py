@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.distance import distance
 from nearfield.operators import kmeans
-from nearfield.operators.knn import best_per_query, knn_join, matrix, pairwise
+from nearfield.operators.knn import CORPUS_BLOCK, QUERY_BLOCK, _pairs_schema, best_per_query, knn_join, matrix, meeting, pairwise
 from nearfield.plans.config import ShardConfig
 from nearfield.plans.planner import list_count
+from nearfield.runtime import materialize
 
 
 def distances(queries: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
@@ -81,17 +81,29 @@ def probes_for(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, trut
     return least(held.join(ranked, ["query_id", "list_id"]).select("place"), share)
 
 
-def probe_join(asked: DataFrame, lists: DataFrame, k: int, metric: str) -> DataFrame:
-    """Distances within the probed lists only: an equi-join on the list, then the k best a query."""
-    pairs = lists.select("list_id", "id", "vector").join(asked, "list_id")
-    return best_per_query(pairs.select("query_id", "id", distance("vector", "query", metric).alias("distance")), k)
+def list_blocks(lists: DataFrame) -> DataFrame:
+    """Rows (list_id, c_rows): the lists in blocks of at most about CORPUS_BLOCK (id, vector), written once for all searches."""
+    parts = lists.groupBy("list_id").agg(F.ceil(F.count("*") / CORPUS_BLOCK).alias("parts"))  # one row a list
+    rows = lists.select("list_id", "id", "vector").join(parts, "list_id")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    return materialize(rows.groupBy("list_id", part.alias("part")).agg(F.collect_list(F.struct("id", "vector")).alias("c_rows")).select("list_id", "c_rows"), "lists")
+
+
+def probe_join(asked: DataFrame, blocks: DataFrame, queries: int, k: int, metric: str, schema) -> DataFrame:
+    """Distances within the probed lists only: an equi-join on the list of blocks of queries and of rows, one matrix
+    product a pair of blocks, then the k best a query."""
+    part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries // QUERY_BLOCK)))).cast("int")
+    packed = asked.groupBy("list_id", part.alias("part")).agg(F.collect_list(F.struct(F.col("query_id").alias("id"), F.col("query").alias("vector"))).alias("q_rows"))
+    return best_per_query(packed.join(blocks.hint("merge"), "list_id").select("q_rows", "c_rows").mapInArrow(meeting(metric, k), schema), k)
 
 
 class IVFFlat:
-    """Lists of exact vectors. Written, they are directories by list, so a probe reads few files."""
+    """Lists of exact vectors, assigned once. Their blocks are written at the first search and read by all that
+    follow; by write(), they are directories by list, so a probe reads few files."""
 
     def __init__(self, lists: DataFrame, centroids: np.ndarray, metric: str):
         self.lists, self.centroids, self.metric = lists, centroids, metric
+        self._blocks: DataFrame | None = None
 
     @classmethod
     def build(cls, corpus: DataFrame, metric: str = "cosine", lists: int = 256, seed: int = 42) -> IVFFlat:
@@ -99,13 +111,16 @@ class IVFFlat:
         count = list_count(lists, rows)
         size = min(rows, max(count, min(4096, max(16 * count, count))))
         centroids = kmeans.fit_on(corpus, count, size, 8, metric, seed)
-        return cls(kmeans.assign(corpus, centroids, metric), centroids, metric)
+        return cls(materialize(kmeans.assign(corpus, centroids, metric), "assigned"), centroids, metric)
 
     def write(self, path: str) -> None:
         self.lists.repartition("list_id").sortWithinPartitions("list_id").write.partitionBy("list_id").parquet(path)
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 4) -> DataFrame:
-        return probe_join(probes(queries, self.centroids, nprobe, self.metric), self.lists, k, self.metric)
+        if self._blocks is None:
+            self._blocks = list_blocks(self.lists)
+        asked = probes(queries, self.centroids, nprobe, self.metric)
+        return probe_join(asked, self._blocks, queries.count(), k, self.metric, _pairs_schema(queries, self.lists))
 
     def probes_for(self, k: int, recall: float = 0.9) -> int:
         """How many probes find the given share of the k nearest, measured on rows of this index against an exact search."""
@@ -131,7 +146,7 @@ class Sharded(IVFFlat):
         placed = kmeans.assign(corpus, centroids, metric)
         large = {r["list_id"] for r in placed.groupBy("list_id").count().where("count > 1").collect()}  # at most config.shards rows
         kept = centroids[sorted(large)] if large else centroids
-        return cls(kmeans.assign(corpus, kept, metric), kept, metric)
+        return cls(materialize(kmeans.assign(corpus, kept, metric), "assigned"), kept, metric)
 
     def sizes(self) -> DataFrame:
         return kmeans.list_sizes(self.lists)

@@ -121,20 +121,68 @@ def _pairs_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("id", corpus.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
 
 
-def knn_join_kernel(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
-    """The k-NN join by matrix products: the corpus stays where it is, each task returns
-    the k best rows of its batches for every query. The query matrix is broadcast, so its size is checked."""
-    spark = prepare(corpus.sparkSession)
-    table = queries.select("id", "vector").toArrow()
-    sent = matrix(table["vector"])
-    if sent.nbytes > BROADCAST_BYTES:
+def within(queries: np.ndarray, rows: np.ndarray, radius: float, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, row place, distance) of all pairs with distance <= radius; a matrix product bounds the candidates."""
+    found = pairwise(queries, rows, metric)
+    if not found.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    place, row = np.nonzero(found <= radius + 1e-9 * (1.0 + np.abs(found).max()))
+    parts = [exact_distances(queries[place[i : i + 65536]], rows[row[i : i + 65536]], metric) for i in range(0, len(place), 65536)]
+    exact = np.concatenate([np.zeros(0), *parts])
+    keep = exact <= radius
+    return place[keep], row[keep], exact[keep]
+
+
+def _order(ids: pa.Array) -> np.ndarray:
+    key = ids.to_numpy(zero_copy_only=False)
+    return np.argsort(np.argsort(key, kind="stable"), kind="stable") if key.dtype == object else key
+
+
+def sent_queries(queries: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """Ids and matrix of queries that are to be broadcast. Their size is checked before anything is collected."""
+    n, dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if n * (dims or 0) * 8 > BROADCAST_BYTES:
         raise SearchFailed("too many queries for a broadcast; use the blocks form")
-    shared = spark.sparkContext.broadcast((table["id"].combine_chunks(), sent))
+    table = queries.select("id", "vector").toArrow()
+    return table["id"].combine_chunks(), matrix(table["vector"])
+
+
+class Best:
+    """The k best (query place, id, distance) rows of each query among those added, in about k rows a query."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.most = k, max(65536, 4 * queries * k)
+        self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, place: np.ndarray, ids: pa.Array, distance: np.ndarray) -> None:
+        self.held.append((place, ids, distance))
+        self.size += len(place)
+        if self.size > self.most:
+            self.held = [self.rows()]
+            self.size = len(self.held[0][0])
+
+    def rows(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        place, distance = (np.concatenate([h[i] for h in self.held]) for i in (0, 2))
+        ids = pa.concat_arrays([h[1] for h in self.held])
+        order = np.lexsort((_order(ids), distance, place))
+        place = place[order]
+        first = np.arange(len(place)) - np.searchsorted(place, place) < self.k
+        return place[first], ids.take(pa.array(order[first])), distance[order[first]]
+
+
+NAMES = ["query_id", "id", "distance"]
+
+
+def _kernel(queries: DataFrame, corpus: DataFrame, metric: str, k: int | None, radius: float | None) -> DataFrame:
+    """Pairs by matrix products: the corpus stays where it is and meets the broadcast queries. With k, a
+    task gives the k best rows of its partition for every query, else all within the radius."""
+    spark = prepare(corpus.sparkSession)
+    shared = spark.sparkContext.broadcast(sent_queries(queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = shared.value
-        names = ["query_id", "id", "distance"]
-        held: list[pa.RecordBatch] = []
+        best = Best(len(q), k or 0)
         for batch in batches:
             if not batch.num_rows or not len(q):
                 continue
@@ -144,15 +192,21 @@ def knn_join_kernel(queries: DataFrame, corpus: DataFrame, k: int, metric: str)
                 if rows.shape[1] != q.shape[1]:
                     raise DimensionMismatch(rows.shape[1], q.shape[1])
                 for a in range(0, len(q), QUERY_BLOCK):
-                    place, row, d = block_best(q[a : a + QUERY_BLOCK], rows, part.column(0), k, metric)
-                    held.append(pa.RecordBatch.from_arrays([query_ids.take(pa.array(place + a)), part.column(0).take(pa.array(row)), pa.array(d)], names))
-        yield from held
+                    if k is not None:
+                        place, row, d = block_best(q[a : a + QUERY_BLOCK], rows, part.column(0), k, metric)
+                        best.add(place + a, part.column(0).take(pa.array(row)), d)
+                    else:
+                        place, row, d = within(q[a : a + QUERY_BLOCK], rows, radius, metric)
+                        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(place + a)), part.column(0).take(pa.array(row)), pa.array(d)], NAMES)
+        if best.held:
+            place, ids, d = best.rows()
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(place)), ids, pa.array(d)], NAMES)
 
-    return best_per_query(corpus.select("id", "vector").mapInArrow(run, _pairs_schema(queries, corpus)), k)
+    return corpus.select("id", "vector").mapInArrow(run, _pairs_schema(queries, corpus))
 
 
-def knn_join_blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
-    """The k-NN join for any number of queries: blocks of queries meet blocks of the corpus, nothing is broadcast."""
+def _blocks(queries: DataFrame, corpus: DataFrame, metric: str, k: int | None, radius: float | None) -> DataFrame:
+    """The same for any number of queries: blocks of queries meet blocks of the corpus, nothing is broadcast."""
     prepare(corpus.sparkSession)
 
     def packed(df: DataFrame, size: int, side: str) -> tuple[DataFrame, int]:
@@ -163,15 +217,31 @@ def knn_join_blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str)
     left, _ = packed(queries, QUERY_BLOCK, "q")
     right, blocks = packed(corpus, CORPUS_BLOCK, "c")
     met = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right.hint("merge"), "c")
+    return met.select("q_rows", "c_rows").mapInArrow(meeting(metric, k, radius), _pairs_schema(queries, corpus))
+
+
+def meeting(metric: str, k: int | None, radius: float | None = None):
+    """Of rows (q_rows, c_rows), lists of (id, vector): each query's k best of the block, or all within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 q, c = (batch.column(batch.schema.names.index(n))[i].values for n in ("q_rows", "c_rows"))
-                place, row, d = block_best(matrix(q.field("vector")), matrix(c.field("vector")), c.field("id"), k, metric)
-                yield pa.RecordBatch.from_arrays([q.field("id").take(pa.array(place)), c.field("id").take(pa.array(row)), pa.array(d)], ["query_id", "id", "distance"])
+                a, b = matrix(q.field("vector")), matrix(c.field("vector"))
+                place, row, d = block_best(a, b, c.field("id"), k, metric) if k is not None else within(a, b, radius, metric)
+                yield pa.RecordBatch.from_arrays([q.field("id").take(pa.array(place)), c.field("id").take(pa.array(row)), pa.array(d)], NAMES)
 
-    return best_per_query(met.select("q_rows", "c_rows").mapInArrow(run, _pairs_schema(queries, corpus)), k)
+    return run
+
+
+def knn_join_kernel(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
+    """The k-NN join by matrix products over broadcast queries of a checked size."""
+    return best_per_query(_kernel(queries, corpus, metric, k, None), k)
+
+
+def knn_join_blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
+    """The k-NN join for any number of queries."""
+    return best_per_query(_blocks(queries, corpus, metric, k, None), k)
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", form: str | None = None) -> DataFrame:
@@ -186,13 +256,15 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     return {"expression": knn_join_expression, "kernel": knn_join_kernel, "blocks": knn_join_blocks}[form](queries, corpus, k, metric)
 
 
-def range_join(queries: DataFrame, corpus: DataFrame, radius: float, metric: str = "cosine", limit: int | None = 1000) -> DataFrame:
-    """All (query_id, id, distance) with distance <= radius, at most limit a query, ranked."""
+def range_join(queries: DataFrame, corpus: DataFrame, radius: float, metric: str = "cosine", limit: int | None = 1000, form: str | None = None) -> DataFrame:
+    """All (query_id, rank, id, distance) with distance <= radius, ranked, at most limit a query. form: kernel
+    (broadcast queries of a checked size) or blocks; None chooses by that size."""
     if radius < 0 and metric != "inner_product":
         queries = queries.limit(0)
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    pairs = corpus.select("id", "vector").join(q, F.lit(True)).select("query_id", "id", distance("vector", "query", metric).alias("distance"))
-    found = pairs.where(F.col("distance") <= radius)
+    if form is None:
+        n, dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+        form = "kernel" if n * (dims or 0) * 8 <= BROADCAST_BYTES else "blocks"
+    found = {"kernel": _kernel, "blocks": _blocks}[form](queries, corpus, metric, None, radius)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     found = found.withColumn("rank", rank).select("query_id", "rank", "id", "distance")
     return found if limit is None else found.where(F.col("rank") <= limit)

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.operators import kmeans
-from nearfield.functions.distance import distance
+from nearfield.functions.distance import adc, distance
 from nearfield.operators.ivf import MARGIN, least, probes, probes_for, trials
-from nearfield.operators.knn import best_per_query, knn_join, matrix, pairwise
-from nearfield.plans.config import ConstructionFailed, DimensionMismatch, IdAlreadyExists, IndexEmpty, IVFPQConfig
+from nearfield.operators.knn import best_per_query, knn_join, matrix, pairwise, sent_queries
+from nearfield.plans.config import ConstructionFailed, DimensionMismatch, IdAlreadyExists, IndexEmpty, IVFPQConfig, SearchFailed
+from nearfield.plans.planner import BROADCAST_BYTES
 from nearfield.runtime import materialize, prepare
 
 CODES = 256
@@ -81,6 +82,20 @@ def normalize(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("vector", normalized("vector"))
 
 
+def adc_search(coded: DataFrame, quantizer: ProductQuantizer, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """Rows (query_id, rank, id, distance) by the tables of each query, over given codes (id, codes), without lists.
+    The tables are broadcast, and too many queries are an error."""
+    names, points = sent_queries(queries)
+    size = quantizer.codebooks.shape[0] * quantizer.codebooks.shape[1] * 8
+    if len(points) * size > BROADCAST_BYTES:
+        raise SearchFailed("too many queries for a broadcast of their tables")
+    spark = prepare(coded.sparkSession)
+    kind = queries.schema["id"].dataType.simpleString()
+    tables = spark.createDataFrame([(n, quantizer.tables(p, metric).tolist()) for n, p in zip(names.to_pylist(), points)], f"query_id {kind}, tables array<array<double>>")
+    pairs = coded.select("id", "codes").crossJoin(F.broadcast(tables))
+    return best_per_query(pairs.select("query_id", "id", adc("codes", "tables").alias("distance")), k)
+
+
 class IVFPQ:
     def __init__(self, config: IVFPQConfig, centroids: np.ndarray, quantizer: ProductQuantizer, rows: DataFrame | None = None):
         self.config, self.centroids, self.quantizer, self.rows = config, centroids, quantizer, rows
@@ -120,21 +135,24 @@ class IVFPQ:
                     continue
                 lists = batch.column(2).to_numpy()
                 codes = np.array(batch.column(4).flatten()).reshape(batch.num_rows, -1)
-                names = np.array(batch.column(0).to_pylist(), object)
                 out = np.zeros(batch.num_rows)
-                pairs: dict = {}
-                for i, key in enumerate(zip(names.tolist(), lists.tolist())):
-                    pairs.setdefault(key, []).append(i)
-                for (name, number), at in pairs.items():
-                    if (name, number) not in held:
-                        query = np.array(batch.column(3)[at[0]].as_py(), float)
+                # Rows by (query, list): one table each, kept from batch to batch.
+                name = batch.column(0).dictionary_encode()
+                key = name.indices.to_numpy().astype(np.int64) << 32 | lists
+                order = np.argsort(key, kind="stable")
+                starts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+                for at in np.split(order, starts[1:]):
+                    number = int(lists[at[0]])
+                    pair = name[int(at[0])].as_py(), number
+                    if pair not in held:
+                        query = np.array(batch.column(3)[int(at[0])].as_py(), float)
                         if len(held) > 4096:
                             held.clear()
                         if metric == "inner_product":
-                            held[name, number] = pq.tables(query, metric), -float(query @ c[number])
+                            held[pair] = pq.tables(query, metric), -float(query @ c[number])
                         else:
-                            held[name, number] = pq.tables(query - c[number]), 0.0
-                    table, base = held[name, number]
+                            held[pair] = pq.tables(query - c[number]), 0.0
+                    table, base = held[pair]
                     out[at] = base + table[np.arange(codes.shape[1]), codes[at]].sum(1)
                 if metric == "cosine":
                     out = out / 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 #: Query matrices up to this size are broadcast; above it queries meet the corpus in blocks.
@@ -22,15 +23,16 @@ def choose(mode: str, rows: int, queries: int, dims: int, metric: str, has_filte
     hamming, and fewer lists to read than there are."""
     if mode == "fast" and rows >= IVF_LEAST_ROWS and metric != "hamming" and not has_filter and nprobe < lists:
         return Plan("ivf", "fast mode over inverted lists")
-    if metric == "hamming" or rows * queries < KERNEL_PAIRS:
-        return Plan("expression", "few distances, or bits that the JVM counts")
+    if rows * queries < KERNEL_PAIRS:
+        return Plan("expression", "few distances")
     if queries * dims * 8 <= BROADCAST_BYTES:
         return Plan("kernel", "the queries fit into a broadcast")
     return Plan("blocks", "queries and corpus meet block by block")
 
 
 def list_count(requested: int, rows: int) -> int:
-    """The number of inverted lists: 256 stands for min(256, max(16, rows / 64)); others are clamped."""
+    """The number of inverted lists: 256 stands for rows / 64, at least 16, and from 16,384 rows on for twice their
+    square root, so that lists and their number grow alike; others are clamped."""
     if requested == 256:
-        requested = min(256, max(16, rows // 64))
+        requested = max(16, rows // 64 if rows <= 16_384 else 2 * math.isqrt(rows))
     return max(1, min(requested, rows))

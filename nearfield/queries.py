@@ -3,8 +3,8 @@
 Vectors are `embeddings`, scaled by 1 + vec_id % 7 so that metrics rank differently.
 Distances are rounded to six places for comparison, after ranking.
 
-Queries whose SQL fixes a few query rows or a part of the table stay as that SQL says. Their
-siblings named *_whole do the whole job: every row is searched, and every row with EVERY asks.
+Every query works on whole tables: all rows are searched, and every row with EVERY asks. Where a model
+is fitted or a search is approximate, a query gives its rows, and one named *_recall says whether they hold what they must.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def _ranked(source: str, k: int, extra: str = "") -> str:
     return f"SELECT query_id, rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM ({source})) WHERE rank <= {k}{extra}"
 
 
-def _pairs(metric: str, queries: str = "id < 20", rows: str = "true") -> str:
+def _pairs(metric: str, queries: str = EVERY, rows: str = "true") -> str:
     return f"SELECT q.id AS query_id, c.id AS id, {_sql_distance('c.vector', 'q.vector', metric)} AS d FROM (SELECT * FROM v WHERE {queries}) q, (SELECT * FROM v WHERE {rows}) c"
 
 
@@ -99,33 +99,31 @@ def _single(metric: str, rows: str = "true", k: int = 10) -> str:
 def _register_searches() -> None:
     for metric, short in (("cosine", "cosine"), ("l2", "l2"), ("inner_product", "ip"), ("hamming", "hamming")):
         register(f"knn_{short}", _single(metric))(lambda s, d, m=metric: _rounded(knn.top_k(corpus(s, d), _query(s, d), 10, m)))
-        for suffix, asked in (("", "id < 20"), ("_whole", EVERY)):
-            sql = f"WITH {V} {_ranked(_pairs(metric, asked), 10)}"
+        sql = f"WITH {V} {_ranked(_pairs(metric), 10)}"
 
-            def join(s, d, m=metric, form="expression", asked=asked):
-                rows = corpus(s, d)
-                return _rounded(knn.knn_join(rows.where(asked), rows, 10, m, form))
+        def join(s, d, m=metric, form="expression"):
+            rows = corpus(s, d)
+            return _rounded(knn.knn_join(rows.where(EVERY), rows, 10, m, form))
 
-            register(f"knn_join_{short}{suffix}", sql)(join)
-            register(f"knn_join_kernel_{short}{suffix}", sql)(lambda s, d, f=join, m=metric: f(s, d, m, "kernel"))
-            register(f"knn_join_blocks_{short}{suffix}", sql)(lambda s, d, f=join, m=metric: f(s, d, m, "blocks"))
-            if metric != "hamming":
+        register(f"knn_join_{short}", sql)(join)
+        register(f"knn_join_kernel_{short}", sql)(lambda s, d, f=join, m=metric: f(s, d, m, "kernel"))
+        register(f"knn_join_blocks_{short}", sql)(lambda s, d, f=join, m=metric: f(s, d, m, "blocks"))
+        if metric != "hamming":
 
-                def prefiltered(s, d, m=metric, asked=asked):
-                    rows = corpus(s, d)
-                    return _rounded(bounded.knn_join_bounded(rows.where(asked), rows, 10, m))
+            def prefiltered(s, d, m=metric):
+                rows = corpus(s, d)
+                return _rounded(bounded.knn_join_bounded(rows.where(EVERY), rows, 10, m))
 
-                register(f"knn_join_bounded_{short}{suffix}", sql)(prefiltered)
+            register(f"knn_join_bounded_{short}", sql)(prefiltered)
 
         near = {"cosine": 0.8, "l2": 30.0, "inner_product": -1.0, "hamming": 28.0}[metric]
         within = f"WITH {V}, d AS (SELECT c.id, {_sql_distance('c.vector', 'q.vector', metric)} AS d FROM v c, (SELECT vector FROM v WHERE id = 0) q) SELECT id, round(d, 6) AS distance FROM d WHERE d <= {near} ORDER BY d, id"
         register(f"range_{short}", within)(lambda s, d, m=metric, r=near: _rounded(knn.range_search(corpus(s, d), _query(s, d), r, m, None)))
     register("range_limit", _single("l2", "true", 25).replace("row_number() OVER (ORDER BY d, id) AS rank, ", "").replace("FROM d ORDER", "FROM d WHERE d <= 60.0 ORDER"))(lambda s, d: _rounded(knn.range_search(corpus(s, d), _query(s, d), 60.0, "l2", 25)))
 
-    joined = f"WITH {V} {_ranked(_pairs('l2', 'id < 10'), 15, ' AND d <= 60.0')}"
-    register("range_join", joined)(lambda s, d: _rounded(knn.range_join(corpus(s, d).where("id < 10"), corpus(s, d), 60.0, "l2", 15)))
-    every = f"WITH {V} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank, id, round(d, 6) AS distance FROM ({_pairs('l2', EVERY)}) WHERE d <= 60.0"
-    register("range_join_whole", every)(lambda s, d: _rounded(knn.range_join(corpus(s, d).where(EVERY), corpus(s, d), 60.0, "l2", None)))
+    every = f"WITH {V} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank, id, round(d, 6) AS distance FROM ({_pairs('l2')}) WHERE d <= 60.0"
+    for name, form in (("range_join", "kernel"), ("range_join_blocks", "blocks")):
+        register(name, every)(lambda s, d, f=form: _rounded(knn.range_join(corpus(s, d).where(EVERY), corpus(s, d), 60.0, "l2", None, f)))
 
     register("deleted_knn", _single("cosine", "NOT c.dead"))(lambda s, d: _rounded(knn.top_k(knn.live(corpus(s, d), corpus(s, d).where("id % 10 = 3")), _query(s, d), 10)))
 
@@ -137,12 +135,10 @@ def _register_searches() -> None:
         out = knn.post_process(found, 12, rows.where("id % 10 = 3"), F.col("label") < 5, 80.0, names)
         return _rounded(out.select("name", "distance"))
 
-    for suffix, asked in (("", "id < 3"), ("_whole", EVERY)):
-
-        @register(f"search_beyond_256{suffix}", f"WITH {V} {_ranked(_pairs('l2', asked, 'NOT dead'), 300)}")
-        def beyond(s, d, asked=asked):
-            rows = corpus(s, d)
-            return _rounded(knn.knn_join(rows.where(asked), knn.live(rows, rows.where("id % 10 = 3")), 300, "l2", "kernel"))
+    @register(f"search_beyond_256", f"WITH {V} {_ranked(_pairs('l2', EVERY, 'NOT dead'), 300)}")
+    def beyond(s, d):
+        rows = corpus(s, d)
+        return _rounded(knn.knn_join(rows.where(EVERY), knn.live(rows, rows.where("id % 10 = 3")), 300, "l2", "kernel"))
 
     @register("sql_vec_distance", f"WITH {V} SELECT a.id, round({_sql_distance('a.vector', 'b.vector', 'l2')}, 6) AS l2, round({_sql_distance('a.vector', 'b.vector', 'cosine')}, 6) AS cosine, round({_sql_distance('a.vector', 'b.vector', 'inner_product')}, 6) AS ip, {_sql_distance('a.vector', 'b.vector', 'hamming')} AS hamming FROM v a JOIN v b ON b.id = a.id + 1")
     def sql_distance(s, d):
@@ -172,13 +168,11 @@ def _register_filters() -> None:
         register(f"filtered_{name}", query)(lambda s, d, p=predicate: _rounded(knn.top_k(_metadata(corpus(s, d)).where(p.column()), _query(s, d), 10)))
 
     keep = "coalesce(cat = 'c1', false) OR coalesce(ts < 9000000000000000300, false)"
-    for suffix, asked in (("", "id < 20"), ("_whole", EVERY)):
-
-        @register(f"filtered_knn_join{suffix}", f"WITH {V}, {META}, w AS (SELECT * FROM m WHERE {keep}), pairs AS (SELECT q.id AS query_id, c.id, {_sql_distance('c.vector', 'q.vector', 'l2')} AS d FROM (SELECT * FROM v WHERE {asked}) q, w c) {_ranked('SELECT * FROM pairs', 5)}")
-        def filtered_join(s, d, asked=asked):
-            rows = _metadata(corpus(s, d))
-            predicate = Equals("cat", "c1") | LessThanInt("ts", base + 300)
-            return _rounded(knn.knn_join(rows.where(asked), rows.where(predicate.column()).select("id", "vector"), 5, "l2", "expression"))
+    @register(f"filtered_knn_join", f"WITH {V}, {META}, w AS (SELECT * FROM m WHERE {keep}), pairs AS (SELECT q.id AS query_id, c.id, {_sql_distance('c.vector', 'q.vector', 'l2')} AS d FROM (SELECT * FROM v WHERE {EVERY}) q, w c) {_ranked('SELECT * FROM pairs', 5)}")
+    def filtered_join(s, d):
+        rows = _metadata(corpus(s, d))
+        predicate = Equals("cat", "c1") | LessThanInt("ts", base + 300)
+        return _rounded(knn.knn_join(rows.where(EVERY), rows.where(predicate.column()).select("id", "vector"), 5, "l2", "expression"))
 
     @register("metadata_upsert", "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'c' || label END AS cat, CASE WHEN vec_id % 2 = 0 THEN 'x' END AS extra FROM embeddings WHERE embedding IS NOT NULL")
     def metadata_upsert(s, d):
@@ -221,9 +215,14 @@ def _register_expressions() -> None:
         name = F.when(e % 4 == 0, e.cast("string")).when(e % 4 == 1, F.concat(F.lit("v_"), e.cast("string"))).when(e % 4 == 2, F.lit("x")).otherwise(F.concat(F.lit("v_"), e.cast("string"), F.lit("_1")))
         return table(s, d, "events").select("event_id", D.parse_id(name).alias("parsed"))
 
-    @register("float16_round")
+    # A 16-bit float has 11 digits: |x| is rounded to a multiple of 2 ** (e - 10), halves to even; all are multiples of 2 ** -24.
+    power = "(CASE WHEN pow(2, floor(log2(abs(x)))) > abs(x) THEN floor(log2(abs(x))) - 1 WHEN pow(2, floor(log2(abs(x))) + 1) <= abs(x) THEN floor(log2(abs(x))) + 1 ELSE floor(log2(abs(x))) END)"
+    half_sql = f"CASE WHEN x = 0 THEN 0 ELSE (round_even(x / pow(2, greatest({power}, -14) - 10), 0) * pow(2, greatest({power}, -14) + 14))::BIGINT END"
+
+    @register("float16_round", f"WITH {V} SELECT id, array_to_string(list_transform(vector, lambda y: list_transform([y::FLOAT::DOUBLE], lambda x: {half_sql})[1]), ',') AS units FROM v")
     def half(s, d):
-        return float16(corpus(s, d)).select("id", "vector")
+        units = F.transform("vector", lambda x: (x.cast("double") * float(1 << 24)).cast("long").cast("string"))
+        return float16(corpus(s, d).withColumn("vector", F.col("vector").cast("array<float>"))).select("id", F.array_join(units, ",").alias("units"))
 
 
 def _register_lists() -> None:
@@ -248,20 +247,17 @@ def _register_lists() -> None:
     def sizes(s, d):
         return kmeans.list_sizes(kmeans.assign(corpus(s, d).select("id", "vector"), centers(s, d)))
 
-    probe = f"p AS (SELECT query_id, list_id FROM (SELECT v.id AS query_id, list_id, row_number() OVER (PARTITION BY v.id ORDER BY {_sql_distance('center', 'vector', 'l2')}, list_id) AS r FROM v, c WHERE v.id < 20) WHERE r <= 3)"
-    probe_every = probe.replace("v.id < 20", f"v.{EVERY}")
+    probe = f"p AS (SELECT query_id, list_id FROM (SELECT v.id AS query_id, list_id, row_number() OVER (PARTITION BY v.id ORDER BY {_sql_distance('center', 'vector', 'l2')}, list_id) AS r FROM v, c WHERE v.{EVERY}) WHERE r <= 3)"
     pairs = f"SELECT p.query_id, v.id, {_sql_distance('v.vector', 'q.vector', 'l2')} AS d FROM p JOIN n USING (list_id) JOIN v ON v.id = n.id JOIN v q ON q.id = p.query_id"
 
-    for suffix, asked, of in (("", "id < 20", probe), ("_whole", EVERY, probe_every)):
-
-        @register(f"ivf_probe_l2{suffix}", f"WITH {V}, {mean}, {near}, {of} {_ranked(pairs, 10)}")
-        def probe_l2(s, d, asked=asked):
-            rows, c = corpus(s, d).select("id", "vector"), centers(s, d)
-            return _rounded(ivf.IVFFlat(kmeans.assign(rows, c), c, "l2").search(rows.where(asked), 10, 3))
+    @register("ivf_probe_l2", f"WITH {V}, {mean}, {near}, {probe} {_ranked(pairs, 10)}")
+    def probe_l2(s, d):
+        rows, c = corpus(s, d).select("id", "vector"), centers(s, d)
+        return _rounded(ivf.IVFFlat(kmeans.assign(rows, c), c, "l2").search(rows.where(EVERY), 10, 3))
 
-        @register(f"shard_route{suffix}", f"WITH {V}, {mean}, {of} SELECT query_id, list_id FROM p")
-        def route(s, d, asked=asked):
-            return ivf.probes(corpus(s, d).where(asked), centers(s, d), 3, "l2").select("query_id", "list_id")
+    @register("shard_route", f"WITH {V}, {mean}, {probe} SELECT query_id, list_id FROM p")
+    def route(s, d):
+        return ivf.probes(corpus(s, d).where(EVERY), centers(s, d), 3, "l2").select("query_id", "list_id")
 
     @register("residuals", f"WITH {V}, {mean} SELECT id, round(list_sum(list_transform(list_zip(vector, center), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS size FROM v JOIN c ON v.label = c.list_id")
     def residuals(s, d):
@@ -269,13 +265,11 @@ def _register_lists() -> None:
         c = kmeans.centroid_means(rows.where("label is not null"), "label").withColumnRenamed("vector", "center")
         return rows.join(c, "label").select("id", F.round(D.norm_sq(D.residual("vector", "center")), 6).alias("size"))
 
-    for suffix, asked in (("", "id < 20"), ("_whole", EVERY)):
-
-        @register(f"ivf_exact_when_all_probed{suffix}", f"WITH {V} {_ranked(_pairs('cosine', asked), 10)}")
-        def all_probed(s, d, asked=asked):
-            rows = corpus(s, d).select("id", "vector")
-            index = ivf.IVFFlat.build(rows, "cosine", 8)
-            return _rounded(index.search(rows.where(asked), 10, 8))
+    @register(f"ivf_exact_when_all_probed", f"WITH {V} {_ranked(_pairs('cosine', EVERY), 10)}")
+    def all_probed(s, d):
+        rows = corpus(s, d).select("id", "vector")
+        index = ivf.IVFFlat.build(rows, "cosine", 8)
+        return _rounded(index.search(rows.where(EVERY), 10, 8))
 
     @register("ivf_flat")
     def ivf_flat(s, d):
@@ -307,64 +301,123 @@ def _register_lists() -> None:
         rows = corpus(s, d).select("id", "vector")
         return kmeans.assign(rows, kmeans.refine(rows, kmeans.fit_on(rows, 10))).select("id", "list_id")
 
+    # Lloyd rounds from the labels' means: assign, take means, assign again.
+    again = "c2 AS (SELECT list_id, list(x ORDER BY place) AS center FROM (SELECT list_id, place, avg(x) AS x FROM (SELECT n.list_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS place FROM v JOIN n USING (id)) GROUP BY list_id, place) GROUP BY list_id)"
+    last = f"SELECT v.id, arg_min(list_id, (round({_sql_distance('vector', 'center', 'l2')}, 9), list_id)) AS list_id FROM v, c2 GROUP BY v.id"
 
-def _register_graphs() -> None:
-    edges = f"e AS (SELECT query_id AS src, rank - 1 AS slot, id AS dst, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM ({_pairs('l2', 'id < 200', 'id < 200')}) WHERE query_id <> id) WHERE rank <= 8)"
+    @register("lloyd_round", f"WITH {V}, {mean}, {near}, {again} {last}")
+    def lloyd(s, d):
+        rows = corpus(s, d).select("id", "vector")
+        return kmeans.assign(rows, kmeans.refine(rows, centers(s, d))).select("id", "list_id")
 
-    def part(s, d):
-        return graph.exact_graph(corpus(s, d).where("id < 200").select("id", "vector"), 8, "l2", "kernel")
+    # Codebooks by a formula, 8 subspaces of 16 codes used, so that SQL knows them too.
+    book = np.array([[[((m * 17 + c * 31 + p * 7) % 23 - 11) / 4.0 for p in range(8)] for c in range(16)] for m in range(8)])
+    code_rows = "b AS (SELECT m, c, list_transform(range(0, 8), lambda p: ((m * 17 + c * 31 + p * 7) % 23 - 11) / 4.0::DOUBLE) AS part FROM range(0, 8) t(m), range(0, 16) u(c))"
+    coded = f"k AS (SELECT id, m, arg_min(c, (round({_sql_distance('vector[8 * m + 1 : 8 * m + 8]', 'part', 'l2')}, 9), c)) AS c, min({_sql_distance('vector[8 * m + 1 : 8 * m + 8]', 'part', 'l2')}) AS d FROM v, b GROUP BY id, m)"
 
-    def built(s, d):
-        return graph.exact_graph(corpus(s, d).select("id", "vector"), 8, "l2", "blocks")
+    @register("pq_fixed_codes", f"WITH {V}, {code_rows}, {coded} SELECT id, string_agg(c::VARCHAR, ',' ORDER BY m) AS codes, round(sum(d), 6) AS error FROM k GROUP BY id")
+    def fixed(s, d):
+        rows = pq.encode(corpus(s, d).select("id", "vector"), pq.ProductQuantizer(book))
+        error = D.l2("vector", D.pq_reconstruct("codes", F.array(*[F.array(*[knn.literal(part) for part in codes]) for codes in book])))
+        return rows.select("id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"), F.round(error, 6).alias("error"))
+
+    tables = f"q AS (SELECT v.id AS query_id, m, c, {_sql_distance('vector[8 * m + 1 : 8 * m + 8]', 'part', 'l2')} AS t FROM v, b WHERE {EVERY})"
+    sums = "SELECT query_id, id, sum(t) AS d FROM k JOIN q USING (m, c) GROUP BY query_id, id"
+
+    @register("adc_knn", f"WITH {V}, {code_rows}, {coded}, {tables}, r AS (SELECT query_id, id, round(d, 6) AS d FROM ({sums})) SELECT query_id, rank, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM r) WHERE rank <= 10")
+    def adc_knn(s, d):
+        rows = corpus(s, d).select("id", "vector")
+        quantizer = pq.ProductQuantizer(book)
+        found = pq.adc_search(pq.encode(rows, quantizer).select("id", "codes"), quantizer, rows.where(EVERY), 10)
+        return _rounded(found).select("query_id", "rank", "distance")
+
+
+def _enough(found: DataFrame, truth: DataFrame, k: int, least: float = RECALL) -> DataFrame:
+    """One row (queries, enough): how many queries there are, and whether the mean share of true neighbours found is enough."""
+    share = evaluate.recall(found, truth, k).first()["recall"] or 0.0
+    return truth.agg(F.countDistinct("query_id").alias("queries")).withColumn("enough", F.lit(bool(share >= least)))
+
+
+ASKED = f"WITH {V} SELECT count(*) AS queries, true AS enough FROM v WHERE {EVERY}"
 
-    sql = {
-        "knn_graph_edges": f"WITH {V}, {edges} SELECT src, slot, dst, round(distance, 6) AS distance FROM e",
-        "reverse_edges": f"WITH {V}, {edges} SELECT dst, count(*) AS n, min(src) AS first FROM e GROUP BY dst",
-        "entry_point": f"WITH {V}, {edges} SELECT src, round(sum(distance) / 8, 6) AS mean FROM e GROUP BY src ORDER BY sum(distance) / 8, src LIMIT 1",
-        "mean_farthest": f"WITH {V}, {edges} SELECT round(avg(far), 6) AS mean FROM (SELECT src, max(distance) AS far FROM e GROUP BY src)",
-    }
-    for suffix, of in (("", part), ("_whole", built)):  # SQL over all pairs of the table would be too slow
-        said = sql.get if not suffix else lambda name: None
-        register(f"knn_graph_edges{suffix}", said("knn_graph_edges"))(lambda s, d, of=of: _rounded(of(s, d)))
-        register(f"reverse_edges{suffix}", said("reverse_edges"))(lambda s, d, of=of: graph.reverse_edges(of(s, d)).groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("first")))
-        register(f"entry_point{suffix}", said("entry_point"))(lambda s, d, of=of: graph.entry_point(of(s, d), 8).withColumn("mean", F.round("mean", 6)))
-        register(f"mean_farthest{suffix}", said("mean_farthest"))(lambda s, d, of=of: graph.mean_farthest(of(s, d)).withColumn("mean", F.round("mean", 6)))
+
+def _register_recalls() -> None:
+    """Approximate searches against an exact one over the same rows."""
+    cases = {"ivf_flat": ("cosine", 10), "sharded_knn": ("l2", 10), "ivfpq_knn": ("l2", 10), "beam_search": ("l2", 5), "layered_search": ("l2", 5)}
+    for name, (metric, k) in cases.items():
+
+        @register(f"{name}_recall", ASKED)
+        def recall(s, d, name=name, metric=metric, k=k):
+            rows = corpus(s, d).select("id", "vector")
+            return _enough(QUERIES[name](s, d), knn.knn_join(rows.where(EVERY), rows, k, metric, "kernel"), k)
+
+    @register("nn_descent_recall", f"WITH {V} SELECT count(*) AS queries, true AS enough FROM v")
+    def descent(s, d):
+        as_found = lambda e: e.select(F.col("src").alias("query_id"), (F.col("slot") + 1).alias("rank"), F.col("dst").alias("id"), "distance")
+        return _enough(as_found(QUERIES["nn_descent"](s, d)), as_found(_graph(s, d)), 8)
+
+
+def _graph(s: SparkSession, d: str) -> DataFrame:
+    return graph.exact_graph(corpus(s, d).select("id", "vector"), 8, "l2", "blocks")
+
+
+def _register_graphs() -> None:
+    edges = f"e AS (SELECT query_id AS src, rank - 1 AS slot, id AS dst, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM ({_pairs('l2', 'true')}) WHERE query_id <> id) WHERE rank <= 8)"
+    as_edges = f"WITH {V}, {edges} SELECT src, slot, dst, round(distance, 6) AS distance FROM e"
+
+    register("knn_graph_edges", as_edges)(lambda s, d: _rounded(_graph(s, d)))
+    register("reverse_edges", f"WITH {V}, {edges} SELECT dst, count(*) AS n, min(src) AS first FROM e GROUP BY dst")(lambda s, d: graph.reverse_edges(_graph(s, d)).groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("first")))
+    register("entry_point", f"WITH {V}, {edges} SELECT src, round(sum(distance) / 8, 6) AS mean FROM e GROUP BY src ORDER BY sum(distance) / 8, src LIMIT 1")(lambda s, d: graph.entry_point(_graph(s, d), 8).withColumn("mean", F.round("mean", 6)))
+    register("mean_farthest", f"WITH {V}, {edges} SELECT round(avg(far), 6) AS mean FROM (SELECT src, max(distance) AS far FROM e GROUP BY src)")(lambda s, d: graph.mean_farthest(_graph(s, d)).withColumn("mean", F.round("mean", 6)))
 
     @register("nn_descent")
     def descent(s, d):
-        return graph.nn_descent(corpus(s, d).select("id", "vector"), 8, "l2", 6)
+        # Lists of 16 while it descends: with 8, vectors that do not cluster lose more than a tenth of their neighbours.
+        return graph.nn_descent(corpus(s, d).select("id", "vector"), 16, "l2", 8).where("slot < 8")
 
-    @register("pruned_graph")
+    # Slot by slot: an edge joins the kept ones unless one of these is nearer to its end than its start is.
+    nearer = _sql_distance("k", "t.vector", "l2")
+    pruned_sql = f"""WITH RECURSIVE {V}, {edges}, t AS (SELECT e.*, v.vector FROM e JOIN v ON v.id = e.dst),
+    p AS (SELECT src, -1::BIGINT AS slot, []::DOUBLE[][] AS kept, NULL::BIGINT AS dst, NULL::DOUBLE AS distance FROM (SELECT DISTINCT src FROM t)
+    UNION ALL SELECT p.src, t.slot, CASE WHEN len(list_filter(p.kept, lambda k: {nearer} < t.distance)) = 0 THEN list_append(p.kept, t.vector) ELSE p.kept END, CASE WHEN len(list_filter(p.kept, lambda k: {nearer} < t.distance)) = 0 THEN t.dst END, t.distance FROM p JOIN t ON t.src = p.src AND t.slot = p.slot + 1)
+    SELECT src, (row_number() OVER (PARTITION BY src ORDER BY slot) - 1)::INT AS slot, dst, round(distance, 6) AS distance FROM p WHERE dst IS NOT NULL"""
+
+    @register("pruned_graph", pruned_sql)
     def pruned(s, d):
-        return graph.prune(built(s, d), corpus(s, d).select("id", "vector"), 8, "l2")
+        return _rounded(graph.prune(_graph(s, d), corpus(s, d).select("id", "vector"), 8, "l2"))
 
-    @register("hnsw_levels")
+    u = "('0x' || substr(md5(id::VARCHAR), 1, 13))::BIGINT + 1"
+    @register("hnsw_levels", f"WITH {V} SELECT id, list_sum(list_transform(range(1, 7), lambda l: CASE WHEN {u} <= 1::BIGINT << (52 - l) THEN 1 ELSE 0 END))::INT AS level FROM v")
     def levels(s, d):
         return corpus(s, d).select("id", graph.hnsw_level("id").alias("level"))
 
     @register("beam_search")
     def beam(s, d):
         rows = corpus(s, d).select("id", "vector")
-        return graph.beam_search(rows.where(EVERY), rows, materialize(built(s, d), "graph"), 5, 32, "l2")
+        return graph.beam_search(rows.where(EVERY), rows, materialize(_graph(s, d), "graph"), 5, 32, "l2")
+
+    @register("layered_search")
+    def layered(s, d):
+        rows = corpus(s, d).select("id", "vector")
+        return graph.beam_search(rows.where(EVERY), rows, materialize(_graph(s, d), "graph"), 5, 32, "l2", graph.hnsw_layers(rows, 8, 6, "l2"))
 
-    @register("graph_repair")
+    # Repair looks anew at some nodes of an exact graph, and so must give that graph.
+    @register("graph_repair", as_edges)
     def repaired(s, d):
         rows = corpus(s, d).select("id", "vector")
-        return graph.repair(materialize(built(s, d), "graph"), rows, rows.where(EVERY).select("id"), 8, "l2")
+        return _rounded(graph.repair(materialize(_graph(s, d), "graph"), rows, rows.where(EVERY).select("id"), 8, "l2"))
 
 
 def _register_sets() -> None:
     def ranked_part(name: str, where: str, asked: str) -> str:
         return f"{name} AS (SELECT query_id, id, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FROM ({_pairs('cosine', asked, where)}) QUALIFY r <= 10))"
 
-    for suffix, asked in (("", "id < 10"), ("_whole", EVERY)):
-
-        @register(f"base_delta_search{suffix}", f"WITH {V}, {ranked_part('b', 'id % 3 < 2 AND NOT dead', asked)}, {ranked_part('x', 'id % 3 > 0 AND NOT dead', asked)} {_ranked('SELECT query_id, id, min(d) AS d FROM (SELECT * FROM b UNION ALL SELECT * FROM x) GROUP BY query_id, id', 10)}")
-        def base_delta(s, d, asked=asked):
-            rows = corpus(s, d).select("id", "vector")
-            live, q = knn.live(rows, rows.where("id % 10 = 3")), rows.where(asked)
-            found = [knn.knn_join(q, live.where(w), 10, "cosine", "expression").select("query_id", "id", "distance") for w in ("id % 3 < 2", "id % 3 > 0")]
-            return _rounded(knn.merge_results(*found, k=10))
+    @register(f"base_delta_search", f"WITH {V}, {ranked_part('b', 'id % 3 < 2 AND NOT dead', EVERY)}, {ranked_part('x', 'id % 3 > 0 AND NOT dead', EVERY)} {_ranked('SELECT query_id, id, min(d) AS d FROM (SELECT * FROM b UNION ALL SELECT * FROM x) GROUP BY query_id, id', 10)}")
+    def base_delta(s, d):
+        rows = corpus(s, d).select("id", "vector")
+        live, q = knn.live(rows, rows.where("id % 10 = 3")), rows.where(EVERY)
+        found = [knn.knn_join(q, live.where(w), 10, "cosine", "expression").select("query_id", "id", "distance") for w in ("id % 3 < 2", "id % 3 > 0")]
+        return _rounded(knn.merge_results(*found, k=10))
 
     @register("streaming_merge_dedupe", "WITH n AS (SELECT count(*) AS n FROM embeddings), a AS (SELECT event_id % n AS id, min(event_id) AS first FROM events, n GROUP BY 1) SELECT id, first, first % 7 AS batch FROM a WHERE id % 10 <> 3")
     def merge_dedupe(s, d):
@@ -379,24 +432,20 @@ def _register_sets() -> None:
         live = knn.live(rows, rows.where("id % 10 = 3")).groupBy("label").agg(F.count("*").alias("live"))
         return rows.groupBy("label").agg(F.count("*").alias("n")).join(live.withColumnRenamed("label", "l"), F.expr("label <=> l"), "left").select("label", "n", F.coalesce("live", F.lit(0)).alias("live"))
 
-    for suffix, asked in (("", "id < 5"), ("_whole", EVERY)):
-
-        @register(f"index_lifecycle{suffix}", f"WITH {V}, w AS (SELECT id, vector FROM v WHERE id % 10 <> 3) SELECT query_id, rank, id, round(d, 3) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (SELECT q.id AS query_id, w.id, {_sql_distance('w.vector', 'q.vector', 'l2')} AS d FROM (SELECT * FROM v WHERE {asked}) q, w)) WHERE rank <= 5")
-        def lifecycle(s, d, asked=asked):
-            rows = corpus(s, d).select("id", F.col("vector").cast("array<float>").alias("vector"))
-            index = UnbuiltIndex(IndexConfig(metric="l2")).build(rows.where("id % 4 <> 0")).batch_insert(rows.where("id % 4 = 0"))
-            index = index.delete(rows.where("id % 10 = 3").select("id")).compact()
-            return _rounded(index.batch_search(rows.where(asked), 5)).withColumn("distance", F.round("distance", 3))
+    @register(f"index_lifecycle", f"WITH {V}, w AS (SELECT id, vector FROM v WHERE id % 10 <> 3) SELECT query_id, rank, id, round(d, 3) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (SELECT q.id AS query_id, w.id, {_sql_distance('w.vector', 'q.vector', 'l2')} AS d FROM (SELECT * FROM v WHERE {EVERY}) q, w)) WHERE rank <= 5")
+    def lifecycle(s, d):
+        rows = corpus(s, d).select("id", F.col("vector").cast("array<float>").alias("vector"))
+        index = UnbuiltIndex(IndexConfig(metric="l2")).build(rows.where("id % 4 <> 0")).batch_insert(rows.where("id % 4 = 0"))
+        index = index.delete(rows.where("id % 10 = 3").select("id")).compact()
+        return _rounded(index.batch_search(rows.where(EVERY), 5)).withColumn("distance", F.round("distance", 3))
 
 
 def _register_evaluation() -> None:
-    for suffix, asked in (("", "id < 20"), ("_whole", EVERY)):
-
-        @register(f"recall_at_10{suffix}", f"WITH {V}, t AS ({_ranked(_pairs('l2', asked), 10)}), f AS ({_ranked(_pairs('cosine', asked), 10)}) SELECT round(avg(r), 6) AS recall FROM (SELECT t.query_id, count(f.id) / count(*) AS r FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.id = t.id GROUP BY t.query_id)")
-        def recall(s, d, asked=asked):
-            rows = corpus(s, d).select("id", "vector")
-            q = rows.where(asked)
-            return evaluate.recall(knn.knn_join(q, rows, 10, "cosine", "expression"), knn.knn_join(q, rows, 10, "l2", "expression"), 10).withColumn("recall", F.round("recall", 6))
+    @register("recall_at_10", f"WITH {V}, t AS ({_ranked(_pairs('l2', EVERY), 10)}), f AS ({_ranked(_pairs('cosine', EVERY), 10)}) SELECT round(avg(r), 6) AS recall FROM (SELECT t.query_id, count(f.id) / count(*) AS r FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.id = t.id GROUP BY t.query_id)")
+    def recall(s, d):
+        rows = corpus(s, d).select("id", "vector")
+        q = rows.where(EVERY)
+        return evaluate.recall(knn.knn_join(q, rows, 10, "cosine", "expression"), knn.knn_join(q, rows, 10, "l2", "expression"), 10).withColumn("recall", F.round("recall", 6))
 
     @register("latency_percentiles", "SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, quantile_disc(value, 0.999) AS p999 FROM events")
     def latency(s, d):
@@ -406,15 +455,14 @@ def _register_evaluation() -> None:
     def histogram(s, d):
         return evaluate.histogram(table(s, d, "events"), 0.0, 100.0, 10).withColumn("cdf", F.round("cdf", 9))
 
-    for suffix, of in (("", "p_partkey <= 500"), ("_whole", "true")):
-        points = f"SELECT p_partkey AS k, (p_partkey * 7919 % 1000) / 1000.0 AS recall, (p_partkey * 104729 % 977)::DOUBLE AS qps FROM part WHERE {of}"
+    points = "SELECT p_partkey AS k, (p_partkey * 7919 % 1000) / 1000.0 AS recall, (p_partkey * 104729 % 977)::DOUBLE AS qps FROM part"
 
-        @register(f"pareto_frontier{suffix}", f"WITH p AS ({points}) SELECT k, recall::DOUBLE AS recall, qps FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.recall >= p.recall AND o.qps >= p.qps AND (o.recall > p.recall OR o.qps > p.qps))")
-        def pareto(s, d, of=of):
-            k = F.col("p_partkey")
-            p = table(s, d, "part").where(of).select(k.alias("k"), (k * 7919 % 1000 / 1000.0).alias("recall"), (k * 104729 % 977).cast("double").alias("qps"))
-            return evaluate.pareto(p)
+    @register("pareto_frontier", f"WITH p AS ({points}) SELECT k, recall::DOUBLE AS recall, qps FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.recall >= p.recall AND o.qps >= p.qps AND (o.recall > p.recall OR o.qps > p.qps))")
+    def pareto(s, d):
+        k = F.col("p_partkey")
+        p = table(s, d, "part").select(k.alias("k"), (k * 7919 % 1000 / 1000.0).alias("recall"), (k * 104729 % 977).cast("double").alias("qps"))
+        return evaluate.pareto(p)
 
 
-for _f in (_register_searches, _register_filters, _register_expressions, _register_lists, _register_graphs, _register_sets, _register_evaluation):
+for _f in (_register_searches, _register_filters, _register_expressions, _register_lists, _register_graphs, _register_recalls, _register_sets, _register_evaluation):
     _f()

@@ -47,5 +47,5 @@ def test_runs(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 200
+    assert __spark_entry__.entry(spark).count() == 10 * queries.corpus(spark, DATA).where(queries.EVERY).count()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

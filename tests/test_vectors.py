@@ -110,10 +110,10 @@ def test_single_queries_and_ranges(spark):
 def test_planner():
     assert choose("fast", 1000, 1, 8, "l2", False, 4, 16).tier == "ivf"
     assert choose("fast", 100, 1, 8, "l2", False, 4, 16).tier == "expression"
-    assert choose("fast", 100_000, 10, 8, "hamming", False).tier == "expression"
+    assert choose("fast", 100_000, 10, 8, "hamming", False).tier == "kernel" and choose("fast", 100_000, 10**7, 8, "hamming", False).tier == "blocks"
     assert choose("fast", 100_000, 10, 8, "l2", True).tier == "kernel"
     assert choose("exact", 10**9, 10**8, 64, "l2", False).tier == "blocks"
-    assert [list_count(256, n) for n in (10, 2048, 10**6)] == [10, 32, 256] and list_count(0, 50) == 1
+    assert [list_count(256, n) for n in (10, 2048, 10**6)] == [10, 32, 2000] and list_count(0, 50) == 1
 
 
 names, words = st.sampled_from(["a", "b"]), st.sampled_from(["x", "y"])

@@ -1,4 +1,4 @@
-"""The queries over the whole table: nothing of it is left out."""
+"""Queries over the whole table against brute force: nothing of it is left out."""
 
 import os
 
@@ -34,7 +34,7 @@ def run(spark, name):
     return queries.QUERIES[name](spark, DATA).collect()
 
 
-@pytest.mark.parametrize("name", ["knn_graph_edges_whole", "graph_repair"])
+@pytest.mark.parametrize("name", ["knn_graph_edges", "graph_repair"])
 def test_graph_of_all_rows(spark, neighbours, name):
     found = {}
     for r in sorted(run(spark, name), key=lambda r: (r["src"], r["slot"])):
@@ -50,11 +50,11 @@ def test_figures_of_the_whole_graph(spark, neighbours):
     for src, edges in neighbours.items():
         for dst, _ in edges:
             back.setdefault(dst, []).append(src)
-    assert {r["dst"]: (r["n"], r["first"]) for r in run(spark, "reverse_edges_whole")} == {k: (len(v), min(v)) for k, v in back.items()}
+    assert {r["dst"]: (r["n"], r["first"]) for r in run(spark, "reverse_edges")} == {k: (len(v), min(v)) for k, v in back.items()}
     mean, src = min((sum(d for _, d in edges) / 8, src) for src, edges in neighbours.items())
-    (entry,) = run(spark, "entry_point_whole")
+    (entry,) = run(spark, "entry_point")
     assert entry["src"] == src and entry["mean"] == pytest.approx(mean, abs=2e-6)
-    assert run(spark, "mean_farthest_whole")[0]["mean"] == pytest.approx(np.mean([edges[-1][1] for edges in neighbours.values()]), abs=2e-6)
+    assert run(spark, "mean_farthest")[0]["mean"] == pytest.approx(np.mean([edges[-1][1] for edges in neighbours.values()]), abs=2e-6)
 
 
 def test_pruning_of_all_rows(spark, table, neighbours):
@@ -69,6 +69,24 @@ def test_pruning_of_all_rows(spark, table, neighbours):
     assert {(r["src"], r["slot"], r["dst"]) for r in run(spark, "pruned_graph")} == expected
 
 
+def test_skip_layers_are_exact(spark, table):
+    """Every layer's nodes are those of its level or above, each with its nearest others of the layer."""
+    from nearfield.operators import graph
+
+    df = queries.corpus(spark, DATA).select("id", "vector")
+    level = {r["id"]: r["level"] for r in run(spark, "hnsw_levels")}
+    place, rows = {x: i for i, x in enumerate(table[0])}, table[1]
+    found = {}
+    for r in graph.hnsw_layers(df, 4, 6, "l2").collect():
+        found.setdefault((r["layer"], r["src"]), set()).add(r["dst"])
+    for layer in range(1, 7):
+        nodes = [x for x in table[0] if level[x] >= layer]
+        for x in nodes:
+            near = sorted((y for y in nodes if y != x), key=lambda y: (((rows[place[x]] - rows[place[y]]) ** 2).sum(), y))[:4]
+            assert found.get((layer, x), set()) == set(near)
+    assert 0.35 < np.mean([n >= 1 for n in level.values()]) < 0.65
+
+
 def test_walks_over_all_rows(spark, table):
     ids, rows = table
     found = {}
@@ -79,15 +97,16 @@ def test_walks_over_all_rows(spark, table):
     assert np.mean([len({ids[j] for j in brute(rows[i], rows, 5, "l2")[0]} & found[ids[i]]) / 5 for i in asked]) >= 0.9
 
 
-@pytest.mark.parametrize("name", ["ivf_flat", "sharded_knn", "ivfpq_knn", "knn_join_blocks_l2_whole", "knn_join_kernel_cosine_whole", "search_beyond_256_whole", "index_lifecycle_whole"])
+@pytest.mark.parametrize("name", ["ivf_flat", "sharded_knn", "ivfpq_knn", "knn_join_blocks_l2", "knn_join_kernel_cosine", "search_beyond_256", "index_lifecycle"])
 def test_every_fiftieth_row_asks(spark, table, name):
     assert {r["query_id"] for r in run(spark, name)} == {x for x in table[0] if x % 50 == 0}
 
 
-def test_range_join_has_every_link(spark, table):
+@pytest.mark.parametrize("name", ["range_join", "range_join_blocks"])
+def test_range_join_has_every_link(spark, table, name):
     ids, rows = table
     expected = {(ids[i], ids[j]) for i in range(len(ids)) if ids[i] % 50 == 0 for j in np.flatnonzero(((rows - rows[i]) ** 2).sum(1) <= 60.0)}
-    found = run(spark, "range_join_whole")
+    found = run(spark, name)
     assert {(r["query_id"], r["id"]) for r in found} == expected and len(found) == len(expected) and max(r["rank"] for r in found) > 15
 
 
