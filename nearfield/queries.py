@@ -19,9 +19,10 @@ from nearfield.functions import distance as D
 from nearfield.functions.filters import And, Equals, Filter, GreaterThan, GreaterThanInt, In, LessThan, LessThanInt, Not, Or
 from nearfield.operators import bounded, evaluate, graph, ivf, kmeans, knn, pq
 from nearfield.operators.index import IndexConfig, UnbuiltIndex, float16, upsert
-from nearfield.plans.config import IVFPQConfig, ShardConfig
-from nearfield.runtime import materialize, table
+from nearfield.plans.config import IVFPQConfig, ShardConfig, StreamConfig
+from nearfield.runtime import materialize, table, work_path
 from nearfield.sources import annbin
+from nearfield.streaming.stream import StreamIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -419,12 +420,22 @@ def _register_sets() -> None:
         found = [knn.knn_join(q, live.where(w), 10, "cosine", "expression").select("query_id", "id", "distance") for w in ("id % 3 < 2", "id % 3 > 0")]
         return _rounded(knn.merge_results(*found, k=10))
 
-    @register("streaming_merge_dedupe", "WITH n AS (SELECT count(*) AS n FROM embeddings), a AS (SELECT event_id % n AS id, min(event_id) AS first FROM events, n GROUP BY 1) SELECT id, first, first % 7 AS batch FROM a WHERE id % 10 <> 3")
+    # Ids arrive in seven batches, again and again; the first row of an id stays, and one in ten is deleted at the end.
+    @register("streaming_merge_dedupe", "WITH n AS (SELECT count(*) AS n FROM embeddings), a AS (SELECT event_id % n AS id, min(event_id % 7) AS batch FROM events, n GROUP BY 1) SELECT id, batch, batch * 10 + id % 10 AS value FROM a WHERE id % 10 <> 3")
     def merge_dedupe(s, d):
         n = table(s, d, "embeddings").count()
-        arrivals = table(s, d, "events").select((F.col("event_id") % n).alias("id"), "event_id")
-        first = arrivals.groupBy("id").agg(F.min("event_id").alias("first"))
-        return knn.live(first, corpus(s, d).where("id % 10 = 3")).select("id", "first", (F.col("first") % 7).alias("batch"))
+        e = F.col("event_id")
+        rows = table(s, d, "events").select((e % n).alias("id"), (e % 7).alias("batch"))
+        arrivals = materialize(rows.groupBy("id", "batch").agg(F.array((F.col("batch") * 10 + F.col("id") % 10).cast("float")).alias("vector")), "arrivals")
+        path = work_path(s, "stream")
+        arrivals.select(F.col("id"), "vector", "batch").repartition(7, "batch").write.partitionBy("batch").parquet(f"{path}/in")
+        index = None
+        for batch in range(7):  # each batch by a new object on the folder, as after a restart
+            index = StreamIndex(s, "bigint", IndexConfig(metric="l2"), StreamConfig(delta_capacity=max(1, n // 3), strict=False), f"{path}/state")
+            index.insert(s.read.schema("id bigint, vector array<float>").parquet(f"{path}/in/batch={batch}"), batch)
+            index.insert(arrivals.limit(1), batch)  # a replay
+        rows = knn.live(index.rows(), arrivals.where("id % 10 = 3"))
+        return rows.select("id", "batch", F.col("vector")[0].cast("long").alias("value"))
 
     @register("live_counts", f"WITH {V} SELECT label, count(*) AS n, count(*) FILTER (WHERE NOT dead) AS live FROM v GROUP BY label")
     def counts(s, d):

@@ -1,12 +1,14 @@
-"""Versioned snapshots: Parquet side tables and a manifest that is written last.
+"""Versioned snapshots: Parquet side tables and manifests that are written last.
 
-A snapshot is a folder of versions; the manifest names the current one, so readers see a
-version whole or not at all. Files go through Hadoop's file systems, so any path that Spark reads will do.
+A snapshot is a folder of versions and of numbered manifests. A manifest is written beside its place and renamed into it,
+never over another one; the newest one counts, so readers see a version whole or not at all and
+a writer that dies leaves the version before. Files go through Hadoop's file systems, so any path that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 
@@ -24,16 +26,15 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Written beside its place, then renamed into it."""
+    """Written beside its place, then renamed into it. A file that is there already is an error."""
     fs, target = _fs(spark, path)
-    temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
     out = fs.create(temporary, True)
     out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(temporary, target):
-        raise CorruptFile(f"{path} could not be written")
+    if fs.exists(target) or not fs.rename(temporary, target):
+        fs.delete(temporary, False)
+        raise CorruptFile(f"{path} is there already, or could not be written")
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
@@ -47,23 +48,42 @@ def read_json(spark: SparkSession, path: str) -> dict:
         raise CorruptFile(f"{path} is no JSON") from error
 
 
+def manifests(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the manifests of a folder, in order."""
+    fs, p = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(m[1]) for m in (re.fullmatch(r"manifest-(\d+)\.json", n) for n in names) if m)
+
+
+def newest(spark: SparkSession, path: str) -> dict:
+    """The newest manifest."""
+    found = manifests(spark, path)
+    if not found:
+        raise CorruptFile(f"{path} has no manifest")
+    return read_json(spark, f"{path}/manifest-{found[-1]}.json")
+
+
+def commit(spark: SparkSession, path: str, value: dict) -> int:
+    """Makes value the newest manifest; returns its number. Of two writers at once the later one gets an error."""
+    number = (manifests(spark, path) or [0])[-1] + 1
+    write_json(spark, f"{path}/manifest-{number}.json", value | {"format": FORMAT, "version": number, "written": time.time()})
+    return number
+
+
 def save(path: str, tables: dict[str, DataFrame], config: dict) -> int:
-    """Writes a new version of all tables, then points the manifest at it. One writer at a time."""
+    """Writes a new version of all tables, then the manifest that names it."""
     spark = next(iter(tables.values())).sparkSession
-    fs, p = _fs(spark, f"{path}/manifest.json")
-    version = read_json(spark, f"{path}/manifest.json")["version"] + 1 if fs.exists(p) else 1
-    folder = f"v{version}-{uuid.uuid4().hex[:8]}"
+    folder = f"v-{uuid.uuid4().hex}"
     counts = {}
     for name, df in tables.items():
         df.write.parquet(f"{path}/{folder}/{name}")
         counts[name] = spark.read.parquet(f"{path}/{folder}/{name}").count()
-    write_json(spark, f"{path}/manifest.json", {"format": FORMAT, "version": version, "folder": folder, "tables": counts, "config": config, "written": time.time()})
-    return version
+    return commit(spark, path, {"folder": folder, "tables": counts, "config": config})
 
 
 def load(spark: SparkSession, path: str, mode: str = "lazy") -> tuple[dict[str, DataFrame], dict]:
     """The current version's tables and configuration. mode: memory, disk (both cached) or lazy (read as needed)."""
-    manifest = read_json(spark, f"{path}/manifest.json")
+    manifest = newest(spark, path)
     if manifest.get("format") != FORMAT:
         raise CorruptFile(f"unknown format {manifest.get('format')}")
     tables = {}
@@ -78,9 +98,11 @@ def load(spark: SparkSession, path: str, mode: str = "lazy") -> tuple[dict[str,
 
 
 def vacuum(spark: SparkSession, path: str) -> int:
-    """Deletes versions that the manifest does not name; returns how many."""
-    current = read_json(spark, f"{path}/manifest.json")["folder"]
+    """Deletes the manifests but the newest, and the versions that it does not name; returns how many versions."""
+    current = newest(spark, path)["folder"]
     fs, p = _fs(spark, path)
+    for number in manifests(spark, path)[:-1]:
+        fs.delete(_fs(spark, f"{path}/manifest-{number}.json")[1], False)
     old = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName() != current]
     for folder in old:
         fs.delete(folder, True)

@@ -1,12 +1,15 @@
-"""Streaming ingest: Structured Streaming batches go to a delta, which merges into the base.
+"""Streaming ingest: Structured Streaming batches are appended to a delta, which merges into the base.
 
-State is a snapshot folder of tables base, delta (id, vector, batch), tombstones (id) and
-metadata. Every id ever seen, deleted or not, stays taken. Searches read base and delta,
-so what a batch wrote is visible at once.
+State is a folder: tables in folders of their own, and numbered manifests that name those in use and the last
+batch. A batch writes its rows, then commits a manifest, so a driver that starts anew on the folder goes on after the
+last batch, whatever Structured Streaming's checkpoint replays. A batch appends its own rows only. Every id ever
+seen, deleted or not, stays taken. Searches read base and delta, so what a batch wrote is visible at once.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,41 +18,75 @@ from nearfield.functions.filters import Filter
 from nearfield.operators import knn
 from nearfield.operators.index import META, upsert
 from nearfield.plans.config import DimensionMismatch, IdAlreadyExists, IdNotFound, IndexConfig, IndexEmpty, StreamConfig
-from nearfield.runtime import materialize
+from nearfield.runtime import work_path
 from nearfield.sources import store
 
 
 class StreamIndex:
-    def __init__(self, spark: SparkSession, id_type: str = "string", index: IndexConfig = IndexConfig(), config: StreamConfig = StreamConfig()):
-        self.spark, self.index, self.config = spark, index, config
-        empty = spark.createDataFrame([], f"id {id_type}, vector array<float>, batch long")
-        self.base, self.delta = empty, empty
-        self.tombstones = spark.createDataFrame([], f"id {id_type}")
-        self.metadata = spark.createDataFrame([], f"id {id_type}, text {META[0]}, floats {META[1]}, ints {META[2]}")
-        self.dims: int | None = None
-        self.merges = 0
-        self.last_batch = -1
+    """On a folder that has a state already, that state with its configurations is taken up. Without path, the folder is a
+    work folder of this session."""
+
+    def __init__(self, spark: SparkSession, id_type: str = "string", index: IndexConfig = IndexConfig(), config: StreamConfig = StreamConfig(), path: str | None = None):
+        self.spark, self.path = spark, path or work_path(spark, "stream")
+        if store.manifests(spark, self.path):
+            self._state = store.newest(spark, self.path)
+        else:
+            self._state = {"id_type": id_type, "index": index.to_json(), "stream": config.to_json(), "dims": None, "last_batch": -1, "merges": 0, "base": [], "delta": [], "tombstones": [], "metadata": []}
+        self.index, self.config = IndexConfig.from_json(self._state["index"]), StreamConfig.from_json(self._state["stream"])
+
+    @property
+    def dims(self) -> int | None:
+        return self._state["dims"]
+
+    @property
+    def last_batch(self) -> int:
+        return self._state["last_batch"]
+
+    @property
+    def merges(self) -> int:
+        return self._state["merges"]
+
+    def _table(self, name: str) -> DataFrame:
+        kind = self._state["id_type"]
+        schema = {"base": f"id {kind}, vector array<float>, batch long", "delta": f"id {kind}, vector array<float>, batch long", "tombstones": f"id {kind}", "metadata": f"id {kind}, text {META[0]}, floats {META[1]}, ints {META[2]}"}[name]
+        folders = [f"{self.path}/{f}" for f in self._state[name]]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    base = property(lambda self: self._table("base"))
+    delta = property(lambda self: self._table("delta"))
+    tombstones = property(lambda self: self._table("tombstones"))
+    metadata = property(lambda self: self._table("metadata"))
+
+    def _written(self, df: DataFrame, name: str) -> str:
+        folder = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _commit(self, **changes) -> None:
+        state = self._state | changes
+        store.commit(self.spark, self.path, state)
+        self._state = state
 
     def insert(self, batch: DataFrame, batch_id: int | None = None) -> None:
         """Adds a batch (id, vector). A batch id that was seen is passed over, so replays change nothing.
         Ids that are taken, or twice in the batch, raise; without strict the first row stays."""
         if batch_id is not None and batch_id <= self.last_batch:
             return
+        number = batch_id if batch_id is not None else self.last_batch + 1
         batch = batch.select("id", F.col("vector").cast("array<float>").alias("vector"))
-        low, high = batch.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
-        if low is None:
-            self.last_batch = batch_id if batch_id is not None else self.last_batch
+        n, low, high = batch.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+        if not n:
+            self._commit(last_batch=number)
             return
-        self.dims = self.dims or low
-        if low != self.dims or high != self.dims:
-            raise DimensionMismatch(self.dims, low if low != self.dims else high)
+        dims = self.dims or low
+        if low != dims or high != dims:
+            raise DimensionMismatch(dims, low if low != dims else high)
         known = self.base.select("id").unionByName(self.delta.select("id")).unionByName(self.tombstones)
         fresh = batch.join(known, "id", "left_anti").groupBy("id").agg(F.min("vector").alias("vector"))
-        if self.config.strict and fresh.count() != batch.count():
+        folder = self._written(fresh.withColumn("batch", F.lit(number).cast("long")), "delta")
+        if self.config.strict and self.spark.read.parquet(f"{self.path}/{folder}").count() != n:
             raise IdAlreadyExists("an id was seen before, or is there twice")
-        number = batch_id if batch_id is not None else self.last_batch + 1
-        self.delta = materialize(self.delta.unionByName(fresh.withColumn("batch", F.lit(number).cast("long"))), "delta")
-        self.last_batch = number
+        self._commit(delta=[*self._state["delta"], folder], last_batch=number, dims=dims)
         if self.delta_count() >= self.config.delta_capacity:
             self.merge()
 
@@ -62,21 +99,20 @@ class StreamIndex:
 
     def merge(self) -> None:
         """The delta's rows become base rows, deleted ones go; their ids stay in the tombstones."""
-        self.base = materialize(knn.live(self.base.unionByName(self.delta), self.tombstones), "base")
-        self.delta = self.delta.limit(0)
-        self.merges += 1
+        folder = self._written(knn.live(self.base.unionByName(self.delta), self.tombstones), "base")
+        self._commit(base=[folder], delta=[], merges=self.merges + 1)
 
     def flush(self) -> None:
-        if self.delta.limit(1).count():
+        if self._state["delta"]:
             self.merge()
 
     def delete(self, key) -> None:
         """Unknown or deleted ids are an error."""
         if not self.rows().where(F.col("id") == key).limit(1).count():
             raise IdNotFound(str(key))
-        one = self.spark.createDataFrame([(key,)], self.tombstones.schema)
-        self.tombstones = materialize(self.tombstones.unionByName(one), "tombstones")
-        self.metadata = self.metadata.where(F.col("id") != key)
+        folder = self._written(self.spark.createDataFrame([(key,)], f"id {self._state['id_type']}"), "tombstones")
+        metadata = [self._written(self.metadata.where(F.col("id") != key), "metadata")] if self._state["metadata"] else []
+        self._commit(tombstones=[*self._state["tombstones"], folder], metadata=metadata)
 
     def set_metadata(self, values: DataFrame) -> None:
         """One value a name, whatever its type: a name set as text is gone from the numbers, and so on."""
@@ -86,7 +122,7 @@ class StreamIndex:
         names = values.select("id", F.concat(*[F.coalesce(F.map_keys(c), F.array().cast("array<string>")) for c in ("text", "floats", "ints")]).alias("_set"))
         old = self.metadata.join(names, "id", "left")
         kept = [F.when(F.col("_set").isNull(), F.col(c)).otherwise(F.map_filter(c, lambda k, v: ~F.array_contains("_set", k))).alias(c) for c in ("text", "floats", "ints")]
-        self.metadata = materialize(upsert(old.select("id", *kept), values), "metadata")
+        self._commit(metadata=[self._written(upsert(old.select("id", *kept), values), "metadata")])
 
     def rows(self, where: Filter | None = None) -> DataFrame:
         live = knn.live(self.base.unionByName(self.delta), self.tombstones)
@@ -105,16 +141,18 @@ class StreamIndex:
         return knn.range_search(self.rows(where), query, radius, self.index.metric, limit)
 
     def save(self, path: str) -> int:
+        """A copy of the state in another folder."""
         self.flush()
         if not self.base.limit(1).count():
             raise IndexEmpty("nothing has been inserted")
-        tables = {"base": self.base, "delta": self.delta, "tombstones": self.tombstones, "metadata": self.metadata}
-        return store.save(path, tables, {"index": self.index.to_json(), "stream": self.config.to_json(), "dims": self.dims, "last_batch": self.last_batch})
+        copy = {n: [f"{n}-{uuid.uuid4().hex}"] for n in ("base", "tombstones", "metadata")}
+        for name, (folder,) in copy.items():
+            self._table(name).write.parquet(f"{path}/{folder}")
+        return store.commit(self.spark, path, self._state | copy)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> StreamIndex:
-        tables, config = store.load(spark, path)
-        new = cls(spark, tables["base"].schema["id"].dataType.simpleString(), IndexConfig.from_json(config["index"]), StreamConfig.from_json(config["stream"]))
-        new.base, new.delta, new.tombstones, new.metadata = (tables[n] for n in ("base", "delta", "tombstones", "metadata"))
-        new.dims, new.last_batch = config["dims"], config["last_batch"]
-        return new
+        """The state of a folder, which goes on from there."""
+        if not store.manifests(spark, path):
+            raise IndexEmpty(f"{path} has no state")
+        return cls(spark, path=path)

@@ -113,10 +113,45 @@ def test_snapshots_are_checked(spark, tmp_path):
     with pytest.raises(CorruptFile):
         store.load(spark, path)
     store.save(path, {"t": spark.range(3)}, {})
-    manifest = store.read_json(spark, f"{path}/manifest.json")
-    store.write_json(spark, f"{path}/manifest.json", manifest | {"tables": {"t": 4}})
+    assert store.load(spark, path)[0]["t"].count() == 3
+    # A writer that died before its manifest leaves the version before.
+    spark.range(9).write.parquet(f"{path}/v-dead/t")
+    (tmp_path / "x" / "manifest-2.json.0.new").write_text("{")
+    assert store.load(spark, path)[0]["t"].count() == 3
+    store.commit(spark, path, store.newest(spark, path) | {"tables": {"t": 4}})
     with pytest.raises(CorruptFile):
         store.load(spark, path)
+    with pytest.raises(CorruptFile):
+        store.write_json(spark, f"{path}/manifest-2.json", {})
+
+
+def test_stream_survives_a_restart(spark, tmp_path):
+    """A new driver object on the folder goes on where the old one ended, and replayed batches change nothing."""
+    rows = np.random.default_rng(8).normal(size=(60, 4)).astype("f4")
+    source, state, checkpoint = (str(tmp_path / n) for n in ("in", "state", "cp"))
+
+    def ingest():
+        index = StreamIndex(spark, config=StreamConfig(delta_capacity=25), index=IndexConfig(metric="l2"), path=state)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        index.start(stream, checkpoint).awaitTermination()
+        return index
+
+    for b in range(2):
+        records(spark, rows[20 * b : 20 * b + 20], 20 * b).coalesce(1).write.mode("append").parquet(source)
+    first = ingest()
+    assert (first.count(), first.last_batch, first.merges) == (40, 1, 1)
+    first.delete("v3")
+    first.set_metadata(spark.createDataFrame([("v5", {"tag": "hot"}, None, None)], first.metadata.schema))
+    records(spark, rows[40:], 40).coalesce(1).write.mode("append").parquet(source)
+    second = ingest()
+    assert (second.count(), second.last_batch) == (59, 2) and second.rows(Equals("tag", "hot")).count() == 1
+    # The state is ahead of a checkpoint that was lost: the same batches come again.
+    again = StreamIndex(spark, path=state)
+    for b in range(3):
+        again.insert(records(spark, rows[20 * b : 20 * b + 20], 20 * b), b)
+    assert again.count() == 59 and again.config.delta_capacity == 25
+    names = [f"v{i}" for i in range(60)]
+    assert [r["id"] for r in again.search([float(x) for x in rows[7]], 5).collect()] == nearest(rows, rows[7], 5, names, {"v3"})
 
 
 def test_stream(spark, tmp_path):
