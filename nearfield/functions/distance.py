@@ -123,3 +123,14 @@ def register(spark: SparkSession) -> None:
         WHEN 'cosine' THEN CASE WHEN sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)) < 1e-10 THEN 1D
             ELSE greatest(0D, 1D - aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / (sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))) END END"""
     )
+
+
+def register_table_function(spark: SparkSession, name: str, view: str, id_type: str = "BIGINT") -> None:
+    """Makes a SQL table function name(query, k, metric) with rows (rank, id, distance): the k nearest rows of a view
+    (id, vector). The rank's limit holds in every task before rows are brought together."""
+    register(spark)
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, k INT, metric STRING) RETURNS TABLE(rank INT, id {id_type}, distance DOUBLE)
+        RETURN SELECT CAST(rank AS INT), id, distance FROM (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank
+            FROM (SELECT id, vec_distance(CAST(vector AS ARRAY<DOUBLE>), query, metric) AS distance FROM {view})) WHERE rank <= k"""
+    )

@@ -150,6 +150,14 @@ def _register_searches() -> None:
         return rows.join(b, "id").select("id", F.round(call("l2"), 6).alias("l2"), F.round(call("cosine"), 6).alias("cosine"), F.round(call("inner_product"), 6).alias("ip"), call("hamming").alias("hamming"))
 
 
+    @register("sql_knn_function", _single("l2"))
+    def knn_function(s, d):
+        corpus(s, d).createOrReplaceTempView("nearfield_corpus")
+        D.register_table_function(s, "nearfield_nearest", "nearfield_corpus")
+        query = ", ".join(f"{x!r}D" for x in _query(s, d))
+        return _rounded(s.sql(f"SELECT * FROM nearfield_nearest(array({query}), 10, 'l2')"))
+
+
 def _register_filters() -> None:
     base = 9_000_000_000_000_000_000
     cases: dict[str, tuple[Filter, str]] = {
