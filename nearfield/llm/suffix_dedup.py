@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from nearfield.llm.grouping import contiguous
 from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
-from nearfield.runtime import ROW_GROUPS, discard, materialize, prepare, scratch, work_path
+from nearfield.runtime import ROW_GROUPS, discard, materialize, prepare, remove, scratch, work_path
 
 WINDOW = 50
 GRAM = 20
@@ -56,7 +56,7 @@ RANGE_BYTES = 16 << 20  # text bytes for each range of anchor hashes
 SHARD_BYTES = 1 << 20  # context bytes for each shard
 HOT = 8192  # places of an anchor from which on its windows are dealt by more bytes
 SIDE = (WINDOW - GRAM) // 2
-TASK_BYTES = 16 << 20  # context bytes, or a quarter of the text bytes, for each task
+TASK_BYTES = 16 << 20  # context bytes, or half of the text bytes, for each task
 
 SPREAD = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -475,17 +475,21 @@ def _removed_repeats(docs: DataFrame, doc_id: str, text: str, carry: list[str])
     packed = materialize(pack(docs, doc_id, text, carried), "batches")
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = max(8, total // RANGE_BYTES)
-    tasks = max(8, total // (4 * TASK_BYTES), spark.sparkContext.defaultParallelism)
+    tasks = max(1, -(-total // (2 * TASK_BYTES)))
     repeated = materialize(repeated_anchors(sent_anchors(packed, ranges), ranges), "anchors")
     count = repeated.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
     shards = max(8, int(count // 8 * (WINDOW + 16) // SHARD_BYTES))
     path = work_path(spark, "contexts")
     sent_contexts(packed, repeated, shards, tasks).write.options(**ROW_GROUPS).partitionBy("own").parquet(path)
-    sent = spark.read.schema("shard int, batch long, blob binary, own int").parquet(path)
-    answers = materialize(answered(sent.where("own = 0").select("shard", "batch", "blob"), max(8, shards * SHARD_BYTES // TASK_BYTES)), "answers")
     discard(repeated)
+    read = lambda own: spark.read.schema("shard int, batch long, blob binary").parquet(f"{path}/own={own}")
+    if not count:  # then neither folder is there
+        for own in (0, 1):
+            spark.createDataFrame([], "shard int, batch long, blob binary").write.parquet(f"{path}/own={own}")
+    answers = materialize(answered(read(0), max(8, shards * SHARD_BYTES // TASK_BYTES)), "answers")
+    remove(spark, [f"{path}/own=0"])  # the shards' contexts are answered
     lists = answers.repartition(tasks, "batch").groupBy("batch").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))  # at most a batch's contexts
-    own = sent.where("own = 1").select("batch", F.col("blob").alias("record")).repartition(tasks, "batch")
+    own = read(1).select("batch", F.col("blob").alias("record")).repartition(tasks, "batch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
