@@ -1,4 +1,4 @@
-"""Groups of rows that lie next to each other in a partition, as Arrow tables."""
+"""Groups of rows that lie next to each other in a partition, as Arrow tables; rows with an id of a list."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_IDS = 2 << 20  # some 130 MB as a hash relation
 
 
 def contiguous(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -30,3 +34,10 @@ def contiguous(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[p
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def matching(rows: DataFrame, ids: DataFrame, name: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose id in the column `name` is among ids (left_semi) or not (left_anti). Wide rows stay where they
+    are as long as the ids, which are counted first, fit into a broadcast; beyond that both sides are shuffled."""
+    small = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if small else ids.hint("merge"), name, how)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.components import connected_components
-from nearfield.llm.grouping import contiguous
+from nearfield.llm.grouping import contiguous, matching
 from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
 from nearfield.runtime import materialize, prepare, scratch
 
@@ -270,6 +270,7 @@ def links(classes: DataFrame, signed: DataFrame, width: int, percent: int) -> Da
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
     kept = buckets.where("size > 1").groupBy("size", "least", "members").agg(F.min(F.struct("band", "key")).alias("bucket")).select("bucket.*", "size")
     members = materialize(banded.join(kept, ["band", "key"]), "buckets")
+    signed = matching(signed, materialize(members.select("doc_id").distinct(), "members"), "doc_id")  # only they are compared
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = members.select("band", "key", F.pmod(F.xxhash64("doc_id", F.lit(7)), parts.cast("long")).cast("int").alias("i"), "doc_id")
     picked = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(100 + n))) for n in range(REPS)]

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, components, embedding_dedup, html_text, langid, licenses, minhash, mixing, ordered, queries, suffix_dedup, topk, warc
+from nearfield.llm import bpe, components, embedding_dedup, grouping, html_text, langid, licenses, minhash, mixing, ordered, queries, suffix_dedup, topk, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, n long, id string, rank int"
@@ -99,6 +99,18 @@ def test_minhash_edges(spark):
     assert (1 - 0.85**rows_) ** bands <= 1e-6 and bands * rows_ <= minhash.HASHES
 
 
+@pytest.mark.parametrize("most", [2 << 20, 0])
+def test_rows_by_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(grouping, "BROADCAST_IDS", most)
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], "doc_id int, text string")
+    ids = spark.createDataFrame([(1,), (3,), (9,)], "doc_id long")
+    found = {how: sorted(r["text"] for r in grouping.matching(rows, ids, "doc_id", how).collect()) for how in ("left_semi", "left_anti")}
+    assert found == {"left_semi": ["a", "b", "e"], "left_anti": ["c", "d"]}
+    assert sorted(r["text"] for r in grouping.matching(rows, ids.limit(0), "doc_id", "left_anti").collect()) == list("abcde")
+    plan = grouping.matching(rows, ids, "doc_id")._jdf.queryExecution().toString()
+    assert ("BroadcastHashJoin" in plan) == (most > 0)
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(30)] + [(50, rng.randrange(51, 90)) for _ in range(60)] + [(100, 100)]
