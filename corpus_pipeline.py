@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import bpe, langid, minhash, mixing, suffix_dedup
+from nearfield.llm.grouping import matching
 from nearfield.runtime import discard, materialize, scratch, table
 
 LEAST_SCORE = 0.5
@@ -40,7 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns of any name are kept.
     """
     found = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(_columns(docs))
+    gone = found.where("not kept").select("doc_id").distinct()
+    return matching(docs, gone, "doc_id", "left_anti").select(_columns(docs))
 
 
 def _whole_characters(text: Column) -> Column:
