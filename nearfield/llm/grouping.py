@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_IDS = 2 << 20  # some 130 MB as a hash relation
+BROADCAST_IDS = 2 << 20  # an estimated 130 MB as a hash relation
 
 
 def contiguous(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
