@@ -20,6 +20,8 @@ from nearfield.runtime import prepare
 
 CORPUS_BLOCK = 8192
 QUERY_BLOCK = 1024
+#: Products of single precision are made and read in strips of this size.
+STRIP_BYTES = 2 << 20
 
 
 def literal(vector) -> F.Column:
@@ -96,17 +98,62 @@ def exact_distances(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndar
     return np.where(size < TINY, 1.0, np.maximum(0.0, 1.0 - products / np.maximum(size, TINY)))
 
 
+def _single(queries: np.ndarray, rows: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Two matrices of single precision whose product ranks a query's rows as their distances do, and for each
+    query twice the most by which a product may be off. None where single precision cannot hold the numbers."""
+    if metric == "hamming":  # sums of signs are exact
+        return np.where(queries >= 0, 1, -1).astype(np.float32), np.where(rows >= 0, -1, 1).astype(np.float32), np.zeros(len(queries))
+    a, b = np.sqrt((queries**2).sum(1)), np.sqrt((rows**2).sum(1))
+    long, most = float(b.max()), float(a.max())
+    if not long * max(most, long) < 1e30:  # too large, or not finite
+        return None
+    off = (queries.shape[1] + 4) * 2.0**-23 * 1.01  # rounding of both sides and of the sum, by Cauchy and Schwarz
+    if metric == "cosine":
+        if any(((0 < n) & (n < 2 * TINY**0.5)).any() for n in (a, b)):
+            return None
+        return (queries / np.where(a == 0, 1, a)[:, None]).astype(np.float32), (-rows / np.where(b == 0, 1, b)[:, None]).astype(np.float32), np.full(len(a), off)
+    if metric == "inner_product":
+        return queries.astype(np.float32), (-rows).astype(np.float32), off * a * long + 1e-30
+    left = np.concatenate([queries, np.ones((len(queries), 1))], 1)  # l2 without the query's own square
+    return left.astype(np.float32), np.concatenate([-2 * rows, (b**2)[:, None]], 1).astype(np.float32), off * (2 * a * long + long**2) + 1e-30
+
+
+def _near(queries: np.ndarray, rows: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """(query place, row place) of pairs among which are each query's k best, by products of single precision in strips
+    that stay in the cache. The k-th of the least of groups bounds the k-th of all. None where this leaves too many."""
+    sides = _single(queries, rows, metric)
+    if sides is None:
+        return None
+    left, right, slack = sides
+    n, k = len(rows), int(k)
+    group = min(32, n // (4 * k))
+    strip = max(1, STRIP_BYTES // (4 * n))
+    products = np.empty((min(strip, len(left)), n), np.float32)
+    places, spare = [], 16 * k * len(left) + 65536
+    for start in range(0, len(left), strip):
+        part = left[start : start + strip]
+        found = np.matmul(part, right.T, out=products[: len(part)])
+        least = found[:, : n // group * group].reshape(len(part), group, n // group).min(1) if group > 1 else found
+        worst = np.partition(least, k - 1, axis=1)[:, k - 1].astype(np.float64) + slack[start : start + strip]
+        at = np.flatnonzero(found <= np.nextafter(worst.astype(np.float32), np.float32(np.inf))[:, None])
+        spare -= len(at)
+        if spare < 0:
+            return None
+        places.append(at + start * n)
+    return np.divmod(np.concatenate(places), n)
+
+
 def block_best(queries: np.ndarray, rows: np.ndarray, ids: pa.Array, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query its k best rows of a block: (query place, row place, distance). A matrix
     product bounds the candidates, which are then computed again one by one."""
-    found = pairwise(queries, rows, metric)
-    if not found.size:
+    if not len(queries) or not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    if len(rows) <= k:
-        place, row = (x.ravel() for x in np.indices(found.shape))
-    else:
+    near = _near(queries, rows, k, metric) if len(rows) > k else tuple(x.ravel() for x in np.indices((len(queries), len(rows))))
+    if near is None:
+        found = pairwise(queries, rows, metric)
         worst = np.partition(found, k - 1, axis=1)[:, k - 1]
-        place, row = np.nonzero(found <= (worst + 1e-9 * (1.0 + np.abs(found).max()))[:, None])
+        near = np.nonzero(found <= (worst + 1e-9 * (1.0 + np.abs(found).max(initial=0.0, where=np.isfinite(found))))[:, None])
+    place, row = near
     exact = np.concatenate([exact_distances(queries[place[i : i + 65536]], rows[row[i : i + 65536]], metric) for i in range(0, len(place), 65536)])
     key = ids.to_numpy(zero_copy_only=False)
     if key.dtype == object:  # names: their order serves as number
