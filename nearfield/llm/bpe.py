@@ -248,6 +248,17 @@ class Encoder:
         raw = np.frombuffer(piece, np.uint8)
         return int((BYTE_HASH[raw] * self.base[: len(raw)]).sum(dtype=np.uint64))
 
+    def _keys(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """_key of many short pieces, byte by byte of all of them, so that nothing as wide as the text is made."""
+        order = np.argsort(-size, kind="stable")
+        at, key = begin[order], np.zeros(len(begin), np.uint64)
+        longer = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")  # pieces with more than i bytes
+        for i, n in enumerate(longer.tolist()):
+            key[:n] += BYTE_HASH[raw[at[:n] + i]] * self.base[i]
+        out = np.empty_like(key)
+        out[order] = key
+        return out
+
     def _follows(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         keys = (before.astype(np.uint64) << np.uint64(32)) | token.astype(np.uint64) | np.uint64(1 << 63)
         found = self.pairs.get(keys)
@@ -356,11 +367,7 @@ class Encoder:
         short = np.flatnonzero(size <= LONG)
         place, count, flats, used = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64), [], 0
         if len(short):
-            hashes = BYTE_HASH[raw]
-            hashes *= powers(BASE, len(raw))
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(hashes, out=sums[1:])
-            key = (sums[begin[short] + size[short]] - sums[begin[short]]) * powers(INVERSE, len(raw))[begin[short]]
+            key = self._keys(raw, begin[short], size[short])
             _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             flat, at, n = self._distinct(raw, begin[short[first]], size[short[first]])
             place[short], count[short] = at[inverse], n[inverse]
