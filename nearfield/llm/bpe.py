@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
-from nearfield.runtime import prepare
+from nearfield.runtime import prepare, thrifty
 
 CACHE_ENTRIES = 50_000
 LONG = 40  # bytes of a piece that is encoded together with others
-BLOCK = 1 << 20  # characters encoded together
+BLOCK = 1 << 19  # characters encoded together
 PAIR_BITS = 21  # the table of pairs already judged is emptied when half of its 2**PAIR_BITS slots are in use
 
 
@@ -445,7 +445,7 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text"
                 packed = encoder.encode_all(column.slice(i, 256).to_pylist())
                 yield _appended(batch.slice(i, 256), {"n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()), out: pa.array(packed, pa.binary())})
 
-    return df.mapInArrow(run, _schema(df, ("n_tokens", T.LongType()), (out, T.BinaryType())))
+    return df.mapInArrow(thrifty(run), _schema(df, ("n_tokens", T.LongType()), (out, T.BinaryType())))
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -460,4 +460,4 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "de
                 found = [decoder.decode(p) for p in column.slice(i, 256).to_pylist()]
                 yield _appended(batch.slice(i, 256), {out: pa.array(found, pa.binary())})
 
-    return df.mapInArrow(run, _schema(df, (out, T.BinaryType())))
+    return df.mapInArrow(thrifty(run), _schema(df, (out, T.BinaryType())))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.runtime import prepare
+from nearfield.runtime import prepare, thrifty
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -105,7 +105,7 @@ def count(df: DataFrame, text: str, lang: str) -> DataFrame:
                         np.add.at(total, bucket, 1)
         yield from out()
 
-    found = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(run, "lang string, bucket int, n long")
+    found = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(thrifty(run), "lang string, bucket int, n long")
     return found.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -185,4 +185,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, s
                 yield pa.RecordBatch.from_arrays([c for _, c in keep] + [pa.array(found, pa.string()), pa.array(share, pa.float64())], [n for n, _ in keep] + list(names))
 
     fields = [f for f in df.schema.fields if f.name not in names]
-    return df.mapInArrow(run, T.StructType(fields + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+    return df.mapInArrow(thrifty(run), T.StructType(fields + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.components import connected_components
 from nearfield.llm.grouping import contiguous, matching
 from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
-from nearfield.runtime import materialize, prepare, scratch
+from nearfield.runtime import materialize, prepare, scratch, thrifty
 
 HASHES = 125
 MISSED = 1e-6
@@ -124,7 +124,7 @@ def sign(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_shingles", "fingerprint", "bands", "signature", "packed"])
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, SIGNED)
+    return rows.mapInArrow(thrifty(run), SIGNED)
 
 
 class Forest(dict):
@@ -207,7 +207,7 @@ def _edges(rows: DataFrame, width: int, percent: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["src", "dst"])
 
-    return rows.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(run, "src long, dst long")
+    return rows.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(thrifty(run), "src long, dst long")
 
 
 def _left_over(rows: DataFrame, percent: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _left_over(rows: DataFrame, percent: int) -> DataFrame:
             if places:
                 yield from group.select(names).take(pa.array(sorted(places))).combine_chunks().to_batches()
 
-    return rows.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(run, SIDES)
+    return rows.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(thrifty(run), SIDES)
 
 
 def _smaller(left: DataFrame) -> DataFrame:

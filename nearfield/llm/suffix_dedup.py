@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from nearfield.llm.grouping import contiguous
 from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
-from nearfield.runtime import ROW_GROUPS, discard, materialize, prepare, remove, scratch, work_path
+from nearfield.runtime import ROW_GROUPS, discard, materialize, prepare, remove, scratch, thrifty, work_path
 
 WINDOW = 50
 GRAM = 20
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, carried: list[Column]) -> Data
             yield out()
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), *carried)
-    return rows.mapInArrow(run, BATCHES)
+    return rows.mapInArrow(thrifty(run), BATCHES)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -213,7 +213,7 @@ def sent_anchors(packed: DataFrame, ranges: int) -> DataFrame:
             blobs = [pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in parts], pa.binary()) for x in (hashes, places, several)]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([row["batch"]] * len(parts), pa.int64()), *blobs], ["part", "batch", "hashes", "places", "several"])
 
-    return packed.select("batch", "ids", "sizes", "packed").mapInArrow(run, "part int, batch long, hashes binary, places binary, several binary")
+    return packed.select("batch", "ids", "sizes", "packed").mapInArrow(thrifty(run), "part int, batch long, hashes binary, places binary, several binary")
 
 
 def _repeated(group: pa.Table) -> pa.Table:
@@ -246,7 +246,7 @@ def repeated_anchors(sent: DataFrame, ranges: int) -> DataFrame:
         for group in contiguous(batches, ["part"]):
             yield from _repeated(group).combine_chunks().to_batches()
 
-    return sent.repartitionById(ranges, F.col("part")).sortWithinPartitions("part").mapInArrow(run, "batch long, hashes binary, hot binary")
+    return sent.repartitionById(ranges, F.col("part")).sortWithinPartitions("part").mapInArrow(thrifty(run), "batch long, hashes binary, hot binary")
 
 
 def contexts(batch: Batch, hashes: np.ndarray, hot: np.ndarray, shards: int) -> tuple[list[tuple[int, bytes]], bytes]:
@@ -308,7 +308,7 @@ def sent_contexts(packed: DataFrame, repeated: DataFrame, shards: int, tasks: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["own", "shard", "batch", "blob"])
 
     lists = repeated.repartition(tasks, "batch").groupBy("batch").agg(F.collect_list("hashes").alias("repeated"), F.collect_list("hot").alias("hot"))  # at most a batch's anchors
-    return packed.select("batch", "ids", "sizes", "packed").repartition(tasks, "batch").join(lists, "batch").mapInArrow(run, "own int, shard int, batch long, blob binary")
+    return packed.select("batch", "ids", "sizes", "packed").repartition(tasks, "batch").join(lists, "batch").mapInArrow(thrifty(run), "own int, shard int, batch long, blob binary")
 
 
 PLACE_BITS = 21  # a place in a shard's text, where three of them fit into one sort key
@@ -458,7 +458,7 @@ def answered(sent: DataFrame, tasks: int) -> DataFrame:
             yield from _answer(group).combine_chunks().to_batches(max_chunksize=64)
 
     dealt = sent.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "shard int, batch long, answer binary")
+    return dealt.mapInArrow(thrifty(run), "shard int, batch long, answer binary")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -513,4 +513,4 @@ def _removed_repeats(docs: DataFrame, doc_id: str, text: str, carry: list[str])
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
     fields = [T.StructField(f.name, T.BinaryType() if f.name == "kept" else T.LongType()) for f in result]
     joined = packed.select("batch", "ids", "sizes", "packed", "extra").repartition(tasks, "batch").join(own, "batch", "left").join(lists, "batch", "left")
-    return joined.mapInArrow(run, T.StructType(fields + [T.StructField("carried", docs.select(*carried).schema["carried"].dataType)] if carry else fields))
+    return joined.mapInArrow(thrifty(run), T.StructType(fields + [T.StructField("carried", docs.select(*carried).schema["carried"].dataType)] if carry else fields))
