@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, embedding_dedup, html_text, langid, licenses, minhash, mixing, suffix_dedup, topk, warc
+from nearfield.llm import bpe, embedding_dedup, hard_negatives, html_text, langid, licenses, minhash, mixing, suffix_dedup, topk, warc
 from nearfield.runtime import table, work_path
 
 
@@ -68,6 +68,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_topk_search": op9_topk_search,
     "op10_html_extraction": op10_html_extraction,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -145,6 +152,15 @@ s AS (SELECT q.vec_id AS query_id, q.v AS asked, c.vec_id, list_sum(list_transfo
 SELECT query_id, rank::INT AS rank, vec_id, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
+OP12_SQL = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::HUGEINT) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+q AS (SELECT *, row_number() OVER () AS tag FROM (SELECT DISTINCT * FROM v WHERE id % 100 = 0)),
+s AS (SELECT q.tag, q.id AS anchor_id, c.id, q.label = c.label AS same, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM q JOIN v c ON q.id <> c.id AND len(q.v) = len(c.v)),
+p AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY score DESC, id) AS slot FROM s WHERE same QUALIFY slot <= 5),
+n AS (SELECT p.tag, p.slot, p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score FROM p JOIN s ON s.tag = p.tag AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY tag, slot ORDER BY negative_score DESC, negative_id)::INT AS rank, negative_id, positive_score, negative_score FROM n QUALIFY rank <= 10
+"""
+
 #: Language ID, tokens and HTML blocks have no SQL: tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
@@ -154,4 +170,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": licenses.oracle_sql(),
     "op8_suffix_dedup": OP8_SQL,
     "op9_topk_search": OP9_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }

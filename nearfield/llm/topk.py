@@ -134,11 +134,11 @@ def _packed(group: pa.Table) -> pa.Table:
     return pa.table({"dims": group["dims"][:1], "query_block": group["block"][:1], "query_ids": pa.array([ids.tobytes()], pa.binary()), "query_matrix": pa.array([values.astype("<f8").tobytes()], pa.binary())})
 
 
-def _whole(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """(id, values, dims): whole numbers as doubles, which hold any floor(scale * component) exactly."""
+def _whole(df: DataFrame, vec_id: str, vector: str, scale: int, keep: list[str] = []) -> DataFrame:
+    """(id, values, *keep, dims): whole numbers as doubles, which hold any floor(scale * component) exactly."""
     # floor() of a double saturates as a long; from 2**52 on a double is whole anyway.
     whole = F.transform(vector, lambda x: F.when(F.abs(x.cast("double") * scale) < float(1 << 52), F.floor(x.cast("double") * scale).cast("double")).otherwise(x.cast("double") * scale))
-    rows = df.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), whole.alias("values"))
+    rows = df.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), whole.alias("values"), *keep)
     return rows.withColumn("dims", F.size("values"))
 
 
