@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, embedding_dedup, hard_negatives, html_text, langid, licenses, minhash, mixing, suffix_dedup, topk, warc
+from nearfield.llm import bpe, embedding_dedup, hard_negatives, html_text, langid, licenses, minhash, mixing, quality, suffix_dedup, topk, warc
 from nearfield.runtime import table, work_path
 
 
@@ -74,6 +74,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    score = F.col("score")
+    return quality.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", (score >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk_search": op9_topk_search,
     "op10_html_extraction": op10_html_extraction,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality": op13_quality,
 }
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
