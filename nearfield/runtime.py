@@ -121,12 +121,12 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4"}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: this cuts the
     lineage and survives lost executors, for the files belong to no executor."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.options(**ROW_GROUPS).parquet(path)
+    df.write.options(compression=compression, **ROW_GROUPS).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._nearfield_path = path
     return out
