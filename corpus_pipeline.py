@@ -30,8 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go; a text of any length is read whole; copies are judged alike; where no row names a
     language, all rows go; an empty table stays empty; columns of any name are kept.
     """
-    found = langid.predict(docs, langid.train(docs), names=("_lang_pred", "_score"))
-    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(_columns(docs))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("carried")  # apart from the columns that predict() adds
+    found = langid.predict(docs.select(carried, "text"), langid.train(docs))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(_columns(docs, "carried", text=F.col("text")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
