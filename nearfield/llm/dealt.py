@@ -37,8 +37,9 @@ def packed(rows: DataFrame, blocks: int, pack: Callable[[pa.Table], tuple]) -> D
     return placed.groupBy("dims", "block").applyInArrow(run, PACKED)
 
 
-def meet(index: DataFrame, queries: DataFrame, blocks: int, parts: int, answer: Callable[[list, object], list[tuple]], schema: str) -> DataFrame:
-    """answer(index blocks of a task, one query block) for every task and query block whose vectors have equal lengths.
+def meet(index: DataFrame, queries: DataFrame, blocks: int, parts: int, answer: Callable[[list, object], list[tuple]], schema: str, load: Callable | None = None) -> DataFrame:
+    """answer(index blocks of a task, one query block) for every task and query block whose vectors have equal lengths. load: what
+    a task makes of an index block once, before it reads queries.
 
     Index blocks move once, to the one task that holds them; a query block goes to every task. A task reads its index
     blocks first and keeps nothing else, so lost tasks are rerun by themselves.
@@ -61,7 +62,7 @@ def meet(index: DataFrame, queries: DataFrame, blocks: int, parts: int, answer:
                     last, mine = dims.as_py(), []
                 block = pickle.loads(data.as_buffer())
                 if place.as_py() < 0:
-                    mine.append(block)
+                    mine.append(load(block) if load else block)
                 elif mine:
                     columns = list(zip(*answer(mine, block))) or [()] * len(names)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], names)

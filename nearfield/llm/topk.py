@@ -1,15 +1,14 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
-The index is built once and written to the shared folder, in blocks of about BLOCK vectors. In a
+The index is built once and written to the shared folder, in blocks of bounded size. In a
 block every dimension has its vectors in posting segments, one for each of LEVELS
 quantised impacts. A query takes the segments of all dimensions by descending
 contribution (its own component times the segment's impact) and adds to each posting's
 accumulator what the segment contributes at least. Upper bounds follow from what any
 segment not yet read could add and from the width of the levels. The scan stops
 only when these bounds prove that no more than a few vectors can still be among
-the k best; all of those are then scored exactly from their components. A task reads
-the blocks that a block of queries meets one after the other, and each query's k-th
-score so far is where the next scan starts.
+the k best; all of those are then scored exactly from their components. A task holds
+some blocks and reads all queries; each query's k-th score so far is where the scan of the next block starts.
 
 Edge cases: vectors that are null or hold null or non-finite components take no
 part; vectors of different length never meet; ties go to the smaller id; with
@@ -28,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.llm import dealt
 from nearfield.runtime import materialize, prepare
 
-BLOCK = 4096
-QUERY_BLOCK = 1024
 LEVELS = 32
 STEP = 256  # segments read between two looks at the bounds
 EXACT = 1 << 53  # whole numbers below it are exact as doubles
@@ -118,20 +116,50 @@ def _scored_wide(ids: np.ndarray, values: np.ndarray, query: np.ndarray, k: int,
     return sorted(found, key=lambda f: (-f[0], f[1]))[:k]
 
 
-def _indexed(group: pa.Table) -> pa.Table:
-    ids = group["id"].to_numpy().astype(np.int64)
-    dims = group["dims"][0].as_py()
-    values = group["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dims)
-    postings = b""
-    if np.abs(values).max(initial=0) < EXACT:
-        postings = ImpactIndex(ids, values.astype(np.int64)).postings.tobytes()
-    return pa.table({"dims": pa.array([dims], pa.int32()), "block": group["block"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([values.astype("<f8").tobytes()], pa.binary()), "postings": pa.array([postings], pa.binary())})
+def _values(group: pa.Table) -> np.ndarray:
+    return group["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(group), group["dims"][0].as_py())
 
 
-def _packed(group: pa.Table) -> pa.Table:
-    ids = group["id"].to_numpy().astype(np.int64)
-    values = group["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return pa.table({"dims": group["dims"][:1], "query_block": group["block"][:1], "query_ids": pa.array([ids.tobytes()], pa.binary()), "query_matrix": pa.array([values.astype("<f8").tobytes()], pa.binary())})
+def _indexed(group: pa.Table) -> tuple:
+    """(ids, components, postings); no postings where components are too large for them."""
+    ids, values = group["id"].to_numpy().astype(np.int64), _values(group)
+    if np.abs(values).max(initial=0) >= EXACT:
+        return ids, values, None
+    return ids, values.astype(np.int64), ImpactIndex(ids, values.astype(np.int64)).postings
+
+
+def _loaded(block: tuple) -> tuple:
+    ids, values, postings = block
+    return ids, values, None if postings is None else ImpactIndex(ids, values, postings)
+
+
+def _asked(group: pa.Table) -> tuple:
+    return group["tag"].to_pylist(), group["id"].to_pylist(), _values(group)
+
+
+def _answer(k: int):
+    """Rows (tag, query_id, vec_id, score): the k best of a task's blocks for each query. The k-th score so far is where the
+    scan of the next block starts."""
+
+    def run(index: list, block: tuple) -> list[tuple]:
+        out = []
+        for tag, own, query in zip(*block):
+            best: list[tuple] = []
+            size = float(np.abs(query).sum())
+            for ids, values, postings in index:
+                # Sums of bounds and of products both stay below 2**53.
+                if postings is not None and 4.0 * size * (postings.most + LEVELS) < EXACT:
+                    place, score = postings.search(query.astype(np.int64), k, own, best[-1][0] if len(best) == k else None)
+                    new = list(zip(score.tolist(), ids[place].tolist()))
+                else:
+                    new = _scored_wide(ids, values, query, k, own)
+                best = sorted(best + new, key=lambda f: (-f[0], f[1]))[:k]
+            if any(abs(s) >= 1 << 63 for s, _ in best):
+                raise OverflowError("a score among the k best does not fit into a long")
+            out += [(tag, own, i, s) for s, i in best]
+        return out
+
+    return run
 
 
 def _whole(df: DataFrame, vec_id: str, vector: str, scale: int, keep: list[str] = []) -> DataFrame:
@@ -142,62 +170,19 @@ def _whole(df: DataFrame, vec_id: str, vector: str, scale: int, keep: list[str]
     return rows.withColumn("dims", F.size("values"))
 
 
-def _blocked(rows: DataFrame, count: int) -> DataFrame:
-    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-
-
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, scale: int = 1024, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each query row the k rows of corpus with the largest inner product of
     floor(scale * component), other than the query's own id: (query_id, rank, vec_id, score).
 
-    Every block of queries meets every block of the index; the meetings are dealt to tasks in order, so
-    that a task sees few blocks of queries, and its k best a query are merged by a ranking window.
+    The index is dealt to tasks once; the blocks of queries pass by every task, whose k best a query are merged by a
+    ranking window. Queries are written first, with a number each, so a task that is lost and rerun sees the same ones.
     """
     spark = prepare(corpus.sparkSession)
-    rows, asked = _whole(corpus, vec_id, vector, scale), _whole(queries, vec_id, vector, scale).distinct()
-    blocks, query_blocks = (max(1, -(-n // size)) for n, size in ((rows.count(), BLOCK), (asked.count(), QUERY_BLOCK)))
-    index = materialize(_blocked(rows, blocks).groupBy("dims", "block").applyInArrow(_indexed, "dims int, block int, ids binary, matrix binary, postings binary"), "index")
-    packed = _blocked(asked, query_blocks).groupBy("dims", "block").applyInArrow(_packed, "dims int, query_block int, query_ids binary, query_matrix binary")
-    tasks = min(blocks * query_blocks, max(4 * spark.sparkContext.defaultParallelism, query_blocks))
-    meeting = F.col("query_block").cast("long") * blocks + F.col("block")
-    met = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index.hint("merge"), ["dims", "block"])
-    met = met.repartitionById(tasks, F.floor(meeting * tasks / (blocks * query_blocks)).cast("int")).sortWithinPartitions("dims", "query_block", "block")
-    names = ["dims", "query_block", "query_ids", "query_matrix", "ids", "matrix", "postings"]
-
-    def run(batches):
-        last, asked_ids, best = None, None, []
-
-        def out() -> pa.RecordBatch:
-            found = [(int(q), i, score, str(at)) for at, (q, b) in enumerate(zip(asked_ids, best)) for score, i in b]
-            if any(abs(f[2]) >= 1 << 63 for f in found):
-                raise OverflowError("a score among the k best does not fit into a long")
-            place = [f"{last}-{f[3]}" for f in found]  # rows that share an id are told apart
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (zip(*(f[:3] for f in found)) if found else ([], [], []))), pa.array(place, pa.string())], ["query_id", "vec_id", "score", "place"])
-
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {n: batch.column(batch.schema.names.index(n))[r].as_py() for n in names}
-                if last != (row["dims"], row["query_block"]):
-                    if last is not None:
-                        yield out()
-                    last, asked_ids = (row["dims"], row["query_block"]), np.frombuffer(row["query_ids"], "<i8")
-                    best = [[] for _ in asked_ids]
-                    wide = np.frombuffer(row["query_matrix"], "<f8").reshape(len(asked_ids), row["dims"])
-                ids = np.frombuffer(row["ids"], "<i8")
-                values = np.frombuffer(row["matrix"], "<f8").reshape(len(ids), row["dims"])
-                block = ImpactIndex(ids, values.astype(np.int64), np.frombuffer(row["postings"], "<i4")) if row["postings"] or not values.size else None
-                for at, q in enumerate(asked_ids):
-                    size = float(np.abs(wide[at]).sum())
-                    # Sums of bounds and of products both stay below 2**53.
-                    if block is not None and 4.0 * size * (block.most + LEVELS) < EXACT:
-                        place, score = block.search(wide[at].astype(np.int64), k, int(q), best[at][-1][0] if len(best[at]) == k else None)
-                        new = list(zip(score.tolist(), ids[place].tolist()))
-                    else:
-                        new = _scored_wide(ids, values, wide[at], k, int(q))
-                    best[at] = sorted(best[at] + new, key=lambda f: (-f[0], f[1]))[:k]
-        if last is not None:
-            yield out()
-
-    found = met.select(names).mapInArrow(run, "query_id long, vec_id long, score long, place string")
-    rank = F.row_number().over(Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id"))
+    rows = _whole(corpus, vec_id, vector, scale)
+    asked = materialize(_whole(queries, vec_id, vector, scale).distinct().withColumn("tag", F.monotonically_increasing_id()), "queries")
+    n, dims = rows.agg(F.count("*"), F.max("dims")).first()
+    blocks, parts, query_blocks = dealt.counts(n, dims or 1, asked.count(), spark.sparkContext.defaultParallelism, 24)
+    index = materialize(dealt.packed(rows, blocks, _indexed), "index")
+    found = dealt.meet(index, dealt.packed(asked, query_blocks, _asked), blocks, parts, _answer(k), "tag long, query_id long, vec_id long, score long", _loaded)
+    rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
