@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.runtime import materialize, prepare, scratch, thrifty
+from nearfield.runtime import ROW_GROUPS, materialize, prepare, remove, thrifty, work_path
 
 SEGMENTS = 1 << 19  # distinct segments of a block; a text that alone has more is a block by itself
 TEXT = 1 << 26  # characters of a block
@@ -142,43 +142,74 @@ def pair(a: str, b: str) -> Pair:
     return Pair(a, b)
 
 
-BLOCKS = "block long, part int, number int, segment string, n long, doc_id long, codes binary"
+#: The signs of a line as half bytes, which take half the room in tables and shuffles.
+HALVES = str.maketrans(",|;", "abc")
+SIGNS = str.maketrans({"a": ",", "b": "|", "c": ";", "f": None})
+
+
+def halved(line: str) -> bytes:
+    found = line.translate(HALVES)
+    return bytes.fromhex(found + "f" * (len(found) % 2))
+
+
+def whole(data: bytes) -> str:
+    return data.hex().translate(SIGNS)
+
+
+def squeezed(codes: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest bytes first, compressed: most have few bits."""
+    return len(codes).to_bytes(4, "little") + pa.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def spread(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    flat = pa.decompress(data[4:], 4 * n, "zstd", asbytes=True) if n else b""
+    return np.frombuffer(flat, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
+#: Segments lie at their numbers, rows of documents from DOCUMENTS on.
+DOCUMENTS = 1 << 30
+BLOCKS = "part int, block long, place int, segment string, n int, data binary"
+DEALT = ["block", "place", "data"]
 
 
 def _blocks(a: str, b: str):
-    """Rows of a block: its distinct segments (part 0: number, segment, n) and its documents (part 1: number, doc_id, codes;
-    the segment numbers of a long text take several rows, in order of n)."""
+    """Rows of a block: its distinct segments (part 0: place, segment, n) and its documents (part 1: place, data). The
+    data of a document are whether it starts here, its id, and numbers of segments; a long one takes several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, task, block = pair(a, b), TaskContext.get().partitionId(), 0
         number: dict[str, int] = {}
-        docs: list[tuple] = []
+        docs: list[bytes] = []
         counts = np.zeros(0, np.int64)
         size = 0
 
+        def rows(part: int, places: range, segments: list, n: list, data: list) -> pa.RecordBatch:
+            m, key = len(places), task << 32 | block
+            return pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array([key] * m, pa.int64()), pa.array(places, pa.int32()), pa.array(segments, pa.string()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["part", "block", "place", "segment", "n", "data"])
+
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal number, docs, counts, size, block
-            key, n = task << 32 | block, len(number)
             words = iter(number)
-            for i in range(0, n, 1 << 16):
-                some = [w for _, w in zip(range(min(1 << 16, n - i)), words)]  # the range first, so that no word is lost
-                m = len(some)
-                yield _row(key, 0, range(i, i + m), some, counts[i : i + m], [None] * m, [None] * m)
-            rows = [(d, at, c) for d, (_, codes) in enumerate(docs) for at, c in enumerate(codes)]
-            for i in range(0, len(rows), 64):
-                some = rows[i : i + 64]
-                yield _row(key, 1, [d for d, _, _ in some], [None] * len(some), [at for _, at, _ in some], [docs[d][0] for d, _, _ in some], [c for _, _, c in some])
+            for i in range(0, len(number), 1 << 16):
+                places = range(i, min(i + (1 << 16), len(number)))
+                some = [w for _, w in zip(places, words)]  # the range first, so that no word is lost
+                yield rows(0, places, some, counts[i : i + len(some)], [None] * len(some))
+            for i in range(0, len(docs), 256):
+                some = docs[i : i + 256]
+                yield rows(1, range(DOCUMENTS + i, DOCUMENTS + i + len(some)), [None] * len(some), [None] * len(some), some)
             number, docs, counts, size = {}, [], np.zeros(0, np.int64), 0
             block += 1
 
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 codes = np.array([number.setdefault(s, len(number)) for s in tokenizers.segments(text)] if text else [], np.int32)
                 if len(number) > len(counts):
                     counts = np.concatenate([counts, np.zeros(max(len(number), 2 * len(counts)) - len(counts), np.int64)])
                 np.add.at(counts, codes, 1)
-                docs.append((key.as_py(), [codes[i : i + CODES].astype("<i4").tobytes() for i in range(0, max(len(codes), 1), CODES)]))
+                for i in range(0, max(len(codes), 1), CODES):
+                    docs.append(bytes([i == 0, key is not None]) + (key or 0).to_bytes(8, "little", signed=True) + squeezed(codes[i : i + CODES]))
                 size += len(text or "") + 64
                 if len(number) >= SEGMENTS or size >= TEXT:
                     yield from out()
@@ -188,14 +219,9 @@ def _blocks(a: str, b: str):
     return run
 
 
-def _row(block, part, number, segment, n, doc_id, codes) -> pa.RecordBatch:
-    m = len(segment)
-    arrays = [pa.array([block] * m, pa.int64()), pa.array([part] * m, pa.int32()), pa.array(number, pa.int32()), pa.array(segment, pa.string()), pa.array(n, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(codes, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, ["block", "part", "number", "segment", "n", "doc_id", "codes"])
-
-
 def _aligned(a: str, b: str):
-    """Of rows (block, number, n, segment) in order of the segment: (block, number, n, line), each distinct segment tokenised once."""
+    """Of rows (block, place, n, segment) in order of the segment: (block, place, n, data), each distinct segment tokenised once.
+    data: the segment's line, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, line = None, None
@@ -205,70 +231,71 @@ def _aligned(a: str, b: str):
             words = batch.column(batch.schema.names.index("segment")).dictionary_encode()
             distinct = words.dictionary.to_pylist()
             new = [w for w in distinct if w != last]
-            found = dict(zip(new, pair(a, b).lines(new)))
+            found = {w: None if f is None else halved(f) for w, f in zip(new, pair(a, b).lines(new))}
             if last in distinct:
                 found[last] = line
             last, line = distinct[-1], found[distinct[-1]]
-            lines = pa.array([found[w] for w in distinct], pa.string()).take(words.indices)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in ("block", "number", "n")), lines], ["block", "number", "n", "line"])
+            data = pa.array([found[w] for w in distinct], pa.binary()).take(words.indices)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in ("block", "place", "n")), data], ["block", "place", "n", "data"])
 
     return run
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, int | None, Iterator[np.ndarray]]]:
-    """(rows of the block's segments, doc_id, its segment numbers) of every document, of rows in order of block, part, number and n."""
-    block, words = None, []
-    held: list[np.ndarray] = []
-    key, number = None, -1
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, int | None, list[np.ndarray]]]:
+    """(block, batches of its segments' rows, doc_id, its segment numbers) of every document, of rows in order of block and place."""
+    block, words, held = None, [], []
+    key = None
     for batch in batches:
-        names = batch.schema.names
-        blocks, parts, numbers = (batch.column(names.index(c)).to_numpy() for c in ("block", "part", "number"))
-        keys, codes = batch.column(names.index("doc_id")), batch.column(names.index("codes"))
-        edges = np.flatnonzero(np.concatenate(([True], (blocks[1:] != blocks[:-1]) | (parts[1:] != parts[:-1]), [True]))) if len(blocks) else []
+        blocks, places = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("block", "place"))
+        data = batch.column(batch.schema.names.index("data"))
+        first = places < DOCUMENTS
+        edges = np.flatnonzero(np.concatenate(([True], (blocks[1:] != blocks[:-1]) | (first[1:] != first[:-1]), [True]))) if len(blocks) else []
         for x, y in zip(edges[:-1], edges[1:]):
-            if held and (blocks[x] != block or parts[x] == 0):
-                yield words, key, held
-                held, number = [], -1
             if blocks[x] != block:
-                block, words = blocks[x], []
-            if parts[x] == 0:
+                if held:
+                    yield block, words, key, held
+                block, words, held = int(blocks[x]), [], []
+            if first[x]:
                 words.append(batch.slice(x, y - x))
                 continue
             for i in range(x, y):
-                if numbers[i] != number and held:
-                    yield words, key, held
+                row = data[i].as_py()
+                if row[0] and held:
+                    yield block, words, key, held
                     held = []
-                key, number = keys[i].as_py(), numbers[i]
-                held.append(np.frombuffer(codes[i].as_buffer(), "<i4"))
+                key = int.from_bytes(row[2:10], "little", signed=True) if row[1] else None
+                held.append(spread(row[10:]))
     if held:
-        yield words, key, held
+        yield block, words, key, held
 
 
 def _dealt(words: DataFrame, docs: DataFrame) -> DataFrame:
     """Segments and documents of a block side by side, segments first."""
-    both = words.unionByName(docs, allowMissingColumns=True)
-    return both.repartition("block").sortWithinPartitions("block", "part", "number", "n")
+    return words.unionByName(docs, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "place")
 
 
 def _refused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, number, n): how often segments stand in documents that hold one of the given segments."""
+    """(block, place, less): how often segments stand in documents that hold one of the given segments."""
     last, bad = None, np.zeros(0, np.int32)
-    for words, _, held in _documents(batches):
+    for block, words, _, held in _documents(batches):
         if words is not last:
             last = words
-            bad = np.sort(np.concatenate([np.zeros(0, np.int32), *(w.column(w.schema.names.index("number")).to_numpy() for w in words)]))
-            block = words[0].column(words[0].schema.names.index("block"))[0].as_py() if words else None
-        if len(bad) and any(np.isin(codes, bad).any() for codes in held):
+            bad = np.concatenate([np.zeros(0, np.int32), *(w.column(w.schema.names.index("place")).to_numpy() for w in words)])
+        if any(np.isin(codes, bad).any() for codes in held):
             number, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(number), pa.int64()), pa.array(number, pa.int32()), pa.array(n, pa.int64())], ["block", "number", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(number), pa.int64()), pa.array(number, pa.int32()), pa.array(n, pa.int64())], ["block", "place", "less"])
 
 
-def link_counts(lines: DataFrame) -> DataFrame:
-    """Rows (a, b, n) of rows (n, line): how many links hold each id pair linked."""
-    group = F.explode(F.split("line", ";"))
-    groups = lines.where("line is not null and n > 0").select("n", group.alias("g"))
+def _groups(lines: DataFrame, *keep: str) -> DataFrame:
+    """Rows (*keep, a, b): the link of each group of each line."""
+    line = F.translate(F.hex("data"), "ABCF", ",|;")
     side = lambda i: F.substring_index(F.substring_index("g", "|", i), ",", -1).cast("int")
-    return groups.groupBy(side(1).alias("a"), side(-1).alias("b")).agg(F.sum("n").alias("n"))
+    return lines.where("data is not null").select(*keep, F.explode(F.split(line, ";")).alias("g")).select(*keep, side(1).alias("a"), side(-1).alias("b"))
+
+
+def link_counts(lines: DataFrame) -> DataFrame:
+    """Rows (a, b, n) of rows (n, data): how many links hold each id pair linked."""
+    return _groups(lines.where("n > 0"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def links(line: str) -> list[int]:
@@ -288,40 +315,35 @@ def _composed(counted: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
     else the segments bring both sums along."""
     fields = [(f.split()[0], {"long": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in ALIGNED.split(", ")]
 
-    def numbers(words: list[pa.RecordBatch]) -> tuple[list, np.ndarray]:
-        lines = [line for w in words for line in w.column(w.schema.names.index("line")).to_pylist()]
+    def numbers(words: list[pa.RecordBatch]) -> tuple[list[str | None], np.ndarray]:
+        """The lines, and of each: its tokens of A and of B (-1: none), links, best links and their counts' sum."""
+        lines = [None if d is None else whole(d) for w in words for d in w.column(w.schema.names.index("data")).to_pylist()]
         per = np.zeros((len(lines), 5), np.int64)
         if counted is None:
             for i, c in ((3, "best"), (4, "total")):
-                per[:, i] = np.concatenate([w.column(w.schema.names.index(c)).fill_null(0).to_numpy() for w in words])
+                per[:, i] = np.concatenate([w.column(w.schema.names.index(c)).fill_null(0).to_numpy(zero_copy_only=False) for w in words])
         for start in range(0, len(lines), 1 << 16):
-            some = lines[start : start + (1 << 16)]
             sizes, found = [], []
-            for i, line in enumerate(some, start):
-                per[i, 0] = 0 if line else -1
-                if line:
-                    pairs = links(line)
-                    per[i, 2] = len(pairs)
-                    commas = line.count(",")
-                    if commas:
-                        per[i, 1] = sum(g.partition("|")[0].count(",") for g in line.split(";"))
-                    per[i, 0] = commas - per[i, 1]
-                    found += pairs
-                sizes.append(int(per[i, 2]))
-            if counted is not None and found:
-                # Pairs that occur only in documents without tokens are not counted; their lines are not used.
+            for i, line in enumerate(lines[start : start + (1 << 16)], start):
+                if line is None:
+                    per[i, 1] = -1
+                    sizes.append(0)
+                    continue
+                pairs = links(line)
+                commas = line.count(",")
+                left = sum(g.partition("|")[0].count(",") for g in line.split(";")) if commas else 0
+                per[i, :3] = left + len(pairs), commas - left + len(pairs), len(pairs)
+                sizes.append(len(pairs))
+                found += pairs
+            if counted is not None and found and len(counted[0]):
+                # Pairs that stand only in documents without tokens are not counted; their lines are not used.
                 keys, n, best = counted
-                found = np.array(found)
-                at = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
-                there = keys[at] == found if len(keys) else np.zeros(len(found), bool)
-                owner = np.repeat(np.arange(start, start + len(some)), sizes)
-                if len(keys):
-                    np.add.at(per[:, 3], owner, best[at] & there)
-                    np.add.at(per[:, 4], owner, np.where(there, n[at], 0))
-        per[:, 1] += per[:, 2]
-        good = per[:, 0] >= 0
-        per[good, 0] += per[good, 2]
-        return lines, per[:, [1, 0, 2, 3, 4]]
+                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                there = keys[at] == np.array(found)
+                owner = np.repeat(np.arange(start, start + len(sizes)), sizes)
+                np.add.at(per[:, 3], owner, best[at] & there)
+                np.add.at(per[:, 4], owner, np.where(there, n[at], 0))
+        return lines, per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows, size = None, [], 0
@@ -329,7 +351,7 @@ def _composed(counted: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
-        for words, key, held in _documents(batches):
+        for _, words, key, held in _documents(batches):
             if words is not last:
                 last = words
                 lines, per = numbers(words) if words else ([], np.zeros((0, 5), np.int64))
@@ -352,37 +374,33 @@ def _composed(counted: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
 
 def align(df: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str = "text", pairs: int = PAIRS) -> DataFrame:
     """Rows (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups), one for each row of df. a, b: the files of
-    both tokenizers, on a path that every worker has."""
-    spark = prepare(df.sparkSession)
-    with scratch(spark) as keep:
-        return keep(materialize(_whole(df.select(F.col(doc_id).cast("long"), F.col(text)), a, b, pairs), "alignment"))
-
+    both tokenizers, on a path that every worker has. pairs: so many id pairs are broadcast with their counts at most.
 
-def _whole(df: DataFrame, a: str, b: str, pairs: int) -> DataFrame:
-    spark = df.sparkSession
-    blocks = materialize(df.mapInArrow(thrifty(_blocks(a, b)), BLOCKS), "segments")
-    docs = blocks.where("part = 1").select("block", "part", "number", "n", "doc_id", "codes")
-    words = blocks.where("part = 0").select("block", "number", "n", "segment").repartition("segment").sortWithinPartitions("segment")
-    lines = materialize(words.mapInArrow(thrifty(_aligned(a, b)), "block long, number int, n long, line string"), "lines")
-    bad = lines.where("line is null").select("block", F.lit(0).alias("part"), "number", "n")
+    Blocks and lines are written once and stay in the shared folder as long as the result is read; the result is not.
+    """
+    spark = prepare(df.sparkSession)
+    path = work_path(spark, "segments")
+    df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(thrifty(_blocks(a, b)), BLOCKS).write.options(compression="zstd", **ROW_GROUPS).partitionBy("part").parquet(path)
+    blocks = spark.read.schema(BLOCKS.replace("part int, ", "") + ", part int").parquet(path)
+    docs = blocks.where("part = 1").select(*DEALT)
+    words = blocks.where("part = 0").select("block", "place", "n", "segment").repartition("segment").sortWithinPartitions("segment")
+    lines = materialize(words.mapInArrow(thrifty(_aligned(a, b)), "block long, place int, n int, data binary"), "lines", "zstd")
+    remove(spark, [f"{path}/part=0"])  # nothing reads the segments any more
     counted = lines
+    bad = lines.where("data is null").select(*DEALT)
     if bad.limit(1).count():
         within = docs.join(bad.select("block").distinct(), "block", "left_semi")
-        less = _dealt(bad, within).mapInArrow(thrifty(_refused), "block long, number int, n long")
-        less = less.groupBy("block", "number").agg(F.sum("n").alias("less"))
-        counted = lines.join(less, ["block", "number"], "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0)))
+        less = _dealt(bad, within).mapInArrow(thrifty(_refused), "block long, place int, less long").groupBy("block", "place").agg(F.sum("less").alias("less"))
+        counted = lines.join(less, ["block", "place"], "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0)))
     counts = materialize(link_counts(counted), "links")
     best = counts.groupBy("b").agg(F.max("n").alias("most"))  # at most one row an id of B
     counts = counts.join(best, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
-    words = lines.select("block", F.lit(0).alias("part"), "number", "n", "line")
+    lines = lines.select(*DEALT)
     if counts.count() <= pairs:
         found = counts.toArrow()
         key = found["a"].to_numpy().astype(np.int64) << 32 | found["b"].to_numpy()
         order = np.argsort(key)
-        table = key[order], found["n"].to_numpy()[order], found["best"].to_numpy(zero_copy_only=False)[order].astype(np.int64)
-        shared = spark.sparkContext.broadcast(table)
-        return _dealt(words, docs).mapInArrow(thrifty(lambda batches: _composed(shared.value)(batches)), ALIGNED)
-    side = lambda i: F.substring_index(F.substring_index("g", "|", i), ",", -1).cast("int")
-    linked = lines.where("line is not null").select("block", "number", F.explode(F.split("line", ";")).alias("g")).select("block", "number", side(1).alias("a"), side(-1).alias("b"))
-    sums = linked.join(counts, ["a", "b"]).groupBy("block", "number").agg(F.sum(F.col("best").cast("long")).alias("best"), F.sum("n").alias("total"))
-    return _dealt(words.join(sums, ["block", "number"], "left"), docs).mapInArrow(thrifty(_composed(None)), ALIGNED)
+        shared = spark.sparkContext.broadcast((key[order], found["n"].to_numpy()[order], found["best"].to_numpy(zero_copy_only=False)[order].astype(np.int64)))
+        return _dealt(lines, docs).mapInArrow(thrifty(lambda batches: _composed(shared.value)(batches)), ALIGNED)
+    sums = _groups(lines, "block", "place").join(counts, ["a", "b"]).groupBy("block", "place").agg(F.sum(F.col("best").cast("long")).alias("best"), F.sum("n").alias("total"))
+    return _dealt(lines.join(sums, ["block", "place"], "left"), docs).mapInArrow(thrifty(_composed(None)), ALIGNED)

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, components, embedding_dedup, grouping, html_text, langid, licenses, minhash, mixing, ordered, queries, suffix_dedup, topk, warc
+from nearfield.llm import bpe, components, dealt, embedding_dedup, grouping, html_text, langid, licenses, minhash, mixing, ordered, queries, suffix_dedup, topk, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, n long, id string, rank int"
@@ -228,7 +228,10 @@ def test_embedding_sizes(spark):
 
 @pytest.mark.parametrize("block,step", [(4096, 64), (16, 2)])
 def test_top_k(spark, monkeypatch, block, step):
-    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(dealt, "BLOCK", block)
+    monkeypatch.setattr(dealt, "LEAST", block)
+    monkeypatch.setattr(dealt, "QUERIES", 7)
+    monkeypatch.setattr(dealt, "PART_BYTES", 40 * block)
     monkeypatch.setattr(topk, "STEP", step)
     rows = [r for r in vectors(np.random.default_rng(9))] + [(100, [0.5] * 8, 0), (200, [-0.5] * 8, 0), (201, [-0.5] * 8, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
@@ -539,7 +542,7 @@ def test_html(spark):
     for i, (page, text) in enumerate(cases):
         assert found[i]["n_chars"] == len(found[i]["text"]) and found[i]["text"] == text
     assert html_text.extract(pages(spark, [])).count() == 0
-    clash = pages(spark, [(1, "u", PAGE)]).withColumns({"text": F.lit(5), "n_chars": F.lit("x"), "hint": F.lit(1)})
+    clash = pages(spark, [(1, "u", PAGE)]).drop("payload", "key").withColumns({"text": F.lit(5), "n_chars": F.lit("x"), "hint": F.lit(1)})
     assert {k: v for k, v in html_text.extract(clash).first().asDict().items() if k != "html"} == {"page_id": 1, "url": "u", "hint": 1, "text": expected, "n_chars": len(expected)}
 
 

@@ -67,7 +67,7 @@ def test_pipeline(spark, tokenizer):  # noqa: F811
     assert len(kept) > 100 and pipeline.ORACLE_SQL is None
 
 
-CLASHING = "kept taken size target n_removed carried row lang_pred score component_id n_shingles copy".split()
+CLASHING = "_lang_pred _score _part kept taken size target n_removed carried row lang_pred score component_id n_shingles copy".split()
 WORDS = "Some words in a text that is long enough to be kept as it stands here, and a few more of them."
 
 
