@@ -12,13 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.distance import distance
-from nearfield.operators.knn import exact_distances, knn_join, matrix
+from nearfield.operators.knn import best_per_query, exact_distances, knn_join, matrix, pairwise
 from nearfield.plans.config import ConstructionFailed, SearchFailed
-from nearfield.runtime import discard, materialize, prepare
-
-#: A graph may be broadcast for walks up to so many nodes.
-WALK_NODES = 200_000
-
+from nearfield.runtime import discard, materialize, prepare, scratch
 
 def exact_graph(corpus: DataFrame, degree: int, metric: str = "cosine", form: str | None = None) -> DataFrame:
     """Edges to the degree nearest other rows, by a k-NN self-join."""
@@ -27,44 +23,134 @@ def exact_graph(corpus: DataFrame, degree: int, metric: str = "cosine", form: st
     return found.withColumn("slot", slot).where(F.col("slot") <= degree).select(F.col("query_id").alias("src"), (F.col("slot") - 1).alias("slot"), F.col("id").alias("dst"), "distance")
 
 
-def _best(edges: DataFrame, degree: int) -> DataFrame:
-    slot = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
-    return edges.withColumn("slot", slot - 1).where(F.col("slot") < degree).select("src", "slot", "dst", "distance")
+#: Nodes whose lists one task joins with each other at a time.
+VIAS = 64
 
 
-def nn_descent(corpus: DataFrame, degree: int, metric: str = "cosine", iterations: int = 20, threshold: float = 0.001) -> DataFrame:
-    """An approximate k-NN graph: neighbours' neighbours (both ways) are tried until few edges change.
+def improving(lists: DataFrame, corpus: DataFrame, far: DataFrame, degree: int, metric: str, cross: bool = False) -> DataFrame:
+    """Rows (src, dst, distance) of a local join: lists are rows (via, id, fresh, side), and two members of a list, of which one is
+    fresh, are tried against each other. far: rows (id, far), the distance that a new neighbour must stay below.
 
-    Reverse neighbours are limited to 2 * degree a node, so a hub's list stays bounded.
+    A member's vector is fetched once for each list it stands in; no pair of vectors is shuffled. A list's pairs are one matrix
+    product, and only pairs that improve one side leave the task, at most degree a node of those tried together. cross: only
+    members of different sides are tried.
+    """
+    prepare(corpus.sparkSession)
+    kind = corpus.schema["id"].dataType
+    held = corpus.select("id", "vector").join(far, "id", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+    group = F.pmod(F.xxhash64("via"), F.lit(1 << 20)).alias("group")  # split below into whole lists
+    joined = lists.select(group, "via", "id", "fresh", "side").join(held, "id").select("group", "via", "id", "fresh", "side", "vector", "far")
+    spread = joined.repartition("group").sortWithinPartitions("group", "via", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, "via", VIAS):
+            ids, rows = table["id"].combine_chunks(), matrix(table["vector"])
+            far, fresh, side = table["far"].to_numpy(), table["fresh"].to_numpy(zero_copy_only=False), table["side"].to_numpy()
+            via = table["via"].combine_chunks().dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], via[1:] != via[:-1])))
+            a, b = [], []
+            for x, y in zip(starts, np.append(starts[1:], len(via))):
+                part = pairwise(rows[x:y], rows[x:y], metric)
+                wanted = (part < np.maximum(far[x:y, None], far[x:y])) & (fresh[x:y, None] | fresh[x:y])
+                if cross:
+                    wanted &= (side[x:y, None] != side[x:y]) | (side[x:y] == 2)
+                i, k = np.nonzero(np.triu(wanted, 1))
+                a.append(i + x)
+                b.append(k + x)
+            a, b = np.concatenate(a), np.concatenate(b)
+            d = exact_distances(rows[a], rows[b], metric) if len(a) else np.zeros(0)
+            src, dst, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+            # The same pair may meet in several lists of the table.
+            own = ids.dictionary_encode().indices.to_numpy()
+            keep = np.flatnonzero((d < far[src]) & (own[src] != own[dst]))
+            _, first = np.unique(own[src[keep]].astype(np.int64) << 32 | own[dst[keep]], return_index=True)
+            keep = keep[first]
+            keep = keep[np.lexsort((own[dst[keep]], d[keep], own[src[keep]]))]
+            node = own[src[keep]]
+            keep = keep[np.arange(len(keep)) - np.searchsorted(node, node) < degree]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(src[keep])), ids.take(pa.array(dst[keep])), pa.array(d[keep])], ["src", "dst", "distance"])
+
+    schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("distance", T.DoubleType())])
+    return spread.mapInArrow(run, schema)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str, many: int) -> Iterator[pa.Table]:
+    """Tables of about `many` whole runs of equal keys, of rows that lie in order."""
+    held: list[pa.RecordBatch] = []
+    runs, last = 0, None
+    for batch in batches:
+        column = batch.column(batch.schema.names.index(key))
+        new = np.ones(batch.num_rows, bool)
+        if batch.num_rows > 1:
+            new[1:] = pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        start = 0
+        for at in np.flatnonzero(new):
+            if at == 0 and last is not None and column[0] == last:
+                continue
+            if runs == many:
+                held.append(batch.slice(start, at - start))
+                yield pa.Table.from_batches(held)
+                held, runs, start = [], 0, at
+            runs += 1
+        if batch.num_rows:
+            held.append(batch.slice(start))
+            last = column[batch.num_rows - 1]
+    if sum(h.num_rows for h in held):
+        yield pa.Table.from_batches(held)
+
+
+def farthest(edges: DataFrame, degree: int) -> DataFrame:
+    """Rows (id, far): the farthest neighbour's distance of the nodes whose list is full."""
+    return edges.groupBy(F.col("src").alias("id")).agg(F.max("distance").alias("far"), F.count("*").alias("_n")).where(F.col("_n") >= degree).drop("_n")
+
+
+def around(edges: DataFrame, degree: int) -> DataFrame:
+    """Rows (via, id, fresh, side): each node's list of those it points at (side 0) and of the nearest 2 * degree that point at it
+    (side 1), side 2 being both. A fresh edge is fresh from both ends."""
+    out = edges.select(F.col("src").alias("via"), F.col("dst").alias("id"), "fresh", F.lit(0).alias("side"))
+    rank = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("fresh"), "distance", "src"))
+    back = edges.withColumn("_rank", rank).where(F.col("_rank") <= 2 * degree).select(F.col("dst").alias("via"), F.col("src").alias("id"), "fresh", F.lit(1).alias("side"))
+    both = out.unionByName(back).groupBy("via", "id").agg(F.max("fresh").alias("fresh"), F.when(F.min("side") < F.max("side"), 2).otherwise(F.min("side")).alias("side"))
+    # The node itself, so that it meets those that point at it.
+    return both.unionByName(edges.select(F.col("src").alias("via")).distinct().select("via", F.col("via").alias("id"), F.lit(False).alias("fresh"), F.lit(2).alias("side")))
+
+
+def nn_descent(corpus: DataFrame, degree: int, metric: str = "cosine", iterations: int = 20, threshold: float = 0.001, cross: bool = False) -> DataFrame:
+    """An approximate k-NN graph: the neighbours of each node, both ways, are tried against each other until few edges change.
+
+    Edges are fresh until they were tried once, and pairs of old ones are not tried again. Reverse neighbours are limited to
+    2 * degree a node, so a hub's list stays bounded. Starts from rows that share a bucket of a hash. cross: see improving();
+    fewer pairs a round, and more neighbours missed.
     """
     n = corpus.count()
     if n < 2 or not 0 < degree < n:
         raise ConstructionFailed("the degree must be between 1 and the number of rows - 1")
     rows = corpus.select("id", "vector")
-    # Random start: rows in hash order are linked to those behind them.
-    place = materialize(rows.withColumn("place", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(max(1, n // 4096)))).orderBy(F.xxhash64("id", F.lit(1)))) - 1).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, n // 4096)))), "places")
-    sizes = place.groupBy("part").agg(F.count("*").alias("size"))
-    start = place.join(sizes, "part").select("id", "part", F.explode(F.transform(F.sequence(F.lit(1), F.lit(degree)), lambda s: F.pmod(F.col("place") + s, F.col("size")).cast("int"))).alias("place"))
-    pairs = start.join(place.select("part", "place", F.col("id").alias("dst")), ["part", "place"]).where("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
-
-    def scored(found: DataFrame) -> DataFrame:
-        a, b = rows.select(F.col("id").alias("src"), F.col("vector").alias("a")), rows.select(F.col("id").alias("dst"), F.col("vector").alias("b"))
-        return found.join(a, "src").join(b, "dst").select("src", "dst", distance("a", "b", metric).alias("distance"))
-
-    edges = materialize(_best(scored(pairs), degree), "graph")
+    size = max(4 * degree, 32)
+    # Each row starts in two groups by different hashes, so that groups are linked with each other.
+    start = None
+    for salt in (1, 2):
+        part = rows.select(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(max(1, n // size))).alias("via"), "id", F.lit(True).alias("fresh"), F.lit(0).alias("side"))
+        found = improving(part, rows, rows.select("id").limit(0).withColumn("far", F.lit(0.0)), degree, metric)
+        start = found if start is None else start.unionByName(found)
+    edges = materialize(_nearest(start, degree).withColumn("fresh", F.lit(True)), "graph")
     for _ in range(iterations):
-        back = reverse_edges(edges, 2 * degree).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        around = edges.select("src", "dst").unionByName(back).distinct()
-        via = around.select(F.col("src").alias("via"), F.col("dst").alias("end"))
-        tried = around.select("src", F.col("dst").alias("via")).join(via, "via").where("src <> end").select("src", F.col("end").alias("dst")).unionByName(back).distinct()
-        fresh = scored(tried.join(edges.select("src", "dst"), ["src", "dst"], "left_anti"))
-        new = materialize(_best(edges.select("src", "dst", "distance").unionByName(fresh), degree), "graph")
-        changed = new.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").count()
+        found = improving(around(edges, degree), rows, farthest(edges, degree), degree, metric, cross)
+        both = edges.select("src", "dst", "distance", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True)))
+        once = both.groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
+        new = materialize(_nearest(once, degree, "fresh"), "graph")
         discard(edges)
         edges = new
-        if changed < threshold * degree * n:
+        if edges.where("fresh").count() < threshold * degree * n:
             break
-    return edges
+    return edges.drop("fresh")
+
+
+def _nearest(edges: DataFrame, degree: int, *keep: str) -> DataFrame:
+    """The degree nearest distinct neighbours of each node."""
+    once = edges if keep else edges.groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+    slot = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
+    return once.withColumn("slot", slot - 1).where(F.col("slot") < degree).select("src", "slot", "dst", "distance", *keep)
 
 
 def reverse_edges(edges: DataFrame, limit: int | None = None) -> DataFrame:
@@ -124,74 +210,178 @@ def hnsw_layers(corpus: DataFrame, m: int = 8, levels: int = 6, metric: str = "c
     return out
 
 
-def repair(edges: DataFrame, corpus: DataFrame, changed: DataFrame, degree: int, metric: str = "cosine") -> DataFrame:
-    """Finds anew the neighbours of the changed nodes and of those that point at them; the other nodes keep theirs."""
-    around = changed.select(F.col("id").alias("src")).unionByName(edges.join(changed.select(F.col("id").alias("dst")), "dst").select("src")).distinct()
-    queries = corpus.join(around.select(F.col("src").alias("id")), "id", "left_semi")
-    found = knn_join(queries, corpus, degree + 1, metric).where("query_id <> id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance")
-    rest = edges.join(around, "src", "left_anti").select("src", "dst", "distance")
-    return _best(rest.unionByName(found), degree)
+def layers_of(edges: DataFrame, corpus: DataFrame, m: int = 8, levels: int = 6, metric: str = "cosine", hops: int = 2, width: int = 8) -> DataFrame:
+    """Skip layers (layer, src, dst, distance) out of a k-NN graph, without comparing all nodes of a layer: a node's candidates are the
+    nodes of its layer within so many hops of the layer below (of each node's `width` nearest), and, so that few-linked nodes have some
+    too, those that follow it in hash order among their bucket. The m nearest stay."""
+    placed = materialize(corpus.select("id").withColumn("level", hnsw_level("id", levels)), "levels")
+    below = edges.where(F.col("slot") < width).select("src", "dst", "distance")
+    out = None
+    for layer in range(1, levels + 1):
+        nodes = materialize(placed.where(F.col("level") >= layer).select("id"), "layer")
+        n = nodes.count()
+        step = below.unionByName(below.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+        rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
+        step = materialize(step.withColumn("_rank", rank).where(F.col("_rank") <= 2 * width).select("src", "dst"), "steps")  # of hubs too
+        reached = step.join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+        for _ in range(hops - 1):
+            further = reached.select("src", F.col("dst").alias("_at")).join(step.select(F.col("src").alias("_at"), "dst"), "_at").select("src", "dst")
+            reached = reached.unionByName(further).distinct()
+        inside = lambda df, c: df.join(nodes.select(F.col("id").alias(c)), c, "left_semi")
+        near = inside(reached, "dst").where("src <> dst")
+        # The hash stride: rows of a bucket in hash order, each with the m behind it, around the end.
+        bucket = F.pmod(F.xxhash64("id", F.lit(layer)), F.lit(max(1, n // 64)))
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(-layer)), "id")
+        lined = nodes.withColumn("bucket", bucket).withColumn("place", F.row_number().over(order) - 1).withColumn("size", F.count("*").over(Window.partitionBy("bucket")))
+        ahead = lined.select(F.col("id").alias("src"), "bucket", F.explode(F.transform(F.sequence(F.lit(1), F.lit(m)), lambda i: F.pmod(F.col("place") + i, F.col("size")).cast("int"))).alias("place"))
+        stride = ahead.join(lined.select("bucket", "place", F.col("id").alias("dst")), ["bucket", "place"]).where("src <> dst").select("src", "dst")
+        pairs = near.unionByName(stride).distinct()
+        lists = pairs.select(F.col("src").alias("via"), F.col("dst").alias("id"))
+        found = materialize(_nearest(measured(lists, corpus, metric), m), "layer")
+        below = found.select("src", "dst", "distance")
+        edges_here = found.select(F.lit(layer).alias("layer"), "src", "dst", "distance")
+        out = edges_here if out is None else out.unionByName(edges_here)
+    return out
 
 
-def walk(vectors: np.ndarray, neighbours: list[np.ndarray], entry: int, query: np.ndarray, ef: int, metric: str) -> list[tuple[float, int]]:
-    """Best-first search: the ef nearest nodes met, until the best one left is worse than all of them."""
-    import heapq
+def measured(lists: DataFrame, corpus: DataFrame, metric: str) -> DataFrame:
+    """Rows (src, dst, distance) of rows (via, id): the distance of each member of a node's list to the node. Members' vectors meet
+    the node's own in one list, so no pair of vectors is shuffled."""
+    prepare(corpus.sparkSession)
+    rows = corpus.select("id", "vector")
+    own = rows.select(F.col("id").alias("via"), "id", "vector", F.lit(True).alias("own"))
+    members = lists.join(rows, "id").select("via", "id", "vector", F.lit(False).alias("own"))
+    spread = own.join(lists.select("via").distinct(), "via", "left_semi").unionByName(members).repartition("via").sortWithinPartitions("via", F.desc("own"), "id")
+    kind = corpus.schema["id"].dataType
 
-    first = float(exact_distances(query, vectors[entry : entry + 1], metric)[0])
-    seen, left, found = {entry}, [(first, entry)], [(-first, -entry)]
-    while left:
-        d, node = heapq.heappop(left)
-        if len(found) >= ef and d > -found[0][0]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, "via", 4 * VIAS):
+            ids, rows, own = table["id"].combine_chunks(), matrix(table["vector"]), table["own"].to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(own)[np.cumsum(own) - 1]  # the node's own row comes first in its list
+            keep = np.flatnonzero(~own)
+            d = exact_distances(rows[first[keep]], rows[keep], metric) if len(keep) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first[keep])), ids.take(pa.array(keep)), pa.array(d)], ["src", "dst", "distance"])
+
+    schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("distance", T.DoubleType())])
+    return spread.mapInArrow(run, schema)
+
+
+def neighbourhood(edges: DataFrame, changed: DataFrame, depth: int = 2) -> DataFrame:
+    """Rows (id): the changed nodes and those within depth edges of them, in either direction."""
+    reached = changed.select("id").distinct()
+    for _ in range(depth):
+        out = edges.join(reached.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
+        back = edges.join(reached.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
+        reached = reached.unionByName(out).unionByName(back).distinct()
+    return reached
+
+
+def repair(edges: DataFrame, corpus: DataFrame, changed: DataFrame, degree: int, metric: str = "cosine", rounds: int = 5, depth: int = 2, guard: float = 0.98) -> DataFrame:
+    """Local descent around the changed nodes: the lists of the nodes within depth edges are tried against each other, in up to so
+    many rounds, and only these nodes' edges change. Nodes that are no rows of the corpus any more drop out of all lists. If the mean
+    distance of the region's farthest neighbours falls below guard times what it was, its lists have collapsed onto each other, and
+    the edges stay as they were."""
+    live = edges.join(corpus.select(F.col("id").alias("dst")), "dst", "left_semi").join(corpus.select(F.col("id").alias("src")), "src", "left_semi")
+    kept = materialize(live.select("src", "dst", "distance"), "edges")
+    region = materialize(neighbourhood(edges, changed, depth).join(corpus.select("id"), "id", "left_semi"), "region")
+    mine = kept.join(region.select(F.col("id").alias("src")), "src", "left_semi")
+    # Lists of nodes of the region, which may hold nodes around it; edges of these do not change.
+    current = materialize(mine.withColumn("fresh", F.lit(True)), "local")
+    nodes = region.count()
+    for _ in range(rounds):
+        lists = around(current, degree)
+        others = lists.select("id").distinct().join(region, "id", "left_anti").withColumn("far", F.lit(float("-inf")))  # their lists stay
+        found = improving(lists, corpus, farthest(current, degree).unionByName(others), degree, metric)
+        both = current.select("src", "dst", "distance", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True)))
+        once = both.groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
+        new = materialize(_nearest(once, degree, "fresh").drop("slot"), "local")
+        discard(current)
+        current = new
+        if current.where("fresh").count() < max(1, 0.001 * degree * nodes):
             break
-        new = [int(x) for x in neighbours[node] if x not in seen]
-        seen.update(new)
-        for dist, x in zip(exact_distances(query, vectors[new], metric).tolist() if new else [], new):
-            if len(found) < ef or dist < -found[0][0]:
-                heapq.heappush(left, (dist, x))
-                heapq.heappush(found, (-dist, -x))
-                if len(found) > ef:
-                    heapq.heappop(found)
-    return sorted((-d, -x) for d, x in found)
-
-
-def beam_search(queries: DataFrame, corpus: DataFrame, edges: DataFrame, k: int, ef: int = 64, metric: str = "cosine", layers: DataFrame | None = None) -> DataFrame:
-    """Walks over the graph, from its entry point or down through the skip layers. Each task walks for
-    its queries over the whole graph, which is broadcast: its size is checked before anything is collected, and for larger
-    ones there are IVFFlat and the k-NN joins."""
+    before, after = (mean_farthest(e).first()["mean"] for e in (mine, current))
+    done = kept if before and after is not None and after < guard * before else kept.join(region.select(F.col("id").alias("src")), "src", "left_anti").unionByName(current.drop("fresh"))
+    return _nearest(done, degree)
+
+
+def link(edges: DataFrame, found: DataFrame, degree: int) -> DataFrame:
+    """Rows (src, slot, dst, distance): the whole new lists of the nodes that insertions touch. found: rows (src, dst, distance), the
+    nearest nodes of each new node. A node to which a new one is nearer than its worst neighbour takes it in that one's place."""
+    back = found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")
+    new = found.unionByName(back)
+    touched = new.select("src").distinct()
+    old = edges.join(touched, "src", "left_semi").select("src", "dst", "distance")
+    whole = _nearest(old.unionByName(new), degree)
+    # Nodes whose list the new ones did not get into stay as they are.
+    changed = whole.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").select("src").distinct()
+    return whole.join(changed, "src", "left_semi")
+
+
+class Frontier:
+    """Searches of many queries over a graph at once, as a bounded loop of joins.
+
+    Each query has at most ef nodes, the nearest met so far. In a hop the nodes not yet expanded are joined with their neighbours;
+    those that the query has seen are taken out by an anti join, the others are measured, and the ef nearest of both stay.
+    A query is done when all its nodes are expanded, and the loop ends when all are. Nothing is collected but whether
+    any node is left, and each hop is written, so lost executors cost one hop.
+    """
+
+    def __init__(self, queries: DataFrame, corpus: DataFrame, metric: str):
+        self.asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+        self.nodes, self.metric = corpus.select("id", "vector"), metric
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """Rows (query_id, id, distance) of rows (query_id, id)."""
+        met = pairs.join(self.nodes, "id").join(self.asked, "query_id")
+        return met.select("query_id", "id", distance("vector", "query", self.metric).alias("distance"))
+
+    def run(self, start: DataFrame, neighbours: DataFrame, ef: int) -> DataFrame:
+        """Rows (query_id, id, distance), the ef nearest. start: rows (query_id, id); neighbours: rows (src, dst)."""
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+        hop = materialize(self.measured(start.distinct()).withColumn("open", F.lit(True)).withColumn("rank", rank), "hop")
+        seen = [hop]
+        while hop.where((F.col("rank") <= ef) & F.col("open")).limit(1).count():
+            beam = hop.where(F.col("rank") <= ef)
+            met = beam.where("open").select("query_id", F.col("id").alias("src")).join(neighbours, "src").select("query_id", F.col("dst").alias("id")).distinct()
+            met = met.join(self.merged(seen), ["query_id", "id"], "left_anti")
+            closed = beam.select("query_id", "id", "distance", F.lit(False).alias("open"))
+            both = closed.unionByName(self.measured(met).withColumn("open", F.lit(True))).withColumn("rank", rank)
+            hop = materialize(both, "hop")
+            seen.append(hop)
+        return hop.where(F.col("rank") <= ef).select("query_id", "id", "distance")
+
+    @staticmethod
+    def merged(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0].select("query_id", "id")
+        for p in parts[1:]:
+            out = out.unionByName(p.select("query_id", "id"))
+        return out
+
+
+def beam_search(queries: DataFrame, corpus: DataFrame, edges: DataFrame, k: int, ef: int = 64, metric: str = "cosine", layers: DataFrame | None = None, entries: int = 1) -> DataFrame:
+    """Rows (query_id, rank, id, distance): best-first search of all queries together, from the graph's entry point and entries - 1
+    nodes by a hash (a graph of rows that cluster may fall apart, and a search stays in the parts it starts in), or
+    down through the skip layers, in each of which a query goes to the nearest node it finds. Edges are gone both ways; of those that
+    point at a node the nearest 2 * degree."""
     if ef < k:
         raise SearchFailed("ef must be at least k")
     spark = prepare(corpus.sparkSession)
-    if corpus.count() > WALK_NODES:
-        raise SearchFailed(f"walks are for at most {WALK_NODES} nodes; use a join or inverted lists")
-    nodes = corpus.select("id", "vector").orderBy("id").toArrow()
-    ids = nodes["id"].to_pylist()
-    place = {x: i for i, x in enumerate(ids)}
-    links = edges.select("src", "dst").toArrow()  # degree rows a node
-    ends = [pc.index_in(links[n], value_set=nodes["id"]).to_numpy().astype(np.int64) for n in ("src", "dst")]
-    both = np.unique(np.stack((np.concatenate(ends), np.concatenate(ends[::-1])), 1), axis=0)
-    adjacent = np.split(both[:, 1], np.searchsorted(both[:, 0], np.arange(1, len(ids))))
-    degree = max(1, edges.agg(F.max("slot")).first()[0] + 1)
-    entry = place[entry_point(edges, degree).first()["src"]]
-    skips: dict[int, dict[int, list[int]]] = {}
-    for r in layers.collect() if layers is not None else []:
-        skips.setdefault(r["layer"], {}).setdefault(place[r["src"]], []).append(place[r["dst"]])
-    shared = spark.sparkContext.broadcast((nodes["id"].combine_chunks(), matrix(nodes["vector"]), adjacent, entry, skips))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, vectors, neighbours, first, down = shared.value
-        for batch in batches:
-            for name, query in zip(batch.column(0), matrix(batch.column(1))):
-                at = first
-                for layer in sorted(down, reverse=True):
-                    at = at if at in down[layer] else next(iter(down[layer]))
-                    for _ in range(128):
-                        near = [at, *down[layer].get(at, [])]
-                        best = near[int(exact_distances(query, vectors[near], metric).argmin())]
-                        if best == at:
-                            break
-                        at = best
-                found = walk(vectors, neighbours, at, query, ef, metric)[:k]
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(found), name.type), pa.array(range(1, len(found) + 1), pa.int32()), keys.take(pa.array([x for _, x in found], pa.int64())), pa.array([d for d, _ in found], pa.float64())], ["query_id", "rank", "id", "distance"])
-
-    schema = T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("rank", T.IntegerType()), T.StructField("id", corpus.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
-    return queries.select("id", "vector").mapInArrow(run, schema)
+    with scratch(spark) as keep:
+        degree = max(1, (edges.agg(F.max("slot")).first()[0] or 0) + 1)
+
+        def both_ways(e: DataFrame, limit: int) -> DataFrame:
+            back = reverse_edges(e, limit).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            return materialize(e.select("src", "dst").unionByName(back).distinct(), "neighbours")
+
+        front = Frontier(queries, corpus, metric)
+        entry = entry_point(edges, degree).select(F.col("src").alias("id"))  # one row
+        numbers = sorted((r[0] for r in layers.select("layer").distinct().collect()), reverse=True) if layers is not None else []  # one row a layer
+        if numbers:
+            entry = layers.where(F.col("layer") == numbers[0]).agg(F.min("src").alias("id"))
+        elif entries > 1:
+            entry = entry.unionByName(front.nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(entries - 1))
+        start = front.asked.select("query_id").crossJoin(F.broadcast(entry))  # at most as many rows as entries
+        for number in numbers:
+            start = front.run(start, both_ways(layers.where(F.col("layer") == number), 2 * degree), 1).select("query_id", "id")
+        found = front.run(start, both_ways(edges, 2 * degree), ef)
+        return keep(materialize(best_per_query(found, k), "beam"))

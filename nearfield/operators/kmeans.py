@@ -15,9 +15,9 @@ from nearfield.plans.config import ConstructionFailed
 from nearfield.runtime import prepare
 
 
-def sample(corpus: DataFrame, rows: int, seed: int = 42) -> np.ndarray:
-    """About rows vectors, by a hash of the id, so reruns agree. rows bounds what the driver gets."""
-    total = corpus.count()
+def sample(corpus: DataFrame, rows: int, seed: int = 42, total: int | None = None) -> np.ndarray:
+    """About rows vectors, by a hash of the id, so reruns agree. rows bounds what the driver gets. total: the corpus's rows, if they are known."""
+    total = corpus.count() if total is None else total
     share = min(1.0, rows / max(total, 1))
     picked = corpus.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(share * (1 << 30))).select("id", "vector").orderBy("id").limit(2 * rows)
     return matrix(picked.toArrow()["vector"])

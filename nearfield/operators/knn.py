@@ -53,7 +53,10 @@ def best_per_query(pairs: DataFrame, k: int) -> DataFrame:
 
 def knn_join_expression(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
     """The k-NN join as one declarative plan: nested loops over broadcast queries, then ranks
-    with a limit pushed below the shuffle. For queries of a checked size."""
+    with a limit pushed below the shuffle. Queries beyond a checked size are an error."""
+    n, dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if n * (dims or 0) * 8 > BROADCAST_BYTES:
+        raise SearchFailed("too many queries for a broadcast; use the blocks form")
     q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     pairs = corpus.select("id", "vector").crossJoin(F.broadcast(q))
     return best_per_query(pairs.select("query_id", "id", distance("vector", "query", metric).alias("distance")), k)
@@ -185,11 +188,13 @@ def _order(ids: pa.Array) -> np.ndarray:
     return np.argsort(np.argsort(key, kind="stable"), kind="stable") if key.dtype == object else key
 
 
-def sent_queries(queries: DataFrame) -> tuple[pa.Array, np.ndarray]:
-    """Ids and matrix of queries that are to be broadcast. Their size is checked before anything is collected."""
-    n, dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    if n * (dims or 0) * 8 > BROADCAST_BYTES:
-        raise SearchFailed("too many queries for a broadcast; use the blocks form")
+def sent_queries(queries: DataFrame, checked: int | None = None) -> tuple[pa.Array, np.ndarray]:
+    """Ids and matrix of queries that are to be broadcast. Their size is checked before anything is collected, unless
+    the caller did so."""
+    if checked is None:
+        n, dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+        if n * (dims or 0) * 8 > BROADCAST_BYTES:
+            raise SearchFailed("too many queries for a broadcast; use the blocks form")
     table = queries.select("id", "vector").toArrow()
     return table["id"].combine_chunks(), matrix(table["vector"])
 
@@ -199,6 +204,7 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k, self.most = k, max(65536, 4 * queries * k)
+        self.kth = np.full(queries, np.inf)  # what no later row may exceed, as known at the last look
         self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         self.size = 0
 
@@ -207,7 +213,11 @@ class Best:
         self.size += len(place)
         if self.size > self.most:
             self.held = [self.rows()]
-            self.size = len(self.held[0][0])
+            places, _, kept = self.held[0]
+            self.size = len(places)
+            last = np.searchsorted(places, np.arange(len(self.kth)), "right")
+            full = last - np.searchsorted(places, np.arange(len(self.kth))) == self.k
+            self.kth[full] = kept[last[full] - 1]
 
     def rows(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         place, distance = (np.concatenate([h[i] for h in self.held]) for i in (0, 2))
@@ -252,17 +262,20 @@ def _kernel(queries: DataFrame, corpus: DataFrame, metric: str, k: int | None, r
     return corpus.select("id", "vector").mapInArrow(run, _pairs_schema(queries, corpus))
 
 
+def packed_rows(df: DataFrame, side: str, rows: int, size: int) -> DataFrame:
+    """Rows (side, side_rows): all columns of about size rows a block, by a hash of the id."""
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // size)))).cast("int").alias(side)
+    return df.select(block, F.struct(*df.columns).alias("row")).groupBy(side).agg(F.collect_list("row").alias(f"{side}_rows"))
+
+
 def _blocks(queries: DataFrame, corpus: DataFrame, metric: str, k: int | None, radius: float | None) -> DataFrame:
     """The same for any number of queries: blocks of queries meet blocks of the corpus, nothing is broadcast."""
     prepare(corpus.sparkSession)
 
-    def packed(df: DataFrame, size: int, side: str) -> tuple[DataFrame, int]:
-        count = max(1, -(-df.count() // size))
-        rows = df.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(side), F.struct("id", "vector").alias("row"))
-        return rows.groupBy(side).agg(F.collect_list("row").alias(f"{side}_rows")), count  # about size rows a block
-
-    left, _ = packed(queries, QUERY_BLOCK, "q")
-    right, blocks = packed(corpus, CORPUS_BLOCK, "c")
+    rows = corpus.count()
+    blocks = max(1, -(-rows // CORPUS_BLOCK))
+    left = packed_rows(queries.select("id", "vector"), "q", queries.count(), QUERY_BLOCK)
+    right = packed_rows(corpus.select("id", "vector"), "c", rows, CORPUS_BLOCK)
     met = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right.hint("merge"), "c")
     return met.select("q_rows", "c_rows").mapInArrow(meeting(metric, k, radius), _pairs_schema(queries, corpus))
 

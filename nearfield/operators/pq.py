@@ -7,21 +7,25 @@ itself, and -q.centroid is added.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.operators import kmeans
-from nearfield.functions.distance import adc, distance
-from nearfield.operators.ivf import MARGIN, least, probes, probes_for, trials
-from nearfield.operators.knn import best_per_query, knn_join, matrix, pairwise, sent_queries
+from nearfield.functions.distance import distance
+from nearfield.operators.ivf import MARGIN, TRIALS, IVFFlat, asked_of, nearest_lists, packed, shelves
+from nearfield.operators.knn import CORPUS_BLOCK, NAMES, QUERY_BLOCK, Best, _order, _pairs_schema, best_per_query, knn_join, matrix, packed_rows, pairwise, sent_queries
 from nearfield.plans.config import ConstructionFailed, DimensionMismatch, IdAlreadyExists, IndexEmpty, IVFPQConfig, SearchFailed
 from nearfield.plans.planner import BROADCAST_BYTES
 from nearfield.runtime import materialize, prepare
+from nearfield.sources.store import read_json, write_json
 
 CODES = 256
 
@@ -82,23 +86,115 @@ def normalize(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("vector", normalized("vector"))
 
 
+#: Queries whose tables are built at once, and rows whose codes are looked up in them at once: the sums stay in the cache.
+TABLES, GATHERED = 128, 2048
+
+
+def adc_best(tables: np.ndarray, base: np.ndarray, codes: np.ndarray, ids: pa.Array, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, row place, distance) of each query's k best rows by its tables (queries x subspaces x codes), of those
+    that are not worse than kth."""
+    places, rows, found = [], [], []
+    columns = codes.T.astype(np.intp)
+    for start in range(0, len(codes), GATHERED):
+        part = columns[:, start : start + GATHERED]
+        sums = np.repeat(base[:, None], part.shape[1], axis=1)
+        for m in range(len(part)):
+            sums += tables[:, m].take(part[m], 1)
+        bound = kth if part.shape[1] <= k else np.minimum(kth, np.partition(sums, k - 1, axis=1)[:, k - 1])
+        place, row = np.nonzero(sums <= bound[:, None])
+        places.append(place)
+        rows.append(row + start)
+        found.append(sums[place, row])
+    place, row, d = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((places, np.int64), (rows, np.int64), (found, float)))
+    order = np.lexsort((_order(ids)[row], d, place)) if len(row) else np.zeros(0, np.int64)
+    place = place[order]
+    first = np.arange(len(place)) - np.searchsorted(place, place) < k
+    return place[first], row[order[first]], d[order[first]]
+
+
 def adc_search(coded: DataFrame, quantizer: ProductQuantizer, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """Rows (query_id, rank, id, distance) by the tables of each query, over given codes (id, codes), without lists.
-    The tables are broadcast, and too many queries are an error."""
-    names, points = sent_queries(queries)
-    size = quantizer.codebooks.shape[0] * quantizer.codebooks.shape[1] * 8
-    if len(points) * size > BROADCAST_BYTES:
-        raise SearchFailed("too many queries for a broadcast of their tables")
+    """Rows (query_id, rank, id, distance) by the tables of each query, over given codes (id, codes), without lists. Queries
+    of a checked size go to the codes where they lie, more of them meet them block by block; a task keeps k rows a query."""
     spark = prepare(coded.sparkSession)
-    kind = queries.schema["id"].dataType.simpleString()
-    tables = spark.createDataFrame([(n, quantizer.tables(p, metric).tolist()) for n, p in zip(names.to_pylist(), points)], f"query_id {kind}, tables array<array<double>>")
-    pairs = coded.select("id", "codes").crossJoin(F.broadcast(tables))
-    return best_per_query(pairs.select("query_id", "id", adc("codes", "tables").alias("distance")), k)
+    schema = _pairs_schema(queries, coded)
+    n, dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+
+    def nearest(points: np.ndarray, codes: pa.Array, ids: pa.Array, kth: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rows = np.asarray(codes.flatten()).reshape(len(ids), -1)
+        for a in range(0, len(points), TABLES):
+            some = points[a : a + TABLES]
+            place, row, d = adc_best(np.stack([quantizer.tables(p, metric) for p in some]), np.zeros(len(some)), rows, ids, k, kth[a : a + TABLES])
+            yield place + a, row, d
+
+    if n * (dims or 0) * 8 > BROADCAST_BYTES:
+        left = packed_rows(queries.select("id", "vector"), "q", n, QUERY_BLOCK)
+        count = coded.count()
+        right = packed_rows(coded.select("id", "codes"), "c", count, CORPUS_BLOCK)
+        met = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-count // CORPUS_BLOCK)) - 1)))).join(right.hint("merge"), "c")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for q, c in zip(*(batch.column(batch.schema.names.index(x)) for x in ("q_rows", "c_rows"))):
+                    ids = c.values.field("id")
+                    points = matrix(q.values.field("vector"))
+                    for place, row, d in nearest(points, c.values.field("codes"), ids, np.full(len(points), np.inf)):
+                        yield pa.RecordBatch.from_arrays([q.values.field("id").take(pa.array(place)), ids.take(pa.array(row)), pa.array(d)], NAMES)
+
+        return best_per_query(met.select("q_rows", "c_rows").mapInArrow(meet, schema), k)
+    shared = spark.sparkContext.broadcast(sent_queries(queries, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, points = shared.value
+        best = Best(len(points), k)
+        for batch in batches:
+            ids = batch.column(batch.schema.names.index("id"))
+            for place, row, d in nearest(points, batch.column(batch.schema.names.index("codes")), ids, best.kth) if batch.num_rows else ():
+                best.add(place, ids.take(pa.array(row)), d)
+        if best.held:
+            place, ids, d = best.rows()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(place)), ids, pa.array(d)], NAMES)
+
+    return best_per_query(coded.select("id", "codes").mapInArrow(run, schema), k)
+
+
+class CodeLists(IVFFlat):
+    """Inverted lists whose blocks hold codes of residuals; `metric` ranks the lists."""
+
+    quantizer: ProductQuantizer
+    measure: str
+
+    def tables(self, points: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """For some queries and a list, their tables and what is added to each sum."""
+        center = self.centroids[number]
+        if self.measure == "inner_product":
+            return np.stack([self.quantizer.tables(p, "inner_product") for p in points]), -(points @ center)
+        half = 0.5 if self.measure == "cosine" else 1.0
+        parts = (points - center).reshape(len(points), len(self.quantizer.codebooks), -1)
+        books = self.quantizer.codebooks
+        return np.stack([half * pairwise(parts[:, m], books[m], "l2") for m in range(len(books))], 1), np.zeros(len(points))
+
+    def kernel(self, k: int):
+        def nearest(points: np.ndarray, number: int, ids: pa.Array, dims: int, data: pa.Scalar, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            codes = np.frombuffer(data.as_buffer(), np.uint8).reshape(len(ids), dims)
+            parts = []
+            for a in range(0, len(points), TABLES):
+                place, row, d = adc_best(*self.tables(points[a : a + TABLES], number), codes, ids, k, kth[a : a + TABLES])
+                parts.append((place + a, row, d))
+            return tuple(np.concatenate(x) for x in zip(*parts))
+
+        return nearest
+
+    def __getstate__(self):
+        # What tasks need of it; tables of rows stay on the driver.
+        return {"centroids": self.centroids, "quantizer": self.quantizer, "measure": self.measure}
 
 
 class IVFPQ:
-    def __init__(self, config: IVFPQConfig, centroids: np.ndarray, quantizer: ProductQuantizer, rows: DataFrame | None = None):
-        self.config, self.centroids, self.quantizer, self.rows = config, centroids, quantizer, rows
+    """blocks: written blocks of codes, as CodeLists has them; an index without them is trained and empty."""
+
+    def __init__(self, config: IVFPQConfig, centroids: np.ndarray, quantizer: ProductQuantizer, blocks: DataFrame | None = None, settings: tuple[int, int] | None = None):
+        self.config, self.centroids, self.quantizer, self.blocks, self.settings = config, centroids, quantizer, blocks, settings
+        self.shelf_of = shelves(centroids)
 
     @classmethod
     def train(cls, corpus: DataFrame, config: IVFPQConfig = IVFPQConfig(), sample: int = 16_384, seed: int = 42) -> IVFPQ:
@@ -109,80 +205,115 @@ class IVFPQ:
         near = pairwise(points, centroids, "l2").argmin(1)
         return cls(config, centroids, ProductQuantizer.train(points - centroids[near], config.subspaces, config.iterations, seed))
 
+    @property
+    def rows(self) -> DataFrame | None:
+        """Rows (id, list_id)."""
+        return None if self.blocks is None else self.blocks.select(F.explode("ids").alias("id"), "list_id")
+
     def add(self, corpus: DataFrame) -> IVFPQ:
-        """A new index with the rows too; an id that is there already, or twice in corpus, is an error."""
+        """A new index with the rows too, whose codes are written; an id that is there already, or twice in corpus, is an error."""
         known = corpus.select("id") if self.rows is None else corpus.select("id").unionByName(self.rows.select("id"))
         twice = known.groupBy("id").count().where("count > 1").limit(1).collect()
         if twice:
             raise IdAlreadyExists(str(twice[0]["id"]))
-        new = encode(normalize(corpus) if self.config.metric == "cosine" else corpus, self.quantizer, self.centroids).select("id", "list_id", "codes")
-        return IVFPQ(self.config, self.centroids, self.quantizer, new if self.rows is None else self.rows.unionByName(new))
+        coded = encode(normalize(corpus) if self.config.metric == "cosine" else corpus, self.quantizer, self.centroids).select("id", "list_id", "codes")
+        values = lambda group: np.asarray(group["codes"].combine_chunks().flatten()).reshape(len(group), -1).astype(np.uint8)
+        blocks = materialize(packed(coded, self.shelf_of, None, values), "codes")
+        return IVFPQ(self.config, self.centroids, self.quantizer, blocks if self.blocks is None else self.blocks.unionByName(blocks), self.settings)
+
+    def _lists(self) -> CodeLists:
+        if self.blocks is None:
+            raise IndexEmpty("nothing has been added")
+        out = CodeLists(None, self.centroids, "inner_product" if self.config.metric == "inner_product" else "l2", shelf_of=self.shelf_of)
+        out._blocks, out.quantizer, out.measure = self.blocks, self.quantizer, self.config.metric
+        return out
+
+    def _coded_as(self, queries: DataFrame) -> DataFrame:
+        return normalize(queries) if self.config.metric == "cosine" else queries
 
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
         """Approximate (query_id, rank, id, distance), not computed again from the vectors."""
-        if self.rows is None:
-            raise IndexEmpty("nothing has been added")
-        metric, spark = self.config.metric, prepare(queries.sparkSession)
-        asked = probes(normalize(queries) if metric == "cosine" else queries, self.centroids, nprobe or self.config.nprobe, "inner_product" if metric == "inner_product" else "l2")
-        shared = spark.sparkContext.broadcast((self.quantizer, self.centroids))
-        joined = self.rows.join(asked, "list_id").select("query_id", "id", "list_id", "query", "codes")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pq, c = shared.value
-            held: dict = {}
+        return self._lists().search(self._coded_as(queries), k, nprobe or self.config.nprobe)
+
+    def tuned(self, corpus: DataFrame, k: int, recall: float = 0.9) -> IVFPQ:
+        """The same index with settings (nprobe, shortlist) by which search_rescored() finds the given share of the k nearest, measured
+        on rows of the corpus against an exact search. Half of what may be lost goes to the lists, half to the codes."""
+        lists, metric, spark = self._lists(), self.config.metric, prepare(corpus.sparkSession)
+        points = kmeans.sample(corpus.select("id", "vector"), TRIALS)
+        points = points[:: max(1, len(points) // TRIALS)][:TRIALS]
+        trials = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>")
+        truth = knn_join(trials, corpus.select("id", "vector"), k + 1, metric, "kernel").where("rank > 1").select("query_id", "id")
+        if metric == "cosine":
+            points = points / np.maximum(np.sqrt((points**2).sum(1, keepdims=True)), 1e-30)
+        held = truth.collect()  # k rows a trial
+        if not held:
+            return self._with((self.config.nprobe, k))
+        wanted = pa.array({r["id"] for r in held}, type=pa.array([held[0]["id"]]).type)
+        shared = spark.sparkContext.broadcast(wanted)
+        kind = self.blocks.schema["ids"].dataType.elementType.simpleString()
+
+        def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                lists = batch.column(2).to_numpy()
-                codes = np.array(batch.column(4).flatten()).reshape(batch.num_rows, -1)
-                out = np.zeros(batch.num_rows)
-                # Rows by (query, list): one table each, kept from batch to batch.
-                name = batch.column(0).dictionary_encode()
-                key = name.indices.to_numpy().astype(np.int64) << 32 | lists
-                order = np.argsort(key, kind="stable")
-                starts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-                for at in np.split(order, starts[1:]):
-                    number = int(lists[at[0]])
-                    pair = name[int(at[0])].as_py(), number
-                    if pair not in held:
-                        query = np.array(batch.column(3)[int(at[0])].as_py(), float)
-                        if len(held) > 4096:
-                            held.clear()
-                        if metric == "inner_product":
-                            held[pair] = pq.tables(query, metric), -float(query @ c[number])
-                        else:
-                            held[pair] = pq.tables(query - c[number]), 0.0
-                    table, base = held[pair]
-                    out[at] = base + table[np.arange(codes.shape[1]), codes[at]].sum(1)
-                if metric == "cosine":
-                    out = out / 2
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["query_id", "id", "distance"])
-
-        schema = T.StructType([T.StructField("query_id", joined.schema["query_id"].dataType), T.StructField("id", joined.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
-        return best_per_query(joined.mapInArrow(run, schema), k)
-
-    def settings_for(self, corpus: DataFrame, k: int, recall: float = 0.9) -> tuple[int, int]:
-        """(nprobe, shortlist) by which search_rescored() finds the given share of the k nearest, measured on rows of the corpus
-        against an exact search. Half of what may be lost goes to the lists, half to the codes."""
-        if self.rows is None:
-            raise IndexEmpty("nothing has been added")
-        metric = self.config.metric
-        corpus = corpus.select("id", "vector")
-        asked = trials(corpus)
-        truth = materialize(knn_join(asked, corpus, k, metric, "kernel"), "truth")
-        share = min(1.0, recall + MARGIN)
-        lists = max(self.config.nprobe, probes_for(self.rows, self.centroids, normalize(asked) if metric == "cosine" else asked, truth, "inner_product" if metric == "inner_product" else "l2", (1 + share) / 2))
-        found = self.search(asked, corpus.count(), lists).select("query_id", "id", F.col("rank").alias("place"))
-        return lists, max(k, least(truth.select("query_id", "id").join(found, ["query_id", "id"], "left").select("place"), share))
+                for number, ids, dims, data in zip(*(batch.column(batch.schema.names.index(c)) for c in ("list_id", "ids", "dims", "matrix"))):
+                    at = np.flatnonzero(pc.is_in(ids.values, value_set=shared.value.cast(ids.values.type)).to_numpy(zero_copy_only=False))
+                    codes = np.frombuffer(data.as_buffer(), np.uint8).reshape(len(ids.values), dims.as_py())[at]
+                    yield pa.RecordBatch.from_arrays([ids.values.take(pa.array(at)), pa.array([number.as_py()] * len(at), pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "list_id", "codes"])
 
-    def search_rescored(self, queries: DataFrame, corpus: DataFrame, k: int, nprobe: int, shortlist: int) -> DataFrame:
-        """Exact distances of the shortlist nearest by their codes, and of these the k best."""
+        found = {r["id"]: (r["list_id"], np.frombuffer(r["codes"], np.uint8)) for r in self.blocks.select("list_id", "ids", "dims", "matrix").mapInArrow(codes_of, f"id {kind}, list_id int, codes binary").collect()}
+        share = min(1.0, recall + MARGIN)
+        near = nearest_lists(points, self.centroids, len(self.centroids), lists.metric)
+        rank = np.argsort(near, axis=1)
+        pairs = [(r["query_id"], *found[r["id"]]) for r in held if r["id"] in found]
+        needed = np.sort([rank[q, number] + 1 for q, number, _ in pairs])
+        nprobe = max(self.config.nprobe, int(needed[min(len(needed), math.ceil((1 + share) / 2 * len(needed))) - 1]))
+        # How near a true neighbour seems by its codes, and how many candidates seem nearer.
+        seen: list[list[float]] = [[] for _ in points]
+        for q, number, codes in pairs:
+            if rank[q, number] < nprobe:
+                tables, base = lists.tables(points[q : q + 1], number)
+                seen[q].append(float(base[0] + tables[0, np.arange(len(codes)), codes].sum()))
+        limits = spark.sparkContext.broadcast([np.sort(x) for x in seen])
+        probed, starts, owner = asked_of(near[:, :nprobe])
+        asked = spark.sparkContext.broadcast((points, probed, starts, owner))
+
+        def nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            points, probed, starts, owner = asked.value
+            total = [np.zeros(len(x) + 1, np.int64) for x in limits.value]
+            for batch in batches:
+                for number, ids, dims, data in zip(*(batch.column(batch.schema.names.index(c)) for c in ("list_id", "ids", "dims", "matrix"))):
+                    at = np.searchsorted(probed, number.as_py())
+                    if at == len(probed) or probed[at] != number.as_py():
+                        continue
+                    some = owner[starts[at] : starts[at + 1]]
+                    codes = np.frombuffer(data.as_buffer(), np.uint8).reshape(len(ids.values), dims.as_py()).astype(np.intp)
+                    tables, base = lists.tables(points[some], number.as_py())
+                    for q, table, add in zip(some, tables, base):
+                        sums = add + table[np.arange(codes.shape[1]), codes].sum(1)
+                        # Of equal sums the row itself is among them; rounding may not tell them apart.
+                        total[q] += np.bincount(np.searchsorted(limits.value[q] + 1e-9, sums), minlength=len(total[q]))
+            rows = [(q, i, int(n)) for q, counts in enumerate(total) for i, n in enumerate(np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["q", "i", "n"])
+
+        counts = self.blocks.select("list_id", "ids", "dims", "matrix").mapInArrow(nearer, "q long, i int, n long").groupBy("q", "i").agg(F.sum("n").alias("n")).collect()  # k rows a trial
+        ranks = np.sort([r["n"] for r in counts])
+        enough = math.ceil(share * len(pairs))  # of all, those that no probed list holds included
+        shortlist = int(ranks[min(len(ranks), enough) - 1]) if len(ranks) else k
+        return self._with((nprobe, max(k, shortlist)))
+
+    def _with(self, settings: tuple[int, int]) -> IVFPQ:
+        return IVFPQ(self.config, self.centroids, self.quantizer, self.blocks, settings)
+
+    def search_rescored(self, queries: DataFrame, corpus: DataFrame, k: int, nprobe: int | None = None, shortlist: int | None = None) -> DataFrame:
+        """Exact distances of the shortlist nearest by their codes, and of these the k best. Without both numbers, those of tuned()."""
+        if (nprobe is None or shortlist is None) and self.settings is None:
+            raise SearchFailed("name nprobe and shortlist, or use a tuned() index")
+        nprobe, shortlist = nprobe or self.settings[0], shortlist or self.settings[1]
         q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
         pairs = self.search(queries, shortlist, nprobe).select("query_id", "id").join(corpus.select("id", "vector"), "id").join(q, "query_id")
         return best_per_query(pairs.select("query_id", "id", distance("vector", "query", self.config.metric).alias("distance")), k)
 
     def count(self) -> int:
-        return 0 if self.rows is None else self.rows.count()
+        return 0 if self.blocks is None else self.blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
 
     def sizes(self) -> dict[str, int]:
         """Bytes of codes, codebooks and centroids, and of the vectors as 32-bit floats."""
@@ -192,15 +323,16 @@ class IVFPQ:
     def save(self, path: str) -> None:
         from nearfield.sources.store import write_json
 
-        if self.rows is None:
+        """Codes by list, and the model with the settings of tuned()."""
+        if self.blocks is None:
             raise IndexEmpty("nothing has been added")
-        spark = self.rows.sparkSession
-        self.rows.write.parquet(f"{path}/codes")
-        write_json(spark, f"{path}/model.json", {"config": self.config.to_json(), "centroids": self.centroids.tolist(), "codebooks": self.quantizer.codebooks.tolist()})
+        spark = self.blocks.sparkSession
+        self.blocks.repartition("shelf").sortWithinPartitions("shelf", "list_id").write.partitionBy("shelf").parquet(f"{path}/codes")
+        model = {"config": self.config.to_json(), "centroids": self.centroids.tolist(), "codebooks": self.quantizer.codebooks.tolist(), "settings": self.settings, "schema": self.blocks.schema.json()}
+        write_json(spark, f"{path}/model.json", model)
 
     @classmethod
     def load(cls, spark, path: str) -> IVFPQ:
-        from nearfield.sources.store import read_json
-
         model = read_json(spark, f"{path}/model.json")
-        return cls(IVFPQConfig.from_json(model["config"]), np.array(model["centroids"]), ProductQuantizer(np.array(model["codebooks"])), spark.read.parquet(f"{path}/codes"))
+        blocks = spark.read.schema(T.StructType.fromJson(json.loads(model["schema"]))).parquet(f"{path}/codes")
+        return cls(IVFPQConfig.from_json(model["config"]), np.array(model["centroids"]), ProductQuantizer(np.array(model["codebooks"])), blocks, tuple(model["settings"]) if model["settings"] else None)

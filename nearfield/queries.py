@@ -283,21 +283,18 @@ def _register_lists() -> None:
     @register("ivf_flat")
     def ivf_flat(s, d):
         rows = corpus(s, d).select("id", "vector")
-        index = ivf.IVFFlat.build(rows, "cosine")
-        return index.search(rows.where(EVERY), 10, max(4, index.probes_for(10, RECALL)))
+        return ivf.IVFFlat.build(rows, "cosine", tune=(10, RECALL)).search(rows.where(EVERY), 10)
 
     @register("sharded_knn")
     def sharded(s, d):
         rows = corpus(s, d).select("id", "vector")
-        index = ivf.Sharded.build(rows, "l2", ShardConfig(8, 4))
-        return index.search(rows.where(EVERY), 10, max(4, index.probes_for(10, RECALL)))
+        return ivf.Sharded.build(rows, "l2", ShardConfig(8, 4), tune=(10, RECALL)).batch_search(rows.where(EVERY), 10)
 
     @register("ivfpq_knn")
     def ivfpq(s, d):
         rows = corpus(s, d).select("id", "vector")
-        index = pq.IVFPQ.train(rows, IVFPQConfig(lists=16, nprobe=8, iterations=8)).add(rows)
-        nprobe, shortlist = index.settings_for(rows, 10, RECALL)
-        return index.search_rescored(rows.where(EVERY), rows, 10, nprobe, shortlist)
+        index = pq.IVFPQ.train(rows, IVFPQConfig(lists=16, nprobe=8, iterations=8)).add(rows).tuned(rows, 10, RECALL)
+        return index.search_rescored(rows.where(EVERY), rows, 10)
 
     @register("pq_codes")
     def codes(s, d):
@@ -408,7 +405,8 @@ def _register_graphs() -> None:
     @register("layered_search")
     def layered(s, d):
         rows = corpus(s, d).select("id", "vector")
-        return graph.beam_search(rows.where(EVERY), rows, materialize(_graph(s, d), "graph"), 5, 32, "l2", graph.hnsw_layers(rows, 8, 6, "l2"))
+        edges = materialize(_graph(s, d), "graph")
+        return graph.beam_search(rows.where(EVERY), rows, edges, 5, 32, "l2", graph.layers_of(edges, rows, 8, 6, "l2"))
 
     # Repair looks anew at some nodes of an exact graph, and so must give that graph.
     @register("graph_repair", as_edges)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import distance as D
 from nearfield.functions import filters as P
 from nearfield.operators import bounded, evaluate, graph, ivf, kmeans, knn, pq
-from nearfield.plans.config import ConstructionFailed, DimensionMismatch, IdAlreadyExists, IVFPQConfig, SearchFailed, ShardConfig
+from nearfield.plans.config import ConstructionFailed, CorruptFile, DimensionMismatch, IdAlreadyExists, IVFPQConfig, SearchFailed, ShardConfig
 from nearfield.plans.planner import choose, list_count
 from nearfield.sources import annbin
 
@@ -157,13 +157,46 @@ def test_inverted_lists(spark, clusters):
     assert [r["id"] for r in index.search_one(rows[0], 5, 16).collect()] == brute(rows[0], rows, 5, "cosine")[0]
 
 
+def files_read(df):
+    """How many files a scan opened."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    return plan.collectLeaves().head().metrics().apply("numFiles").value()
+
+
 def test_lists_on_disk_are_pruned(spark, clusters, tmp_path):
-    _, df = clusters
-    index = ivf.IVFFlat.build(df, "l2", 16)
-    index.write(str(tmp_path / "lists"))
-    stored = ivf.IVFFlat(spark.read.parquet(str(tmp_path / "lists")), index.centroids, "l2")
-    plan = stored.search_one([0.0] * 32, 3, 2)._jdf.queryExecution().toString()
-    assert "PartitionFilters: [list_id" in plan.replace("isnotnull(list_id), ", "")
+    """Saved with the probes that were measured, loaded in a new session; a batch opens the files of its shelves only."""
+    rows, df = clusters
+    index = ivf.IVFFlat.build(df, "l2", 16, tune=(5, 0.9))
+    assert 1 <= index.nprobe <= 16
+    index.save(str(tmp_path / "lists"))
+    stored = ivf.IVFFlat.load(spark.newSession(), str(tmp_path / "lists"))
+    assert stored.nprobe == index.nprobe and (stored.centroids == index.centroids).all() and stored.metric == "l2"
+    near = rows[np.arange(20) * 16]  # all of one cluster
+    lists = np.unique(ivf.nearest_lists(near, stored.centroids, 1, "l2"))
+    some, every = (files_read(d) for d in (stored._probed(lists), stored.blocks()))
+    assert some == len(set(stored.shelf_of[lists])) < every == len(set(stored.shelf_of))
+    queries = frame(spark, near)
+    plan = stored.search(queries, 5, 1)._jdf.queryExecution().toString()
+    assert "PartitionFilters: []" not in plan and "PartitionFilters: [" in plan
+    assert recall_of(stored.search(queries, 5, 1), rows, near, 5, "l2") >= 0.9
+    assert stored.search(queries, 5).orderBy("query_id", "rank").collect() == index.search(queries, 5).orderBy("query_id", "rank").collect()
+    with pytest.raises(CorruptFile):
+        ivf.IVFFlat.load(spark, str(tmp_path / "none"))
+
+
+def test_lists_by_a_join_are_the_same(spark, clusters, monkeypatch):
+    rows, df = clusters
+    monkeypatch.setattr(ivf, "CORPUS_BLOCK", 20)  # lists of several parts
+    index = ivf.IVFFlat.build(df, "l2", 8)
+    assert index.blocks().groupBy("list_id").count().where("count > 1").count() > 0
+    queries = frame(spark, rows[:30])
+    direct = index.search(queries, 7, 3).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(ivf, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(ivf, "QUERY_BLOCK", 4)
+    assert index.search(queries, 7, 3).orderBy("query_id", "rank").collect() == direct
+    names = df.select((F.col("id").cast("string")).alias("id"), F.col("vector").cast("array<float>").alias("vector"))
+    assert ivf.IVFFlat.build(names, "cosine", 8).search(names.limit(3), 1, 8).where("query_id = id").count() == 3
 
 
 def test_shards(spark, clusters):
@@ -171,6 +204,9 @@ def test_shards(spark, clusters):
     index = ivf.Sharded.build(df, "l2", ShardConfig(8, 3))
     assert recall_of(index.search(frame(spark, rows[:20]), 10, 3), rows, rows[:20], 10, "l2") >= 0.7
     assert sum(r["size"] for r in index.sizes().collect()) == 800
+    # A batch probes one shard more.
+    queries = frame(spark, rows[:20])
+    assert index.batch_search(queries, 10).orderBy("query_id", "rank").collect() == index.search(queries, 10, 4).orderBy("query_id", "rank").collect()
     assert ivf.Sharded.build(frame(spark, rows[:2]), "l2", ShardConfig(2, 2)).search(frame(spark, rows[:1]), 2, 2).count() == 2
 
 
@@ -201,6 +237,32 @@ def test_ivfpq(spark, clusters, metric, tmp_path):
         index.save(str(tmp_path / "index"))
         again = pq.IVFPQ.load(spark, str(tmp_path / "index"))
         assert again.search(queries, 5).orderBy("query_id", "rank").collect() == index.search(queries, 5).orderBy("query_id", "rank").collect()
+    tuned = index.tuned(df, 10, 0.9)
+    nprobe, shortlist = tuned.settings
+    assert nprobe >= 8 and 10 <= shortlist <= 800
+    assert recall_of(tuned.search_rescored(queries, df, 10), rows, rows[:20], 10, metric) >= 0.9
+    with pytest.raises(SearchFailed):
+        index.search_rescored(queries, df, 10)
+
+
+def test_codes_are_read_in_blocks(spark, clusters, monkeypatch):
+    """Sums of table entries over codes in blocks, against one row after the other; many queries meet codes in a join."""
+    rows, df = clusters
+    quantizer = pq.ProductQuantizer.train(rows, 8, 3)
+    codes = quantizer.encode(rows)
+    queries = frame(spark, rows[:40])
+    coded = pq.encode(df, quantizer).select("id", "codes")
+    for metric in ("l2", "inner_product"):
+        sums = np.array([quantizer.tables(q, metric)[np.arange(8), codes].sum(1) for q in rows[:40]])
+        expected = {(i, round(float(d), 9)) for i in range(40) for d in np.sort(sums[i])[:6]}
+        found = pq.adc_search(coded, quantizer, queries, 6, metric).collect()
+        assert {(r["query_id"], round(r["distance"], 9)) for r in found} == expected and len(found) == 240
+        assert all(abs(sums[r["query_id"], r["id"]] - r["distance"]) < 1e-9 for r in found)
+        with monkeypatch.context() as m:
+            for name, value in (("BROADCAST_BYTES", 10), ("TABLES", 3), ("GATHERED", 50), ("QUERY_BLOCK", 7), ("CORPUS_BLOCK", 100)):
+                m.setattr(pq, name, value)
+            again = pq.adc_search(coded, quantizer, queries, 6, metric).collect()
+        assert {(r["query_id"], r["rank"], r["id"]) for r in again} == {(r["query_id"], r["rank"], r["id"]) for r in found}
 
 
 def test_kmeans():

@@ -87,6 +87,26 @@ def test_skip_layers_are_exact(spark, table):
     assert 0.35 < np.mean([n >= 1 for n in level.values()]) < 0.65
 
 
+def test_skip_layers_out_of_the_graph(spark, table):
+    """Degrees are bounded, every node of a layer has links, and most of them are the nearest of its layer."""
+    from nearfield.operators import graph
+
+    df = queries.corpus(spark, DATA).select("id", "vector")
+    edges = graph.exact_graph(df, 8, "l2", "kernel")
+    layers = graph.layers_of(edges, df, 4, 4, "l2")
+    assert "CartesianProduct" not in (plan := layers._jdf.queryExecution().toString()) and "BroadcastNestedLoopJoin" not in plan
+    exact = {(r["layer"], r["src"], r["dst"]) for r in graph.hnsw_layers(df, 4, 4, "l2").collect()}
+    found = layers.collect()
+    pairs = {(r["layer"], r["src"], r["dst"]) for r in found}
+    assert len(pairs) == len(found) and {(a, b) for a, b, _ in pairs} == {(a, b) for a, b, _ in exact}
+    degrees = {}
+    for a, b, _ in pairs:
+        degrees[a, b] = degrees.get((a, b), 0) + 1
+    assert max(degrees.values()) <= 4
+    for layer in (1, 2):
+        assert len({x for x in pairs & exact if x[0] == layer}) > 0.85 * len({x for x in exact if x[0] == layer})
+
+
 def test_walks_over_all_rows(spark, table):
     ids, rows = table
     found = {}
