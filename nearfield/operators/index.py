@@ -198,7 +198,7 @@ class ReadyIndex(ReadOnlyIndex):
         last = self.vectors.agg(F.max("seq")).first()[0] or 0
         new = coded(records.select("id", "vector"), self.config.codec).withColumn("seq", F.lit(last + 1).cast("long"))
         self.metrics.record("insert", n=1)
-        vectors = materialize(self.vectors.unionByName(new), "vectors")
+        vectors = self.vectors.unionByName(materialize(new, "vectors"))  # the new rows only are written
         metadata = records.select("id", *[F.col(c) if c in records.columns else F.lit(None).cast(t).alias(c) for c, t in zip(("text", "floats", "ints"), META)])
         return self._with(vectors=vectors, metadata=self.metadata.unionByName(metadata))
 

@@ -42,6 +42,10 @@ class SearchFailed(VectorError):
     """A search that the index cannot answer."""
 
 
+class StreamFailed(VectorError):
+    """A merge of a stream failed, and nobody has cleared the error since."""
+
+
 class CorruptFile(VectorError):
     """Stored data that does not fit its manifest or header."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.filters import Equals, GreaterThan
 from nearfield.operators.index import IndexConfig, ReadOnlyIndex, UnbuiltIndex
-from nearfield.plans.config import ConstructionFailed, CorruptFile, DimensionMismatch, IdAlreadyExists, IdNotFound, IndexCapacityExceeded, IndexEmpty, SearchFailed, StreamConfig
+from nearfield.plans.config import ConstructionFailed, CorruptFile, DimensionMismatch, IdAlreadyExists, IdNotFound, IndexCapacityExceeded, IndexEmpty, SearchFailed, StreamConfig, StreamFailed
 from nearfield.sources import store
 from nearfield.streaming.stream import StreamIndex
 
@@ -192,3 +192,117 @@ def test_stream(spark, tmp_path):
         StreamIndex(spark).save(str(tmp_path / "none"))
     with pytest.raises(DimensionMismatch):
         lax.insert(records(spark, rows[:1, :3], 500))
+
+
+def folders(path):
+    import os
+
+    return [f for f in os.listdir(path) if os.path.isdir(os.path.join(path, f))], [f for f in os.listdir(path) if f.startswith("manifest")]
+
+
+def test_rows_that_arrive_during_a_merge(spark, tmp_path, monkeypatch):
+    """Another writer inserts and deletes while a merge has written its rows but not committed: nothing is lost or comes back."""
+    rows = np.random.default_rng(9).normal(size=(60, 4)).astype("f4")
+    path = str(tmp_path / "state")
+    config = StreamConfig(delta_capacity=1000)
+    merging, other = (StreamIndex(spark, config=config, index=IndexConfig(metric="l2"), path=path) for _ in range(2))
+    merging.insert(records(spark, rows[:20]), 0)
+    merging.delete("v1")
+    written = StreamIndex._written
+
+    def interleaved(self, df, name):
+        out = written(self, df, name)
+        if name == "base" and self is merging:
+            other.insert(records(spark, rows[20:30], 20), 1)
+            other.delete("v2")
+            other.insert(records(spark, rows[30:40], 30), 2)
+        return out
+
+    monkeypatch.setattr(StreamIndex, "_written", interleaved)
+    merging.merge()
+    monkeypatch.setattr(StreamIndex, "_written", written)
+    assert (merging.count(), merging.delta_count(), merging.merges, merging.last_batch) == (38, 20, 1, 2)
+    assert {r["id"] for r in merging.rows().collect()} == {f"v{i}" for i in range(40)} - {"v1", "v2"}
+    # An insertion that loses the race sees the ids that came meanwhile.
+    def late(self, df, name):
+        out = written(self, df, name)
+        if name == "delta" and self is other and other.last_batch == 2:
+            merging.insert(records(spark, rows[40:42], 40), 3)
+        return out
+
+    monkeypatch.setattr(StreamIndex, "_written", late)
+    with pytest.raises(IdAlreadyExists):
+        other.insert(records(spark, rows[41:43], 41))
+    other.insert(records(spark, rows[43:45], 43))
+    monkeypatch.setattr(StreamIndex, "_written", written)
+    merging.flush()
+    assert merging.count() == 42 and merging.delta_count() == 0
+    # Of two merges at once one has all rows.
+    merging.insert(records(spark, rows[50:60], 50))
+    other.refresh()
+    monkeypatch.setattr(StreamIndex, "_written", lambda self, df, name: (written(self, df, name), other.merge() if self is merging and name == "base" else None)[0])
+    merging.merge()
+    assert merging.count() == 52 and merging.delta_count() == 0
+
+
+def test_folders_stay_few(spark, tmp_path):
+    rows = np.random.default_rng(4).normal(size=(120, 3)).astype("f4")
+    path = str(tmp_path / "state")
+    index = StreamIndex(spark, config=StreamConfig(delta_capacity=5), index=IndexConfig(metric="l2"), path=path)
+    for i in range(20):
+        index.insert(records(spark, rows[5 * i : 5 * i + 5], 5 * i).coalesce(1), i)
+        if i % 4 == 0:
+            index.delete_all(spark.createDataFrame([(f"v{5 * i}",), (f"v{5 * i + 1}",), (f"v{5 * i}",)], "id string"))
+    assert index.merges == 20 and index.count() == 90
+    kept, manifests = folders(path)
+    assert len(kept) <= 10 and len(manifests) == 3
+    with pytest.raises(IdNotFound):
+        index.delete_all(spark.createDataFrame([("v4",), ("v0",)], "id string"))
+    assert index.count() == 90
+    assert store.vacuum(spark, path) >= 1 and StreamIndex(spark, path=path).count() == 90
+
+
+def test_errors_stay_until_cleared(spark, tmp_path, monkeypatch):
+    rows = np.random.default_rng(4).normal(size=(30, 3)).astype("f4")
+    path = str(tmp_path / "state")
+    index = StreamIndex(spark, config=StreamConfig(delta_capacity=10), index=IndexConfig(metric="l2"), path=path)
+    with monkeypatch.context() as m:
+        m.setattr(StreamIndex, "merge", lambda self: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.insert(records(spark, rows[:10]), 0)
+    again = StreamIndex(spark, path=path)
+    for call in (lambda: again.insert(records(spark, rows[10:20], 10), 1), lambda: again.search([0.0] * 3, 2), again.flush, again.merge, lambda: again.delete("v1")):
+        with pytest.raises(StreamFailed, match="division"):
+            call()
+    again.clear_error()
+    again.insert(records(spark, rows[10:20], 10), 1)
+    assert again.count() == 20 and again.merges == 1
+
+
+def test_snapshots_with_other_ids_are_refused(spark, tmp_path):
+    path = str(tmp_path / "s")
+    index = UnbuiltIndex(IndexConfig(metric="l2")).build(records(spark, np.eye(4, dtype="f4")))
+    index.save(path)
+    tables, config = store.load(spark, path)
+    assert store.unmatched(tables).count() == 0
+    other = tables["vectors"].withColumn("id", F.concat(F.lit("x"), "id"))
+    lost = store.unmatched(tables | {"vectors": other}).collect()
+    assert {(r["table"], r["problem"]) for r in lost} == {("metadata", "unknown")} and len(lost) == 4
+    # As many rows, and a manifest that says so, but other ids.
+    manifest = store.newest(spark, path)
+    other.write.parquet(f"{path}/other/vectors")
+    for name in ("metadata", "tombstones"):
+        tables[name].write.parquet(f"{path}/other/{name}")
+    store.commit(spark, path, manifest | {"folder": "other"})
+    with pytest.raises(CorruptFile, match="other ids"):
+        store.load(spark, path)
+    store.commit(spark, path, manifest | {"folder": "other", "ids": {}})
+    with pytest.raises(CorruptFile, match="do not match"):
+        UnbuiltIndex().load(spark, path)
+
+
+def test_insertions_write_their_rows_only(spark):
+    index = UnbuiltIndex(IndexConfig(metric="l2")).build(records(spark, np.eye(6, dtype="f4")[:3]))
+    more = index.batch_insert(records(spark, np.eye(6, dtype="f4")[3:], 3))
+    old, new = set(index.vectors.inputFiles()), set(more.vectors.inputFiles())
+    assert old < new and more.count() == 6 and index.count() == 3
