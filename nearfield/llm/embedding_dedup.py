@@ -13,7 +13,8 @@ A pair is judged where one of its rows is at home; where both homes could judge
 counts once at both ends. The rows of a label in a cell are compared in blocks of bounded size; a block returns counts
 and, for each row, one edge to the smallest id of its group in the block. There are about rows / CELL_ROWS
 cells, and from a million rows of a label on their square root, so cells always grow with the rows and the broadcast of
-centroids only as that root: 50 MB at 64 dimensions and 10,000 million rows.
+centroids only as that root: 50 MB at 64 dimensions and 10,000 million rows. Products of rows and centroids are made in slices of
+bounded size, by the k-means on the driver and by the tasks that assign rows.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and rows without a
 label, link with nothing and stay; vectors of different length never link; components of any finite size are
@@ -40,6 +41,7 @@ from nearfield.runtime import materialize, prepare, scratch
 FIT_ROWS = 16_384
 CELL_ROWS = 1024  # rows of one label in a cell, about
 BLOCK = 1024
+PRODUCTS = 1 << 21  # of rows and centroids made at once, by driver and tasks
 REPLICAS = 4  # cells besides its own that a row goes to at most
 
 
@@ -68,12 +70,39 @@ def apart(centroids: np.ndarray, threshold: float) -> np.ndarray:
     return centroids[kept]
 
 
+def slices(points: np.ndarray, cells: int) -> list[np.ndarray]:
+    """The points in slices whose products with all centroids stay small, however many these are."""
+    size = max(1, PRODUCTS // max(cells, 1))
+    return [points[i : i + size] for i in range(0, len(points), size)]
+
+
+def cells_of(points: np.ndarray, centers: np.ndarray, reach: float, replicas: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unit vectors: the home of each, and pairs (row, cell) of the cells it goes to, its home among them."""
+    homes, rows, goes, done = [], [], [], 0
+    for part in slices(points, len(centers)):
+        near = part @ centers.T
+        home = near.argmax(1)
+        gap = near[np.arange(len(home)), home][:, None] - near
+        # How far the homes of these rows are from all centroids, not all centroids from each other.
+        far = np.sqrt(np.maximum(0.0, 2 - 2 * (centers[home] @ centers.T)))
+        possible = gap <= reach * far + 1e-9
+        if replicas is not None and replicas + 1 < len(centers):
+            possible &= gap <= np.partition(gap, replicas, axis=1)[:, replicas, None]
+        row, cell = np.nonzero(possible)
+        homes.append(home)
+        rows.append(row + done)
+        goes.append(cell)
+        done += len(part)
+    whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (homes, rows, goes)]
+    return whole[0], whole[1], whole[2]
+
+
 def spherical_kmeans(points: np.ndarray, cells: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
     """Unit centroids. Starts from distinct points; a cell that loses all points keeps its centroid."""
     rng = np.random.default_rng(seed)
     centroids = points[rng.choice(len(points), min(cells, len(points)), replace=False)]
     for _ in range(rounds):
-        nearest = (points @ centroids.T).argmax(1)
+        nearest = np.concatenate([(part @ centroids.T).argmax(1) for part in slices(points, len(centroids))])
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, points)
         size = np.linalg.norm(sums, axis=1)
@@ -182,13 +211,7 @@ def _grouped(df: DataFrame, threshold: float, vec_id: str, vector: str, label: s
                 if centers is None:
                     home, offsets, goes = np.zeros(len(some), np.int32), np.arange(len(some) + 1), np.zeros(len(some), np.int32)
                 else:
-                    near = unit(_matrix(some["vector"], int(dims))) @ centers.T
-                    home = near.argmax(1)
-                    gap = near[np.arange(len(home)), home][:, None] - near
-                    possible = gap <= reach * np.sqrt(np.maximum(0.0, 2 - 2 * centers @ centers.T))[home] + 1e-9
-                    if replicas is not None and replicas + 1 < len(centers):
-                        possible &= gap <= np.partition(gap, replicas, axis=1)[:, replicas, None]
-                    row, goes = np.nonzero(possible)
+                    home, row, goes = cells_of(unit(_matrix(some["vector"], int(dims))), centers, reach, replicas)
                     offsets = np.searchsorted(row, np.arange(len(some) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(goes, pa.int32()))
                 yield from some.append_column("home", pa.array(home, pa.int32())).append_column("cells", lists).combine_chunks().to_batches()

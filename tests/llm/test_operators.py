@@ -218,6 +218,23 @@ def test_embedding_recall(spark, monkeypatch, replicas):
     assert (found <= links.sum(1)).all() and found.sum() >= (1 if replicas is None else 0.9) * links.sum() and links.sum() > 300
 
 
+def test_many_centroids_need_little_memory():
+    """At 10,000 centroids neither fitting nor assigning makes a matrix of all of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    points = embedding_dedup.unit(rng.normal(size=(12_000, 16)))
+    tracemalloc.start()
+    centers = embedding_dedup.spherical_kmeans(points, 10_000, 1)
+    home, row, goes = embedding_dedup.cells_of(points[:1000], centers, 0.2, 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(centers) == 10_000 and most < 250 << 20
+    near = points[:1000] @ centers.T
+    assert (home == near.argmax(1)).all() and {(i, h) for i, h in enumerate(home.tolist())} <= set(zip(row.tolist(), goes.tolist()))
+    assert len(row) <= 5 * 1000 + 1000
+
+
 def test_embedding_sizes(spark):
     """Components whose squares no double holds."""
     rows = [(1, [1e-300, 2e-300]), (2, [2e300, 4e300]), (3, [1e-200, -1e-200])]
