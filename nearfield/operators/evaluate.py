@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators.running import maximum_before
+
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row (recall): the share of the k true neighbours that were found, averaged over queries."""
@@ -31,23 +30,15 @@ def histogram(samples: DataFrame, low: float, high: float, buckets: int, value:
 
 
 def pareto(points: DataFrame, x: str = "recall", y: str = "qps") -> DataFrame:
-    """The rows that no other row beats in one and equals or beats in the other."""
-    other = points.select(F.col(x).alias("_x"), F.col(y).alias("_y"))
-    beaten = (F.col("_x") >= F.col(x)) & (F.col("_y") >= F.col(y)) & ((F.col("_x") > F.col(x)) | (F.col("_y") > F.col(y)))
-    return points.join(other, beaten, "left_anti")
-
-
-def sweep(spark: SparkSession, configs: list[dict], run: Callable[[dict], DataFrame], truth: DataFrame, k: int, queries: int) -> DataFrame:
-    """A row for each configuration: its settings, recall and queries a second."""
-    rows = []
-    for config in configs:
-        began = time.perf_counter()
-        found = run(config).cache()
-        found.count()
-        seconds = time.perf_counter() - began
-        rows.append((str(config), float(recall(found, truth, k).first()[0]), queries / seconds))
-        found.unpersist()
-    return spark.createDataFrame(rows, "config string, recall double, qps double")
+    """The rows that no other row beats in one and equals or beats in the other; rows with a null are beaten by none and beat none.
+
+    Of equal x only the largest y can stay, and it does if it is above all y of larger x: a running maximum from the
+    largest x down, one row an x."""
+    whole = F.col(x).isNotNull() & F.col(y).isNotNull()
+    best = points.where(whole).groupBy(F.col(x).alias("_x")).agg(F.max(y).alias("_y"))
+    above = maximum_before(best, F.desc("_x"), "_y", "_above").where("_above is null or _y > _above")
+    kept = points.join(above.select(F.col("_x").alias(x), F.col("_y").alias(y)), [x, y], "left_semi")
+    return kept.select(points.columns).unionByName(points.where(~whole))
 
 
 class Metrics:

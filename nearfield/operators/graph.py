@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.functions.distance import distance
+from nearfield.functions.distance import TINY, distance
 from nearfield.operators.knn import best_per_query, exact_distances, knn_join, matrix, pairwise
 from nearfield.plans.config import ConstructionFailed, SearchFailed
 from nearfield.runtime import discard, materialize, prepare, scratch
@@ -172,25 +172,64 @@ def mean_farthest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.max("distance").alias("far")).agg(F.avg("far").alias("mean"))
 
 
+#: Numbers of a batch's vectors and of their distances to each other, at most about.
+PRUNED = 1 << 21
+
+
+def kept_slots(rows: np.ndarray, own: np.ndarray, there: np.ndarray, degree: int, metric: str) -> np.ndarray:
+    """Which neighbours stay, for many nodes at once. rows: nodes x slots x dims, a node's neighbours from the nearest on; own: their
+    distances; there: which slots are in use."""
+    sides = np.where(rows >= 0, 1.0, -1.0) if metric == "hamming" else rows
+    products = sides @ sides.transpose(0, 2, 1)
+    square = (rows**2).sum(2)
+    if metric == "l2":
+        apart = np.maximum(0.0, square[:, :, None] + square[:, None] - 2 * products)
+    elif metric == "inner_product":
+        apart = -products
+    elif metric == "hamming":
+        apart = (rows.shape[2] - products) / 2
+    else:
+        size = np.sqrt(square)[:, :, None] * np.sqrt(square)[:, None]
+        apart = np.where(size < TINY, 1.0, np.maximum(0.0, 1.0 - products / np.maximum(size, TINY)))
+    # Where rounding could decide, distances are computed one by one, as all others are.
+    node, i, k = np.nonzero((np.abs(apart - own[:, :, None]) <= 1e-9 * (1.0 + np.abs(own)[:, :, None] + square[:, :, None])) & there[:, :, None] & there[:, None])
+    if len(node):
+        apart[node, i, k] = exact_distances(rows[node, i], rows[node, k], metric)
+    nearer = apart < own[:, :, None]
+    kept = np.zeros(own.shape, bool)
+    for slot in range(own.shape[1]):
+        blocked = (nearer[:, slot, :slot] & kept[:, :slot]).any(1)
+        kept[:, slot] = there[:, slot] & ~blocked & (kept.sum(1) < degree)
+    return kept
+
+
 def prune(edges: DataFrame, corpus: DataFrame, degree: int, metric: str = "cosine") -> DataFrame:
-    """Keeps a neighbour unless one kept before it is nearer to it than the node is."""
+    """Keeps a neighbour unless one kept before it is nearer to it than the node is. Nodes are taken together: their neighbours'
+    products are one batch of matrices, and slots are decided one after the other for all of them."""
     prepare(corpus.sparkSession)
     vectors = corpus.select(F.col("id").alias("dst"), "vector")
-    joined = edges.join(vectors, "dst").select("src", "dst", "distance", "vector")
+    spread = edges.join(vectors, "dst").select("src", "dst", "distance", "vector").repartition("src").sortWithinPartitions("src", "distance", "dst")
     kind = edges.schema["src"].dataType
 
-    def run(group: pa.Table) -> pa.Table:
-        order = sorted(range(len(group)), key=lambda i: (group["distance"][i].as_py(), group["dst"][i].as_py()))
-        rows, own = matrix(group["vector"]), group["distance"].to_numpy()
-        kept: list[int] = []
-        for i in order:
-            if len(kept) < degree and not any(exact_distances(rows[i], rows[j : j + 1], metric)[0] < own[i] for j in kept):
-                kept.append(i)
-        table = group.take(pa.array(kept, pa.int64()))
-        return pa.table({"src": table["src"], "slot": pa.array(range(len(kept)), pa.int32()), "dst": table["dst"], "distance": table["distance"]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, "src", 512):
+            rows, d = matrix(table["vector"]), table["distance"].to_numpy()
+            node = table["src"].combine_chunks().dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            sizes = np.diff(np.append(starts, len(node)))
+            many = max(1, PRUNED // max(1, int(sizes.max()) * (rows.shape[1] + int(sizes.max()))))
+            for a in range(0, len(starts), many):
+                first, size = starts[a : a + many], sizes[a : a + many]
+                place = first[:, None] + np.arange(size.max())
+                there = np.arange(size.max()) < size[:, None]
+                place = np.where(there, place, 0)
+                kept = kept_slots(rows[place], d[place], there, degree, metric)
+                at = pa.array(place[kept])
+                slot = (np.cumsum(kept, 1) - 1)[kept]
+                yield pa.RecordBatch.from_arrays([table["src"].combine_chunks().take(at), pa.array(slot, pa.int32()), table["dst"].combine_chunks().take(at), table["distance"].combine_chunks().take(at)], ["src", "slot", "dst", "distance"])
 
     schema = T.StructType([T.StructField("src", kind), T.StructField("slot", T.IntegerType()), T.StructField("dst", kind), T.StructField("distance", T.DoubleType())])
-    return joined.groupBy("src").applyInArrow(run, schema)
+    return spread.mapInArrow(run, schema)
 
 
 def hnsw_level(key: str, levels: int = 6) -> Column:

@@ -51,9 +51,9 @@ class GraphIndex:
         return folder
 
     def _commit(self, **changes) -> None:
-        state = self._state | changes
-        store.commit(self.spark, self.path, state)
-        self._state = state
+        state = {k: v for k, v in (self._state | changes).items() if k not in ("format", "version", "written")}
+        number = store.commit(self.spark, self.path, state, self._state.get("version", 0))
+        self._state = state | {"version": number}
 
     @property
     def degree(self) -> int:

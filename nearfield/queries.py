@@ -67,10 +67,13 @@ def register(name: str, sql: str | None = None):
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, vector, label) in enough partitions for all cores: the source file is one."""
+    """(id, vector, label) in partitions for all cores at least: a small source is one file."""
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
     vector = F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 7))
-    return rows.repartition(spark.sparkContext.defaultParallelism, "vec_id").select(F.col("vec_id").alias("id"), vector.alias("vector"), "label")
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores, "vec_id")
+    return rows.select(F.col("vec_id").alias("id"), vector.alias("vector"), "label")
 
 
 def _rounded(df: DataFrame) -> DataFrame:

@@ -68,14 +68,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-_made: list[str] = []
 _scopes = threading.local()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; the innermost scratch() of this thread deletes it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
     if getattr(_scopes, "stack", None):
         _scopes.stack[-1].append(path)
     return path
@@ -103,13 +101,6 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         remove(spark, [p for p in paths if p not in kept])
 
 
-def made_paths() -> list[str]:
-    """The work paths given out since the last call, for whoever knows when nothing reads them any more."""
-    out = _made[:]
-    _made.clear()
-    return out
-
-
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,4 +1,4 @@
-"""Reports of measurements: CSV, JSON and a text chart."""
+"""Reports of measurements as CSV or JSON."""
 
 from __future__ import annotations
 
@@ -8,10 +8,3 @@ from pyspark.sql import DataFrame
 def write(df: DataFrame, path: str, kind: str = "csv") -> None:
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
-
-
-def chart(histogram: DataFrame, width: int = 50) -> str:
-    """Bars of a histogram (bucket, n, cdf)."""
-    rows = histogram.orderBy("bucket").collect()  # one row a bucket
-    most = max((r["n"] for r in rows), default=1)
-    return "\n".join(f"{r['bucket']:>4} {'#' * max(1, round(width * r['n'] / most))} {r['n']} ({r['cdf']:.1%})" for r in rows)

@@ -1,6 +1,7 @@
 """Distances, joins, lists, codes and graphs against NumPy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from nearfield.functions import filters as P
 from nearfield.operators import bounded, evaluate, graph, ivf, kmeans, knn, pq
 from nearfield.plans.config import ConstructionFailed, CorruptFile, DimensionMismatch, IdAlreadyExists, IVFPQConfig, SearchFailed, ShardConfig
 from nearfield.plans.planner import choose, list_count
-from nearfield.sources import annbin
+from nearfield.sources import annbin, reports
 
 METRICS = ("cosine", "l2", "inner_product", "hamming")
 
@@ -61,12 +62,33 @@ def test_forms_agree_with_brute_force(spark, metric, form):
 def test_bounded_search_is_exact(metric):
     rng = np.random.default_rng(7)
     for rows in (rng.normal(size=(5000, 33)), adversarial(rng, 3000, 33)):
-        codes, step = bounded.quantize(rows)
-        for q in (rows[5], rows[-1], np.zeros(33), rng.normal(size=33)):
-            for k in (1, 97):
-                at, d = bounded.bounded_best(q, rows, codes, step, k, metric)
-                order = np.lexsort((at, d))[:k]
-                assert at[order].tolist() == brute(q, rows, k, metric)[0]
+        kept = bounded.derived(rows)
+        ids = pa.array(np.arange(len(rows)))
+        asked = np.stack([rows[5], rows[-1], np.zeros(33), rng.normal(size=33)])
+        for k in (1, 97):
+            place, row, d, computed = bounded.bounded_best(asked, rows, kept, ids, k, metric)
+            for i, q in enumerate(asked):
+                assert row[place == i].tolist() == brute(q, rows, k, metric)[0]
+            # The k-th distance that another block gave already leaves as few.
+            kth = np.array([d[place == i][-1] for i in range(4)])
+            again = bounded.bounded_best(asked, rows, kept, ids, k, metric, kth)
+            assert (again[1] == row).all() and again[3] <= computed
+    spread = rng.normal(size=(4000, 33))
+    assert bounded.bounded_best(spread[:10], spread, bounded.derived(spread), pa.array(np.arange(4000)), 10, metric)[3] < 0.05 * 40_000
+
+
+def test_bounded_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(700, 12))
+    df, asked = frame(spark, rows).repartition(3), frame(spark, rows[:30])
+    expected = knn.knn_join(asked, df, 5, "l2", "kernel").orderBy("query_id", "rank").collect()
+    index = bounded.Bounded.build(df)
+    assert index.search(asked, 5, "l2").orderBy("query_id", "rank").collect() == expected
+    for name, value in (("BROADCAST_BYTES", 10), ("QUERY_BLOCK", 7)):
+        monkeypatch.setattr(bounded, name, value)
+    assert index.search(asked, 5, "l2").orderBy("query_id", "rank").collect() == expected
+    with pytest.raises(SearchFailed):
+        index.search(asked, 5, "hamming")
 
 
 def test_distance_rules(spark):
@@ -307,6 +329,24 @@ def test_evaluation(spark):
     assert metrics.counts == {"search": 3} and metrics.percentile(0.5) == 0.05 and metrics.percentile(0.99) == 3.75
     points = spark.createDataFrame([(1, 0.5, 10.0), (2, 0.6, 9.0), (3, 0.4, 10.0), (4, 0.5, 10.0)], "k int, recall double, qps double")
     assert sorted(r["k"] for r in evaluate.pareto(points).collect()) == [1, 2, 4]
+    rng = np.random.default_rng(4)
+    many = [(i, float(rng.integers(30)) if i % 50 else None, float(rng.integers(30)) if i % 71 else None) for i in range(600)]
+    kept = [i for i, x, y in many if x is None or y is None or not any(a is not None and b is not None and a >= x and b >= y and (a > x or b > y) for _, a, b in many)]
+    found = evaluate.pareto(spark.createDataFrame(many, "k int, recall double, qps double").repartition(3))
+    assert sorted(r["k"] for r in found.collect()) == kept
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert evaluate.pareto(points.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_reports(spark, tmp_path, kind):
+    samples = spark.createDataFrame([(float(i),) for i in range(1, 101)], "value double")
+    path = str(tmp_path / kind)
+    for _ in range(2):  # the second replaces the first
+        reports.write(evaluate.latency_stats(samples), path, kind)
+    (row,) = (spark.read.option("header", True).option("inferSchema", True).csv(path) if kind == "csv" else spark.read.json(path)).collect()
+    assert (row["n"], row["p50"], row["p99"], row["max"]) == (100, 50.0, 99.0, 100.0)
 
 
 def test_data_sets(spark, tmp_path):
