@@ -181,9 +181,15 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
 
 
-def limits(ranges: int) -> np.ndarray:
-    """Where each of so many equal ranges of hashes starts."""
-    return np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """In which of so many equal ranges each hash lies."""
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def runs(sorted_parts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, start, end) of each part that occurs; a batch's work does not depend on how many parts there are."""
+    parts, start = np.unique(sorted_parts, return_index=True)
+    return list(zip(parts.tolist(), start.tolist(), np.append(start[1:], len(sorted_parts)).tolist()))
 
 
 def sent_anchors(packed: DataFrame, ranges: int) -> DataFrame:
@@ -191,7 +197,6 @@ def sent_anchors(packed: DataFrame, ranges: int) -> DataFrame:
     ranges, at how many places each stands, and whether several of its documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = limits(ranges)
         for row in _rows(batches):
             batch = Batch(row["ids"], row["sizes"], row["packed"])
             place, _, _ = found = anchors(batch.raw)
@@ -208,10 +213,9 @@ def sent_anchors(packed: DataFrame, ranges: int) -> DataFrame:
             several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
             places = np.minimum(np.diff(np.append(start, len(hashes))), HOT + 1).astype("<u2")
             hashes = hashes[start]
-            cut = np.append(np.searchsorted(hashes, starts), len(hashes))
-            parts = np.flatnonzero(np.diff(cut))
-            blobs = [pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in parts], pa.binary()) for x in (hashes, places, several)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([row["batch"]] * len(parts), pa.int64()), *blobs], ["part", "batch", "hashes", "places", "several"])
+            parts = runs(range_of(hashes, ranges))
+            blobs = [pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for x in (hashes, places, several)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parts], pa.int32()), pa.array([row["batch"]] * len(parts), pa.int64()), *blobs], ["part", "batch", "hashes", "places", "several"])
 
     return packed.select("batch", "ids", "sizes", "packed").mapInArrow(thrifty(run), "part int, batch long, hashes binary, places binary, several binary")
 
@@ -286,11 +290,10 @@ def contexts(batch: Batch, hashes: np.ndarray, hot: np.ndarray, shards: int) ->
     sizes = np.array([len(s) for s in strings], np.uint8)
     rank = np.zeros(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
     blobs = []
-    for s in np.flatnonzero(np.diff(cut)):
-        some = order[cut[s] : cut[s + 1]]
-        blobs.append((int(s), np.uint32(len(some)).tobytes() + sizes[some].tobytes() + ids[some].tobytes() + b"".join(strings[i] for i in some)))
+    for s, a, b in runs(shard[order]):
+        some = order[a:b]
+        blobs.append((s, np.uint32(len(some)).tobytes() + sizes[some].tobytes() + ids[some].tobytes() + b"".join(strings[i] for i in some)))
     record = np.array([len(order), len(low)], "<i8").tobytes() + sizes[order].tobytes() + low.astype("<u4").tobytes() + rank[number].astype("<u4").tobytes()
     return blobs, record
 
