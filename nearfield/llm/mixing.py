@@ -58,8 +58,8 @@ def mix(docs: DataFrame, weights: list[int], percent: int, doc_id: str = "doc_id
 
 def _mixed(docs: DataFrame, weights: list[int], percent: int, doc_id: str, text: str, source: str, carry: list[str]) -> DataFrame:
     carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), *carried)
-    base = materialize(base.withColumns({"row": F.monotonically_increasing_id(), "hash": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}), "sizes")
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), F.col(text).alias("_text"), *carried)
+    base = materialize(base.withColumns({"row": F.monotonically_increasing_id(), "hash": F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.hex(F.xxhash64("_text")))}).drop("_text"), "sizes")
     sizes = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent)
     sizes = materialize(sizes, "targets")
     order = [F.col("source").isNull().cast("int"), F.col("source"), F.col("hash"), F.col("row")]
