@@ -151,7 +151,8 @@ def plan(pages: DataFrame, page_id: str, url: str, html: str, least: int, files:
     groups = keys.groupBy("key").agg(F.max("page_id").alias("refers_to"))
     again = keys.join(groups, "key").where((F.col("size") >= least) & (F.col("page_id") != F.col("refers_to"))).select("page_id", "key", "refers_to").distinct()
     dealt = rows.repartition(files, "page_id", "key").join(again.repartition(files, "page_id", "key").hint("merge"), ["page_id", "key"], "left")
-    return dealt.select("page_id", "url", "payload", "refers_to")
+    # In a file pages lie in hash order, so its first records, of which its dictionary is made, are spread over all its pages.
+    return dealt.select("page_id", "url", "payload", "refers_to").sortWithinPartitions(F.xxhash64("page_id"), "page_id")
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
