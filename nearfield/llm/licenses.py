@@ -6,12 +6,16 @@ word bigrams is compared with each template's: 2 * common / (size + size). Only
 templates are compared whose size allows the threshold t: between t / (2 - t)
 and (2 - t) / t times the unit's. All steps are Spark expressions.
 
+The signs that open the lines of a comment go first. A template that names its licence's version names it of units
+only that have the version too, else the licence without a version.
+
 Before that, texts and units without any gate word are passed over. This loses nothing: gate_is_sound()
 proves for each template that a unit which reaches t shares a bigram with a
 gate word in it.
 
-Edge cases: a null or empty text has no units and so no licence; units of one
-word are one bigram of their own; ties go to the licence that sorts first; rows
+Edge cases: a null or empty text has no units and so no licence; very long texts are cut into all their units, of which
+those too large for every template are passed over; an empty table gives no rows; units of one
+word are one bigram of their own; ties go to the template that sorts first; rows
 that share an id stay rows of their own; extra columns are left out.
 """
 
@@ -51,6 +55,8 @@ TEMPLATES = [
 ]
 GATE = ("licens", "permi", "distribut", "software", "version", "apache", "applicable", "conditions", "released", "without", "documentation", "furnished", "obtaining", "general", "notice", "subject", "mozilla", "source", "cc", "creative", "unencumbered", "publi")
 
+# What stands before the text of a line in a comment; it goes first, so that a comment's empty lines part paragraphs.
+COMMENT = r"(^|\n)[ \t]*(?:/\*+|\*+/?|//+|#+|;+|%+|--+|<!--)[ \t]*"
 SENTENCE = r"[.!?:;]+\s+|\n+"
 LINE = r"\n+"
 PARAGRAPH = r"\n[ \t\r]*\n\s*"
@@ -62,6 +68,16 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({" ".join(p) for p in zip(words, words[1:])} or set(words))
 
 
+def versions(name: str, text: str) -> list[str]:
+    """The bigrams of a template that name its licence's version, if it names one: a unit without them is of no version we know."""
+    number = re.search(r"-(\d+)(?:\.\d+)?$", name)
+    return [b for b in bigrams_of(text) if number and b.split()[-1] == number[1]]
+
+
+def without_version(name: str) -> str:
+    return re.sub(r"-\d+(\.\d+)?$", "", name)
+
+
 def least_size(size: int, t: float) -> int:
     return math.ceil(size * t / (2 - t) - 1e-9)
 
@@ -94,13 +110,13 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     spark = prepare(docs.sparkSession)
     if not gate_is_sound(threshold):
         raise ValueError("the gate words are not enough for this threshold")
-    templates = [(name, bigrams_of(t)) for name, t in TEMPLATES]
-    low = F.lower(F.col(text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.when(_gated(low), low).alias("low"))
+    templates = [(name, bigrams_of(t), versions(name, t)) for name, t in TEMPLATES]
+    low = F.regexp_replace(F.lower(F.col(text)), COMMENT, "$1")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.when(_gated(F.lower(F.col(text))), low).alias("low"))
     units = F.array_distinct(F.concat(*[F.split("low", p) for p in (SENTENCE, LINE, PARAGRAPH)]))
     units = F.filter(units, _gated)
     # Words as a list, then bigrams; the largest template bounds the units that are looked at further.
-    longest = max(len(b) for _, b in templates)
+    longest = max(len(b) for _, b, _ in templates)
     words = F.transform(units, lambda u: F.filter(F.split(F.regexp_replace(u, "[^a-z0-9]+", " "), " "), lambda w: w != ""))
     sets = F.array_distinct(F.transform(words, _bigrams))
     sets = F.filter(sets, lambda b: (F.size(b) > 0) & (F.size(b) * threshold / (2 - threshold) <= longest + 1e-9))
@@ -109,11 +125,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     def dice(unit: Column) -> Column:
         """The best (score, licence) of a unit, as a struct whose greatest is the best."""
         each = []
-        for place, (name, bigrams) in enumerate(sorted(templates, reverse=True)):
+        for place, (name, bigrams, marks) in enumerate(sorted(templates, reverse=True)):
             size, n = F.size(unit), len(bigrams)
+            named = F.lit(name)
+            for mark in marks:
+                named = F.when(F.array_contains(unit, mark), named).otherwise(F.lit(without_version(name)))
             common = F.size(F.array_intersect(unit, F.array(*[F.lit(b) for b in bigrams])))
             score = F.when((size >= n * threshold / (2 - threshold) - 1e-9) & (size <= n * (2 - threshold) / threshold + 1e-9), 2.0 * common / (size + n)).otherwise(0.0)
-            each.append(F.struct(score.alias("score"), F.lit(place).alias("place"), F.lit(name).alias("license")))
+            each.append(F.struct(score.alias("score"), F.lit(place).alias("place"), named.alias("license")))
         return F.array_max(F.array(*each))
 
     found = F.filter(F.transform("sets", dice), lambda b: b["score"] >= threshold - 1e-12)
@@ -125,14 +144,16 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
 def oracle_sql(threshold: float = THRESHOLD) -> str:
     """The same in DuckDB's SQL, without gate and size bounds, over the view documents."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({place}, {quote(name)}, [{', '.join(map(quote, bigrams))}])" for place, (name, bigrams) in enumerate(sorted(((n, bigrams_of(t)) for n, t in TEMPLATES), reverse=True)))
-    pieces = " UNION ".join(f"SELECT doc_id, unnest(regexp_split_to_array(lower(text), {quote(p)})) AS u FROM documents" for p in (SENTENCE, LINE, PARAGRAPH))
+    listed = lambda words: f"[{', '.join(map(quote, words))}]::VARCHAR[]"
+    values = ", ".join(f"({place}, {quote(name)}, {quote(without_version(name))}, {listed(bigrams)}, {listed(marks)})" for place, (name, bigrams, marks) in enumerate(sorted(((n, bigrams_of(t), versions(n, t)) for n, t in TEMPLATES), reverse=True)))
+    plain = f"regexp_replace(lower(text), {quote(COMMENT)}, '\\1', 'g')"
+    pieces = " UNION ".join(f"SELECT doc_id, unnest(regexp_split_to_array({plain}, {quote(p)})) AS u FROM documents" for p in (SENTENCE, LINE, PARAGRAPH))
     return f"""
-WITH t(place, license, bigrams) AS (VALUES {values}),
+WITH t(place, named, unversioned, bigrams, marks) AS (VALUES {values}),
 units AS (SELECT DISTINCT doc_id, u FROM ({pieces})),
 words AS (SELECT doc_id, list_filter(string_split(regexp_replace(u, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM units),
 sets AS (SELECT DISTINCT doc_id, CASE WHEN len(w) > 1 THEN list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) ELSE w END AS b FROM words WHERE len(w) > 0),
-scored AS (SELECT doc_id, b, license, place, 2.0::DOUBLE * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS score FROM sets, t),
+scored AS (SELECT doc_id, b, CASE WHEN len(list_intersect(b, marks)) = len(marks) THEN named ELSE unversioned END AS license, place, 2.0::DOUBLE * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS score FROM sets, t),
 best AS (SELECT doc_id, b, arg_max(license, (score, place)) AS license, max(score) AS score, max((score, place)) AS top FROM scored WHERE score >= {threshold} - 1e-12 GROUP BY doc_id, b),
 found AS (SELECT doc_id, arg_max(license, top) AS license, max(score) AS score, count(*) AS n_units FROM best GROUP BY doc_id)
 SELECT d.doc_id, license, round(coalesce(score, 0.0), 6) AS score, coalesce(n_units, 0) AS n_units FROM documents d LEFT JOIN found USING (doc_id)

@@ -456,7 +456,7 @@ def test_licenses(spark):
     found = licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()
 
     def best(text):
-        units = {u for p in (licenses.SENTENCE, licenses.LINE, licenses.PARAGRAPH) for u in re.split(p, (text or "").lower())}
+        units = {u for p in (licenses.SENTENCE, licenses.LINE, licenses.PARAGRAPH) for u in re.split(p, re.sub(licenses.COMMENT, r"\1", (text or "").lower()))}
         sets = {frozenset(licenses.bigrams_of(u)) for u in units} - {frozenset()}
         scores = {}
         for s in sets:
@@ -471,6 +471,15 @@ def test_licenses(spark):
         name, score, n = best(t)
         assert r["score"] == pytest.approx(score) and r["n_units"] == n and (r["license"] is None) == (name is None), t
     assert [r["license"] for r in found[4 : 4 + len(named)]] == [n for n, _ in licenses.TEMPLATES]
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and t.startswith("Permission"))
+    wrapped = "\n * ".join(" ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
+    blocks = [
+        ("This work is licensed under the GNU General Public License, version 1.", "GPL", None), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0", 1.0),
+        ("Licensed under the Apache License, Version 1.1", None, 0.0), (f"/*\n * Copyright of somebody\n *\n * {wrapped}\n *\n * The end.\n */\nint main();", "MIT", 1.0),
+        ("# Some words\n#\n# Released under\n# the MIT License.\n#\nx = 1", "MIT", 1.0),
+    ]
+    for r, (text, name, score) in zip(licenses.scan(docs(spark, [b[0] for b in blocks])).orderBy("doc_id").collect(), blocks):
+        assert r["license"] == name and (score is None or r["score"] == pytest.approx(score)), text
     assert licenses.scan(docs(spark, [])).count() == 0
     plan = licenses.scan(docs(spark, texts))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
