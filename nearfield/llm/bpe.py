@@ -432,20 +432,25 @@ def _schema(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in new] + [T.StructField(n, t) for n, t in more])
 
 
-def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds n_tokens and the packed ids of every text. The vocabulary file is
-    read by each worker from vocabulary_path, which must exist on all of them."""
+def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds n_tokens and the packed ids of every text, and in the column `decoded`, if one is named, the bytes that these ids stand
+    for, by the same workers. The vocabulary file is read by each worker from vocabulary_path, which must exist on all of them."""
     prepare(df.sparkSession)
+    more = [(decoded, T.BinaryType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocabulary_path, pattern)
+        decoder = Decoder(load_ranks(vocabulary_path)) if decoded else None
         for batch in batches:
             column = batch.column(batch.schema.names.index(text))
             for i in range(0, max(batch.num_rows, 1), 256):
                 packed = encoder.encode_all(column.slice(i, 256).to_pylist())
-                yield _appended(batch.slice(i, 256), {"n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()), out: pa.array(packed, pa.binary())})
+                found = {"n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()), out: pa.array(packed, pa.binary())}
+                if decoder is not None:
+                    found[decoded] = pa.array([decoder.decode(p) for p in packed], pa.binary())
+                yield _appended(batch.slice(i, 256), found)
 
-    return df.mapInArrow(thrifty(run), _schema(df, ("n_tokens", T.LongType()), (out, T.BinaryType())))
+    return df.mapInArrow(thrifty(run), _schema(df, ("n_tokens", T.LongType()), (out, T.BinaryType()), *more))
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -382,6 +382,8 @@ def test_bpe(spark, tokenizer):
     for r, t in zip(found, texts):
         ids = np.frombuffer(r["ids"], "<u4").tolist()
         assert ids == reference.encode_ordinary(t or "") and r["n_tokens"] == len(ids) and bytes(r["decoded"]) == (t or "").encode() and r["source"] != ""
+    both = bpe.encode(docs(spark, texts), path, P.PATTERN, decoded="decoded").orderBy("doc_id").collect()
+    assert [(r["ids"], r["decoded"], r["n_tokens"]) for r in both] == [(r["ids"], r["decoded"], r["n_tokens"]) for r in found]
     assert bpe.encode(docs(spark, []), path, P.PATTERN).count() == 0
     other = bpe.Encoder(ranks, r"\w+|\W")
     assert np.frombuffer(other.encode("ab cd!"), "<u4").tolist() == [i for p in ("ab", " ", "cd", "!") for i in bpe.merge_encode(p.encode(), ranks)]
