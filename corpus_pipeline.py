@@ -92,7 +92,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     path = public_tokenizers.path(VOCABULARY)
     docs = docs.select("doc_id", "text", "lang", "source")
-    encoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
     exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", exact.alias("exact"))
 
