@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from nearfield.functions import distance as D
 from nearfield.functions.filters import And, Equals, Filter, GreaterThan, GreaterThanInt, In, LessThan, LessThanInt, Not, Or
 from nearfield.operators import bounded, evaluate, graph, ivf, kmeans, knn, pq
+from nearfield.operators.graph_index import GraphIndex
 from nearfield.operators.index import IndexConfig, UnbuiltIndex, float16, upsert
 from nearfield.plans.config import IVFPQConfig, ShardConfig, StreamConfig
 from nearfield.runtime import materialize, table, work_path
-from nearfield.sources import annbin
+from nearfield.sources import annbin, store
 from nearfield.streaming.stream import StreamIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,6 +268,14 @@ def _register_lists() -> None:
         rows, c = corpus(s, d).select("id", "vector"), centers(s, d)
         return _rounded(ivf.IVFFlat(kmeans.assign(rows, c), c, "l2").search(rows.where(EVERY), 10, 3))
 
+    # The same lists as a folder: written, read by another object, and probed there.
+    @register("ivf_loaded", f"WITH {V}, {mean}, {near}, {probe} {_ranked(pairs, 10)}")
+    def loaded(s, d):
+        rows, c = corpus(s, d).select("id", "vector"), centers(s, d)
+        path = work_path(s, "lists")
+        ivf.IVFFlat(kmeans.assign(rows, c), c, "l2", nprobe=3).save(path)
+        return _rounded(ivf.IVFFlat.load(s, path).search(rows.where(EVERY), 10))
+
     @register("shard_route", f"WITH {V}, {mean}, {probe} SELECT query_id, list_id FROM p")
     def route(s, d):
         return ivf.probes(corpus(s, d).where(EVERY), centers(s, d), 3, "l2").select("query_id", "list_id")
@@ -411,6 +420,28 @@ def _register_graphs() -> None:
         edges = materialize(_graph(s, d), "graph")
         return graph.beam_search(rows.where(EVERY), rows, edges, 5, 32, "l2", graph.layers_of(edges, rows, 8, 6, "l2"))
 
+    # A third of the rows comes later: each new node has its nearest, and is in the list of those whose worst neighbour is farther.
+    first, later = "id % 3 < 2", "id % 3 = 2"
+
+    def part(queries: str, rows: str) -> str:
+        return f"SELECT query_id AS src, id AS dst, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FROM ({_pairs('l2', queries, rows)}) WHERE query_id <> id) WHERE r <= 8"
+
+    inserted = f"WITH {V}, b AS ({part(first, first)}), n AS ({part(later, 'true')}), u AS (SELECT * FROM b UNION SELECT * FROM n UNION SELECT dst, src, d FROM n) SELECT src, (slot - 1)::INT AS slot, dst, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS slot FROM u) WHERE slot <= 8"
+
+    @register("graph_insert", inserted)
+    def insertion(s, d):
+        rows = corpus(s, d).select("id", "vector")
+        index = GraphIndex.build(rows.where(first), 8, "l2", 0)
+        index.insert(rows.where(later))
+        return _rounded(index.edges())
+
+    @register("skip_layers_recall", f"WITH {V} SELECT count(*) FILTER (WHERE list_sum(list_transform(range(1, 3), lambda l: CASE WHEN {u} <= 1::BIGINT << (52 - l) THEN 1 ELSE 0 END)) >= 1) AS queries, true AS enough FROM v")
+    def skip_layers(s, d):
+        rows = corpus(s, d).select("id", "vector")
+        first_layer = lambda e: e.where("layer = 1").select(F.col("src").alias("query_id"), F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst")).alias("rank"), F.col("dst").alias("id"), "distance")
+        edges = materialize(_graph(s, d), "graph")
+        return _enough(first_layer(graph.layers_of(edges, rows, 4, 2, "l2")), first_layer(graph.hnsw_layers(rows, 4, 2, "l2")), 4, 0.85)
+
     # Repair looks anew at some nodes of an exact graph, and so must give that graph.
     @register("graph_repair", as_edges)
     def repaired(s, d):
@@ -446,6 +477,26 @@ def _register_sets() -> None:
         rows = knn.live(index.rows(), arrivals.where("id % 10 = 3"))
         return rows.select("id", "batch", F.col("vector")[0].cast("long").alias("value"))
 
+    # Deletions of many ids between merges, by two writers on one folder, each from what the other has committed.
+    @register("stream_delete_many", f"WITH {V} SELECT id, CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS batch FROM v WHERE id % 7 <> 1 AND id % 5 <> 2")
+    def delete_many(s, d):
+        rows = corpus(s, d).select("id", F.col("vector").cast("array<float>").alias("vector"))
+        path = work_path(s, "stream")
+        one, two = (StreamIndex(s, "bigint", IndexConfig(metric="l2"), StreamConfig(delta_capacity=1 << 30), path) for _ in range(2))
+        one.insert(rows.where("id % 2 = 0"), 0)
+        two.delete_all(rows.where("id % 2 = 0 AND id % 7 = 1").select("id"))
+        two.insert(rows.where("id % 2 = 1"), 1)
+        one.merge()
+        one.delete_all(rows.where("id % 2 = 1 AND id % 7 = 1 OR id % 5 = 2 AND id % 7 <> 1").select("id"))
+        two.flush()
+        return two.rows().select("id", "batch")
+
+    @register("snapshot_unmatched", f"WITH {V}, m AS (SELECT id + 3 AS id FROM v WHERE id % 2 = 0), t AS (SELECT -id - 1 AS id FROM v WHERE id % 4 = 0) SELECT 'metadata' AS \"table\", id, 'unknown' AS problem FROM m WHERE id NOT IN (SELECT id FROM v) UNION ALL SELECT 'tombstones', id, 'unknown' FROM t UNION ALL SELECT 'vectors', id, 'twice' FROM v WHERE id % 9 = 0")
+    def unmatched(s, d):
+        rows = corpus(s, d).select("id")
+        tables = {"vectors": rows.unionByName(rows.where("id % 9 = 0")), "metadata": rows.where("id % 2 = 0").select((F.col("id") + 3).alias("id")), "tombstones": rows.where("id % 4 = 0").select((-F.col("id") - 1).alias("id"))}
+        return store.unmatched(tables)
+
     @register("live_counts", f"WITH {V} SELECT label, count(*) AS n, count(*) FILTER (WHERE NOT dead) AS live FROM v GROUP BY label")
     def counts(s, d):
         rows = corpus(s, d)
