@@ -23,6 +23,8 @@ def exact_graph(corpus: DataFrame, degree: int, metric: str = "cosine", form: st
     return found.withColumn("slot", slot).where(F.col("slot") <= degree).select(F.col("query_id").alias("src"), (F.col("slot") - 1).alias("slot"), F.col("id").alias("dst"), "distance")
 
 
+#: Of the nodes that point at one, so many times the degree are in its list: few rows, such as short vectors, are near to very many.
+REVERSE = 6
 #: Nodes whose lists one task joins with each other at a time.
 VIAS = 64
 
@@ -105,11 +107,11 @@ def farthest(edges: DataFrame, degree: int) -> DataFrame:
 
 
 def around(edges: DataFrame, degree: int) -> DataFrame:
-    """Rows (via, id, fresh, side): each node's list of those it points at (side 0) and of the nearest 2 * degree that point at it
+    """Rows (via, id, fresh, side): each node's list of those it points at (side 0) and of the nearest REVERSE * degree that point at it
     (side 1), side 2 being both. A fresh edge is fresh from both ends."""
     out = edges.select(F.col("src").alias("via"), F.col("dst").alias("id"), "fresh", F.lit(0).alias("side"))
     rank = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("fresh"), "distance", "src"))
-    back = edges.withColumn("_rank", rank).where(F.col("_rank") <= 2 * degree).select(F.col("dst").alias("via"), F.col("src").alias("id"), "fresh", F.lit(1).alias("side"))
+    back = edges.withColumn("_rank", rank).where(F.col("_rank") <= REVERSE * degree).select(F.col("dst").alias("via"), F.col("src").alias("id"), "fresh", F.lit(1).alias("side"))
     both = out.unionByName(back).groupBy("via", "id").agg(F.max("fresh").alias("fresh"), F.when(F.min("side") < F.max("side"), 2).otherwise(F.min("side")).alias("side"))
     # The node itself, so that it meets those that point at it.
     return both.unionByName(edges.select(F.col("src").alias("via")).distinct().select("via", F.col("via").alias("id"), F.lit(False).alias("fresh"), F.lit(2).alias("side")))
@@ -119,7 +121,7 @@ def nn_descent(corpus: DataFrame, degree: int, metric: str = "cosine", iteration
     """An approximate k-NN graph: the neighbours of each node, both ways, are tried against each other until few edges change.
 
     Edges are fresh until they were tried once, and pairs of old ones are not tried again. Reverse neighbours are limited to
-    2 * degree a node, so a hub's list stays bounded. Starts from rows that share a bucket of a hash. cross: see improving();
+    REVERSE * degree a node, so a hub's list stays bounded. Starts from rows that share a bucket of a hash. cross: see improving();
     fewer pairs a round, and more neighbours missed.
     """
     n = corpus.count()
