@@ -270,8 +270,11 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, i
 
 
 def _dealt(words: DataFrame, docs: DataFrame) -> DataFrame:
-    """Segments and documents of a block side by side, segments first."""
-    return words.unionByName(docs, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "place")
+    """Segments and documents of a block side by side, segments first. There are as many tasks as blocks, so a task's share does not
+    grow with the corpus."""
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("block").distinct().count())
+    return words.unionByName(docs, allowMissingColumns=True).repartition(tasks, "block").sortWithinPartitions("block", "place")
 
 
 def _refused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
