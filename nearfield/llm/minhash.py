@@ -9,7 +9,7 @@
 4. A bucket of n members is dealt to n / BLOCK parts, and to each part go REPS members of the whole
    bucket besides. In a part first sizes and signatures are compared, then the full sets, and not where confirmed links join
    a pair already: the work is in proportion to n, and no part returns more edges than it has rows.
-5. Connected components of these edges. In buckets of several parts only members of different components are left to
+5. Connected components of these edges; each is a star from here on. In buckets of several parts only members of different components are left to
    compare. Those outside the bucket's largest component, mostly none or few, meet all others in
    blocks: by signatures alone, and texts are fetched only for rows with a pair that is left then.
 6. Connected components of all edges.
@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from nearfield.llm.components import connected_components
 from nearfield.llm.grouping import contiguous, matching
 from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
-from nearfield.runtime import materialize, prepare, scratch, thrifty
+from nearfield.runtime import few, materialize, prepare, scratch, thrifty
 
 HASHES = 125
 MISSED = 1e-6
 #: Pairs whose signatures agree less than this much below the threshold are not compared further (5.3 standard deviations).
 SLACK = 0.17
 BLOCK = 300  # rows with texts compared in one go
+TASK_ROWS = 4096  # rows compared in one task, if there are so many
 SIGNATURE_BLOCK = 4096  # the same without texts
 REPS = 4
 CHUNK = 1 << 20  # bytes of text hashed together
@@ -144,15 +145,15 @@ class Forest(dict):
         return True
 
 
-def candidates(group: pa.Table, percent: int) -> list[tuple[int, int, int]]:
-    """(-agreement, left place, right place) of the pairs of a block that sizes, signatures and components leave."""
+def candidates(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The pairs of a block that sizes, signatures and components leave: for a left place, right places and how far they
+    agree. A block may have millions, so they are never all there at once."""
     ids, sizes, component = (group[n].to_numpy() for n in ("doc_id", "n_shingles", "component"))
     band = group["band"][0].as_py()
     signatures = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(len(ids), HASHES)
     bands = np.array(group["bands"].combine_chunks().flatten()).reshape(len(ids), -1)
     left, right = np.flatnonzero(group["is_left"].to_numpy()), np.flatnonzero(group["is_right"].to_numpy())
     both = np.intersect1d(left, right)
-    pairs = []
     for a in left:
         others = right[right > a] if len(both) == len(left) == len(right) else right
         small, large = np.minimum(sizes[a], sizes[others]), np.maximum(sizes[a], sizes[others])
@@ -163,8 +164,8 @@ def candidates(group: pa.Table, percent: int) -> list[tuple[int, int, int]]:
         if band and len(others):
             new = ~(bands[others, :band] == bands[a, :band]).any(1)
             others, alike = others[new], alike[new]
-        pairs += [(-int(s), int(a), int(b)) for s, b in zip(alike, others)]
-    return pairs
+        if len(others):
+            yield int(a), others, alike
 
 
 def compare(group: pa.Table, width: int, percent: int) -> list[tuple[int, int]]:
@@ -179,7 +180,8 @@ def compare(group: pa.Table, width: int, percent: int) -> list[tuple[int, int]]:
         return sets[k]
 
     forest, edges = Forest(), []
-    for _, a, b in sorted(candidates(group, percent)):
+    pairs = [(-s, a, b) for a, others, alike in candidates(group, percent) for s, b in zip(alike.tolist(), others.tolist())]
+    for _, a, b in sorted(pairs):
         if forest.find(int(component[a])) == forest.find(int(component[b])):
             continue
         common = len(full(a) & full(b))
@@ -216,9 +218,11 @@ def _left_over(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in contiguous(batches, BLOCKS):
-            places = {x for _, a, b in candidates(group, percent) for x in (a, b)} if len(group) > 1 else ()
-            if places:
-                yield from group.select(names).take(pa.array(sorted(places))).combine_chunks().to_batches()
+            if len(group) > 1:
+                paired = np.zeros(len(group), bool)
+                for a, others, _ in candidates(group, percent):
+                    paired[a] = paired[others] = True
+                yield from group.select(names).filter(pa.array(paired)).combine_chunks().to_batches()
 
     return rows.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(thrifty(run), SIDES)
 
@@ -240,17 +244,18 @@ def _smaller(left: DataFrame) -> DataFrame:
     return rows.select("band", "key", "kind", (F.col("i") * 4096 + F.col("at.a")).alias("i"), (F.col("j") * 4096 + F.col("at.b")).alias("j"), "doc_id", "component", F.col("at.x").alias("is_left"), F.col("at.y").alias("is_right"))
 
 
-def _across(members: DataFrame, edges: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Edges between members of buckets of several parts that edges do not join yet; None if all are joined."""
-    component = connected_components(edges).select(F.col("node").alias("doc_id"), "component")
+def _across(members: DataFrame, component: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Edges between members of buckets of several parts that are in different components (node, component) so far; None if none are."""
+    component = component.withColumnRenamed("node", "doc_id")
     large = members.where(F.col("size") > BLOCK).join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     counts = large.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     split = counts.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("components"), (F.sum("n") - F.max("n")).alias("minor"), F.max("n").alias("major"))
-    large = materialize(large.join(split.where("components > 1"), ["band", "key"]), "large")
-    if not large.limit(1).count():
-        return None
+    large = materialize(few(large.join(split.where("components > 1"), ["band", "key"]), members.count()), "large")
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / SIGNATURE_BLOCK).cast("int"))
     is_minor = F.col("component") != F.col("most")
+    count = large.agg(F.sum(F.when(is_minor, parts("minor") + parts("major")).otherwise(parts("minor")))).first()[0]
+    if not count:
+        return None
     own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(is_minor, parts("minor")).otherwise(parts("major")).cast("long")).cast("int")
     each = lambda n: F.sequence(F.lit(0), parts(n) - 1)
     block = lambda kind, i, j, left, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("is_left"), right.alias("is_right"))
@@ -260,26 +265,33 @@ def _across(members: DataFrame, edges: DataFrame, signed: DataFrame, width: int,
     from_major = F.transform(each("minor"), lambda i: block(1, i, p, no, yes))
     rows = large.withColumn("own", own).select("band", "key", "doc_id", "component", F.explode(F.when(is_minor, F.concat(to_major, to_minor)).otherwise(from_major)).alias("at"))
     rows = rows.select("band", "key", "at.kind", "at.i", "at.j", "doc_id", "component", "at.is_left", "at.is_right")
-    left = materialize(_left_over(rows.join(signed.select("doc_id", "n_shingles", "bands", "signature"), "doc_id"), percent), "left")
-    return _edges(_smaller(left).join(signed.select("doc_id", "n_shingles", "bands", "signature", "packed"), "doc_id"), width, percent)
+    left = _left_over(rows.join(signed.select("doc_id", "n_shingles", "bands", "signature"), "doc_id"), percent)
+    left = materialize(few(left, count, TASK_ROWS), "left")
+    found = _edges(_smaller(left).join(signed.select("doc_id", "n_shingles", "bands", "signature", "packed"), "doc_id"), width, percent)
+    return materialize(few(found, left.count() * -(-SIGNATURE_BLOCK // BLOCK), TASK_ROWS), "links")
 
 
 def links(classes: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges between classes (doc_id, bands), enough to join all that links join."""
+    """Edges (src, dst) between classes (doc_id, bands), enough to join all that links join."""
+    most = signed.count() * layout(percent)[0]
     banded = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members"))
     kept = buckets.where("size > 1").groupBy("size", "least", "members").agg(F.min(F.struct("band", "key")).alias("bucket")).select("bucket.*", "size")
-    members = materialize(banded.join(kept, ["band", "key"]), "buckets")
-    signed = matching(signed, materialize(members.select("doc_id").distinct(), "members"), "doc_id")  # only they are compared
+    members = materialize(few(banded.join(kept, ["band", "key"]), most), "buckets")
+    count = members.count()
+    signed = matching(signed, materialize(few(members.select("doc_id").distinct(), count), "members"), "doc_id")  # only they are compared
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = members.select("band", "key", F.pmod(F.xxhash64("doc_id", F.lit(7)), parts.cast("long")).cast("int").alias("i"), "doc_id")
     picked = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(100 + n))) for n in range(REPS)]
     reps = members.where(F.col("size") > BLOCK).groupBy("band", "key", "size").agg(F.array_distinct(F.array(*picked)).alias("reps"))
     reps = reps.select("band", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), "reps").select("band", "key", "i", F.explode("reps").alias("doc_id"))
     rows = own.unionByName(reps).withColumns({"kind": F.lit(0), "j": F.col("i"), "component": F.col("doc_id"), "is_left": F.lit(True), "is_right": F.lit(True)})
-    edges = materialize(_edges(rows.join(signed.select("doc_id", "n_shingles", "bands", "signature", "packed"), "doc_id"), width, percent), "links")
-    more = _across(members, edges, signed, width, percent)
-    return edges if more is None else edges.unionByName(more)
+    edges = _edges(rows.join(signed.select("doc_id", "n_shingles", "bands", "signature", "packed"), "doc_id"), width, percent)
+    edges = materialize(few(edges, count, TASK_ROWS), "links")
+    component = connected_components(edges, rows=edges.count())
+    more = _across(members, component, signed, width, percent)
+    stars = component.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    return stars if more is None else stars.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,8 +311,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, doc_id: str, text: str)
     keys = signed.select("doc_id", "fingerprint", "bands")  # the wide columns are joined only where they are compared
     first = keys.join(classes, "fingerprint").where("doc_id = class").select("doc_id", "bands")
     edges = links(first, signed, width, percent)
-    component = connected_components(edges).select(F.col("node").alias("class"), "component")
+    component = connected_components(edges, rows=edges.count()).select(F.col("node").alias("class"), "component")
     whole = classes.join(component, "class", "left").select("fingerprint", F.coalesce("component", "class").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "fingerprint").join(whole, "fingerprint", "left")
     component_id = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), (F.col("doc_id") == component_id).alias("kept"))
+    return few(out.select("doc_id", "n_shingles", component_id.alias("component_id"), (F.col("doc_id") == component_id).alias("kept")), signed.count())

@@ -8,8 +8,10 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,41 @@ def test_components(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def test_few_edges_take_few_files(spark, monkeypatch):
+    """Each file costs processes that count as copies of the executor while they start."""
+    monkeypatch.setattr(components, "materialize", lambda df, name, made=components.materialize: written.append(made(df, name)) or written[-1])
+    monkeypatch.setattr(components, "discard", lambda df: None)
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, written = {k: spark.conf.get(k) for k in changed}, []
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        edges = spark.range(300).select(F.col("id").alias("src"), (F.col("id") - F.col("id") % 7).alias("dst"))
+        found = {r["node"]: r["component"] for r in components.connected_components(edges, rows=300).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: i - i % 7 for i in range(300)}
+    assert len(written) == 2 and all(len(w.inputFiles()) == 1 for w in written)  # stars are seen to be stars in one round
+
+
+def test_many_candidates_need_little_memory():
+    """1,500 rows that are alike, none linked yet: 1.1 million pairs are left of them, of which only the rows are asked for."""
+    n = 1500
+    least = minhash.minima(np.arange(1, 200, dtype=np.uint64))
+    group = pa.table({
+        **{k: pa.array([v] * n, t) for k, v, t in (("band", 0, pa.int32()), ("key", 1, pa.int64()), ("kind", 2, pa.int32()), ("i", 0, pa.int32()), ("j", 0, pa.int32()))},
+        "doc_id": pa.array(range(n), pa.int64()), "component": pa.array(range(n), pa.int64()), "is_left": pa.array([True] * n), "is_right": pa.array([True] * n), "n_shingles": pa.array([199] * n, pa.int64()),
+        "bands": pa.array([minhash.band_keys(least, *minhash.layout(85))] * n, pa.list_(pa.int64())), "signature": pa.array([least.astype("<u2").tobytes()] * n, pa.binary()),
+    })
+    tracemalloc.start()
+    try:
+        paired = {int(x) for a, *others in minhash.candidates(group, 85) for x in (a, *np.ravel(others[0]))}
+        assert paired == set(range(n)) and tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_running_sums(spark):
     rows = spark.range(1000).withColumn("v", F.col("id") % 7)
     found = ordered.running_sums(rows, [F.desc("id")], {"total": "v"}, "t").orderBy(F.desc("id")).collect()
