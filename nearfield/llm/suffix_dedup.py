@@ -23,6 +23,7 @@ the window has so many, else those behind it: equal windows have equal ones, and
 Hot passages cost one context a batch, however many documents share them. Blobs hold one anchor or context at
 least, so there are never more of them than anchors; the numbers of ranges, shards and tasks grow with the text, and each
 range, shard and task is of bounded size. One string that is in all batches sends one context from each to its shard.
+Every step is written before the next, and its shuffle files go then.
 
 Edge cases: null and empty texts have no bytes and keep none; texts shorter than
 WINDOW are kept whole; texts of any length are read whole, in chunks; rows without id
@@ -46,7 +47,7 @@ from pyspark.sql import types as T
 
 from nearfield.llm.grouping import contiguous
 from nearfield.llm.rolling import BASE, BYTE_HASH, INVERSE, powers
-from nearfield.runtime import ROW_GROUPS, discard, materialize, prepare, remove, scratch, thrifty, work_path
+from nearfield.runtime import ROW_GROUPS, discard, materialize, prepare, remove, scratch, swept, thrifty, work_path
 
 WINDOW = 50
 GRAM = 20
@@ -468,7 +469,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept), one for each row of docs with an id, and, if columns are named in
     carry, the struct `carried` of them. kept has the remaining bytes."""
     spark = prepare(docs.sparkSession)
-    with scratch(spark) as keep:
+    with scratch(spark) as keep, swept(spark):
         return keep(materialize(_removed_repeats(docs, doc_id, text, carry or []), "passages"))
 
 

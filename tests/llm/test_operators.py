@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from nearfield import runtime
 from nearfield.llm import bpe, components, dealt, embedding_dedup, grouping, html_text, langid, licenses, minhash, mixing, ordered, queries, suffix_dedup, topk, warc
 
 SF = "/root/testdata/sf0.001"
@@ -573,6 +574,21 @@ def test_suffix_dedup_edges(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(rows).collect()) == [(1, 0), (1, 0), (2, 90)]
 
 
+def test_suffix_dedup_leaves_no_shuffle_files(spark):
+    """Each step is written once, so what it shuffled is of no use afterwards; it took the disk until the driver collected garbage."""
+    blocks = lambda: {b for b in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString("\n").split("\n") if b.startswith("shuffle_")}
+    rng = random.Random(9)
+    same = prose(rng, 60)
+    there, setting = blocks(), spark.conf.get(runtime.SWEEP, "false")
+    found = suffix_dedup.remove_repeats(docs(spark, [f"{prose(rng, 30)} {same} {prose(rng, 30)}" for _ in range(40)]))
+    for _ in range(50):  # they are deleted by a message to the executors
+        if not (left := blocks() - there):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(runtime.SWEEP) == setting
+    assert found.where("n_removed > 0").count() == 39
+
+
 @pytest.mark.parametrize("bits", [suffix_dedup.PLACE_BITS, 4])
 def test_expansion_is_the_lcp_array(monkeypatch, bits):
     monkeypatch.setattr(suffix_dedup, "PLACE_BITS", bits)
