@@ -369,21 +369,36 @@ def expand(bwt: np.ndarray, least: int) -> np.ndarray:
     placed[1:] = ranked[1:] != ranked[:-1]
     before = np.full(n, -1, np.int32)  # the same byte's place before
     before[first[1:]] = np.where(placed[1:], -1, first[:-1])
-    fresh = placed.copy()
-    for _ in range(1, least):
-        bounds = np.append(np.flatnonzero(placed), n).astype(np.int32)
-        which = np.flatnonzero(fresh[bounds[:-1]])
-        if not len(which):
-            break
-        fresh[:] = False
-        for i in range(0, len(which), 1 << 18):  # blocks bound the memory
-            begin, end = bounds[which[i : i + (1 << 18)]], bounds[which[i : i + (1 << 18)] + 1]
-            length = end - begin
-            origin = np.repeat(begin, length)
-            j = np.arange(len(origin), dtype=np.int32) + np.repeat(begin - (np.cumsum(length, dtype=np.int32) - length), length)
+    begin = np.flatnonzero(placed).astype(np.int32)
+    end = np.append(begin[1:], np.int32(n))
+    start, ends = np.repeat(begin, end - begin), np.zeros(n, np.int32)  # of the interval around a place; by its start
+    ends[begin] = end
+    fresh = np.zeros(n, bool)
+    for _ in range(1, least):  # begin and end: only the intervals set at the level before
+        for i in range(0, len(begin), 1 << 18):  # blocks bound the memory
+            low, length = begin[i : i + (1 << 18)], end[i : i + (1 << 18)] - begin[i : i + (1 << 18)]
+            single = length == 1
+            one = low[single]
+            start[one] = one
+            fresh[to_first[one]] = True
+            low, length = low[~single], length[~single]
+            origin = np.repeat(low, length)
+            j = np.arange(len(origin), dtype=np.int32) + np.repeat(low - (np.cumsum(length, dtype=np.int32) - length), length)
+            start[j] = origin
             fresh[to_first[j[before[j] < origin]]] = True
-        fresh &= ~placed
-        placed |= fresh
+        found = np.flatnonzero(fresh)
+        fresh[found] = False
+        begin = found[~placed[found]].astype(np.int32)
+        if not len(begin):
+            break
+        placed[begin] = True
+        within = start[begin]
+        same = within[1:] == within[:-1]
+        end = ends[within]
+        end[:-1][same] = begin[1:][same]
+        ends[begin] = end
+        head = np.concatenate(([True], ~same))
+        ends[within[head]] = begin[head]
     return placed
 
 
