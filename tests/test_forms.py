@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.1"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
-@pytest.mark.parametrize("name", ["recall_at_10", "base_delta_search"])
+@pytest.mark.parametrize("name", ["recall_at_10", "base_delta_search", "knn_join_ip", "knn_join_cosine", "knn_join_l2", "knn_join_hamming"])
 def test_many_distances_take_products(spark, name):
     plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
